@@ -39,7 +39,10 @@ def model_name(output_path: Column) -> Column:
 
 
 def dataset_version(relative_samples_path: Column) -> Column:
-    """Version from the data root; the path is relative to the repository, absolute paths are foreign."""
+    """Version from the data root; the path is relative to the repository, absolute paths are foreign.
+
+    ``data_v2_13`` reads ``vv2.13``: published results carry the doubled letter, so it is kept.
+    """
     first = F.try_element_at(path_parts(relative_samples_path), F.lit(1))
     return (
         F.when(relative_samples_path.isNull(), "unknown")

@@ -43,20 +43,20 @@ def task_of(path: Column) -> Column:
     return F.regexp_extract(path, r"/([^/]+)/(?:samples\.jsonl$|audio/)", 1)
 
 
-def asset_manifest(spark: SparkSession, data_root: str) -> DataFrame:
-    """Per task: sample count, hash of the sample file, number and total size of the audio files."""
-    samples = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "samples.jsonl").load(data_root)
-    hashed = samples.select(task_of(F.col("path")).alias("task_id"), F.sha2("content", 256).alias("samples_sha256"))
-    counted = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "samples.jsonl").text(data_root)
-        .where(F.col("value").rlike(r"(?U)\S"))
-        .groupBy(task_of(F.col("_metadata.file_path")).alias("task_id"))
-        .agg(F.count(F.lit(1)).alias("samples"))
-    )
-    audio = list_files(spark, data_root, fv.ASSET_SUFFIXES).where(F.col("path").rlike("/audio/")).groupBy(
-        task_of(F.col("path")).alias("task_id")
-    ).agg(F.count(F.lit(1)).alias("audio_files"), F.sum("length").alias("audio_bytes"))
+def manifest_rows(sample_files: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Per task: sample count, hash of the sample file, number and total size of the audio files.
+
+    ``sample_files``: ``path, content``; ``lines``: ``path, line`` (blank lines do not count); ``files``:
+    ``path, length`` of everything in the release. The task is the folder that holds the sample file or ``audio/``.
+    """
+    hashed = sample_files.select(
+        task_of(F.col("path")).alias("task_id"), F.sha2("content", 256).alias("samples_sha256"))
+    counted = lines.where(F.col("line").rlike(r"(?U)\S")).groupBy(task_of(F.col("path")).alias("task_id")).agg(
+        F.count(F.lit(1)).alias("samples"))
+    audio = files.where(
+        F.lower("path").rlike(r"/audio/.*\.(" + "|".join(fv.ASSET_SUFFIXES) + ")$")
+    ).groupBy(task_of(F.col("path")).alias("task_id")).agg(
+        F.count(F.lit(1)).alias("audio_files"), F.sum("length").alias("audio_bytes"))
     zero = F.lit(0).cast("bigint")
     return hashed.join(counted, "task_id", "left").join(audio, "task_id", "left").select(
         "task_id",
@@ -65,6 +65,15 @@ def asset_manifest(spark: SparkSession, data_root: str) -> DataFrame:
         F.coalesce("audio_bytes", zero).alias("audio_bytes"))
 
 
+def asset_manifest(spark: SparkSession, data_root: str) -> DataFrame:
+    """Manifest rows of a release folder. Audio contents are not read, only listed."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "samples.jsonl"}
+    sample_files = spark.read.format("binaryFile").options(**options).load(data_root).select("path", "content")
+    lines = spark.read.options(**options).text(data_root).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    return manifest_rows(sample_files, lines, list_files(spark, data_root, fv.ASSET_SUFFIXES))
+
+
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Task rows of a release manifest (one JSON document)."""
     return spark.read.schema(schemas.MANIFEST).option("multiLine", "true").json(path).selectExpr("inline(tasks)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxgauge import fixed_values as fv
 from voxgauge import schemas
 
-_STRING_VALUE = r'("(?:[^"\\]|\\.)*")(?!\s*:)'
+_STRING_OR_KEY = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'  # keys are consumed too, so quotes stay paired
 
 
 def load_samples(spark: SparkSession, path: str, schema: str = schemas.SAMPLES) -> DataFrame:
@@ -62,9 +62,9 @@ def declared_paths(json_text: Column) -> Column:
     A path starts with ``data/`` and ends with an audio suffix. Object keys are not values.
     """
     suffixes = "|".join(fv.DECLARED_SUFFIXES)
-    values = F.transform(
-        F.regexp_extract_all(json_text, F.lit(_STRING_VALUE), F.lit(1)),
-        lambda s: F.get_json_object(F.concat(F.lit("["), s, F.lit("]")), "$[0]"))
+    strings = F.filter(
+        F.regexp_extract_all(json_text, F.lit(_STRING_OR_KEY), F.lit(0)), lambda s: s.endswith('"'))
+    values = F.transform(strings, lambda s: F.get_json_object(F.concat(F.lit("["), s, F.lit("]")), "$[0]"))
     return F.array_distinct(F.filter(values, lambda v: v.rlike(rf"(?is)^data/.*\.({suffixes})$")
                                      & F.startswith(v, F.lit(fv.DECLARED_PREFIX))))
 

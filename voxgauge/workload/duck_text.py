@@ -7,6 +7,11 @@ from collections.abc import Mapping
 from voxgauge.workload.standins import CANDIDATES, SAMPLES, SCORES, duck
 
 
+def r4(value: str) -> str:
+    """Four decimals, half away from zero on the decimal value (a plain double round misses exact ties)."""
+    return f"round(({value})::DECIMAL(30, 12), 4)::DOUBLE"
+
+
 def norm_en(text: str) -> str:
     return f"trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -66,10 +71,10 @@ normed AS (SELECT *, {norm(target)} AS nt, CASE WHEN transcript_predicted IS NOT
     {norm('transcript_predicted')} END AS np FROM matched),
 {word_errors('normed')},
 rated AS (SELECT m.*,
-    CASE WHEN m.np IS NULL THEN NULL WHEN w.nr > 0 THEN round(w.d::DOUBLE / w.nr, 4)
+    CASE WHEN m.np IS NULL THEN NULL WHEN w.nr > 0 THEN {r4('w.d::DOUBLE / w.nr')}
          WHEN w.nh > 0 THEN 1.0 ELSE 0.0 END AS wer,
     CASE WHEN m.np IS NULL THEN NULL WHEN length(m.nt) > 0
-         THEN round(levenshtein(m.nt, m.np)::DOUBLE / length(m.nt), 4)
+         THEN {r4('levenshtein(m.nt, m.np)::DOUBLE / length(m.nt)')}
          WHEN length(m.np) > 0 THEN 1.0 ELSE 0.0 END AS cer
     FROM normed m LEFT JOIN word_errors w ON w.sample_id = m.sample_id),
 scored AS (SELECT *, CASE WHEN language = 'zh' THEN cer ELSE wer END AS cp_error,

@@ -325,8 +325,8 @@ p2 AS (SELECT * EXCLUDE (rpg), has_output AND bad IS NULL AS ok, rpg AS rpg_in,
 prosody AS (SELECT * EXCLUDE (wer, cer, cp_error, cp_pass),
     CASE WHEN ok THEN wer END AS wer, CASE WHEN ok THEN cer END AS cer, CASE WHEN ok THEN cp_error END AS cp_error,
     CASE WHEN ok THEN cp_pass END AS cp_pass, CASE WHEN ok THEN verdict END AS passed,
-    CASE WHEN ok AND prosody_type = 'speed' THEN round(ratio, 4) END AS duration_ratio,
-    CASE WHEN ok AND prosody_type = 'pitch' THEN round(shift, 4) END AS shift_semitone,
+    CASE WHEN ok AND prosody_type = 'speed' THEN {dt.r4('ratio')} END AS duration_ratio,
+    CASE WHEN ok AND prosody_type = 'pitch' THEN {dt.r4('shift')} END AS shift_semitone,
     CASE WHEN ok AND prosody_type = 'stress' THEN rpg_in END AS rpg,
     CASE WHEN ok AND error IS NULL THEN verdict END AS target_success,
     CASE WHEN ok AND cp_pass IS NOT NULL THEN verdict AND cp_pass END AS joint_success FROM p2)"""
@@ -356,12 +356,12 @@ a2 AS (SELECT *, CASE
         CASE WHEN has_output AND np IS NULL THEN 'content_preservation: {NO_TEXT}' END), '') AS error FROM a1),
 acoustic AS (SELECT *, CASE WHEN target_success IS NOT NULL AND cp_pass IS NOT NULL
         THEN target_success AND cp_pass END AS joint_success,
-    {", ".join(f"round({x}_g, 4) AS {x}_gain" for x in ("dnsmos_sig", "dnsmos_bak", "dnsmos_ovrl", "pesq", "stoi"))},
-    CASE WHEN rev THEN round(rt60, 4) END AS rt60_measured,
-    CASE WHEN rev AND decay_low IS NOT NULL THEN round(decay_low * 0.8::DOUBLE, 4) END AS rt60_tolerated_min,
-    CASE WHEN rev AND decay_low IS NOT NULL THEN round(decay_high * 1.2::DOUBLE, 4) END AS rt60_tolerated_max,
-    CASE WHEN sc THEN best_scene END AS predicted_env_subtype, CASE WHEN sc THEN round(ts, 4) END AS target_scene_score,
-    CASE WHEN sc THEN round(ts - ss, 4) END AS target_scene_gain FROM a2)"""
+    {", ".join(f"{dt.r4(f'{x}_g')} AS {x}_gain" for x in ("dnsmos_sig", "dnsmos_bak", "dnsmos_ovrl", "pesq", "stoi"))},
+    CASE WHEN rev THEN {dt.r4('rt60')} END AS rt60_measured,
+    CASE WHEN rev AND decay_low IS NOT NULL THEN {dt.r4('decay_low * 0.8::DOUBLE')} END AS rt60_tolerated_min,
+    CASE WHEN rev AND decay_low IS NOT NULL THEN {dt.r4('decay_high * 1.2::DOUBLE')} END AS rt60_tolerated_max,
+    CASE WHEN sc THEN best_scene END AS predicted_env_subtype, CASE WHEN sc THEN {dt.r4('ts')} END AS target_scene_score,
+    CASE WHEN sc THEN {dt.r4('ts - ss')} END AS target_scene_gain FROM a2)"""
 
 COMPOSITIONAL_SQL = f"""{CONTENT_SQL}, {SPEAKER_SQL}, {PROSODY_SQL}, {EMOTION_SQL},
 parts AS (
@@ -382,7 +382,7 @@ compositional AS (SELECT *,
     CASE WHEN has_output THEN c_errors END AS component_error_count,
     CASE WHEN has_output THEN (chk AND np IS NULL)::BIGINT END AS preservation_error_count,
     CASE WHEN chk THEN cp_pass END AS preservation_success,
-    CASE WHEN has_output AND c_known > 0 THEN round(c_passed::DOUBLE / c_known, 4) END AS component_success_rate,
+    CASE WHEN has_output AND c_known > 0 THEN {dt.r4('c_passed::DOUBLE / c_known')} END AS component_success_rate,
     CASE WHEN NOT has_output OR c_known <> c_total OR (chk AND cp_pass IS NULL) THEN NULL
          ELSE c_passed = c_total AND (NOT chk OR cp_pass) END AS joint_success,
     CASE WHEN has_output THEN nullif(concat_ws('; ',
