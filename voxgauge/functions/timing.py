@@ -58,12 +58,11 @@ def parse_spaced_text(text: Column, timestamps: Column) -> Column:
 
 
 def _window(matched: Column) -> Column:
-    found = F.struct(
-        F.array_min(F.transform(matched, lambda t: t["start"])).alias("start"),
-        F.array_max(F.transform(matched, lambda t: t["end"])).alias("end"),
-        F.array_join(F.transform(matched, lambda t: t["text"]), " ").alias("matched_text"),
-    )
-    return F.when(F.size(matched) > 0, found)
+    return let(matched, lambda m: F.when(F.size(m) > 0, F.struct(
+        F.array_min(F.transform(m, lambda t: t["start"])).alias("start"),
+        F.array_max(F.transform(m, lambda t: t["end"])).alias("end"),
+        F.array_join(F.transform(m, lambda t: t["text"]), " ").alias("matched_text"),
+    )))
 
 
 def _window_en(tokens: Column, target: Column) -> Column:
@@ -72,8 +71,8 @@ def _window_en(tokens: Column, target: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(1), F.greatest(F.size(p["spoken"]) - n + 1, F.lit(1))),
             lambda i: F.slice(p["spoken"], i, n) == p["target"])
-        first = F.array_min(starts)
-        return F.when((n > 0) & first.isNotNull(), _window(F.slice(tokens, F.coalesce(first, F.lit(1)), n)))
+        return F.when(n > 0, let(F.array_min(starts), lambda first: F.when(
+            first.isNotNull(), _window(F.slice(tokens, F.coalesce(first, F.lit(1)), n)))))
 
     spoken = F.transform(tokens, lambda t: F.lower(F.coalesce(t["normalized"], F.lit(""))))
     return let(F.struct(spoken.alias("spoken"), stress_words_en(target).alias("target")), search)
@@ -82,11 +81,15 @@ def _window_en(tokens: Column, target: Column) -> Column:
 def _window_zh(tokens: Column, target: Column) -> Column:
     def search(p: Column) -> Column:
         size = F.length(p["target"])
-        at = F.instr(F.array_join(p["spoken"], ""), p["target"])
-        owner = F.flatten(F.transform(p["spoken"], lambda s, i: F.array_repeat(i, F.length(s))))
-        hit = F.slice(owner, F.greatest(at, F.lit(1)), F.greatest(size, F.lit(1)))
-        matched = F.filter(tokens, lambda t, i: F.array_contains(hit, i))
-        return F.when((size > 0) & (at > 0), _window(matched))
+
+        def matched(at: Column) -> Column:
+            # token number of every character, cut down to the matched characters
+            owner = F.flatten(F.transform(p["spoken"], lambda s, i: F.array_repeat(i, F.length(s))))
+            owners = F.array_distinct(F.slice(owner, F.greatest(at, F.lit(1)), F.greatest(size, F.lit(1))))
+            return _window(F.transform(owners, lambda i: F.get(tokens, i)))
+
+        return F.when(size > 0, let(F.instr(F.array_join(p["spoken"], ""), p["target"]), lambda at: F.when(
+            at > 0, matched(at))))
 
     spoken = F.transform(tokens, lambda t: stress_text_zh(F.coalesce(F.nullif(t["normalized"], F.lit("")), t["text"])))
     return let(F.struct(spoken.alias("spoken"), stress_text_zh(target).alias("target")), search)

@@ -10,17 +10,19 @@ SPREAD = 32
 
 
 def spread_lookup(facts: DataFrame, reference: DataFrame, key: str, spread_by: str,
-                  how: str = "left") -> DataFrame:
+                  how: str = "left", frequent: DataFrame | None = None) -> DataFrame:
     """Join ``facts`` to a ``reference`` that has one row per ``key``, spreading the most frequent keys.
 
     A key with more than 1/64 of all rows is among the 64 most frequent ones, so splitting those bounds what any
     single task receives; ``spread_by`` is a column of ``facts`` that varies within a key (a row id), so the split is
     the same when a task is rerun. The reference rows of the hot keys (64 at most) are repeated once per split; all others
-    appear once. No row is dropped. The list of hot keys has 64 rows by construction and is the only broadcast.
+    appear once. No row is dropped. The list of hot keys has 64 rows by construction and is the only forced broadcast.
+    ``frequent`` (``key, _n``) saves counting when the frequencies are known.
     """
+    if frequent is None:
+        frequent = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = (
-        facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"), key).limit(HOT_KEYS)
+        frequent.orderBy(F.desc("_n"), key).limit(HOT_KEYS)
         .select(F.col(key).alias("_hot_key"))
     )
     split = F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxgauge.functions.numeric import nearest_rank
 from voxgauge.operators.lookup import spread_lookup
+from voxgauge.session import stage
 
 ACCURACY = 10_000  # the sketch is off by at most n/ACCURACY ranks
 MARGIN = 0.002     # bracket half-width in ranks/n: twenty times the sketch's error
@@ -34,11 +35,11 @@ def exact_ranks(rows: DataFrame, groups: Sequence[str], value: str, picks: Mappi
     marks = sorted({
         q for p, _ in picks.values() for q in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))
     })
-    stats = known.groupBy("_g").agg(
+    stats = stage(known.groupBy("_g").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", [float(q) for q in marks], ACCURACY).alias("_q"),
-    )
+    ), "rank-brackets")
     whole = F.col("_n") < WHOLE_BELOW
 
     def edge(p: float, low: bool) -> Column:
@@ -55,7 +56,7 @@ def exact_ranks(rows: DataFrame, groups: Sequence[str], value: str, picks: Mappi
 
     counted = known.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
     bracketed = (
-        spread_lookup(counted, brackets, "_g", "_v", "inner")
+        spread_lookup(counted, brackets, "_g", "_v", "inner", frequent=stats.select("_g", "_n"))
         .select("_g", "_n", "_v", "_c", F.explode("_b").alias("_b"))
         .where(F.col("_v") <= F.col("_b.hi"))
         # everything under the bracket becomes one row: its count is all that matters

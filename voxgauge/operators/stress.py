@@ -10,6 +10,7 @@ from voxgauge.functions.prosody import clip_window, prominence
 from voxgauge.functions.timing import target_window
 from voxgauge.operators.lookup import salted_range_join
 from voxgauge.operators.signal import track_statistics
+from voxgauge.session import stage
 
 BIN_SECONDS = 4.0
 
@@ -37,7 +38,7 @@ def window_prominence(windows: DataFrame, frames: DataFrame) -> DataFrame:
     id_cols = ["sample_id", "side", "word_index"]
     inside = salted_range_join(frames, found.select(*id_cols, "path", "start", "end"), "path", "t", "start", "end",
                                BIN_SECONDS)
-    segments = track_statistics(inside, id_cols).select(
+    segments = track_statistics(stage(inside, "window-frames"), id_cols).select(
         *id_cols, F.col("mean_rms").alias("segment_rms"), F.col("median_f0").alias("segment_f0"))
     scored = found.join(segments, id_cols, "left").join(clips, "path", "left").withColumn("_p", prominence(
         F.col("segment_rms"), F.col("clip_rms"), F.col("segment_f0"), F.col("clip_f0"),
@@ -69,6 +70,12 @@ def word_verdicts(windows: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
+def stress_verdicts(tokens: DataFrame, targets: DataFrame, frames: DataFrame) -> DataFrame:
+    """Word verdicts from tokens, target words and frames. The window search runs once."""
+    windows = stage(word_windows(tokens, targets), "stress-windows")
+    return word_verdicts(windows, window_prominence(windows, frames))
+
+
 def stress_rollup(verdicts: DataFrame) -> DataFrame:
     """Per sample: words, passed words, share passed, all found, and the verdict (all found and all passed)."""
     per_sample = verdicts.groupBy("sample_id").agg(

@@ -49,3 +49,14 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = os.path.join(tempfile.gettempdir(), "voxgauge")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and continue from the written table.
+
+    Used where one expensive result feeds several branches: it is computed once, survives lost executors, keeps column
+    pruning, and its size is known to the planner, so later joins broadcast it only when it is really small.
+    """
+    folder = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from voxgauge import fixed_values as fv
 from voxgauge import schemas
 
-_STRING_OR_KEY = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'  # keys are consumed too, so quotes stay paired
+# JSON text never holds raw control characters, so two of them can stand for the escaped backslash and quote
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+_STRING_OR_KEY = r'"[^"]*"(?:\s*:)?'  # keys are consumed too, so quotes stay paired
+
+
+def _hide_escapes(json_text: Column) -> Column:
+    return F.replace(F.replace(json_text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+def _show_escapes(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
 
 
 def load_samples(spark: SparkSession, path: str, schema: str = schemas.SAMPLES) -> DataFrame:
@@ -63,8 +73,9 @@ def declared_paths(json_text: Column) -> Column:
     """
     suffixes = "|".join(fv.DECLARED_SUFFIXES)
     strings = F.filter(
-        F.regexp_extract_all(json_text, F.lit(_STRING_OR_KEY), F.lit(0)), lambda s: s.endswith('"'))
-    values = F.transform(strings, lambda s: F.get_json_object(F.concat(F.lit("["), s, F.lit("]")), "$[0]"))
+        F.regexp_extract_all(_hide_escapes(json_text), F.lit(_STRING_OR_KEY), F.lit(0)), lambda s: s.endswith('"'))
+    values = F.transform(strings, lambda s: F.get_json_object(
+        F.concat(F.lit("["), _show_escapes(s), F.lit("]")), "$[0]"))
     return F.array_distinct(F.filter(values, lambda v: v.rlike(rf"(?is)^data/.*\.({suffixes})$")
                                      & F.startswith(v, F.lit(fv.DECLARED_PREFIX))))
 

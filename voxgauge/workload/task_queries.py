@@ -11,6 +11,7 @@ from voxgauge.operators.match import match_outputs
 from voxgauge.operators.rollup import mean, rate, summarise
 from voxgauge.plans import compositional as comp
 from voxgauge.plans import stats, tasks
+from voxgauge.session import stage
 from voxgauge.workload import duck_text as dt
 from voxgauge.workload.standins import CANDIDATES, SAMPLES, SCORES, spark_table
 
@@ -79,20 +80,25 @@ def _components(matched: DataFrame) -> DataFrame:
         F.col("sample_id").alias("parent_id"), "*", F.posexplode(kinds).alias("component_index", "component_type"))
 
 
-def component_rows(spark, sf):
+def _component_verdicts(matched: DataFrame) -> DataFrame:
     judges = {
         "content": tasks.content_verdicts,
         "speaker": tasks.speaker_verdicts,
         "prosody": tasks.prosody_verdicts,
         "emotion": lambda df: tasks.emotion_verdicts(df.withColumnRenamed("emotion_judge", "judge_text")),
     }
-    return comp.component_verdicts(_components(matched_samples(spark, sf)), judges)
+    return comp.component_verdicts(_components(matched), judges)
+
+
+def component_rows(spark, sf):
+    return _component_verdicts(stage(matched_samples(spark, sf), "matched"))
 
 
 def scored_compositional(spark, sf):
-    checked = tx.with_preservation(matched_samples(spark, sf), "transcript", "transcript_predicted").withColumn(
+    matched = stage(matched_samples(spark, sf), "matched")  # feeds one branch per component type
+    checked = tx.with_preservation(matched, "transcript", "transcript_predicted").withColumn(
         "preservation_error", F.when(F.col("transcript_predicted").isNull(), tasks.NO_TRANSCRIPT))
-    return comp.compositional_verdicts(checked, component_rows(spark, sf))
+    return comp.compositional_verdicts(checked, _component_verdicts(matched))
 
 
 # --- details: whole verdict tables --------------------------------------------------------------------------
