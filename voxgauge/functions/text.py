@@ -14,6 +14,9 @@ from voxgauge.functions.numeric import let
 
 _HAS_NON_ASCII = r"[^\x00-\x7F]"
 _KEEP_ZH = "[^一-鿿0-9a-zA-Z]"
+_WHITE_SPACE = "".join(chr(c) for c in (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
+    0x3000))
 _CODE_BASE = 0x10000
 _CODE_SPACE = 1 << 20
 
@@ -38,7 +41,7 @@ def normalize(text: Column, language: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_WHITE_SPACE))
 
 
 def words(text: Column) -> Column:
@@ -73,22 +76,67 @@ def _as_code_points(codes: Column) -> Column:
     return F.decode(F.unhex(F.array_join(hexed, "")), "UTF-32")
 
 
-def word_distance(ref: Column, hyp: Column) -> Column:
-    """Exact word-level edit distance of two word arrays, without a UDF.
+def _common_prefix(a: Column, b: Column, shorter: Column) -> Column:
+    """Length of the common prefix, found by halving steps (equality of prefixes is monotone)."""
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda have, step: F.when(
+        (have + step <= shorter) & (F.substring(a, have + 1, step) == F.substring(b, have + 1, step)), have + step
+    ).otherwise(have))
+
+
+def edit_distance(a: Column, b: Column, budget: Column | None = None) -> Column:
+    """Exact edit distance in code points; -1 beyond the ``budget`` when one is given.
 
-    Each word becomes one code point. A 20-bit hash is used when it is collision-free on the pair's vocabulary
-    (checked per pair); otherwise the word's position in the vocabulary is used.
+    Equal ends are cut off first, then the distance is looked for within the budget or a tenth of the length (a narrow
+    band of the table); without a budget, texts that differ more than that pay for the whole table.
     """
-    def measure(vocabulary: Column) -> Column:
+    def middle(p: Column, head: Column, tail: Column) -> Column:
+        return F.struct(
+            F.substring(p["a"], head + 1, F.length(p["a"]) - head - tail).alias("a"),
+            F.substring(p["b"], head + 1, F.length(p["b"]) - head - tail).alias("b"))
+
+    def measure(p: Column) -> Column:
+        if budget is not None:
+            return F.call_function("levenshtein", p["a"], p["b"], budget)
+        limit = F.floor(F.greatest(F.length(p["a"]), F.length(p["b"])) / 10).cast("int") + 4
+        near = F.call_function("levenshtein", p["a"], p["b"], limit)
+        return let(near, lambda d: F.when(d >= 0, d).otherwise(F.levenshtein(p["a"], p["b"])))
+
+    def trimmed(p: Column) -> Column:
+        shorter = F.least(F.length(p["a"]), F.length(p["b"]))
+
+        def cut(head: Column) -> Column:
+            ends = F.struct(F.reverse(p["a"]).alias("a"), F.reverse(p["b"]).alias("b"))
+            tail = let(ends, lambda r: _common_prefix(r["a"], r["b"], shorter - head))
+            return let(tail, lambda t: let(middle(p, head, t), measure))
+
+        return let(_common_prefix(p["a"], p["b"], shorter), cut)
+
+    return F.when(a == b, F.lit(0)).otherwise(let(F.struct(a.alias("a"), b.alias("b")), trimmed))
+
+
+def _word_strings(ref: Column, hyp: Column) -> Column:
+    """Struct ``(r, h)`` of strings with one code point per word: equal words, equal code points.
+
+    A 20-bit hash is used when it is collision-free on the pair's vocabulary (checked per pair); otherwise the word's
+    position in the vocabulary is used.
+    """
+    def encode(vocabulary: Column) -> Column:
         collision_free = F.size(F.array_distinct(_hash_codes(vocabulary))) == F.size(vocabulary)
-        by_hash = F.levenshtein(_as_code_points(_hash_codes(ref)), _as_code_points(_hash_codes(hyp)))
-        by_position = F.levenshtein(
-            _as_code_points(_position_codes(ref, vocabulary)),
-            _as_code_points(_position_codes(hyp, vocabulary)),
-        )
-        return F.when(collision_free, by_hash).otherwise(by_position)
+        return F.when(collision_free, F.struct(
+            _as_code_points(_hash_codes(ref)).alias("r"), _as_code_points(_hash_codes(hyp)).alias("h"),
+        )).otherwise(F.struct(
+            _as_code_points(_position_codes(ref, vocabulary)).alias("r"),
+            _as_code_points(_position_codes(hyp, vocabulary)).alias("h"),
+        ))
+
+    return let(F.array_union(ref, hyp), encode)
 
-    return F.when(ref == hyp, F.lit(0)).otherwise(let(F.array_union(ref, hyp), measure))
+
+def word_distance(ref: Column, hyp: Column) -> Column:
+    """Exact word-level edit distance of two word arrays, without a UDF."""
+    return F.when(ref == hyp, F.lit(0)).otherwise(
+        let(_word_strings(ref, hyp), lambda c: edit_distance(c["r"], c["h"])))
 
 
 def _rate(distance: Column, ref_size: Column, hyp_size: Column) -> Column:
@@ -105,8 +153,7 @@ def wer(ref_norm: Column, hyp_norm: Column) -> Column:
 
 def cer(ref_norm: Column, hyp_norm: Column) -> Column:
     """Character error rate of two normalised texts (code points)."""
-    distance = F.when(ref_norm == hyp_norm, F.lit(0)).otherwise(F.levenshtein(ref_norm, hyp_norm))
-    return _rate(distance, F.length(ref_norm), F.length(hyp_norm))
+    return _rate(edit_distance(ref_norm, hyp_norm), F.length(ref_norm), F.length(hyp_norm))
 
 
 def error_threshold(language: Column) -> Column:
@@ -153,15 +200,12 @@ def within_error_budget(ref_norm: Column, hyp_norm: Column, language: Column) ->
     """
     def verdict(n: Column, m: Column, a: Column, b: Column, limit: float) -> Column:
         budget = (n * F.lit(limit + 0.00005)).cast("int") + 1
-        distance = F.call_function("levenshtein", a, b, budget)
-        close = (distance >= 0) & (F.round(distance / n, 4) <= limit)
+        close = let(edit_distance(a, b, budget), lambda d: (d >= 0) & (F.round(d / n, 4) <= limit))
         return F.when(n == 0, m == 0).when(F.abs(n - m) > budget, False).otherwise(close)
 
     def by_words(p: Column) -> Column:
-        return let(F.array_union(p["r"], p["h"]), lambda v: verdict(
-            F.size(p["r"]), F.size(p["h"]),
-            _as_code_points(_position_codes(p["r"], v)), _as_code_points(_position_codes(p["h"], v)),
-            fv.CONTENT_ERROR_MAX["en"]))
+        return let(_word_strings(p["r"], p["h"]), lambda c: verdict(
+            F.size(p["r"]), F.size(p["h"]), c["r"], c["h"], fv.CONTENT_ERROR_MAX["en"]))
 
     chars = verdict(F.length(ref_norm), F.length(hyp_norm), ref_norm, hyp_norm, fv.CONTENT_ERROR_MAX["zh"])
     pair = F.struct(words(ref_norm).alias("r"), words(hyp_norm).alias("h"))
@@ -232,6 +276,18 @@ def template_of(text: Column) -> Column:
     return F.regexp_replace(quoted, "(?iuU)" + fv.TEMPLATE_LABEL_WORDS, fv.TEMPLATE_LABEL_MARK)
 
 
-def matches_pattern(text: Column, pattern: str) -> Column:
-    """Case-blind search with Unicode word boundaries."""
-    return text.rlike("(?iuU)" + pattern)
+def fold_case(text: Column) -> Column:
+    """Lower case, with the letters that only a case-blind search would equate with ``s``, ``i`` and ``k``."""
+    rare = "ſıİ\u212a"
+    has_rare = F.contains(text, F.lit(rare[0]))
+    for letter in rare[1:]:
+        has_rare = has_rare | F.contains(text, F.lit(letter))
+    return F.lower(F.when(has_rare, F.translate(text, rare, "siik")).otherwise(text))
+
+
+def matches_pattern(folded: Column, pattern: str) -> Column:
+    """Search in case-folded text with Unicode word boundaries; the pattern is lower case.
+
+    Folding once is several times faster than a case-blind search per pattern.
+    """
+    return folded.rlike("(?U)" + pattern)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxgauge.session import spread
+
 
 def best_outputs(candidates: DataFrame, key: str, priority: Sequence[Column], payload: Sequence[str]) -> DataFrame:
     """One candidate per key: the smallest ``priority`` tuple wins, the payload itself breaks ties.
@@ -22,7 +24,7 @@ def match_outputs(samples: DataFrame, candidates: DataFrame, key: str, priority:
                   payload: Sequence[str]) -> DataFrame:
     """Every sample with its best output (nulls when there is none) and a ``has_output`` flag."""
     best = best_outputs(candidates, key, priority, payload).withColumn("_found", F.lit(True))
-    joined = samples.join(best, key, "left")
+    joined = spread(samples, key).join(best, key, "left")
     return joined.withColumn("has_output", F.coalesce(F.col("_found"), F.lit(False))).drop("_found")
 
 

@@ -35,11 +35,12 @@ def exact_ranks(rows: DataFrame, groups: Sequence[str], value: str, picks: Mappi
     marks = sorted({
         q for p, _ in picks.values() for q in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))
     })
-    stats = stage(known.groupBy("_g").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [float(q) for q in marks], ACCURACY).alias("_q"),
-    ), "rank-brackets")
+    sizes = stage(known.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")), "rank-sizes")
+    # only large groups are worth a sketch; most data sets have few of them
+    sketches = known.join(sizes.where(F.col("_n") >= WHOLE_BELOW).select("_g"), "_g", "left_semi").groupBy("_g").agg(
+        F.percentile_approx("_v", [float(q) for q in marks], ACCURACY).alias("_q"))
+    stats = sizes.join(sketches, "_g", "left")
     whole = F.col("_n") < WHOLE_BELOW
 
     def edge(p: float, low: bool) -> Column:
@@ -56,7 +57,7 @@ def exact_ranks(rows: DataFrame, groups: Sequence[str], value: str, picks: Mappi
 
     counted = known.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
     bracketed = (
-        spread_lookup(counted, brackets, "_g", "_v", "inner", frequent=stats.select("_g", "_n"))
+        spread_lookup(counted, brackets, "_g", "_v", "inner", frequent=sizes.select("_g", "_n"))
         .select("_g", "_n", "_v", "_c", F.explode("_b").alias("_b"))
         .where(F.col("_v") <= F.col("_b.hi"))
         # everything under the bracket becomes one row: its count is all that matters

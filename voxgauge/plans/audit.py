@@ -23,7 +23,8 @@ def _blank(text: Column) -> Column:
 
 
 def counter_columns() -> list[Column]:
-    """Counters that need one pass over the rows."""
+    """Counters that need one pass over the rows; ``_folded`` is the case-folded instruction."""
+    folded = F.col("_folded")
     instruction = F.coalesce("instruction", F.lit(""))
     transcript = F.coalesce("transcript", F.lit(""))
     return [
@@ -33,12 +34,13 @@ def counter_columns() -> list[Column]:
         _count(F.col("anchor").isNull(), "missing_anchor_count"),
         _count(tx.unbalanced_quotes(instruction), "instruction_unbalanced_quote_count"),
         _count(tx.unbalanced_quotes(transcript), "transcript_unbalanced_quote_count"),
-        *[_count(tx.matches_pattern(instruction, p), name) for name, p in fv.AUDIT_PATTERNS.items()],
+        *[_count(tx.matches_pattern(folded, p), name) for name, p in fv.AUDIT_PATTERNS.items()],
     ]
 
 
 def task_counters(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("task").agg(*counter_columns())
+    folded = rows.withColumn("_folded", tx.fold_case(F.coalesce("instruction", F.lit(""))))
+    return folded.groupBy("task").agg(*counter_columns())
 
 
 def totals(rows: DataFrame) -> DataFrame:

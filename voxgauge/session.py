@@ -60,3 +60,14 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     folder = scratch_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by the key that the following joins use.
+
+    The joins reuse this partitioning, and heavy row-wise work after them runs in as many tasks as the session is set up
+    for: adaptive coalescing goes by bytes and would put small but quadratic texts into one task.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)
