@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxgauge.operators import match as mt
 from voxgauge.operators import ranks, rollup, signal
-from voxgauge.operators.lookup import salted_range_join, spread_lookup
+from voxgauge.operators.lookup import binned_range_join, spread_lookup
 from voxgauge.operators.responses import last_per_key, pending_requests, usable_responses
 from voxgauge.plans import audit
 from voxgauge.plans.compositional import compositional_verdicts
@@ -66,7 +66,7 @@ def test_range_join_includes_both_ends(spark):
     points = spark.range(0, 101).select(F.lit("a").alias("p"), (F.col("id") / 10).alias("t"))
     ranges = spark.createDataFrame([("a", 1, 1.0, 5.0), ("a", 2, 3.95, 4.05), ("b", 3, 0.0, 9.0)],
                                    "p string, w int, s double, e double")
-    got = salted_range_join(points, ranges, "p", "t", "s", "e", 1.5).groupBy("w").count().collect()
+    got = binned_range_join(points, ranges, "p", "t", "s", "e", 1.5).groupBy("w").count().collect()
     assert {r.w: r["count"] for r in got} == {1: 41, 2: 1}
 
 

@@ -175,11 +175,19 @@ def with_text_errors(df: DataFrame, target: str, predicted: str, language: str =
     })
 
 
+PRESERVATION_COLUMNS = (
+    "norm_target", "norm_predicted", "wer", "cer", "content_preservation_metric", "content_preservation_error",
+    "content_preservation_threshold", "content_preservation_pass")
+
+
 def with_preservation(df: DataFrame, target: str, predicted: str, language: str = "language") -> DataFrame:
     """Add the text errors and the content-preservation verdict.
 
-    The threshold is applied to the rounded error. Rows without a predicted transcript get nulls throughout.
+    The threshold is applied to the rounded error. Rows without a predicted transcript get nulls throughout. A table
+    that carries the columns already is returned as it is, so several tasks can share one measurement.
     """
+    if set(PRESERVATION_COLUMNS) <= set(df.columns):
+        return df
     lang = F.coalesce(F.col(language), F.lit("en"))
     known = F.col("norm_predicted").isNotNull()
     zh = lang == "zh"

@@ -39,7 +39,7 @@ def spread_lookup(facts: DataFrame, reference: DataFrame, key: str, spread_by: s
     return left.join(right, [key, "_split"], how).drop("_split")
 
 
-def salted_range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str,
+def binned_range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str,
                       width: float) -> DataFrame:
     """Pairs with equal ``key`` and ``start <= at <= end`` (both ends included).
 

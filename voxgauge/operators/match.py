@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxgauge.operators.lookup import spread_lookup
 from voxgauge.session import spread
 
 
@@ -29,7 +30,7 @@ def match_outputs(samples: DataFrame, candidates: DataFrame, key: str, priority:
 
 
 def missing_outputs(samples: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    return samples.join(candidates, key, "left_anti")
+    return samples.join(candidates.select(key).distinct(), key, "left_anti")
 
 
 def side_pairs(scores: DataFrame, key: str, side: str, values: Sequence[str]) -> DataFrame:
@@ -58,7 +59,8 @@ def resolve_paths(rows: DataFrame, key: str, path: str, existing: DataFrame, bas
                   fallback: str) -> DataFrame:
     """Add ``resolved``: absolute paths stay; else the first base below which the path exists; else the fallback.
 
-    ``existing`` has one column ``path``. Existence is a join against that listing, not a call per row.
+    ``existing`` has one column ``path``. Existence is a join against that listing, not a call per row; a recording that
+    very many rows share is spread over tasks.
     """
     relative = ~F.startswith(F.col(path), F.lit("/"))
     options = rows.where(relative).select(
@@ -66,7 +68,7 @@ def resolve_paths(rows: DataFrame, key: str, path: str, existing: DataFrame, bas
         F.posexplode(F.array(*[F.concat(F.lit(b.rstrip("/") + "/"), F.col(path)) for b in bases])).alias(
             "_rank", "path"))
     found = (
-        options.join(existing.select("path").distinct(), "path")
+        spread_lookup(options, existing.select("path").distinct(), "path", key, "inner")
         .groupBy(key).agg(F.min(F.struct("_rank", "path"))["path"].alias("_found"))
     )
     return rows.join(found, key, "left").withColumn(

@@ -26,7 +26,7 @@ def last_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str], pay
 
 def pending_requests(requests: DataFrame, log: DataFrame, key: str = "key") -> DataFrame:
     """Requests that the log does not answer yet."""
-    return requests.join(log.select(key), key, "left_anti")
+    return requests.join(log.select(key).distinct(), key, "left_anti")
 
 
 def cache_key(backend: Column, language: Column, path: Column, size: Column, modified: Column) -> Column:
@@ -39,5 +39,5 @@ def timestamp_backend(language: Column) -> Column:
 
 
 def split_by_cache(files: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Files whose result is cached (with it), and files that still have to be scored."""
-    return files.join(cache, key, "inner"), files.join(cache.select(key), key, "left_anti")
+    """Files whose result is cached (with it), and files that still have to be scored; one cache row per key."""
+    return files.join(cache, key, "inner"), files.join(cache.select(key).distinct(), key, "left_anti")

@@ -23,15 +23,27 @@ def explode_signal(rows: DataFrame, key: Sequence[str], samples: str) -> DataFra
     return rows.select(*key, F.posexplode(samples).alias("idx", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-def backward_sum(signal: DataFrame, key: str, idx: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
-    """Add ``out``: the sum of ``value`` from this position to the end of the clip.
+def _with_clip_value(signal: DataFrame, key: str, idx: str, part: Column, whole: Column, block: int) -> DataFrame:
+    """Signal with one value per clip, ``_clip``, found from one partial value per block (``part``, then ``whole`` of
+    ``_part`` over the blocks). It travels back on ``(key, block)``, so a very long clip does not meet in one task."""
+    blocked = signal.withColumn("_blk", F.floor(F.col(idx) / block))
+    parts = blocked.groupBy(key, "_blk").agg(part.alias("_part"))
+    clip = parts.select(key, "_blk", whole.over(Window.partitionBy(key)).alias("_clip"))
+    return blocked.join(clip, [key, "_blk"]).drop("_blk")
+
+
+def backward_sum(signal: DataFrame, key: str, idx: str, value: str, out: str, block: int = BLOCK,
+                 total: str | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``value`` from this position to the end of the clip, and ``total`` over the clip.
 
     Block totals are summed first; the ordered part of a window is one block, whatever the length of the clip.
     """
     blocked = signal.withColumn("_blk", F.floor(F.col(idx) / block))
     totals = blocked.groupBy(key, "_blk").agg(F.sum(value).alias("_sum"))
     later = Window.partitionBy(key).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_blk", F.coalesce(F.sum("_sum").over(later), F.lit(0.0)).alias("_offset"))
+    extra = [F.sum("_sum").over(Window.partitionBy(key)).alias(total)] if total else []
+    offsets = totals.select(
+        key, "_blk", F.coalesce(F.sum("_sum").over(later), F.lit(0.0)).alias("_offset"), *extra)
     within = Window.partitionBy(key, "_blk").orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0)
     return (
         blocked.withColumn("_run", F.sum(value).over(within))
@@ -41,32 +53,28 @@ def backward_sum(signal: DataFrame, key: str, idx: str, value: str, out: str, bl
     )
 
 
-def peak_tail(signal: DataFrame, key: str) -> DataFrame:
+def peak_tail(signal: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """Samples from the first largest absolute value on, with ``tail_idx`` counted from there.
 
-    ``signal`` has ``key, idx, x``; the peak is found by an aggregate that combines before the shuffle.
+    ``signal`` has ``key, idx, x``.
     """
-    peak = signal.groupBy(key).agg(
-        (-F.max(F.struct(F.abs("x").alias("a"), (-F.col("idx")).alias("i")))["i"]).alias("_peak"))
-    return (
-        signal.join(peak, key).where(F.col("idx") >= F.col("_peak"))
-        .withColumn("tail_idx", F.col("idx") - F.col("_peak")).drop("_peak")
-    )
+    loudest = F.max(F.struct(F.abs("x").alias("a"), (-F.col("idx")).alias("i")))
+    peaked = _with_clip_value(signal, key, "idx", loudest, F.max("_part"), block)
+    at = -F.col("_clip.i")
+    return peaked.where(F.col("idx") >= at).withColumn("tail_idx", F.col("idx") - at).drop("_clip")
 
 
 def decay_times(signal: DataFrame, key: str, sample_rate: int, block: int = BLOCK) -> DataFrame:
     """Decay time per impulse response: columns ``key, tail_samples, decay_seconds, error``.
 
-    Backward energy in dB against its maximum, a line fitted over -5..-25 dB, or -3..-15 dB when that range is too
-    short; 0.03 s when no range will do or the level hardly falls.
+    Backward energy in dB against its maximum (the energy of the whole tail), a line fitted over -5..-25 dB, or
+    -3..-15 dB when that range is too short; 0.03 s when no range will do or the level hardly falls.
     """
-    energy = backward_sum(
-        peak_tail(signal, key).withColumn("_e", F.col("x") * F.col("x")), key, "tail_idx", "_e", "_energy", block)
-    # the backward sum is largest at the peak itself; a plain aggregate is kinder than a window over the clip
-    top = energy.groupBy(key).agg(F.max("_energy").alias("_top"))
+    tail = peak_tail(signal, key, block).withColumn("_e", F.col("x") * F.col("x"))
+    energy = backward_sum(tail, key, "tail_idx", "_e", "_energy", block, "_top")
     db = F.when(F.col("_top") > 0, F.lit(10.0) * F.log10(
         F.greatest("_energy", F.lit(1e-12)) / F.col("_top")))
-    leveled = energy.join(top, key).select(
+    leveled = energy.select(
         key, "_top", (F.col("tail_idx") / F.lit(float(sample_rate))).alias("_t"), db.alias("_db"))
     wide = F.col("_db").between(-25.0, -5.0)
     narrow = F.col("_db").between(-15.0, -3.0)
@@ -122,18 +130,17 @@ def framed_rms(signal: DataFrame, key: str, frame: int = fv.FRAME_LENGTH, hop: i
         signal.groupBy(key, F.floor(F.col("idx") / unit).alias("_blk"))
         .agg(F.sum(F.col("x") * F.col("x")).alias("_e"), F.max("idx").alias("_last"))
     )
-    lengths = blocks.groupBy(key).agg((F.max("_last") + 1).alias("_length"))
     # frame f covers blocks f*per_hop - per_half .. f*per_hop - per_half + per_frame - 1
     first = F.greatest(F.lit(0), F.ceil((F.col("_blk") + per_half - per_frame + 1) / per_hop))
     last = F.floor((F.col("_blk") + per_half) / per_hop)
     sums = (
         blocks.where(last >= first)
-        .select(key, "_e", F.explode(F.sequence(first, last)).alias("frame"))
-        .groupBy(key, "frame").agg(F.sum("_e").alias("_e"))
+        .select(key, "_e", "_last", F.explode(F.sequence(first, last)).alias("frame"))
+        .groupBy(key, "frame").agg(F.sum("_e").alias("_e"), F.max("_last").alias("_last"))
     )
+    # the last frame is centred at most one position behind the clip
     return (
-        sums.join(lengths, key)
-        .where(F.col("frame") <= F.floor(F.col("_length") / hop))
+        sums.where((F.col("frame") == 0) | (F.col("_last") >= F.col("frame") * hop - 1))
         .select(
             key, "frame",
             (F.col("frame") * hop / F.lit(float(sample_rate))).alias("t"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxgauge import fixed_values as fv
 from voxgauge.functions.prosody import clip_window, prominence
 from voxgauge.functions.timing import target_window
-from voxgauge.operators.lookup import salted_range_join
+from voxgauge.operators.lookup import binned_range_join
 from voxgauge.operators.signal import track_statistics
 from voxgauge.session import stage
 
@@ -36,7 +36,7 @@ def window_prominence(windows: DataFrame, frames: DataFrame) -> DataFrame:
     clips = track_statistics(frames, ["path"]).select(
         "path", F.col("mean_rms").alias("clip_rms"), F.col("median_f0").alias("clip_f0"))
     id_cols = ["sample_id", "side", "word_index"]
-    inside = salted_range_join(frames, found.select(*id_cols, "path", "start", "end"), "path", "t", "start", "end",
+    inside = binned_range_join(frames, found.select(*id_cols, "path", "start", "end"), "path", "t", "start", "end",
                                BIN_SECONDS)
     segments = track_statistics(stage(inside, "window-frames"), id_cols).select(
         *id_cols, F.col("mean_rms").alias("segment_rms"), F.col("median_f0").alias("segment_f0"))

@@ -46,7 +46,7 @@ def reconcile(manifest: DataFrame, sample_counts: DataFrame, declared: DataFrame
 
 def missing_paths(declared: DataFrame, present: DataFrame) -> DataFrame:
     """Declared paths that do not exist: all of them."""
-    return declared.join(present.select("path"), "path", "left_anti")
+    return declared.join(present.select("path").distinct(), "path", "left_anti")
 
 
 def first_missing_paths(missing: DataFrame, group: str, k: int = fv.MISSING_PATHS_SHOWN) -> DataFrame:

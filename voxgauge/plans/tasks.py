@@ -37,6 +37,11 @@ def _false_on_failure(flag: Column, error: Column) -> Column:
     return _done(F.when(error.isNull(), F.coalesce(flag, F.lit(False))).otherwise(F.lit(False)))
 
 
+def _keep_texts(df: DataFrame, keep: Column) -> DataFrame:
+    """Null text measurements on rows that never reached them."""
+    return df.withColumns({name: F.when(keep, F.col(name)) for name in tx.PRESERVATION_COLUMNS})
+
+
 def content_verdicts(matched: DataFrame) -> DataFrame:
     """Needs ``anchor`` fields ``edit_type, transcript_target, edit_original, edit_target, insert_after`` as
     columns, ``transcript_predicted`` and ``language``."""
@@ -56,6 +61,11 @@ def content_verdicts(matched: DataFrame) -> DataFrame:
         "edit_success_reason": F.when(error.isNull(), _done(F.col("_edit.reason"))),
         "target_success": success,
         "joint_success": success,
+        # the text is the target here, so nothing is left to preserve
+        "content_preservation_metric": F.lit(None).cast("string"),
+        "content_preservation_error": F.lit(None).cast("double"),
+        "content_preservation_threshold": F.lit(None).cast("double"),
+        "content_preservation_pass": F.lit(None).cast("boolean"),
     }).drop("_edit")
 
 
@@ -63,10 +73,10 @@ def speaker_verdicts(matched: DataFrame) -> DataFrame:
     """Needs ``reference_audio_path, reference_wav, speaker_similarity, transcript, transcript_predicted``."""
     reference, missing = speaker_reference(F.col("reference_audio_path"), F.col("reference_wav"))
     error = _done(F.coalesce(missing, F.when(F.col("transcript_predicted").isNull(), NO_TRANSCRIPT)))
-    # a row without a reference never reaches the transcript, so its text columns stay null too
-    usable = matched.withColumns({"reference": reference, "error": error}).withColumn(
-        "transcript_predicted", F.when(F.col("error").isNull(), F.col("transcript_predicted")))
-    judged = tx.with_preservation(usable, "transcript", "transcript_predicted")
+    texts = tx.with_preservation(matched, "transcript", "transcript_predicted").withColumns({
+        "reference": reference, "error": error})
+    # a row without a reference never reaches the transcript
+    judged = _keep_texts(texts, F.col("error").isNull())
     ok = F.col("has_output") & F.col("error").isNull()
     target = F.when(ok, speaker_target(F.col("speaker_similarity")))
     both = F.when(target.isNotNull() & F.col("content_preservation_pass").isNotNull(),
@@ -77,10 +87,7 @@ def speaker_verdicts(matched: DataFrame) -> DataFrame:
 def _judged(texts: DataFrame, correct: Column, error: Column) -> DataFrame:
     """Shared tail of the judged tasks: plain conjunction, failures are false."""
     right = _false_on_failure(correct, error)
-    cleared = texts.withColumn("error", error)
-    for name in ("content_preservation_metric", "content_preservation_error", "content_preservation_threshold",
-                 "content_preservation_pass", "wer", "cer"):
-        cleared = cleared.withColumn(name, F.when(error.isNull() & F.col("has_output"), F.col(name)))
+    cleared = _keep_texts(texts.withColumn("error", error), error.isNull() & F.col("has_output"))
     return cleared.withColumns({
         "correct": right,
         "target_success": right,
@@ -147,7 +154,8 @@ def prosody_verdicts(matched: DataFrame) -> DataFrame:
     kind = F.col("prosody_type")
     speed = pr.speed_verdict(F.col("input_duration"), F.col("output_duration"), F.col("direction"))
     pitch = pr.pitch_verdict(F.col("input_f0"), F.col("output_f0"), F.col("direction"))
-    scored = matched.withColumns({"_speed": speed, "_pitch": pitch})
+    scored = tx.with_preservation(matched, "transcript", "transcript_predicted").withColumns({
+        "_speed": speed, "_pitch": pitch})
     measure_error = (
         F.when(kind == "speed", F.col("_speed.error"))
         .when(kind == "pitch", F.col("_pitch.error"))
@@ -167,9 +175,8 @@ def prosody_verdicts(matched: DataFrame) -> DataFrame:
         "duration_ratio": F.when(ok & (kind == "speed"), F.col("_speed.duration_ratio")),
         "shift_semitone": F.when(ok & (kind == "pitch"), F.col("_pitch.shift_semitone")),
         "rpg": F.when(ok & (kind == "stress"), F.col("rpg")),
-        "transcript_predicted": F.when(ok, F.col("transcript_predicted")),
     })
-    judged = tx.with_preservation(measured, "transcript", "transcript_predicted")
+    judged = _keep_texts(measured, ok)
     target = F.when(F.col("error").isNull(), F.col("passed"))
     preserved = F.col("content_preservation_pass")
     return judged.withColumns({

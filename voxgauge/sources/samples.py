@@ -82,7 +82,9 @@ def declared_paths(json_text: Column) -> Column:
 
 def declared_assets(lines: DataFrame, group: str, line: str = "line") -> DataFrame:
     """Distinct ``(group, path)`` declared by the samples."""
-    return lines.select(group, F.explode(declared_paths(F.col(line))).alias("path")).distinct()
+    # the outer form keeps the planner from repeating the extraction in an inferred "not empty" filter
+    return lines.select(group, F.explode_outer(declared_paths(F.col(line))).alias("path")).where(
+        F.col("path").isNotNull()).distinct()
 
 
 def allow_patterns(sample_files: DataFrame, assets: DataFrame) -> DataFrame:

@@ -154,7 +154,8 @@ def _word_chunks(spark, sf):
 
 def word_tokens(spark, sf):
     tokens = _word_chunks(spark, sf).select("sample_id", tm.parse_word_chunks(F.col("chunks")).alias("tokens"))
-    return tokens.select("sample_id", F.posexplode("tokens").alias("position", "t")).select(
+    return tokens.select("sample_id", F.posexplode_outer("tokens").alias("position", "t")).where(
+        F.col("position").isNotNull()).select(
         "sample_id", F.col("position").cast("bigint").alias("position"), "t.text", "t.normalized", "t.start", "t.end")
 
 
@@ -166,7 +167,8 @@ def character_tokens(spark, sf):
         F.sequence(F.lit(1), F.when(F.col("n") % 2 == 0, n_words).otherwise(F.lit(40))),
         lambda i: F.array(i * 90.0, i * 90.0 + F.when(i % 6 == 0, 0.0).otherwise(60.0)))
     return turns.select(
-        "sample_id", F.posexplode(tm.parse_spaced_text(F.col("text"), spans)).alias("position", "t")).select(
+        "sample_id", F.posexplode_outer(tm.parse_spaced_text(F.col("text"), spans)).alias("position", "t")).where(
+        F.col("position").isNotNull()).select(
         "sample_id", F.col("position").cast("bigint").alias("position"), "t.text", "t.normalized", "t.start", "t.end")
 
 
@@ -205,7 +207,7 @@ def _targets(spark, sf):
 
 def _frames(tokens):
     """Four frames per word; energy and pitch depend on the word, some frames are unvoiced."""
-    word = tokens.select("path", "side", F.explode("tokens").alias("k"))
+    word = tokens.select("path", "side", F.explode_outer("tokens").alias("k")).where(F.col("k").isNotNull())
     size = F.length(F.col("k.text"))
     return word.select(
         "path", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"), F.col("k.start").alias("s"), size.alias("size"),

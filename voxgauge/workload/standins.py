@@ -67,14 +67,14 @@ FROM ({TURNS}) t
 """
 
 # every turn after the first is the output of the sample before it, listed under one to three file names
+_OUTPUT_OF = "concat(CAST(conv_id AS STRING), '-', CAST(turn - 1 AS STRING))"
 CANDIDATES = f"""
-SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn - 1 AS STRING)) AS sample_id,
-       dir_rank, ext_rank, concat(folder, CAST(conv_id AS STRING), '-', CAST(turn - 1 AS STRING), '.', ext) AS path
-FROM ({TURNS}) t CROSS JOIN (
-  SELECT 'out/' AS folder, 'wav' AS ext, 0 AS dir_rank, 0 AS ext_rank, 3 AS every
-  UNION ALL SELECT 'out/', 'mp3', 0, 2, 2
-  UNION ALL SELECT 'out/audio/', 'flac', 1, 1, 1) f
-WHERE turn >= 1 AND n % every = 0
+SELECT {_OUTPUT_OF} AS sample_id, 0 AS dir_rank, 0 AS ext_rank, concat('out/', {_OUTPUT_OF}, '.wav') AS path
+FROM ({TURNS}) t WHERE turn >= 1 AND n % 3 = 0
+UNION ALL
+SELECT {_OUTPUT_OF}, 0, 2, concat('out/', {_OUTPUT_OF}, '.mp3') FROM ({TURNS}) t WHERE turn >= 1 AND n % 2 = 0
+UNION ALL
+SELECT {_OUTPUT_OF}, 1, 1, concat('out/audio/', {_OUTPUT_OF}, '.flac') FROM ({TURNS}) t WHERE turn >= 1
 """
 
 # scores of each output: the sample's own turn is s, the turn that plays the output is o

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from voxgauge import fixed_values as fv
 from voxgauge.functions import text as tx
-from voxgauge.operators.match import match_outputs
+from voxgauge.operators.match import expected_transcript, match_outputs, materialise_components
 from voxgauge.operators.rollup import mean, rate, summarise
+from voxgauge.plans import all_tasks
 from voxgauge.plans import compositional as comp
 from voxgauge.plans import stats, tasks
 from voxgauge.session import stage
@@ -94,11 +95,72 @@ def component_rows(spark, sf):
     return _component_verdicts(stage(matched_samples(spark, sf), "matched"))
 
 
-def scored_compositional(spark, sf):
-    matched = stage(matched_samples(spark, sf), "matched")  # feeds one branch per component type
-    checked = tx.with_preservation(matched, "transcript", "transcript_predicted").withColumn(
+def _measured(spark, sf):
+    """Matched samples with their text errors, measured once for all the branches that follow."""
+    return stage(tx.with_preservation(matched_samples(spark, sf), "transcript", "transcript_predicted"), "measured")
+
+
+def _compositional(measured: DataFrame) -> DataFrame:
+    checked = measured.withColumn(
         "preservation_error", F.when(F.col("transcript_predicted").isNull(), tasks.NO_TRANSCRIPT))
-    return comp.compositional_verdicts(checked, _component_verdicts(matched))
+    return comp.compositional_verdicts(checked, _component_verdicts(measured))
+
+
+def scored_compositional(spark, sf):
+    return _compositional(_measured(spark, sf))
+
+
+def all_scored(spark, sf):
+    """Scored tables of the eight tasks over one staged measurement."""
+    matched = _measured(spark, sf)
+
+    def judged(name):
+        return matched.withColumnRenamed(f"{name}_judge", "judge_text")
+
+    composed = _compositional(matched)
+    return {
+        "acoustic_editing": tasks.acoustic_verdicts(_with_scenes(matched)),
+        "content_editing": tasks.content_verdicts(matched),
+        "compositional_editing": composed.withColumn("content_preservation_pass", F.col("preservation_success")),
+        "emotion_editing": tasks.emotion_verdicts(judged("emotion")),
+        "paralinguistic_editing": tasks.paralinguistic_verdicts(judged("event")),
+        "prosody_editing": tasks.prosody_verdicts(matched),
+        "speaker_editing": tasks.speaker_verdicts(matched),
+        "style_editing": tasks.style_verdicts(judged("style")),
+    }
+
+
+def all_tasks_summary(spark, sf):
+    return all_tasks.all_tasks_summary(all_tasks.common_verdicts(all_scored(spark, sf)))
+
+
+def component_samples(spark, sf):
+    """Samples with up to three components turned into atomic samples, and the transcript each should end up with."""
+    s = spark_table(spark, sf, SAMPLES)
+    n = F.col("n")
+
+    def component(kind, anchor, dataset, taxonomy):
+        none = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(kind).alias("component_type"), F.lit(f"{kind}_editing").alias("edit_type"),
+            F.struct(*[anchor.get(k, none).alias(k) for k in ("transcript_target", "emotion_taxonomy")]).alias("anchor"),
+            none.alias("reference_audio_path"), dataset.alias("source_dataset"), taxonomy.alias("emotion_taxonomy"))
+
+    null = F.lit(None).cast("string")
+    built = s.withColumns({
+        "instruction": F.col("transcript"), "benchmark_version": F.lit("v1.1"), "duration_tag": null,
+        "components": F.array_compact(F.array(
+            F.when(n % 3 == 0, component("speaker", {}, F.lit("own"), null)),
+            F.when(n % 2 == 0, component(
+                "content", {"transcript_target": F.when(n % 4 == 0, F.lit("")).otherwise(F.col("transcript_target"))},
+                null, null)),
+            F.when(n % 5 < 2, component(
+                "emotion", {"emotion_taxonomy": F.lit("iemocap_en")}, null, F.when(n % 5 == 0, F.lit("csemotions_zh")))))),
+    }).withColumn("expected", expected_transcript(F.col("components"), F.col("transcript")))
+    expected = built.select(F.col("sample_id").alias("parent_id"), F.md5("expected").alias("expected_md5"))
+    return materialise_components(built).join(expected, "parent_id").select(
+        "sample_id", "parent_id", F.col("component_index").cast("bigint").alias("component_index"), "component_type", "task",
+        "language", "source_dataset", "subset", "emotion_taxonomy", "expected_md5")
 
 
 # --- details: whole verdict tables --------------------------------------------------------------------------
@@ -446,6 +508,8 @@ QUERIES = {
     "acoustic_summary": lambda s, d: stats.acoustic_summary(scored_acoustic(s, d)),
     "compositional_details": compositional_details,
     "compositional_summary": lambda s, d: stats.compositional_summary(scored_compositional(s, d)),
+    "all_tasks_summary": all_tasks_summary,
+    "component_samples": component_samples,
     "component_errors": lambda s, d: comp.component_errors(component_rows(s, d)).select(
         F.col("parent_id").alias("sample_id"), "component_type", "error"),
 }
@@ -527,6 +591,31 @@ ORACLES = {
         "preservation_success_rate": dt.rate("preservation_success"),
         "avg_sample_component_success_rate": dt.mean("component_success_rate"), "avg_utmos": dt.mean("utmos"),
         "avg_source_output_speaker_similarity": dt.mean("source_output_speaker_similarity")})),
+    "all_tasks_summary": _with(
+        f"""{COMPOSITIONAL_SQL}, {STYLE_SQL}, {EVENT_SQL}, {ACOUSTIC_SQL},
+every_task AS ({" UNION ALL ".join(
+    f"SELECT '{name}_editing' AS task, language, source_dataset, has_output, {target} AS target_success, {kept} AS cp_pass,"
+    f" joint_success, utmos, error FROM {name}"
+    for name, target, kept in (
+        ("acoustic", "target_success", "cp_pass"), ("content", "target_success", "NULL::BOOLEAN"),
+        ("compositional", "NULL::BOOLEAN", "preservation_success"), ("emotion", "target_success", "cp_pass"),
+        ("paralinguistic", "target_success", "cp_pass"), ("prosody", "target_success", "cp_pass"),
+        ("speaker", "target_success", "cp_pass"), ("style", "target_success", "cp_pass")))})""",
+        dt.summary("every_task", {
+            "task": "task", **_dims(["language", "dataset"]),
+            "task_language": "CASE WHEN has_output THEN task || '::' || language END"}, {
+            **dt.COVERAGE, **_RATES, "avg_utmos": dt.mean("CASE WHEN has_output THEN utmos END")})),
+    "component_samples": f"""WITH s AS ({dt.duck(SAMPLES)}),
+p AS (SELECT sample_id AS parent_id, n, 0 AS rank, 'speaker' AS kind, language, 'own' AS source_dataset, subset, NULL AS tax
+      FROM s WHERE n % 3 = 0
+  UNION ALL SELECT sample_id, n, 1, 'content', language, coalesce(source_dataset, 'unknown'), subset, NULL FROM s WHERE n % 2 = 0
+  UNION ALL SELECT sample_id, n, 2, 'emotion', language, coalesce(source_dataset, 'unknown'), subset,
+      CASE WHEN n % 5 = 0 THEN 'csemotions_zh' ELSE 'iemocap_en' END FROM s WHERE n % 5 < 2)
+SELECT parent_id || '::' || kind AS sample_id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY rank) - 1
+    AS component_index, kind AS component_type, kind || '_editing' AS task, p.language, p.source_dataset,
+    coalesce(p.subset, 'compositional') AS subset, tax AS emotion_taxonomy,
+    md5(CASE WHEN s.n % 2 = 0 AND s.n % 4 <> 0 THEN transcript_target ELSE transcript END) AS expected_md5
+FROM p JOIN s ON s.sample_id = p.parent_id""",
     "component_errors": _with(COMPOSITIONAL_SQL,
                               "SELECT sample_id, kind AS component_type, error FROM parts WHERE error IS NOT NULL"),
 }
