@@ -26,6 +26,16 @@ def load_samples(spark: SparkSession, path: str, schema: str = schemas.SAMPLES)
     return spark.read.schema(schema).json(path)
 
 
+def flatten_anchor(samples: DataFrame) -> DataFrame:
+    """Anchor fields as columns of their own, named as the verdict plans expect them.
+
+    The two fields that samples have as well keep both: ``anchor_transcript`` and ``anchor_taxonomy``.
+    """
+    renamed = {"transcript": "anchor_transcript", "emotion_taxonomy": "anchor_taxonomy"}
+    fields = samples.schema["anchor"].dataType.fieldNames()
+    return samples.withColumns({renamed.get(f, f): F.col(f"anchor.{f}") for f in fields})
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with the file they come from."""
     return spark.read.text(path).select(
