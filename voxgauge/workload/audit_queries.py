@@ -95,7 +95,8 @@ FROM {pages}
 """
 
 PRESENT = """
-SELECT DISTINCT concat('data/', CAST(page_id % 60 AS STRING), '.wav') AS path FROM {pages} WHERE page_id % 60 < 45
+SELECT DISTINCT concat(CASE WHEN page_id % 60 < 45 THEN 'data/' ELSE 'elsewhere/' END, CAST(page_id % 60 AS STRING), '.wav')
+  AS path FROM {pages}
 UNION SELECT DISTINCT concat('data/ref/', CAST(length(html) % 9 AS STRING), '.FLAC') FROM {pages}
 """
 MANIFEST = """

@@ -151,8 +151,8 @@ SELECT page_id, CASE WHEN page_id % 11 = 0 THEN concat('/abs/', CAST(page_id AS
   length(html) AS n FROM {pages}
 """
 EXISTING = """
-SELECT concat('repo/samples/audio/', CAST(page_id AS STRING), '.wav') AS path FROM {pages} WHERE length(html) % 3 = 0
-UNION ALL SELECT concat('repo/audio/', CAST(page_id AS STRING), '.wav') FROM {pages} WHERE length(html) % 2 = 0
+SELECT concat('repo/samples/audio/', CAST(page_id AS STRING), '.wav') AS path FROM {pages} WHERE url LIKE 'https:%'
+UNION ALL SELECT concat('repo/audio/', CAST(page_id AS STRING), '.wav') FROM {pages} WHERE length(html) > 2500
 """
 
 

@@ -70,9 +70,9 @@ FROM ({TURNS}) t
 _OUTPUT_OF = "concat(CAST(conv_id AS STRING), '-', CAST(turn - 1 AS STRING))"
 CANDIDATES = f"""
 SELECT {_OUTPUT_OF} AS sample_id, 0 AS dir_rank, 0 AS ext_rank, concat('out/', {_OUTPUT_OF}, '.wav') AS path
-FROM ({TURNS}) t WHERE turn >= 1 AND n % 3 = 0
+FROM ({TURNS}) t WHERE turn >= 1 AND role = 'assistant'
 UNION ALL
-SELECT {_OUTPUT_OF}, 0, 2, concat('out/', {_OUTPUT_OF}, '.mp3') FROM ({TURNS}) t WHERE turn >= 1 AND n % 2 = 0
+SELECT {_OUTPUT_OF}, 0, 2, concat('out/', {_OUTPUT_OF}, '.mp3') FROM ({TURNS}) t WHERE turn >= 1 AND n > 300
 UNION ALL
 SELECT {_OUTPUT_OF}, 1, 1, concat('out/audio/', {_OUTPUT_OF}, '.flac') FROM ({TURNS}) t WHERE turn >= 1
 """
