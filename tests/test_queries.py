@@ -8,9 +8,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from voxgauge.session import TABLES
+from voxgauge.workload import all_checks, all_queries
 
 SF = "/root/testdata/sf0.001"
-CHECKS = oracle_sql()
+CHECKS = all_checks()
 
 
 @pytest.fixture(scope="module")
@@ -33,9 +34,9 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = all_queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     assert got
@@ -52,4 +53,9 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_check():
-    assert set(CHECKS) == set(queries())
+    assert set(CHECKS) == set(all_queries())
+
+
+def test_the_driver_sees_every_query():
+    assert set(all_queries()) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
