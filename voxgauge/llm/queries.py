@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxgauge.llm import exact_dedup, near_dedup, secret_scan
+import public_tokenizers
+
+from voxgauge.llm import bpe_stream, exact_dedup, media, near_dedup, packing, secret_scan, sharding, token_files
 from voxgauge.llm.shared import documents
+from voxgauge.session import scratch_folder
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+SHARDS = 40
+END_OF_PIECES, END_OF_DOCUMENT = 0, 2
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +31,47 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per shard differ by at most one: the bounded loads are the even share."""
+    placed = sharding.assign_shards(documents(spark, sf_dir), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "home")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, END_OF_PIECES)
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_stream.encode_texts(documents(spark, sf_dir), WORD_BPE)
+    decimals = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(decimals.cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "token-files")
+    token_files.write_token_files(documents(spark, sf_dir), folder, BYTE_BPE, END_OF_DOCUMENT)
+    return token_files.read_token_files(spark, folder).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_simhash_near_dedup, op9_exact_dedup)}
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_round_trip(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        "media_type", "declared", "corrected", F.size("embedded").alias("n_embedded"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op3_simhash_near_dedup, op5_sharding, op6_best_fit_packing, op7_bpe_round_trip, op8_token_files,
+    op9_exact_dedup, op10_media_columns)}
 
 #: DuckDB's lower() also changes letters beyond A-Z; translate changes A-Z alone.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
