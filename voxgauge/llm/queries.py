@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from voxgauge.llm import bpe_stream, exact_dedup, media, near_dedup, packing, secret_scan, sharding, token_files
-from voxgauge.llm.shared import documents
+from voxgauge.llm import (
+    bpe_stream, exact_dedup, language_id, lm_score, media, near_dedup, packing, secret_scan, sharding, token_files,
+)
+from voxgauge.llm.shared import documents, id_remainder
 from voxgauge.session import scratch_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,10 +29,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.span_list(F.col("spans")).alias("spans"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
+    return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per shard differ by at most one: the bounded loads are the even share."""
     placed = sharding.assign_shards(documents(spark, sf_dir), SHARDS)
@@ -70,7 +82,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op3_simhash_near_dedup, op5_sharding, op6_best_fit_packing, op7_bpe_round_trip, op8_token_files,
+    op1_secret_scan, op2_language_id, op3_simhash_near_dedup, op4_lm_score, op5_sharding, op6_best_fit_packing, op7_bpe_round_trip, op8_token_files,
     op9_exact_dedup, op10_media_columns)}
 
 #: DuckDB's lower() also changes letters beyond A-Z; translate changes A-Z alone.
