@@ -161,21 +161,22 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit(marks, [r["lang"] for r in rows], landmarks)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` (a learned language, or ``und``) and ``score`` (0 to 1); every row and column stays.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred",
+             score: str = "score") -> DataFrame:
+    """Add ``pred`` (a learned language, or ``und``) and ``score`` (0 to 1); every row and column stays.
 
     Null texts and texts without a letter are ``und`` with score 0. Only the text decides, so repeated texts agree. Columns
-    named ``lang_pred`` or ``score`` are replaced.
+    of the two names are replaced.
     """
     small_batches(docs.sparkSession)
-    shared, kept = docs.sparkSession.sparkContext.broadcast(model), docs.drop("lang_pred", "score")
+    shared, kept = docs.sparkSession.sparkContext.broadcast(model), docs.drop(pred, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = shared.value.predict(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"])
+                [*batch.schema.names, pred, score])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{schema}, `{pred}` string, `{score}` double")
