@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxgauge import fixed_values as fv
+from voxgauge.functions.numeric import known_false
 
 
 def enhancement_verdict(ovrl_gain: Column, bak_gain: Column) -> Column:
-    """Both gains above zero; null when either is missing."""
+    """Both gains above zero; null when either is missing, false when either is NaN."""
     return F.when(
         ovrl_gain.isNotNull() & bak_gain.isNotNull(),
-        (ovrl_gain > fv.PERCEPTUAL_OVRL_GAIN) & (bak_gain > fv.PERCEPTUAL_BAK_GAIN))
+        known_false(ovrl_gain, ovrl_gain > fv.PERCEPTUAL_OVRL_GAIN)
+        & known_false(bak_gain, bak_gain > fv.PERCEPTUAL_BAK_GAIN))
 
 
 def decay_bounds(target_range: Column) -> tuple[Column, Column]:
@@ -24,9 +26,11 @@ def decay_bounds(target_range: Column) -> tuple[Column, Column]:
 
 
 def reverb_verdict(measured: Column, target_range: Column) -> Column:
-    """Measured decay inside the tolerated range, compared before rounding."""
+    """Measured decay inside the tolerated range, compared before rounding; NaN on any side fails."""
     low, high = decay_bounds(target_range)
-    return F.when(measured.isNotNull() & low.isNotNull() & high.isNotNull(), measured.between(low, high))
+    return F.when(
+        measured.isNotNull() & low.isNotNull() & high.isNotNull(),
+        known_false(measured + low + high, measured.between(low, high)))
 
 
 def decay_time(count_wide: Column, slope_wide: Column, count_narrow: Column, slope_narrow: Column,
@@ -49,11 +53,11 @@ def scene_group_scores(scores: Column) -> dict[str, Column]:
 
 
 def scene_verdict(predicted: Column, target: Column, score: Column, source_score: Column) -> Column:
-    """Right scene, loud enough, and clearly louder than in the source."""
-    hit = F.coalesce(predicted == target, F.lit(False))
+    """Right scene, loud enough, and clearly louder than in the source; NaN on either side fails."""
+    hit, gain = F.coalesce(predicted == target, F.lit(False)), score - source_score
     return F.when(
         predicted.isNotNull(),
-        hit & (score >= fv.SCENE_SCORE_MIN) & ((score - source_score) >= fv.SCENE_GAIN_MIN))
+        hit & known_false(score, score >= fv.SCENE_SCORE_MIN) & known_false(gain, gain >= fv.SCENE_GAIN_MIN))
 
 
 def top_scene_labels(scores: Column, k: int = fv.TOP_SCENE_LABELS) -> Column:

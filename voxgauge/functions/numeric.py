@@ -17,11 +17,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def is_finite(value: Column) -> Column:
+    """Neither NaN nor infinite; null stays null."""
+    value = value.cast("double")
+    return ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+
+
+def known_false(value: Column, condition: Column) -> Column:
+    """A comparison with NaN is false (Spark orders NaN above every number); null stays null."""
+    return F.when(F.isnan(value.cast("double")), F.lit(False)).otherwise(condition)
+
+
 def round4(value: Column) -> Column:
     """Round to four places; NaN and infinities become null."""
     value = value.cast("double")
-    finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    return F.when(finite, F.round(value, 4))
+    return F.when(is_finite(value), F.round(value, 4))
 
 
 def clamp_half_even(value: Column, top: int) -> Column:

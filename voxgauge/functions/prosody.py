@@ -6,26 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxgauge import fixed_values as fv
-from voxgauge.functions.numeric import round4
+from voxgauge.functions.numeric import known_false, round4
 
 
 def speed_verdict(input_seconds: Column, output_seconds: Column, direction: Column) -> Column:
-    """Struct ``(passed, direction_correct, duration_ratio, change_ratio, error)``; compared before rounding."""
+    """Struct ``(passed, direction_correct, duration_ratio, change_ratio, error)``; compared before rounding, NaN fails."""
     ratio = F.when(input_seconds > 0, output_seconds / input_seconds)
     way = F.lower(direction)
     faster, slower = way == "faster", way == "slower"
-    passed = F.when(faster, ratio <= 1.0 - fv.SPEED_CHANGE_MIN).when(slower, ratio >= 1.0 + fv.SPEED_CHANGE_MIN)
-    correct = F.when(faster, ratio < 1.0).when(slower, ratio > 1.0)
+    passed = F.when(faster, known_false(ratio, ratio <= 1.0 - fv.SPEED_CHANGE_MIN)).when(
+        slower, known_false(ratio, ratio >= 1.0 + fv.SPEED_CHANGE_MIN))
+    correct = F.when(faster, known_false(ratio, ratio < 1.0)).when(slower, known_false(ratio, ratio > 1.0))
     error = F.when(ratio.isNull(), "input duration is zero").when(
-        passed.isNull(), F.concat(F.lit("unsupported speed direction: "), F.coalesce(direction, F.lit("None"))))
+        ~F.coalesce(faster | slower, F.lit(False)), F.concat(F.lit("unsupported speed direction: "), F.coalesce(direction, F.lit("None"))))
     return F.struct(
         passed.alias("passed"), correct.alias("direction_correct"),
         round4(ratio).alias("duration_ratio"), round4(ratio - 1.0).alias("change_ratio"), error.alias("error"))
 
 
 def pitch_verdict(input_f0: Column, output_f0: Column, direction: Column) -> Column:
-    """Struct ``(passed, direction_correct, shift_semitone, error)``; both medians must exist."""
-    shift = F.when((input_f0 > 0) & (output_f0 > 0), F.lit(12.0) * F.log2(output_f0 / input_f0))
+    """Struct ``(passed, direction_correct, shift_semitone, error)``; both medians must exist, NaN is none."""
+    voiced = known_false(input_f0, input_f0 > 0) & known_false(output_f0, output_f0 > 0)
+    shift = F.when(voiced, F.lit(12.0) * F.log2(output_f0 / input_f0))
     way = F.lower(direction)
     higher, lower = way == "higher", way == "lower"
     step = fv.PITCH_SHIFT_MIN_SEMITONES

@@ -15,6 +15,12 @@ def seconds(value: Column) -> Column:
     return F.when(value > 100.0, value / 1000.0).otherwise(value)
 
 
+def _span(timestamp: Column) -> tuple[Column, Column]:
+    """Begin and end in seconds; a timestamp with other than two values has neither."""
+    pair = F.size(timestamp) == 2
+    return tuple(F.when(pair, seconds(F.get(timestamp, i))) for i in (0, 1))
+
+
 def _token(text: Column, normalized: Column, start: Column, end: Column) -> Column:
     return F.struct(
         text.alias("text"), normalized.alias("normalized"),
@@ -32,9 +38,7 @@ def _drop_unusable(tokens: Column, extra=lambda t: F.lit(True)) -> Column:
 
 def parse_word_chunks(chunks: Column) -> Column:
     """Tokens from ``array<struct<text, timestamp: array<double>>>`` word chunks (English)."""
-    tokens = F.transform(chunks, lambda c: _token(
-        strip(c["text"]), clean_token_en(c["text"]),
-        seconds(F.get(c["timestamp"], 0)), seconds(F.get(c["timestamp"], 1))))
+    tokens = F.transform(chunks, lambda c: _token(strip(c["text"]), clean_token_en(c["text"]), *_span(c["timestamp"])))
     return _drop_unusable(tokens, lambda t: F.coalesce(t["normalized"], F.lit("")) != "")
 
 
@@ -44,15 +48,15 @@ def parse_spaced_text(text: Column, timestamps: Column) -> Column:
     Pieces are the blank-separated words when their number equals the number of spans, else single characters;
     the shorter side decides the length.
     """
-    spaced = F.filter(F.split(F.trim(text), r"\s+"), lambda p: p != "")
-    characters = F.filter(F.split(F.regexp_replace(text, r"\s+", ""), ""), lambda p: p != "")
+    spaced = F.filter(F.split(text, r"(?U)\s+"), lambda p: p != "")
+    characters = F.filter(F.split(F.regexp_replace(text, r"(?U)\s+", ""), ""), lambda p: p != "")
     pieces = F.when(F.size(spaced) == F.size(timestamps), spaced).otherwise(characters)
 
     def pair(both: Column) -> Column:
         shortest = F.least(F.size(both["p"]), F.size(both["t"]))
         zipped = F.slice(F.arrays_zip(both["p"].alias("p"), both["t"].alias("t")), F.lit(1), shortest)
         return F.transform(zipped, lambda z: _token(
-            z["p"], stress_text_zh(z["p"]), seconds(F.get(z["t"], 0)), seconds(F.get(z["t"], 1))))
+            z["p"], stress_text_zh(z["p"]), *_span(z["t"])))
 
     return _drop_unusable(let(F.struct(pieces.alias("p"), timestamps.alias("t")), pair))
 

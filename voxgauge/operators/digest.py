@@ -41,18 +41,15 @@ def validation_errors(total: Column, evaluated: Column, missing: Column, errors:
 def run_status(task_runs: DataFrame) -> DataFrame:
     """One row per run from ``run_id, task, status, dataset_version, validation_count`` rows (one per task).
 
-    A run fails when a task has a fatal status or any validation error. The maps have one entry per known task.
+    A run fails when a task has a fatal status or any validation error. The maps have one entry per task that ran, in the
+    registry or not; the rows of a run are its tasks, so its lists stay short.
     """
     fatal = F.col("status").isin(*fv.FATAL_STATUSES)
     invalid = F.coalesce(F.col("validation_count"), F.lit(0)) > 0
 
     def task_map(value: Column, keep: Column) -> Column:
-        # one algebraic aggregate per registered task: bounded by the registry, combined before the shuffle
-        entries = F.array(*[
-            F.max(F.when((F.col("task") == t) & keep, F.struct(F.lit(t).alias("key"), value.alias("value"))))
-            for t in sorted(fv.TASKS)
-        ])
-        return F.map_from_entries(F.array_compact(entries))
+        entries = F.collect_list(F.when(keep, F.struct(F.col("task").alias("key"), value.alias("value"))))
+        return F.map_from_entries(F.array_sort(entries))
 
     return task_runs.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("tasks"),

@@ -8,7 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCALE = 10_000  # row measures carry four decimals and are summed as whole ten-thousandths: exact in any order
+from voxgauge.functions.numeric import is_finite
+
+SCALE = 10_000  # results carry four decimals
+EXACT = "decimal(38,12)"  # row measures are summed as decimals: the same sum in any order
 
 
 @dataclass(frozen=True)
@@ -37,12 +40,13 @@ def rate(flag: Column, among: Column | None = None) -> Measure:
 
 
 def mean(value: Column, among: Column | None = None, empty: float | None = None) -> Measure:
-    """Mean of non-null values, four decimals; ``empty`` (null by default) when there is none."""
-    keep = value.isNotNull() if among is None else (value.isNotNull() & among)
-    total = F.coalesce(F.when(keep, F.round(value * SCALE).cast("bigint")), F.lit(0).cast("bigint"))
+    """Mean of finite values, rounded to four decimals at the end; ``empty`` (null by default) when there is none."""
+    keep = F.coalesce(is_finite(value), F.lit(False))
+    keep = keep if among is None else keep & among
+    total = F.coalesce(F.when(keep, value.cast(EXACT)), F.lit(0).cast(EXACT))
     return Measure(
         {"sum": total, "n": _one(keep)},
-        lambda p: F.coalesce(_four_places(p["sum"], p["n"]), F.lit(empty)))
+        lambda p: F.coalesce(F.round(p["sum"].cast("double") / F.nullif(p["n"], F.lit(0)), 4), F.lit(empty)))
 
 
 def count_if(condition: Column) -> Measure:

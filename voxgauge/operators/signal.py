@@ -164,6 +164,17 @@ def track_statistics(frames: DataFrame, groups: Sequence[str], rms: str = "rms",
     return plain.join(median, list(groups), "left")
 
 
+def clip_statistics(frames: DataFrame, groups: Sequence[str], rms: str = "rms", f0: str = "f0") -> DataFrame:
+    """``track_statistics`` of groups that a clip bounds (a clip has some 60 frames a second): one aggregation.
+
+    The built-in median holds a group's different values, so it is for clips and windows of clips, not for data sets.
+    """
+    energy, pitch = _voiced(F.col(rms)), _voiced(F.col(f0))
+    return frames.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("frames"), F.avg(energy).alias("mean_rms"), F.median(pitch).alias("median_f0"),
+        (F.count(pitch) / F.count(F.lit(1))).alias("voiced_ratio"))
+
+
 def segment_plan(clips: DataFrame, samples: str, sample_rate: int = fv.SAMPLE_RATE) -> DataFrame:
     """One row per scored window of a clip: ``…, segment, start, end`` in samples.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxgauge import fixed_values as fv
-from voxgauge.functions.numeric import cosine, norm
+from voxgauge.functions.numeric import cosine, known_false, norm
 from voxgauge.operators.lookup import spread_lookup
 
 
@@ -34,10 +34,10 @@ def pair_similarity(pairs: DataFrame, embeddings: DataFrame, sample: str, left:
 
 
 def speaker_target(similarity):
-    """Target verdict on the rounded similarity; null stays null."""
-    return similarity >= fv.SPEAKER_TARGET_MIN
+    """Target verdict on the rounded similarity; null stays null, NaN fails."""
+    return known_false(similarity, similarity >= fv.SPEAKER_TARGET_MIN)
 
 
 def speaker_preserved(similarity):
-    """Source-speaker preservation verdict on the rounded similarity."""
-    return similarity >= fv.SPEAKER_PRESERVATION_MIN
+    """Source-speaker preservation verdict on the rounded similarity; null stays null, NaN fails."""
+    return known_false(similarity, similarity >= fv.SPEAKER_PRESERVATION_MIN)

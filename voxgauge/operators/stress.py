@@ -9,8 +9,7 @@ from voxgauge import fixed_values as fv
 from voxgauge.functions.prosody import clip_window, prominence
 from voxgauge.functions.timing import target_window
 from voxgauge.operators.lookup import binned_range_join
-from voxgauge.operators.signal import track_statistics
-from voxgauge.session import stage
+from voxgauge.operators.signal import clip_statistics
 
 BIN_SECONDS = 4.0
 
@@ -18,10 +17,11 @@ BIN_SECONDS = 4.0
 def word_windows(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     """Window of each target word on each side, null when it is not spoken.
 
-    ``tokens``: ``sample_id, side, path, duration, tokens``; ``targets``: ``sample_id, language, word_index, word``.
+    ``tokens``: ``sample_id, side, path, duration, tokens``; ``targets``: ``sample_id, language, word_index, word``. A target
+    whose sample has no tokens at all stays with a null side.
     """
-    window = target_window(F.col("tokens"), F.col("word"), F.col("language"))
-    return tokens.join(targets, "sample_id").withColumn("_w", window).select(
+    window = F.when(F.col("tokens").isNotNull(), target_window(F.col("tokens"), F.col("word"), F.col("language")))
+    return targets.join(tokens, "sample_id", "left").withColumn("_w", window).select(
         "sample_id", "side", "path", "duration", "language", "word_index", "word",
         F.col("_w.start").alias("start"), F.col("_w.end").alias("end"),
         F.col("_w.matched_text").alias("matched_text"),
@@ -33,12 +33,12 @@ def window_prominence(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """Prominence of every found window; ``frames`` has ``path, t, rms, f0``."""
     first, last = clip_window(F.col("start"), F.col("end"), F.col("duration"))
     found = windows.where("found").withColumns({"start": first, "end": last})
-    clips = track_statistics(frames, ["path"]).select(
+    clips = clip_statistics(frames, ["path"]).select(
         "path", F.col("mean_rms").alias("clip_rms"), F.col("median_f0").alias("clip_f0"))
     id_cols = ["sample_id", "side", "word_index"]
     inside = binned_range_join(frames, found.select(*id_cols, "path", "start", "end"), "path", "t", "start", "end",
                                BIN_SECONDS)
-    segments = track_statistics(stage(inside, "window-frames"), id_cols).select(
+    segments = clip_statistics(inside, id_cols).select(
         *id_cols, F.col("mean_rms").alias("segment_rms"), F.col("median_f0").alias("segment_f0"))
     scored = found.join(segments, id_cols, "left").join(clips, "path", "left").withColumn("_p", prominence(
         F.col("segment_rms"), F.col("clip_rms"), F.col("segment_f0"), F.col("clip_f0"),
@@ -50,7 +50,7 @@ def window_prominence(windows: DataFrame, frames: DataFrame) -> DataFrame:
 
 def word_verdicts(windows: DataFrame, scores: DataFrame) -> DataFrame:
     """One row per target word: found on both sides, prominence change, passed."""
-    joined = windows.join(scores, ["sample_id", "side", "word_index"], "left")
+    joined = windows.join(scores, ["sample_id", "side", "word_index"], "left")  # a null side has no score
     source, output = F.col("side") == "source", F.col("side") == "output"
     per_word = joined.groupBy("sample_id", "word_index").agg(
         F.max("word").alias("word"),
@@ -71,8 +71,8 @@ def word_verdicts(windows: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def stress_verdicts(tokens: DataFrame, targets: DataFrame, frames: DataFrame) -> DataFrame:
-    """Word verdicts from tokens, target words and frames. The window search runs once."""
-    windows = stage(word_windows(tokens, targets), "stress-windows")
+    """Word verdicts from tokens, target words and frames; every target has its row, spoken or not."""
+    windows = word_windows(tokens, targets)
     return word_verdicts(windows, window_prominence(windows, frames))
 
 

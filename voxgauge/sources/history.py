@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from voxgauge import schemas
 
@@ -18,14 +19,17 @@ def stamp(results: DataFrame, **metadata: str | None) -> DataFrame:
 
 
 def append_run(results: DataFrame, path: str) -> None:
-    """Append one run; earlier runs stay."""
-    results.write.mode("append").partitionBy(*RUN_KEYS, "run_id").parquet(path)
+    """Append one run; earlier runs stay. Rows of a partition meet first, so that it gets few files."""
+    keys = [*RUN_KEYS, "run_id"]
+    results.repartition(*keys).write.mode("append").partitionBy(*keys).parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """All runs; run ids look like numbers but are text."""
-    return spark.read.option("inferSchema", "false").parquet(path).withColumn(
-        "run_id", F.col("run_id").cast("string"))
+    """All runs. Models, eval sets and run ids may look like numbers but are text: their types are given, not inferred."""
+    columns = spark.read.parquet(path).schema
+    keys = {*RUN_KEYS, "run_id"}
+    typed = StructType([StructField(c.name, StringType() if c.name in keys else c.dataType) for c in columns])
+    return spark.read.schema(typed).parquet(path)
 
 
 def latest_runs(runs: DataFrame, keys: Sequence[str] = RUN_KEYS, run: str = "run_id") -> DataFrame:

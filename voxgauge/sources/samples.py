@@ -22,8 +22,8 @@ def _show_escapes(text: Column) -> Column:
 
 
 def load_samples(spark: SparkSession, path: str, schema: str = schemas.SAMPLES) -> DataFrame:
-    """Samples of one or many JSON-Lines files; blank lines are skipped, absent fields are null."""
-    return spark.read.schema(schema).json(path)
+    """Samples of one or many JSON-Lines files; blank and bad lines give no sample, absent fields are null."""
+    return valid_rows(read_lines(spark, path), schema)
 
 
 def flatten_anchor(samples: DataFrame) -> DataFrame:

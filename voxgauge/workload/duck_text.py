@@ -97,9 +97,10 @@ def share(flag: str, of: str = "TRUE") -> str:
 
 
 def mean(value: str, among: str = "TRUE", empty: str = "NULL") -> str:
-    exact = four_places(f"(sum(round(({value}) * 1e4)::BIGINT) FILTER (WHERE {among}))",
-                        f"(count({value}) FILTER (WHERE {among}))")
-    return f"coalesce({exact}, {empty})"
+    """Mean of finite values; rounded only at the end."""
+    kept = f"({among}) AND isfinite(({value})::DOUBLE)"
+    total = f"(sum(TRY_CAST(({value}) AS DECIMAL(38, 12))) FILTER (WHERE {kept}))::DOUBLE"
+    return f"coalesce({r4(f'{total} / nullif(count(*) FILTER (WHERE {kept}), 0)')}, {empty})"
 
 
 def count(flag: str) -> str:

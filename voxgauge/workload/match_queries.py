@@ -11,22 +11,28 @@ from voxgauge.operators.lookup import spread_lookup
 from voxgauge.operators.rollup import coverage_measures, mean, or_unknown, rate, summarise
 from voxgauge.operators.similarity import needed_paths, pair_similarity, speaker_preserved, speaker_target
 from voxgauge.session import table
-from voxgauge.sources.files import with_output_ranks
+from voxgauge.sources.files import usable_outputs, with_output_ranks
 from voxgauge.workload import duck_text as dt
 from voxgauge.workload.standins import duck, spark_table
 
-# orders are samples, sufficiently large line items are candidate outputs in three formats and two folders
+# orders are samples, line items are files in several formats and folders; small ones lie in a folder that does not count,
+# some have a format that does not count
 CANDIDATE_FILES = """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
-  CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS ext_rank,
-  CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END AS dir_rank
-FROM {lineitem} WHERE l_quantity > 30
+  CASE WHEN l_linenumber = 7 THEN NULL WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS ext_rank,
+  CASE WHEN l_quantity <= 30 THEN NULL WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS dir_rank
+FROM {lineitem}
 """
+_USABLE_FILES = f"SELECT * FROM ({duck(CANDIDATE_FILES)}) WHERE dir_rank IS NOT NULL AND ext_rank IS NOT NULL"
+
+
+def _candidates(spark, sf):
+    return usable_outputs(spark_table(spark, sf, CANDIDATE_FILES))
 
 
 def _matched(spark, sf):
     samples = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
-    candidates = spark_table(spark, sf, CANDIDATE_FILES)
+    candidates = _candidates(spark, sf)
     return mt.match_outputs(
         samples, candidates, "l_orderkey", [F.col("dir_rank"), F.col("ext_rank"), F.col("l_linenumber")],
         ["l_partkey", "l_suppkey"])
@@ -39,7 +45,7 @@ def output_match(spark, sf):
 
 def missing_outputs(spark, sf):
     samples = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    return mt.missing_outputs(samples, spark_table(spark, sf, CANDIDATE_FILES), "l_orderkey")
+    return mt.missing_outputs(samples, _candidates(spark, sf), "l_orderkey")
 
 
 def coverage(spark, sf):
@@ -177,6 +183,7 @@ SELECT concat('file:/out/m1/', CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN
   l_suppkey AS length, l_partkey AS modified
 FROM {lineitem}
 """
+_USABLE_FILES = f"SELECT * FROM ({duck(CANDIDATE_FILES)}) WHERE dir_rank IS NOT NULL AND ext_rank IS NOT NULL"
 
 
 def output_listing(spark, sf):
@@ -195,7 +202,7 @@ def score_alignment(spark, sf):
 _TARGET = "CASE WHEN l_tax <> 0 THEN l_discount >= 0.05 END"
 _BEST = f"""best AS (SELECT l_orderkey, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (
     PARTITION BY l_orderkey ORDER BY dir_rank, ext_rank, l_linenumber, l_partkey, l_suppkey) AS rn
-    FROM ({duck(CANDIDATE_FILES)})) WHERE rn = 1),
+    FROM ({_USABLE_FILES})) WHERE rn = 1),
 matched AS (SELECT o.*, b.l_partkey, b.l_suppkey, b.l_orderkey IS NOT NULL AS has_output, NULL::VARCHAR AS error
     FROM orders o LEFT JOIN best b ON b.l_orderkey = o.o_orderkey)"""
 
@@ -235,7 +242,7 @@ QUERIES = {
 ORACLES = {
     "output_match": f"WITH {_BEST} SELECT o_orderkey AS l_orderkey, l_partkey, l_suppkey, has_output FROM matched",
     "missing_outputs": f"""SELECT o_orderkey AS l_orderkey, o_orderpriority FROM orders
-WHERE o_orderkey NOT IN (SELECT l_orderkey FROM ({duck(CANDIDATE_FILES)}))""",
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM ({_USABLE_FILES}))""",
     "coverage": f"WITH {_BEST} " + dt.summary(
         "matched", {"priority": "o_orderpriority", "status": "o_orderstatus"}, dt.COVERAGE),
     "score_lookup": f"""WITH p AS (SELECT l_orderkey, max(l_extendedprice) FILTER (WHERE l_linestatus = 'F') AS s,

@@ -126,15 +126,16 @@ def error_digest(spark, sf):
 RUN_TASKS = """
 SELECT substring(CAST(o_orderdate AS STRING), 1, 7) AS run_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'content_editing' WHEN '2-HIGH' THEN 'speaker_editing'
-    WHEN '3-MEDIUM' THEN 'prosody_editing' WHEN '5-LOW' THEN 'style_editing' ELSE 'emotion_editing' END AS task,
+    WHEN '3-MEDIUM' THEN 'prosody_editing' WHEN '5-LOW' THEN 'style_editing' ELSE 'a_task_outside_the_registry' END AS task,
   count(*) AS total, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS outputs_evaluated,
   count(*) - count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS missing_outputs,
   count(CASE WHEN o_totalprice > 490000 THEN 1 END) AS error_count
 FROM {orders} GROUP BY 1, 2
 """
 PREFLIGHT = """
-SELECT DISTINCT substring(CAST(o_orderdate AS STRING), 1, 7) AS run_id, 'style_editing' AS task FROM {orders}
-WHERE o_totalprice > 499900
+SELECT DISTINCT substring(CAST(o_orderdate AS STRING), 1, 7) AS run_id,
+  CASE WHEN o_custkey % 2 = 0 THEN 'style_editing' ELSE 'a_task_outside_the_registry' END AS task FROM {orders}
+WHERE o_totalprice > 499000
 """
 
 
@@ -251,7 +252,7 @@ def _stream(spark, sf):
 
 
 def _stream_parts():
-    dims = {"task": F.col("event_type"), "user": F.when(F.col("user_id") < 20, F.col("user_id"))}
+    dims = {"task": F.col("event_type"), "user": F.col("user_id")}
     measures = {
         "total": count_if(F.lit(True)),
         "target_success_rate": rate(F.when(F.col("user_id") % 7 != 0, F.col("value") > 30)),
@@ -395,7 +396,7 @@ SELECT *, 'v1.1' AS dataset_version FROM r WHERE run_id = (SELECT max(run_id) FR
     "response_log": f"""WITH {_USABLE} SELECT k AS key, obj FROM (SELECT *,
     row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS rn FROM u) WHERE rn = 1""",
     "stream_summary": "WITH e AS (SELECT *, CASE WHEN user_id % 7 <> 0 THEN value > 30 END AS t FROM events) " + dt.summary(
-        "e", {"task": "event_type", "user": "CASE WHEN user_id < 20 THEN user_id END"},
+        "e", {"task": "event_type", "user": "user_id"},
         {"total": "count(*)", "target_success_rate": dt.rate("t"), "avg_value": dt.mean("value")}),
     "stream_progress": """SELECT count(*) AS processed_outputs, count(*) AS available_outputs, TRUE AS done FROM events""",
     "stream_last_response": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (

@@ -11,7 +11,7 @@ from voxgauge.functions import timing as tm
 from voxgauge.functions.text import words
 from voxgauge.operators import signal as sg
 from voxgauge.operators import stress as st
-from voxgauge.session import stage, table
+from voxgauge.session import table
 from voxgauge.workload import duck_text as dt
 from voxgauge.workload.standins import TURNS, duck, spark_table
 
@@ -74,7 +74,7 @@ FROM {events}
 
 def track_statistics(spark, sf):
     """Mean energy, median pitch and voiced share per clip."""
-    return sg.track_statistics(spark_table(spark, sf, TRACKS), ["path"]).select(
+    return sg.clip_statistics(spark_table(spark, sf, TRACKS), ["path"]).select(
         "path", "frames", F.round("mean_rms", 6).alias("mean_rms"), F.round("median_f0", 4).alias("median_f0"),
         F.round("voiced_ratio", 4).alias("voiced_ratio"))
 
@@ -101,15 +101,15 @@ def segment_scores(spark, sf):
     return sg.with_segment_errors(clips.select("doc_id"), sg.segment_means(raw, "doc_id"), "doc_id")
 
 
-SCENE_NAMES = [x for labels in fv.SCENE_LABELS.values() for x in labels]
+GROUPED_SCENES = [x for labels in fv.SCENE_LABELS.values() for x in labels]
+#: A label for each of the 64 values; those after the scene labels belong to no group.
+SCENE_NAMES = GROUPED_SCENES + [f"Other {i}" for i in range(64 - len(GROUPED_SCENES))]
 
 
 def _scenes():
-    """Embedding values as label scores: all scene labels and some labels outside every group."""
-    names = SCENE_NAMES + ["Speech", "Silence"]
+    """All embedding values as label scores: the scene labels, then labels outside every group."""
     return F.map_from_arrays(
-        F.array(*[F.lit(x) for x in names]),
-        F.transform(F.slice("embedding", 1, len(names)), lambda x: x.cast("double")))
+        F.array(*[F.lit(x) for x in SCENE_NAMES]), F.transform("embedding", lambda x: x.cast("double")))
 
 
 def scene_groups(spark, sf):
@@ -159,14 +159,28 @@ def word_tokens(spark, sf):
         "sample_id", F.col("position").cast("bigint").alias("position"), "t.text", "t.normalized", "t.start", "t.end")
 
 
+#: Turns; in those of conversations with even numbers, letters become ideographs and blanks become wide ones.
+WIDE_TURNS = f"""
+SELECT sample_id, n, CASE WHEN conv_id % 2 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz ',
+  '一二三四五六七八九十百千万人口日月山水火木金土天地上　') ELSE text END AS text
+FROM ({TURNS}) t
+"""
+
+
 def character_tokens(spark, sf):
-    """Blank-separated pieces when they match the spans, single characters otherwise."""
-    turns = spark_table(spark, sf, TURNS)
-    n_words = F.size(words(F.col("text")))
-    spans = F.transform(
-        F.sequence(F.lit(1), F.when(F.col("n") % 2 == 0, n_words).otherwise(F.lit(40))),
-        lambda i: F.array(i * 90.0, i * 90.0 + F.when(i % 6 == 0, 0.0).otherwise(60.0)))
-    return turns.select(
+    """Blank-separated pieces when they match the spans, single characters otherwise.
+
+    Every other text has ideographs and wide blanks. Texts of odd length have a span per character, two fewer to two more;
+    some spans have three values.
+    """
+    turns = spark_table(spark, sf, WIDE_TURNS)
+    n_words = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))
+    n_spans = F.when(F.col("n") % 2 == 0, n_words).otherwise(
+        F.greatest(F.lit(1), F.length(F.regexp_replace("text", r"(?U)\s+", "")) + F.col("n") % 5 - 2))
+    spans = F.transform(F.sequence(F.lit(1), n_spans.cast("int")), lambda i: F.when(
+        i % 13 == 0, F.array(i * 90.0, i * 90.0 + 60.0, F.lit(1.0))).otherwise(
+        F.array(i * 90.0, i * 90.0 + F.when(i % 6 == 0, 0.0).otherwise(60.0))))
+    return turns.where(F.length("text") > 0).select(
         "sample_id", F.posexplode_outer(tm.parse_spaced_text(F.col("text"), spans)).alias("position", "t")).where(
         F.col("position").isNotNull()).select(
         "sample_id", F.col("position").cast("bigint").alias("position"), "t.text", "t.normalized", "t.start", "t.end")
@@ -196,10 +210,10 @@ def _tokens(spark, sf):
 
 
 def _targets(spark, sf):
-    """Stress words of a sample: its second word, its third and fourth together, and a word nobody says."""
-    w = words(F.col("text"))
-    listed = spark_table(spark, sf, TURNS).withColumn("w", w).where(F.size("w") >= 4).withColumn("targets", F.array_compact(F.array(
-        F.get("w", 1), F.concat_ws(" ", F.get("w", 2), F.get("w", 3)), F.when(F.col("n") % 4 == 0, "xylophone"))))
+    """Stress words of a sample, as far as it has them: its second word, its third with the fourth, a word nobody says."""
+    listed = spark_table(spark, sf, TURNS).withColumn("w", words(F.col("text"))).withColumn("targets", F.array_compact(F.array(
+        F.get("w", 1), F.when(F.size("w") >= 3, F.concat_ws(" ", F.get("w", 2), F.get("w", 3))),
+        F.when(F.col("n") % 4 == 0, "xylophone"))))
     return listed.select(
         "sample_id", F.when(F.col("role") == "assistant", "zh").otherwise("en").alias("language"),
         F.posexplode("targets").alias("word_index", "word"))
@@ -227,7 +241,7 @@ def stress_windows(spark, sf):
 
 def _verdicts(spark, sf):
     tokens = _tokens(spark, sf)
-    return st.stress_verdicts(tokens, _targets(spark, sf), stage(_frames(tokens), "frames"))
+    return st.stress_verdicts(tokens, _targets(spark, sf), _frames(tokens))
 
 
 def stress_words(spark, sf):
@@ -297,16 +311,15 @@ c AS (SELECT sample_id, i, regexp_replace(word, '^\\s+|\\s+$', '', 'g') AS text,
     END AS b FROM w WHERE i % 11 <> 10),
 t AS (SELECT *, CASE WHEN a > 100 THEN a / 1000 ELSE a END AS s, CASE WHEN b > 100 THEN b / 1000 ELSE b END AS e FROM c)"""
 
-_CHARS = rf"""k AS (SELECT sample_id, n, text, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '),
-    lambda x: x <> '') AS ws FROM ({duck(TURNS)})),
-p AS (SELECT sample_id, CASE WHEN n % 2 = 0 OR len(ws) = 40 THEN ws
-    ELSE string_split(regexp_replace(text, '\s+', '', 'g'), '') END AS pieces,
-    CASE WHEN n % 2 = 0 THEN len(ws) ELSE 40 END AS spans FROM k),
+_CHARS = rf"""k AS (SELECT sample_id, n, list_filter(string_split(regexp_replace(text, '[\s　]+', ' ', 'g'), ' '),
+    lambda x: x <> '') AS ws, regexp_replace(text, '[\s　]+', '', 'g') AS solid FROM ({duck(WIDE_TURNS)}) WHERE text <> ''),
+j AS (SELECT *, CASE WHEN n % 2 = 0 THEN len(ws) ELSE greatest(1, length(solid) + n % 5 - 2) END AS spans FROM k),
+p AS (SELECT sample_id, CASE WHEN len(ws) = spans THEN ws ELSE string_split(solid, '') END AS pieces, spans FROM j),
 z AS (SELECT sample_id, unnest(pieces[1:spans]) AS text, unnest(range(1, least(len(pieces), spans) + 1)) AS i FROM p),
 t AS (SELECT sample_id, text, i, regexp_replace(text, '[^\x{{4e00}}-\x{{9fff}}0-9a-zA-Z]', '', 'g') AS normalized,
     CASE WHEN i * 90 > 100 THEN i * 90 / 1000::DOUBLE ELSE i * 90::DOUBLE END AS s,
     CASE WHEN i * 90 + 60 > 100 THEN (i * 90 + 60) / 1000::DOUBLE ELSE i * 90 + 60::DOUBLE END AS e,
-    i % 6 <> 0 AS open FROM z)"""
+    i % 6 <> 0 AND i % 13 <> 0 AS open FROM z)"""
 
 _STRESS = rf"""sp AS ({duck(SPOKEN)}),
 sw AS (SELECT *, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '') AS ws,
@@ -321,9 +334,10 @@ sides AS (SELECT sample_id, side, any_value(step) AS step, any_value(total) AS t
     FROM tk GROUP BY 1, 2),
 tg AS (SELECT sample_id, language, unnest(ts) AS word, generate_subscripts(ts, 1) - 1 AS word_index FROM (
     SELECT sample_id, CASE WHEN role = 'assistant' THEN 'zh' ELSE 'en' END AS language,
-      CASE WHEN n % 4 = 0 THEN [ws[2], ws[3] || ' ' || ws[4], 'xylophone'] ELSE [ws[2], ws[3] || ' ' || ws[4]] END AS ts
+      list_filter([ws[2], CASE WHEN len(ws) >= 3 THEN concat_ws(' ', ws[3], ws[4]) END,
+        CASE WHEN n % 4 = 0 THEN 'xylophone' END], lambda x: x IS NOT NULL) AS ts
     FROM (SELECT *, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
-        FROM ({duck(TURNS)})) WHERE len(ws) >= 4)),
+        FROM ({duck(TURNS)})))),
 pr AS (SELECT s.*, t.language, t.word_index, t.word,
     list_filter(string_split(regexp_replace(lower(t.word), '[^a-z0-9'']+', ' ', 'g'), ' '), lambda x: x <> '') AS tw,
     regexp_replace(t.word, '[^\x{{4e00}}-\x{{9fff}}0-9a-zA-Z]', '', 'g') AS tz FROM sides s JOIN tg t USING (sample_id)),
@@ -415,8 +429,8 @@ ORACLES = {
         CASE t WHEN 0 THEN outdoor WHEN 1 THEN crowd ELSE music END AS ts FROM g)
     SELECT vec_id, predicted, {", ".join(f"{dt.r4(g)} AS {g}" for g in fv.SCENE_LABELS)},
         predicted = target AND ts >= 0.1::DOUBLE AND ts - src >= 0.03::DOUBLE AS target_success FROM p""",
-    "scene_topk": f"""WITH e AS (SELECT vec_id, unnest([{", ".join(f"'{x}'" for x in SCENE_NAMES + ['Speech', 'Silence'])}])
-        AS label, unnest(embedding[1:{len(SCENE_NAMES) + 2}])::DOUBLE AS s FROM embeddings),
+    "scene_topk": f"""WITH e AS (SELECT vec_id, unnest([{", ".join(f"'{x}'" for x in SCENE_NAMES)}])
+        AS label, unnest(embedding)::DOUBLE AS s FROM embeddings),
     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) - 1 AS position FROM e)
     SELECT vec_id, position, label, {dt.r4('s')} AS score FROM r WHERE position < 5""",
     "word_tokens": f"""WITH {_CHUNKS} SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY i) - 1 AS position,
