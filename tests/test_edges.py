@@ -111,3 +111,76 @@ def test_stress_words_without_tokens_stay(spark):
     assert got["a"].input_found and not got["a"].output_found
     assert not got["b"].input_found and got["b"].error == "target_not_found_in_timestamp_asr"
     assert {r.sample_id: r.passed for r in stress.stress_rollup(stress.stress_verdicts(tokens, targets, frames)).collect()} == {"a": False, "b": False}
+
+
+def test_groups_without_a_name_are_groups(spark):
+    from voxgauge.operators import ranks
+    from voxgauge.plans import audit
+
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("g", 5.0)], "g string, v double")
+    assert {r.g: (r.n, r.median) for r in ranks.distribution(df, ["g"], "v").collect()} == {None: (2, 2.0), "g": (1, 5.0)}
+    rows = spark.createDataFrame(
+        [(None, "s1", "a.wav", "x"), (None, "s1", "b.wav", "x"), ("t", "s2", "a.wav", "y")],
+        "task string, sample_id string, audio_path string, instruction string").withColumns({
+            "transcript": F.lit("x"), "language": F.lit("en"), "source_dataset": F.lit("d"),
+            "anchor": F.lit('{"event": "sigh"}'), "duration": F.lit(1.0)})
+    rows = audit.with_audio_found(rows, spark.createDataFrame([("a.wav",)], "path string"))
+    got = {r.task: r for r in audit.task_audit(rows).collect()}
+    assert set(got) == {None, "t"}
+    assert (got[None].samples, got[None].missing_audio_count, got[None].duplicate_sample_id_count) == (2, 1, 1)
+    totals = {(r.total, r.task): r for r in audit.totals(rows).collect()}
+    everything = totals[True, None]
+    assert (everything.samples, everything.tasks, everything.missing_audio_count, everything.duplicate_sample_id_count) == (3, 2, 1, 1)
+    assert totals[False, None].samples == 2
+    assert {r.task for r in audit.label_histograms(rows, "task", "anchor").collect()} == {None, "t"}
+
+
+def _files(spark, tmp_path, *batches):
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, "k string, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema("k string, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_streams_over_several_batches_and_a_replay(spark, tmp_path):
+    import shutil
+
+    from voxgauge.streaming import incremental as inc
+
+    stream = _files(spark, tmp_path, [("a", 1.0), ("b", 2.0)], [("a", 3.0)], [("c", 4.0), ("b", NAN)])
+    dims, measures = {"k": F.col("k")}, {"n": rollup.count_if(F.lit(True)), "m": rollup.mean(F.col("v"))}
+    parts, state = str(tmp_path / "parts"), tmp_path / "state"
+    inc.stream_partial_sums(stream, dims, measures, parts, str(state)).awaitTermination()
+    want = {"all": (5, 2.5), "a": (2, 2.0), "b": (2, 2.0), "c": (1, 4.0)}
+    summary = lambda: {r.key: (r.n, r.m) for r in inc.running_summary(spark, parts, dims, measures).collect()}
+    assert summary() == want and spark.read.parquet(parts).select("batch").distinct().count() == 3
+    for old in (state / "commits").glob("*2*"):  # as if the job had died before it noted the last batch
+        old.unlink()
+    shutil.copytree(state, tmp_path / "again")
+    inc.stream_partial_sums(stream, dims, measures, parts, str(tmp_path / "again")).awaitTermination()
+    assert summary() == want
+
+
+def test_first_seen_keys_come_once_however_late(spark, tmp_path):
+    from voxgauge.streaming import incremental as inc
+
+    stream = _files(spark, tmp_path, [("a", 1.0), ("a", 1.0)], [("a", 2.0), ("b", 0.0)], [("b", 0.0), ("c", 0.0)])
+    inc.stream_first_seen(stream, ["k"], str(tmp_path / "seen"), str(tmp_path / "state")).awaitTermination()
+    assert sorted((r.batch, r.k) for r in spark.read.parquet(str(tmp_path / "seen")).collect()) == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_lookup_splits_a_key_by_its_count(spark):
+    from voxgauge.operators.lookup import spread_lookup
+
+    facts = spark.range(10_000).select("id", F.when(F.col("id") % 10 < 9, F.lit(1)).otherwise(F.col("id")).alias("k"))
+    reference = spark.createDataFrame([(1, "x"), (9, "y")], "k long, v string")
+    got = spread_lookup(facts, reference, "k", "id", rows_per_task=1000)
+    assert got.count() == 10_000 and got.where("v = 'x'").count() == 9_000 and got.where("v = 'y'").count() == 1
+
+
+def test_repeated_keys_are_named(spark):
+    from voxgauge.operators.match import require_one_row_per
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    with pytest.raises(ValueError, match="k is not unique: 1"):
+        require_one_row_per(df, "k")
+    assert require_one_row_per(df.where("v <> 'b'"), "k").count() == 2

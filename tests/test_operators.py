@@ -55,11 +55,11 @@ def test_spread_lookup_keeps_every_row_of_a_hot_key(spark):
     facts = spark.range(30000).select(
         "id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000).alias("k"))
     reference = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = spread_lookup(facts, reference, "k", "id")
+    got = spread_lookup(facts, reference, "k", "id", rows_per_task=500)
     assert got.count() == 30000
     assert got.where("v is null").count() == facts.where("k >= 4000").count()
     assert got.where("v is not null and v <> k * 2").count() == 0
-    assert spread_lookup(facts, reference, "k", "id", "inner").count() == facts.where("k < 4000").count()
+    assert spread_lookup(facts, reference, "k", "id", "inner", rows_per_task=100).count() == facts.where("k < 4000").count()
 
 
 def test_range_join_includes_both_ends(spark):

@@ -5,36 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 64
-SPREAD = 32
+ROWS_PER_TASK = 1_000_000
+HOT_KEYS = 65_536
 
 
 def spread_lookup(facts: DataFrame, reference: DataFrame, key: str, spread_by: str,
-                  how: str = "left", frequent: DataFrame | None = None) -> DataFrame:
-    """Join ``facts`` to a ``reference`` that has one row per ``key``, spreading the most frequent keys.
-
-    A key with more than 1/64 of all rows is among the 64 most frequent ones, so splitting those bounds what any
-    single task receives; ``spread_by`` is a column of ``facts`` that varies within a key (a row id), so the split is
-    the same when a task is rerun. The reference rows of the hot keys (64 at most) are repeated once per split; all others
-    appear once. No row is dropped. The list of hot keys has 64 rows by construction and is the only forced broadcast.
-    ``frequent`` (``key, _n``) saves counting when the frequencies are known.
+                  how: str = "left", frequent: DataFrame | None = None,
+                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Join ``facts`` to a ``reference`` that has one row per ``key``, splitting frequent keys by their count.
+
+    A key with more than ``rows_per_task`` rows is dealt over as many splits as it has such portions, so no task gets
+    more of it; ``spread_by`` is a column of ``facts`` that varies within a key (a row id), so the split is the same when
+    a task is rerun. Only the reference rows of such keys are repeated, once per split. No row is dropped.
+
+    The list of split keys is the only forced broadcast: it has one row per ``rows_per_task`` facts and never more than
+    ``HOT_KEYS``; beyond that number of split keys, the rarest of them stay whole and hold less than 1/65,536 of all rows
+    each. ``frequent`` (``key, _n``) saves counting when the frequencies are known; counting needs the key column alone.
     """
     if frequent is None:
         frequent = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = (
-        frequent.orderBy(F.desc("_n"), key).limit(HOT_KEYS)
-        .select(F.col(key).alias("_hot_key"))
+        frequent.where(F.col("_n") > rows_per_task).orderBy(F.desc("_n"), key).limit(HOT_KEYS)
+        .select(F.col(key).alias("_hot_key"), F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
     )
-    split = F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
-    splits = F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
-        F.array(F.lit(0)))
+    parts = F.coalesce("_parts", F.lit(1))
     left = (
         facts.join(F.broadcast(hot), facts[key] == hot["_hot_key"], "left")
-        .withColumn("_split", split).drop("_hot_key")
+        .withColumn("_split", F.pmod(F.xxhash64(spread_by), parts).cast("int")).drop("_hot_key", "_parts")
     )
     right = (
         reference.join(F.broadcast(hot), reference[key] == hot["_hot_key"], "left")
-        .withColumn("_split", F.explode(splits)).drop("_hot_key")
+        .withColumn("_split", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot_key", "_parts")
     )
     return left.join(right, [key, "_split"], how).drop("_split")
 

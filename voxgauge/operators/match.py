@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxgauge.operators.lookup import spread_lookup
-from voxgauge.session import spread
 
 
 def best_outputs(candidates: DataFrame, key: str, priority: Sequence[Column], payload: Sequence[str]) -> DataFrame:
@@ -25,7 +24,7 @@ def match_outputs(samples: DataFrame, candidates: DataFrame, key: str, priority:
                   payload: Sequence[str]) -> DataFrame:
     """Every sample with its best output (nulls when there is none) and a ``has_output`` flag."""
     best = best_outputs(candidates, key, priority, payload).withColumn("_found", F.lit(True))
-    joined = spread(samples, key).join(best, key, "left")
+    joined = samples.join(best, key, "left")
     return joined.withColumn("has_output", F.coalesce(F.col("_found"), F.lit(False))).drop("_found")
 
 
@@ -36,8 +35,8 @@ def missing_outputs(samples: DataFrame, candidates: DataFrame, key: str) -> Data
 def side_pairs(scores: DataFrame, key: str, side: str, values: Sequence[str]) -> DataFrame:
     """Source and output scores of a sample side by side: ``source_<v>`` and ``output_<v>`` per value.
 
-    ``side`` holds ``source`` or ``output``. One aggregation instead of a self-join; with several rows per side
-    the largest value is taken.
+    ``side`` holds ``source`` or ``output``. One aggregation instead of a self-join. A side may have several rows (takes
+    of one recording): the largest value stands for them.
     """
     return scores.groupBy(key).agg(*[
         F.max(F.when(F.col(side) == which, F.col(v))).alias(f"{which}_{v}")
@@ -46,13 +45,14 @@ def side_pairs(scores: DataFrame, key: str, side: str, values: Sequence[str]) ->
 
 
 def require_one_row_per(df: DataFrame, key: str) -> DataFrame:
-    """Key check that replaces strict positional pairing: fails the job when a key repeats."""
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[
-        F.max_by(c, F.lit(1)).alias(c) for c in df.columns if c != key
-    ])
-    repeated = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.col(key).cast("string")))
-    return counted.withColumn(key, F.when(F.col("_n") > 1, repeated).otherwise(F.col(key))).drop("_n").select(
-        *df.columns)
+    """Key check that replaces strict positional pairing: raises when a key repeats, else gives the table as it is.
+
+    A job of its own that reads and shuffles the keys alone.
+    """
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(key).first()
+    if repeated:
+        raise ValueError(f"{key} is not unique: {repeated[0]}")
+    return df
 
 
 def resolve_paths(rows: DataFrame, key: str, path: str, existing: DataFrame, bases: Sequence[str],

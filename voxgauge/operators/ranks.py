@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,13 +98,15 @@ def exact_median(rows: DataFrame, groups: Sequence[str], value: str, name: str =
 
 def distribution(rows: DataFrame, groups: Sequence[str], value: str,
                  short_limits: Sequence[float] = ()) -> DataFrame:
-    """Minimum, p05, median, p95, maximum (four decimals) and counts below each limit; groups are not null."""
+    """Minimum, p05, median, p95, maximum (four decimals) and counts below each limit; a null group is a group."""
     ranked = exact_ranks(rows, groups, value, {
         "_p05": nearest_rank_pick(0.05), "_p95": nearest_rank_pick(0.95), **MEDIAN_PICKS})
     plain = rows.where(F.col(value).isNotNull()).groupBy(*groups).agg(
         F.min(value).alias("_min"), F.max(value).alias("_max"),
         *[F.count_if(F.col(value) < limit).alias(_short_name(limit)) for limit in short_limits])
-    joined = ranked.join(plain, list(groups))
+    plain = plain.select(*[F.col(g).alias(f"_same_{g}") for g in groups], *[c for c in plain.columns if c not in groups])
+    same = functools.reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_same_{g}")) for g in groups], F.lit(True))
+    joined = ranked.join(plain, same)
     return joined.select(
         *groups, "n",
         F.round("_min", 4).alias("min"), F.round("_p05", 4).alias("p05"),

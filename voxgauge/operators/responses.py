@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,19 @@ def timestamp_backend(language: Column) -> Column:
     return F.when(language == "zh", "paraformer_zh_timestamp").otherwise("whisper_large_v3_word_timestamps")
 
 
+def append_cache(scored: DataFrame, path: str, key: str) -> None:
+    """Append new scorer results to the cache; keys that the cache has already, and repeats among the new, are left out."""
+    fresh = scored.dropDuplicates([key])
+    try:
+        known = scored.sparkSession.read.schema(scored.schema).parquet(path).select(key)
+    except AnalysisException as missing:  # the first append finds no cache
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    else:
+        fresh = fresh.join(known.distinct(), key, "left_anti")
+    fresh.write.mode("append").parquet(path)
+
+
 def split_by_cache(files: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Files whose result is cached (with it), and files that still have to be scored; one cache row per key."""
     return files.join(cache, key, "inner"), files.join(cache.select(key).distinct(), key, "left_anti")

@@ -27,8 +27,10 @@ def pair_similarity(pairs: DataFrame, embeddings: DataFrame, sample: str, left:
     sides = {left: ("_le", "_ln"), right: ("_re", "_rn")}
     joined = pairs
     for path, (vector, length) in sides.items():
+        # counted on the pairs themselves, before any vector is attached
+        frequent = pairs.where(F.col(path).isNotNull()).groupBy(path).agg(F.count(F.lit(1)).alias("_n"))
         side = normed.select(F.col("path").alias(path), F.col("embedding").alias(vector), F.col("norm").alias(length))
-        joined = spread_lookup(joined, side, path, sample)
+        joined = spread_lookup(joined, side, path, sample, frequent=frequent)
     score = cosine(F.col("_le"), F.col("_re"), F.col("_ln"), F.col("_rn"))
     return joined.withColumn(out, F.round(score, 4)).drop("_le", "_ln", "_re", "_rn")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxgauge import fixed_values as fv
 from voxgauge.functions import text as tx
-from voxgauge.operators.ranks import distribution
+from voxgauge.operators.ranks import distribution, exact_median
 
 
 def _count(condition: Column, name: str) -> Column:
@@ -43,12 +43,28 @@ def task_counters(rows: DataFrame) -> DataFrame:
     return folded.groupBy("task").agg(*counter_columns())
 
 
+def with_audio_found(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Add ``audio_found``: whether ``audio_path`` is in the listing ``existing`` (``path``); false for no path."""
+    listed = existing.select(F.col("path").alias("_listed")).distinct()
+    return rows.join(listed, rows["audio_path"] == listed["_listed"], "left").withColumn(
+        "audio_found", F.col("_listed").isNotNull()).drop("_listed")
+
+
 def totals(rows: DataFrame) -> DataFrame:
-    """Per-task sample counts with the cross-task total (task null) from one rollup."""
-    return rows.rollup("task").agg(
-        F.count(F.lit(1)).alias("samples"),
-        _count(_blank(F.col("instruction")), "empty_instruction_count"),
-        _count(F.col("duration").isNull(), "missing_duration_count"))
+    """Per-task counts with the cross-task total (``total`` true, task null) from one rollup.
+
+    Needs ``audio_found``. ``duplicate_sample_id_count`` counts ids that occur more than once in their task, summed over
+    tasks in the total; a missing task is a task.
+    """
+    per_id = rows.groupBy("task", "sample_id").agg(
+        F.count(F.lit(1)).alias("n"), _count(_blank(F.col("instruction")), "blank"),
+        _count(F.col("duration").isNull(), "unknown"), _count(~F.col("audio_found"), "lost"))
+    return per_id.rollup("task").agg(
+        (F.grouping("task") == 1).alias("total"),
+        F.count_distinct(F.struct("task")).alias("tasks"),
+        F.sum("n").alias("samples"), F.sum("blank").alias("empty_instruction_count"),
+        F.sum("unknown").alias("missing_duration_count"), F.sum("lost").alias("missing_audio_count"),
+        F.count_if(F.col("n") > 1).alias("duplicate_sample_id_count"))
 
 
 def duplicate_values(rows: DataFrame, group: str, column: str, name: str) -> DataFrame:
@@ -95,8 +111,9 @@ def label_histograms(rows: DataFrame, group: str, anchor: str,
         .groupBy(group, "c.label_key", "c.value").agg(
             F.count(F.lit(1)).alias("count"), F.bool_or("c.has").alias("has"))
     )
-    used = counted.where("has").select(group, "label_key").distinct()
-    return counted.join(used, [group, "label_key"], "left_semi").groupBy(
+    used = counted.where("has").select(F.col(group).alias("_same"), F.col("label_key").alias("_used")).distinct()
+    used = counted[group].eqNullSafe(used["_same"]) & (counted["label_key"] == used["_used"]), used
+    return counted.join(used[1], used[0], "left_semi").groupBy(
         group, "label_key", F.coalesce("value", F.lit("None")).alias("value")).agg(F.sum("count").alias("count"))
 
 
@@ -121,16 +138,27 @@ def duration_summary(rows: DataFrame, group: str, duration: str) -> DataFrame:
     return distribution(rows, [group], duration, fv.SHORT_CLIP_SECONDS)
 
 
+def beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right`` of the same key; a null key is a key."""
+    other = right.withColumnRenamed(key, "_same")
+    return left.join(other, left[key].eqNullSafe(other["_same"]), "left").drop("_same")
+
+
 def task_audit(rows: DataFrame) -> DataFrame:
-    """All one-row-per-task results side by side."""
-    counters = task_counters(rows)
-    return (
-        counters
-        .join(duplicate_values(rows, "task", "sample_id", "duplicate_sample_id_count"), "task")
-        .join(duplicate_values(rows, "task", "audio_path", "duplicate_audio_path_count"), "task")
-        .join(distinct_texts(rows, "task", "instruction", "instruction_unique_count"), "task")
-        .join(instruction_lengths(rows, "task", "instruction").select(
-            "task", F.col("min").alias("instruction_length_min"), F.col("median").alias("instruction_length_median"),
-            F.col("max").alias("instruction_length_max")), "task")
-        .join(duration_summary(rows, "task", "duration").withColumnRenamed("n", "durations"), "task", "left")
-    )
+    """All one-row-per-task results side by side; samples without a task are a task of their own.
+
+    Needs ``audio_found``. What follows reads a narrow table: digests stand for texts, lengths for instructions.
+    """
+    lengths = rows.select("task", "sample_id", "audio_path", "duration", "audio_found",
+                          F.sha2(F.coalesce("instruction", F.lit("")), 256).alias("_digest"),
+                          F.length(F.coalesce("instruction", F.lit(""))).cast("double").alias("_len"))
+    found = task_counters(rows)
+    found = beside(found, lengths.groupBy("task").agg(
+        _count(~F.col("audio_found"), "missing_audio_count"), F.min("_len").alias("instruction_length_min"),
+        F.max("_len").alias("instruction_length_max")), "task")
+    for column in ("sample_id", "audio_path"):
+        found = beside(found, duplicate_values(lengths, "task", column, f"duplicate_{column}_count"), "task")
+    found = beside(found, lengths.select("task", "_digest").distinct().groupBy("task").agg(
+        F.count(F.lit(1)).alias("instruction_unique_count")), "task")
+    found = beside(found, exact_median(lengths, ["task"], "_len", "instruction_length_median").drop("n"), "task")
+    return beside(found, duration_summary(lengths, "task", "duration").withColumnRenamed("n", "durations"), "task")

@@ -62,14 +62,37 @@ def merged_last_per_key(spark: SparkSession, folder: str, keys: Sequence[str], o
     return last_per_key(spark.read.parquet(folder), keys, order, payload)
 
 
-def stream_first_seen(stream: DataFrame, keys: Sequence[str], time: str, delay: str, folder: str,
-                      checkpoint: str) -> StreamingQuery:
-    """Keys seen for the first time within the watermark, appended as they arrive: requests worth sending."""
-    fresh = (
-        stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-        .dropDuplicatesWithinWatermark(list(keys)).select(*keys)
+def stream_first_seen(stream: DataFrame, keys: Sequence[str], folder: str, checkpoint: str) -> StreamingQuery:
+    """Keys seen for the first time, however late: requests worth sending, one batch folder after the other.
+
+    Each batch leaves out the keys of the batches before it, read from their folders; there is no state to outgrow memory
+    and no watermark that drops late rows. A replayed batch sees the same earlier batches and replaces its own folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(*keys).distinct()
+        if batch_id:
+            seen = batch.sparkSession.read.parquet(folder).where(F.col("batch") < batch_id).select(*keys)
+            fresh = fresh.join(seen, list(keys), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
+
+
+def stream_details(stream: DataFrame, evaluate: Callable[[DataFrame], DataFrame], dims: Mapping[str, Column],
+                   measures: Mapping[str, Measure], folder: str, checkpoint: str) -> StreamingQuery:
+    """Details and their partial sums per batch: ``folder/details/batch=<id>`` and ``folder/parts/batch=<id>``.
+
+    ``evaluate`` turns a batch into details; they are written first and summed from what was written.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        evaluate(batch).write.mode("overwrite").parquet(f"{folder}/details/batch={batch_id}")
+        details = batch.sparkSession.read.parquet(f"{folder}/details/batch={batch_id}")
+        partial_sums(details, dims, measures).write.mode("overwrite").parquet(f"{folder}/parts/batch={batch_id}")
+
     return (
-        fresh.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

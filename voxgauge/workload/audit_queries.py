@@ -16,7 +16,7 @@ from voxgauge.workload.standins import duck, spark_table
 
 # documents are samples of four tasks (their language); the anchor is JSON text, null for unlabelled documents
 AUDIT_ROWS = """
-SELECT d.doc_id, d.lang AS task,
+SELECT d.doc_id, CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE d.lang END AS task,
   CASE WHEN d.n_chars % 40 = 0 THEN NULL ELSE concat('s', CAST(d.n_chars AS STRING)) END AS sample_id,
   concat('data/', d.source, '/', CAST(d.n_chars % 100 AS STRING), '.wav') AS audio_path,
   CASE WHEN d.n_chars % 33 = 0 THEN '  ' ELSE concat(CASE d.n_chars % 9
@@ -42,15 +42,31 @@ FROM {events}
 """
 
 
+# three in four of the audio files are there
+LISTED = """
+SELECT DISTINCT concat('data/', source, '/', CAST(n_chars % 100 AS STRING), '.wav') AS path FROM {documents}
+WHERE n_chars % 100 % 4 <> 3
+"""
+
+
 def _rows(spark, sf):
     return spark_table(spark, sf, AUDIT_ROWS)
 
 
+def _rows_with_audio(spark, sf):
+    return audit.with_audio_found(_rows(spark, sf), spark_table(spark, sf, LISTED))
+
+
+def audit_totals(spark, sf):
+    found = audit.totals(_rows_with_audio(spark, sf))
+    return found.withColumn("task", F.when(F.col("total"), "(all)").otherwise(F.coalesce("task", F.lit("(none)")))).drop("total")
+
+
 def audit_duplicates(spark, sf):
     rows = _rows(spark, sf)
-    return audit.duplicate_values(rows, "task", "sample_id", "duplicate_sample_id_count").join(
-        audit.duplicate_values(rows, "task", "audio_path", "duplicate_audio_path_count"), "task").join(
-        audit.distinct_texts(rows, "task", "instruction", "instruction_unique_count"), "task")
+    found = audit.duplicate_values(rows, "task", "sample_id", "duplicate_sample_id_count")
+    found = audit.beside(found, audit.duplicate_values(rows, "task", "audio_path", "duplicate_audio_path_count"), "task")
+    return audit.beside(found, audit.distinct_texts(rows, "task", "instruction", "instruction_unique_count"), "task")
 
 
 def audit_histograms(spark, sf):
@@ -243,9 +259,11 @@ def _dup_sql(column: str, name: str) -> str:
             f"(SELECT task, {column}, count(*) AS n FROM a GROUP BY ALL) GROUP BY 1)")
 
 
-_DUPS = f"""SELECT * FROM {_dup_sql('sample_id', 'duplicate_sample_id_count')}
-JOIN {_dup_sql('audio_path', 'duplicate_audio_path_count')} USING (task)
-JOIN (SELECT task, count(DISTINCT coalesce(instruction, '')) AS instruction_unique_count FROM a GROUP BY 1) USING (task)"""
+_DUPS = f"""SELECT x.task, x.duplicate_sample_id_count, y.duplicate_audio_path_count, z.instruction_unique_count
+FROM (SELECT * FROM {_dup_sql('sample_id', 'duplicate_sample_id_count')}) x
+JOIN (SELECT * FROM {_dup_sql('audio_path', 'duplicate_audio_path_count')}) y ON y.task IS NOT DISTINCT FROM x.task
+JOIN (SELECT task, count(DISTINCT coalesce(instruction, '')) AS instruction_unique_count FROM a GROUP BY 1) z
+    ON z.task IS NOT DISTINCT FROM x.task"""
 
 _DECLARED = f"""l AS ({duck(LINES)}),
 declared AS (SELECT DISTINCT task_id, unnest(regexp_extract_all(line,
@@ -279,7 +297,7 @@ _SPREAD = f"""n, {dt.r4('lo')} AS min, {dt.r4('p05')} AS p05, {dt.r4('med')} AS
 
 QUERIES = {
     "audit_counters": lambda s, d: audit.task_counters(_rows(s, d)),
-    "audit_totals": lambda s, d: audit.totals(_rows(s, d)).withColumn("task", F.coalesce("task", F.lit("(all)"))),
+    "audit_totals": audit_totals,
     "audit_duplicates": audit_duplicates,
     "audit_histograms": audit_histograms,
     "audit_key_sets": lambda s, d: audit.anchor_key_sets(_rows(s, d), "task", "anchor"),
@@ -288,7 +306,7 @@ QUERIES = {
     "audit_templates_text": audit_templates_text,
     "audit_lengths": lambda s, d: audit.instruction_lengths(_rows(s, d), "task", "instruction"),
     "audit_durations": lambda s, d: audit.duration_summary(_rows(s, d), "task", "duration"),
-    "task_audit": lambda s, d: audit.task_audit(_rows(s, d)),
+    "task_audit": lambda s, d: audit.task_audit(_rows_with_audio(s, d)),
     "nearest_rank": nearest_rank,
     "price_distribution": price_distribution,
     "declared_paths": declared_paths,
@@ -304,9 +322,15 @@ QUERIES = {
 
 ORACLES = {
     "audit_counters": f"{_WITH} SELECT task, {_COUNTERS} FROM a GROUP BY 1",
-    "audit_totals": f"""{_WITH} SELECT coalesce(task, '(all)') AS task, count(*) AS samples,
+    "audit_totals": f"""{_WITH}, f AS ({duck(LISTED)}),
+    b AS (SELECT coalesce(task, '(none)') AS task, sample_id, instruction, duration, audio_path NOT IN (SELECT path FROM f) AS lost
+        FROM a),
+    d AS (SELECT task, count(*) AS n FROM b GROUP BY task, sample_id HAVING count(*) > 1),
+    t AS (SELECT coalesce(task, '(all)') AS task, count(DISTINCT task) AS tasks, count(*) AS samples,
     count(*) FILTER (WHERE trim(coalesce(instruction, '')) = '') AS empty_instruction_count,
-    count(*) FILTER (WHERE duration IS NULL) AS missing_duration_count FROM a GROUP BY ROLLUP (task)""",
+    count(*) FILTER (WHERE duration IS NULL) AS missing_duration_count,
+    count(*) FILTER (WHERE lost) AS missing_audio_count FROM b GROUP BY ROLLUP (task))
+    SELECT t.*, (SELECT count(*) FROM d WHERE d.task = t.task OR t.task = '(all)') AS duplicate_sample_id_count FROM t""",
     "audit_duplicates": f"{_WITH} {_DUPS}",
     "audit_histograms": f"""{_WITH} SELECT task, coalesce(language, 'None') AS value, count(*) AS count, 'language' AS field
     FROM a GROUP BY ALL UNION ALL
@@ -317,22 +341,23 @@ ORACLES = {
         coalesce(list_contains(json_keys(anchor), k), FALSE) AS has
     FROM a CROSS JOIN (VALUES {", ".join(f"('{k}')" for k in fv.AUDIT_LABEL_KEYS)}) AS v(k)),
     u AS (SELECT DISTINCT task, label_key FROM c WHERE has)
-    SELECT task, label_key, coalesce(value, 'None') AS value, count(*) AS count FROM c JOIN u USING (task, label_key)
-    GROUP BY ALL""",
+    SELECT c.task, c.label_key, coalesce(value, 'None') AS value, count(*) AS count
+    FROM c JOIN u ON u.task IS NOT DISTINCT FROM c.task AND u.label_key = c.label_key GROUP BY ALL""",
     "audit_lengths": f"""{_WITH}, b AS (SELECT task, length(coalesce(instruction, ''))::DOUBLE AS len FROM a)
     SELECT task, min(len) AS min, median(len) AS median, max(len) AS max FROM b GROUP BY 1""",
     "audit_durations": f"""{_WITH}, {_rank_sql('a', 'task', 'duration')},
     s AS (SELECT task, {_SHORT} FROM a WHERE duration IS NOT NULL GROUP BY 1)
-    SELECT task, {_SPREAD}, {_SHORT_NAMES} FROM rk JOIN s ON s.task = rk.g""",
+    SELECT task, {_SPREAD}, {_SHORT_NAMES} FROM rk JOIN s ON s.task IS NOT DISTINCT FROM rk.g""",
     "task_audit": f"""{_WITH}, {_rank_sql('a', 'task', 'duration')},
     s AS (SELECT task, {_SHORT} FROM a WHERE duration IS NOT NULL GROUP BY 1),
-    t AS (SELECT task, {_SPREAD}, {_SHORT_NAMES} FROM rk JOIN s ON s.task = rk.g),
-    c AS (SELECT task, {_COUNTERS}, min(length(coalesce(instruction, '')))::DOUBLE AS instruction_length_min,
+    t AS (SELECT task, {_SPREAD}, {_SHORT_NAMES} FROM rk JOIN s ON s.task IS NOT DISTINCT FROM rk.g),
+    f AS ({duck(LISTED)}),
+    c AS (SELECT task, {_COUNTERS}, count(*) FILTER (WHERE audio_path NOT IN (SELECT path FROM f)) AS missing_audio_count, min(length(coalesce(instruction, '')))::DOUBLE AS instruction_length_min,
         median(length(coalesce(instruction, '')))::DOUBLE AS instruction_length_median,
         max(length(coalesce(instruction, '')))::DOUBLE AS instruction_length_max FROM a GROUP BY 1),
     u AS ({_DUPS})
-    SELECT c.*, u.* EXCLUDE (task), t.n AS durations, t.* EXCLUDE (task, n) FROM c JOIN u USING (task)
-    LEFT JOIN t ON t.task = c.task""",
+    SELECT c.*, u.* EXCLUDE (task), t.n AS durations, t.* EXCLUDE (task, n)
+    FROM c JOIN u ON u.task IS NOT DISTINCT FROM c.task LEFT JOIN t ON t.task IS NOT DISTINCT FROM c.task""",
     "nearest_rank": f"""WITH {_rank_sql('lineitem', 'l_returnflag', 'l_extendedprice')}
     SELECT g AS l_returnflag, n, p05, p95, {dt.r4('med')} AS median FROM rk""",
     "price_distribution": f"""WITH {_rank_sql('orders', 'o_orderstatus', 'o_totalprice')},

@@ -247,8 +247,14 @@ def response_log(spark, sf):
 
 
 def _stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/events*.parquet")
+    """The events as files of a growing folder; each trigger takes one, so there are as many batches as files."""
+    folder = scratch_folder(spark, "arriving")
+    events = table(spark, sf, "events")
+    events.repartition(STREAM_FILES, "event_id").write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+STREAM_FILES = 3
 
 
 def _stream_parts():
@@ -283,9 +289,29 @@ def stream_last_response(spark, sf):
 
 def stream_dedup(spark, sf):
     folder = scratch_folder(spark, "stream")
-    inc.stream_first_seen(_stream(spark, sf), ["user_id", "event_type"], "ts", "3650 days", f"{folder}/seen",
+    inc.stream_first_seen(_stream(spark, sf), ["user_id", "event_type"], f"{folder}/seen",
                           f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/seen")
+    return spark.read.parquet(f"{folder}/seen").select("user_id", "event_type")
+
+
+def stream_details(spark, sf):
+    """Details written batch by batch, read back, with the number of batches they came in."""
+    folder = scratch_folder(spark, "stream")
+    dims, measures = _stream_parts()
+    evaluate = lambda b: b.select("event_id", "event_type", "user_id", "value", (F.col("value") > 30).alias("loud"))
+    inc.stream_details(_stream(spark, sf), evaluate, dims, measures, folder, f"{folder}/state").awaitTermination()
+    details = spark.read.parquet(f"{folder}/details")
+    return details.groupBy("event_type", "loud").agg(
+        F.count(F.lit(1)).alias("details"), F.countDistinct("batch").alias("batches"))
+
+
+def cache_append(spark, sf):
+    """A cache that grows in two appends with common keys; every key is there once."""
+    folder = scratch_folder(spark, "cache")
+    rows = table(spark, sf, "events").select(F.concat_ws("||", "event_type", "user_id").alias("key"), "event_type")
+    for part in (F.col("event_type") != "click", F.lit(True)):
+        rs.append_cache(rows.where(part), folder, "key")
+    return spark.read.parquet(folder).groupBy("event_type").agg(F.count(F.lit(1)).alias("keys"))
 
 
 QUERIES = {
@@ -309,6 +335,8 @@ QUERIES = {
     "stream_progress": stream_progress,
     "stream_last_response": stream_last_response,
     "stream_dedup": stream_dedup,
+    "stream_details": stream_details,
+    "cache_append": cache_append,
 }
 
 _USABLE = f"""u AS (SELECT *, trim(key) AS k FROM ({duck(LOG)}) WHERE trim(key) <> '' AND json_valid(obj)
@@ -402,4 +430,7 @@ SELECT *, 'v1.1' AS dataset_version FROM r WHERE run_id = (SELECT max(run_id) FR
     "stream_last_response": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (
     PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_details": f"""SELECT event_type, value > 30 AS loud, count(*) AS details, {STREAM_FILES}::BIGINT AS batches
+FROM events GROUP BY ALL""",
+    "cache_append": "SELECT event_type, count(DISTINCT user_id) AS keys FROM events GROUP BY 1",
 }

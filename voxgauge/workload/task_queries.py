@@ -12,14 +12,14 @@ from voxgauge.operators.rollup import mean, rate, summarise
 from voxgauge.plans import all_tasks
 from voxgauge.plans import compositional as comp
 from voxgauge.plans import stats, tasks
-from voxgauge.session import stage
+from voxgauge.session import spread, stage
 from voxgauge.workload import duck_text as dt
 from voxgauge.workload.standins import CANDIDATES, SAMPLES, SCORES, spark_table
 
 
 def matched_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Samples with their best output and the scores of it."""
-    samples = spark_table(spark, sf, SAMPLES)
+    samples = spread(spark_table(spark, sf, SAMPLES), "sample_id")  # the text errors that follow are heavy per row
     matched = match_outputs(samples, spark_table(spark, sf, CANDIDATES), "sample_id",
                             [F.col("dir_rank"), F.col("ext_rank")], ["path"])
     scores = spark_table(spark, sf, SCORES)
