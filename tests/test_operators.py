@@ -129,6 +129,13 @@ def test_decay_time_against_numpy(spark):
             slope = np.polyfit(t[mask], db[mask], 1)[0]
             want = 0.03 if slope >= -3 else float(np.clip(-60 / slope, 0.03, 4.0))
         assert abs(got[k].decay_seconds - want) < 1e-6
+    arrays = spark.createDataFrame([(k, [float(v) for v in x]) for k, x in rows.items()] + [(9, None)], "k int, x array<double>")
+    whole = {r.k: r for r in signal.impulse_decay(arrays, "k", "x", rate).collect()}
+    for k, r in got.items():
+        assert (whole[k].tail_samples, whole[k].error) == (r.tail_samples, r.error)
+        assert whole[k].decay_seconds == r.decay_seconds or abs(whole[k].decay_seconds - r.decay_seconds) < 1e-6
+    same = signal.impulse_decay(arrays, "k", "x", rate, F.lit(True)).collect()
+    assert {(r.decay_seconds, r.error) for r in same} == {(0.03, None)}
     assert got[3].error == "silent impulse response" and got[3].decay_seconds is None
     assert got[4].error == "impulse response too short for RT60 estimate"
 

@@ -20,6 +20,8 @@ SCENE_GAIN_MIN = 0.03
 DECAY_TOLERANCE_LOW = 0.8
 DECAY_TOLERANCE_HIGH = 1.2
 DECAY_FLOOR_SECONDS = 0.03
+DECAY_ERRORS = {"short": "impulse response too short for RT60 estimate", "silent": "silent impulse response"}
+UNCHANGED_MEAN_SQUARE = 1e-8
 DECAY_CEILING_SECONDS = 4.0
 STYLE_SCORE_MIN = 3
 STYLE_SCORE_MAX = 4
