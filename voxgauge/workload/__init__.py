@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxgauge.workload import audit_queries, match_queries, run_queries, signal_queries, task_queries
+from voxgauge.workload import audit_queries, composed_queries, match_queries, run_queries, signal_queries, task_queries
 
-_MODULES = (task_queries, match_queries, signal_queries, audit_queries, run_queries)
+_MODULES = (task_queries, composed_queries, match_queries, signal_queries, audit_queries, run_queries)
 
 
 def all_queries() -> dict:
