@@ -10,8 +10,10 @@ regression of +1/-1 per language on these features gives the weights.
 Scoring. Kernel values are products of presence matrices, so features, landmarks and weights multiply out to one matrix of
 places by languages per length. Texts are scored in batches by one product with it; no landmark is visited per text.
 
-Fitting takes at most ``per_language`` different labelled texts of each language, those with the smallest hashes, as bits of
-``sum(PLACES)`` places each; their number of languages times that many rows reach the driver. Scoring covers all texts.
+Fitting takes at most ``per_language`` different labelled texts of each language as bits of ``sum(PLACES)`` places each;
+their number of languages times that many rows reach the driver. A text is a candidate if its hash falls into a share that
+the language's count gives (``CANDIDATES`` times as many as needed), so no task sees more of a large language than of a
+small one; of the different candidates the smallest hashes are taken. Scoring covers all texts.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ PLACES = (1 << 9, 1 << 12, 1 << 15)  # places for 1-, 2- and 3-grams
 _STARTS = np.concatenate([[0], np.cumsum(PLACES)])
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)  # odd constants of multiplicative hashing
 PER_LANGUAGE = 300
+CANDIDATES = 4  # candidates per text that is wanted; copies among them count once
 LANDMARKS = 240
 RIDGE = 1e-4
 SHARPNESS = 4.0  # turns margins into a score
@@ -119,11 +122,12 @@ def fit(marks: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     targets = np.array([[1.0 if x == language else -1.0 for language in languages] for x in labels])
     share = max(1, landmarks // len(languages))
     chosen = np.concatenate([np.flatnonzero(targets[:, k] > 0)[:share] for k in range(len(languages))])
-    centres = marks[chosen]
+    centres = marks[chosen].astype(np.float32)
     values, vectors = np.linalg.eigh(kernel(centres, centres))
     good = values > 1e-8 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    features = kernel(marks, centres) @ whiten
+    features = np.concatenate([kernel(marks[i:i + BATCH].astype(np.float32), centres) for i in range(0, len(marks), BATCH)])
+    features = features @ whiten
     mean, bias = features.mean(axis=0), targets.mean(axis=0)
     centred = features - mean
     solved = np.linalg.solve(centred.T @ centred + ridge * len(marks) * np.eye(good.sum()), centred.T @ (targets - bias))
@@ -140,8 +144,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     small_batches(docs.sparkSession)
     known = docs.filter((id_remainder(doc_id, modulus) != held_out) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = known.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    known = known.filter(F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    if not counts:
+        return fit(np.zeros((0, _STARTS[-1]), np.uint8), [])
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, CANDIDATES * per_language / n)])
     by_hash = W.partitionBy("lang").orderBy("hash")
-    chosen = known.filter(F.col("text").rlike(r"\p{L}")).select("lang", "hash").distinct()
+    drawn = F.shiftrightunsigned("hash", 11) / float(1 << 53) < shares[F.col("lang")]
+    chosen = known.filter(drawn).select("lang", "hash").distinct()
     chosen = chosen.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_language).drop("n")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +167,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     sample = known.join(F.broadcast(chosen), ["lang", "hash"], "left_semi").mapInArrow(
         bits, "lang string, hash long, bits binary")
     rows = sample.groupBy("lang", "hash").agg(F.first("bits").alias("bits")).orderBy("lang", "hash").collect()
-    marks = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows], np.float32).reshape(-1, _STARTS[-1])
+    marks = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8)).reshape(-1, _STARTS[-1])
     return fit(marks, [r["lang"] for r in rows], landmarks)
 
 
