@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from voxgauge.llm.near_dedup import connected, links, near_dedup, simhash
+from voxgauge.llm.near_dedup import connected, jaccard, links, near_dedup, shingle_set, similar_groups, simhash
 from voxgauge.llm.shared import LOWER_BYTES
 
 
@@ -90,3 +90,78 @@ def test_long_chains_are_one_group(spark):
     roots = dict(map(tuple, connected(df).collect()))
     assert {roots[n] for n in names[:200]} == {min(names[:200])}
     assert {roots[n] for n in names[200:]} == {min(names[200:])}
+
+
+def words_of(text):
+    return (text or "").encode().translate(LOWER_BYTES).split()
+
+
+def shingles(text, k=5):
+    words = words_of(text)
+    return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+
+
+def brute_similar(rows, sizes=(3, 5), similarity=0.8):
+    """Smallest id per document: candidates by fingerprints of either size, then Jaccard of five-word shingles."""
+    rows = sorted((i, t) for i, t in rows if i is not None)
+    sets, links = [shingles(t) for _, t in rows], set()
+    for k in sizes:
+        prints = [fingerprint(t, k) for _, t in rows]
+        first = {}
+        for n, p in enumerate(prints):
+            first.setdefault(p, n)
+        links |= {(first[p], n) for n, p in enumerate(prints) if first[p] < n}
+        links |= {(min(x, y), max(x, y)) for p, x in first.items() for q, y in first.items()
+                  if p < q and (p ^ q).bit_count() <= 3}
+    root = list(range(len(rows)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for x, y in links:
+        union = sets[x] | sets[y]
+        if not union or len(sets[x] & sets[y]) / len(union) >= similarity:
+            a, b = find(x), find(y)
+            root[max(a, b)] = min(a, b)
+    return {i: rows[find(n)][0] for n, (i, _) in enumerate(rows)}
+
+
+def test_similar_groups(docs, doc_rows, odd, odd_rows, none):
+    for df, rows in ((docs, list(doc_rows.items())), (odd, [r[:2] for r in odd_rows if r[0] != 14] + [odd_rows[14][:2]])):
+        want = {i: c for i, c in brute_similar(rows).items()}
+        counts = {}
+        for c in want.values():
+            counts[c] = counts.get(c, 0) + 1
+        got = dict(map(tuple, similar_groups(df).collect()))
+        assert got == {i: c for i, c in want.items() if counts[c] > 1}
+    assert similar_groups(none).collect() == []
+
+
+def test_small_edits_are_caught_and_others_left(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows, edited = [], []
+    for n in range(40):
+        words = list(rng.choice(vocabulary, 800))
+        rows.append((2 * n, " ".join(words)))
+        words[int(rng.integers(800))] = "edited"
+        rows.append((2 * n + 1, " ".join(words)))
+        edited.append(2 * n)
+    got = dict(map(tuple, similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert all(got[i] == i - i % 2 for i in got)
+    assert len(got) >= 2 * 34
+
+
+def test_shingle_sets(monkeypatch):
+    from voxgauge.llm import near_dedup as module
+    from voxgauge.llm.shared import word_blocks
+
+    text = " ".join(f"w{i * i % 101}" for i in range(300))
+    whole = shingle_set(text, 5)
+    assert len(whole) == len(shingles(text)) and jaccard(whole, whole) == 1
+    monkeypatch.setattr(module, "word_blocks", lambda data: word_blocks(data, 40))
+    assert (shingle_set(text, 5) == whole).all()
+    assert len(shingle_set("a b", 5)) == 1 and len(shingle_set(None, 5)) == 0
+    assert jaccard(shingle_set("", 5), shingle_set(" ", 5)) == 1.0 and jaccard(whole, shingle_set("a", 5)) == 0.0

@@ -12,10 +12,14 @@ the other half (again one of them differs in at most one bit), so crowded halves
 
 Groups. Large-star and small-star steps turn links into stars; every step is written to the shared folder, so lineage
 stays short and no links or groups pass through the driver.
+
+``near_dedup`` groups by fingerprints alone. ``similar_groups`` takes links of fingerprints over several shingle sizes as
+candidates and groups documents by those whose sets of shingles are as similar as asked for.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,3 +154,71 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     labels = rooted.select("bits", "root").join(groups, "root").select("bits", "component_id")
     return prints.join(labels, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted different hashes of a text's shingles; a text with fewer words is one shingle, without words none."""
+    parts, carry, total = [], [], 0
+    for words in word_blocks((text or "").encode().translate(LOWER_BYTES)):
+        words = carry + words
+        n = len(words) - shingle + 1
+        if n > 0:
+            parts.append(np.array([xxhash.xxh64_intdigest(b" ".join(words[i:i + shingle]), SEED) for i in range(n)], np.uint64))
+            total += n
+        carry = words[max(0, n):]
+    if not total and carry:
+        parts.append(np.array([xxhash.xxh64_intdigest(b" ".join(carry), SEED)], np.uint64))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; two empty ones are alike."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def candidate_pairs(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """Pairs ``left < right`` of ids: each document with the first of its fingerprint, firsts of linked fingerprints."""
+    prints = kept_table(fingerprints(docs, doc_id, text, shingle).filter("doc_id IS NOT NULL"), "fingerprints")
+    nodes = kept_table(prints.groupBy("bits").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")), "nodes")
+    same = prints.join(nodes.filter("n > 1"), "bits").filter("doc_id > lowest").select(
+        F.col("lowest").alias("left"), F.col("doc_id").alias("right"))
+    linked = kept_table(links(nodes.select("bits")), "links")
+    ends = linked.join(nodes.select(F.col("bits").alias("a"), F.col("lowest").alias("x")), "a").join(
+        nodes.select(F.col("bits").alias("b"), F.col("lowest").alias("y")), "b")
+    return same.unionByName(ends.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")))
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
+                   fingerprint_shingles: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """``doc_id, component_id``: documents of groups with more than one member; the smallest id of the group.
+
+    Candidates are links of fingerprints over each of ``fingerprint_shingles``; a pair counts if the Jaccard similarity of
+    the sets of its ``shingle``-word shingles, over whole texts, is at least ``similarity``. Null ids are never grouped; of
+    rows that repeat an id any one stands for it. Two texts without a word are alike. An empty table gives none.
+    """
+    small_batches(docs.sparkSession)
+    pairs = [candidate_pairs(docs, doc_id, text, k) for k in fingerprint_shingles]
+    pairs = kept_table(functools.reduce(DataFrame.unionByName, pairs).distinct(),
+                       "candidates")
+    involved = pairs.select(F.explode(F.array("left", "right")).alias("doc_id")).distinct()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    sets = rows.join(involved, "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, shingles binary")
+    sets = kept_table(sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "shingle-sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("left"), F.col("shingles").alias("a")), "left").join(
+        sets.select(F.col("doc_id").alias("right"), F.col("shingles").alias("b")), "right")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = [jaccard(*(np.frombuffer(x.as_py(), np.uint64) for x in two)) >= similarity
+                     for two in zip(batch.column("a"), batch.column("b"))]
+            yield pa.RecordBatch.from_arrays([batch.column("left"), batch.column("right")], ["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+    alike = both.select("left", "right", "a", "b").mapInArrow(verify, "a long, b long")
+    return connected(alike).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
