@@ -9,10 +9,10 @@ from voxgauge.functions import labels as lb
 from voxgauge.functions.naming import shown_with_rest
 from voxgauge.operators import digest
 from voxgauge.operators import responses as rs
-from voxgauge.operators.rollup import count_if, mean, rate
+from voxgauge.operators.rollup import count_if, mean, rate, summarise
 from voxgauge.plans import report
 from voxgauge.session import scratch_folder, table
-from voxgauge.sources import history
+from voxgauge.sources import files, history
 from voxgauge.sources import samples as sm
 from voxgauge.streaming import incremental as inc
 from voxgauge.workload import duck_text as dt
@@ -171,6 +171,42 @@ def selected_tasks(spark, sf):
     return report.selected_tasks(registry).select("task", "skipped")
 
 
+def selected_one(spark, sf):
+    """One task asked for by name, and the whole registry with its disabled tasks."""
+    registry = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("task"), (F.col("s_acctbal") > 0).alias("enabled"))
+    one, everything = report.selected_tasks(registry, "7"), report.selected_tasks(registry, include_disabled=True)
+    return one.withColumn("asked", F.lit("7")).unionByName(everything.withColumn("asked", F.lit("all"))).select(
+        "asked", "task", "skipped")
+
+
+MANIFEST_TASKS = """
+SELECT source AS task_id, concat('data/', source, '/samples.jsonl') AS samples_jsonl, count(*) AS samples,
+  count(DISTINCT n_chars) AS audio_files, sum(n_chars) AS audio_bytes
+FROM {documents} GROUP BY source
+"""
+
+
+def manifest_scan(spark, sf):
+    """A release manifest of the documents' sources, written as one JSON document and read back."""
+    folder = scratch_folder(spark, "manifest")
+    tasks = spark_table(spark, sf, MANIFEST_TASKS).agg(F.collect_list(F.struct("*")).alias("tasks"))  # a row per source
+    tasks.select(F.lit("b").alias("benchmark"), F.lit("v1.1").alias("version"), "tasks").coalesce(1).write.json(folder)
+    return files.load_manifest(spark, folder).select("task_id", "samples_jsonl", "samples", "audio_files", "audio_bytes")
+
+
+def summary_sink(spark, sf):
+    """A summary stamped with its run, appended to the history, read back as the latest."""
+    folder = scratch_folder(spark, "summaries")
+    dims, measures = _stream_parts()
+    summary = summarise(table(spark, sf, "events"), dims, measures)
+    for run_id in ("0001", "0002"):
+        history.append_run(history.stamp(
+            summary, dataset_version=fv.DATASET_VERSION, evaluator_version="1", model_name="007", task_id="style_editing",
+            eval_set="2024", run_id=run_id), folder)
+    return history.latest_runs(history.read_runs(spark, folder)).drop("task_id", "dataset_version", "evaluator_version")
+
+
 GROUP_LISTS = "SELECT c_nationkey, c_mktsegment FROM {customer}"
 
 
@@ -325,6 +361,9 @@ QUERIES = {
     "task_status": task_status,
     "run_status": run_status,
     "selected_tasks": selected_tasks,
+    "selected_one": selected_one,
+    "manifest_scan": manifest_scan,
+    "summary_sink": summary_sink,
     "missing_shown": missing_shown,
     "jsonl_scan": jsonl_scan,
     "line_errors": line_errors,
@@ -372,6 +411,10 @@ def _emotion_text_sql() -> str:
     || '. Choose one of: ' || {names} || '. Answer with one JSON object holding predicted_emotion, confidence and rationale.' END"""
 
 
+_STREAM_SQL = dt.summary(
+    "e", {"task": "event_type", "user": "user_id"},
+    {"total": "count(*)", "target_success_rate": dt.rate("t"), "avg_value": dt.mean("value")})
+
 ORACLES = {
     "last_response": f"""WITH {_USABLE} SELECT k AS key, event_id, obj, value FROM (SELECT *,
     row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS rn FROM u) WHERE rn = 1""",
@@ -407,6 +450,11 @@ SELECT run_id, count(*) AS tasks, count(*) FILTER (WHERE NOT blocked) AS ok_task
 FROM s GROUP BY 1""",
     "selected_tasks": """SELECT s_suppkey::VARCHAR AS task,
     CASE WHEN s_acctbal > 0 THEN NULL ELSE 'disabled in registry' END AS skipped FROM supplier""",
+    "selected_one": """SELECT '7' AS asked, s_suppkey::VARCHAR AS task, NULL::VARCHAR AS skipped FROM supplier WHERE s_suppkey = 7
+UNION ALL SELECT 'all', s_suppkey::VARCHAR, NULL FROM supplier""",
+    "manifest_scan": duck(MANIFEST_TASKS),
+    "summary_sink": f"""WITH e AS (SELECT *, CASE WHEN user_id % 7 <> 0 THEN value > 30 END AS t FROM events),
+s AS ({_STREAM_SQL}) SELECT *, '007' AS model_name, '2024' AS eval_set, '0002' AS run_id FROM s""",
     "missing_shown": f"""WITH g AS (SELECT c_nationkey, list_sort(list(DISTINCT c_mktsegment)) AS l FROM customer GROUP BY 1)
 SELECT c_nationkey, array_to_string(l[1:4], ', ') || CASE WHEN len(l) > 4
     THEN ', ... (+' || (len(l) - 4)::VARCHAR || ' more)' ELSE '' END AS shown FROM g""",
@@ -423,9 +471,7 @@ FROM l WHERE trim(line) <> '' AND {_STATUS} <> 'ok'""",
 SELECT *, 'v1.1' AS dataset_version FROM r WHERE run_id = (SELECT max(run_id) FROM r x WHERE x.task_id = r.task_id)""",
     "response_log": f"""WITH {_USABLE} SELECT k AS key, obj FROM (SELECT *,
     row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS rn FROM u) WHERE rn = 1""",
-    "stream_summary": "WITH e AS (SELECT *, CASE WHEN user_id % 7 <> 0 THEN value > 30 END AS t FROM events) " + dt.summary(
-        "e", {"task": "event_type", "user": "user_id"},
-        {"total": "count(*)", "target_success_rate": dt.rate("t"), "avg_value": dt.mean("value")}),
+    "stream_summary": "WITH e AS (SELECT *, CASE WHEN user_id % 7 <> 0 THEN value > 30 END AS t FROM events) " + _STREAM_SQL,
     "stream_progress": """SELECT count(*) AS processed_outputs, count(*) AS available_outputs, TRUE AS done FROM events""",
     "stream_last_response": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (
     PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
