@@ -122,11 +122,13 @@ def _word_strings(ref: Column, hyp: Column) -> Column:
     """Struct ``(r, h)`` of strings with one code point per word: equal words, equal code points.
 
     A 20-bit hash is used when it is collision-free on the pair's vocabulary (checked per pair); otherwise the word's
-    position in the vocabulary is used.
+    position in the vocabulary is used. One pair may have up to 1,048,576 different words, more than any recording holds;
+    beyond that the job fails with a message that says so.
     """
     def encode(vocabulary: Column) -> Column:
         collision_free = F.size(F.array_distinct(_hash_codes(vocabulary))) == F.size(vocabulary)
-        return F.when(collision_free, F.struct(
+        too_many = F.raise_error(F.lit(f"a pair of texts has more than {_CODE_SPACE} different words"))
+        return F.when(F.size(vocabulary) > _CODE_SPACE, too_many).when(collision_free, F.struct(
             _as_code_points(_hash_codes(ref)).alias("r"), _as_code_points(_hash_codes(hyp)).alias("h"),
         )).otherwise(F.struct(
             _as_code_points(_position_codes(ref, vocabulary)).alias("r"),

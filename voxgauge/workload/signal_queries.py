@@ -202,11 +202,17 @@ def character_tokens(spark, sf):
 # --- stress ------------------------------------------------------------------------------------------------------
 # The output of a turn is the same words spoken from the second one on (two in three turns) or the following turn.
 
+#: Turns; the Chinese ones (the assistant's) have ideographs for letters.
+STRESS_TURNS = f"""
+SELECT conv_id, turn, role, n, sample_id, CASE WHEN role = 'assistant' THEN translate(text, 'abcdefghijklmnopqrstuvwxyz',
+  '一二三四五六七八九十百千万人口日月山水火木金土天地上') ELSE text END AS text
+FROM ({TURNS}) t
+"""
 SPOKEN = f"""
-SELECT s.sample_id, 'source' AS side, s.text FROM ({TURNS}) s
+SELECT s.sample_id, 'source' AS side, s.text FROM ({STRESS_TURNS}) s
 UNION ALL
 SELECT s.sample_id, 'output', CASE WHEN s.n % 3 = 0 THEN o.text ELSE s.text END
-FROM ({TURNS}) s JOIN ({TURNS}) o ON o.conv_id = s.conv_id AND o.turn = s.turn + 1
+FROM ({STRESS_TURNS}) s JOIN ({STRESS_TURNS}) o ON o.conv_id = s.conv_id AND o.turn = s.turn + 1
 """
 
 
@@ -224,7 +230,7 @@ def _tokens(spark, sf):
 
 def _targets(spark, sf):
     """Stress words of a sample, as far as it has them: its second word, its third with the fourth, a word nobody says."""
-    listed = spark_table(spark, sf, TURNS).withColumn("w", words(F.col("text"))).withColumn("targets", F.array_compact(F.array(
+    listed = spark_table(spark, sf, STRESS_TURNS).withColumn("w", words(F.col("text"))).withColumn("targets", F.array_compact(F.array(
         F.get("w", 1), F.when(F.size("w") >= 3, F.concat_ws(" ", F.get("w", 2), F.get("w", 3))),
         F.when(F.col("n") % 4 == 0, "xylophone"))))
     return listed.select(
@@ -350,7 +356,7 @@ tg AS (SELECT sample_id, language, unnest(ts) AS word, generate_subscripts(ts, 1
       list_filter([ws[2], CASE WHEN len(ws) >= 3 THEN concat_ws(' ', ws[3], ws[4]) END,
         CASE WHEN n % 4 = 0 THEN 'xylophone' END], lambda x: x IS NOT NULL) AS ts
     FROM (SELECT *, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
-        FROM ({duck(TURNS)})))),
+        FROM ({duck(STRESS_TURNS)})))),
 pr AS (SELECT s.*, t.language, t.word_index, t.word,
     list_filter(string_split(regexp_replace(lower(t.word), '[^a-z0-9'']+', ' ', 'g'), ' '), lambda x: x <> '') AS tw,
     regexp_replace(t.word, '[^\x{{4e00}}-\x{{9fff}}0-9a-zA-Z]', '', 'g') AS tz FROM sides s JOIN tg t USING (sample_id)),
