@@ -1,18 +1,18 @@
 import numpy as np
 import xxhash
 
-from voxgauge.llm.near_dedup import connected, jaccard, links, near_dedup, shingle_set, similar_groups, simhash
+from voxgauge.llm.near_dedup import VIEWS, connected, jaccard, links, near_dedup, shingle_set, similar_groups, simhash
 from voxgauge.llm.shared import LOWER_BYTES
 
 
-def fingerprint(text, k=3):
+def fingerprint(text, k=3, seed=42):
     words = (text or "").encode().translate(LOWER_BYTES).split()
     if not words:
         return 0
     shingles = [words[i:i + k] for i in range(len(words) - k + 1)] or [words]
     votes = [0] * 64
     for s in shingles:
-        h = xxhash.xxh64_intdigest(b" ".join(s), 42)
+        h = xxhash.xxh64_intdigest(b" ".join(s), seed)
         for bit in range(64):
             votes[bit] += h >> bit & 1
     return sum(1 << bit for bit in range(64) if votes[bit] * 2 > len(shingles))
@@ -64,7 +64,7 @@ def test_blocks_of_words_change_nothing(monkeypatch):
 
     text = " ".join(f"w{i * i % 101}" for i in range(400))
     monkeypatch.setattr(module, "word_blocks", lambda data: word_blocks(data, 50))
-    assert simhash(text, 3) == fingerprint(text)
+    assert simhash(text, 3) == fingerprint(text) and simhash(text, 5, 43) == fingerprint(text, 5, 43)
 
 
 def test_links_are_complete_also_in_crowded_halves(spark):
@@ -78,7 +78,7 @@ def test_links_are_complete_also_in_crowded_halves(spark):
     want = {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
     table = spark.createDataFrame([(p,) for p in prints], "bits long")
     for hot in (1, 8, 10_000):
-        found = [tuple(r) for r in links(table, hot_bucket=hot).collect()]
+        found = [tuple(r) for r in links(table, hot_bucket=hot, hashed=hot == 8).collect()]
         assert len(found) == len(set(found)) and set(found) == want
 
 
@@ -101,12 +101,12 @@ def shingles(text, k=5):
     return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
 
 
-def brute_similar(rows, sizes=(3, 5), similarity=0.8):
-    """Smallest id per document: candidates by fingerprints of either size, then Jaccard of five-word shingles."""
+def brute_similar(rows, views=VIEWS, similarity=0.8):
+    """Smallest id per document: candidates by any of the fingerprints, then Jaccard of five-word shingles."""
     rows = sorted((i, t) for i, t in rows if i is not None)
     sets, links = [shingles(t) for _, t in rows], set()
-    for k in sizes:
-        prints = [fingerprint(t, k) for _, t in rows]
+    for view in views:
+        prints = [simhash(t, *view) for _, t in rows]  # held against plain Python above
         first = {}
         for n, p in enumerate(prints):
             first.setdefault(p, n)

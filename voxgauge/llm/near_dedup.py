@@ -13,8 +13,9 @@ the other half (again one of them differs in at most one bit), so crowded halves
 Groups. Large-star and small-star steps turn links into stars; every step is written to the shared folder, so lineage
 stays short and no links or groups pass through the driver.
 
-``near_dedup`` groups by fingerprints alone. ``similar_groups`` takes links of fingerprints over several shingle sizes as
-candidates and groups documents by those whose sets of shingles are as similar as asked for.
+``near_dedup`` groups by fingerprints alone. ``similar_groups`` takes links of several fingerprints (shingle sizes and hash
+seeds) as candidates and groups documents by those whose sets of shingles are as similar as asked for: each fingerprint is
+another chance for near copies whose first one differs in more bits.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ from voxgauge.llm.shared import LOWER_BYTES, kept_table, small_batches, word_blo
 MAX_DISTANCE = 3
 HOT_BUCKET = 256
 SEED = 42
+VIEWS = ((2, 42), (2, 43))  # fingerprints that give candidates: words of a shingle, hash seed
 
 
-def simhash(text: str | None, shingle: int) -> int:
+def simhash(text: str | None, shingle: int, seed: int = SEED) -> int:
     """Unsigned 64-bit fingerprint of a text; zero if it has no word."""
     votes, total, carry = np.zeros(64, np.int64), 0, []
     for words in word_blocks((text or "").encode().translate(LOWER_BYTES)):
@@ -45,22 +47,23 @@ def simhash(text: str | None, shingle: int) -> int:
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             starts = np.concatenate([[0], ends[:-1] + 1])
             spans = zip(starts[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist())
-            hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], ">u8")
+            hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans], ">u8")
             votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
             total += len(hashes)
         carry = words[max(0, len(words) - shingle + 1):]
     if not total:
-        return 0 if not carry else xxhash.xxh64_intdigest(b" ".join(carry), SEED)
+        return 0 if not carry else xxhash.xxh64_intdigest(b" ".join(carry), seed)
     return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+                 seed: int = SEED) -> DataFrame:
     """``doc_id, bits``: the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([simhash(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
+            prints = np.array([simhash(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "bits"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
@@ -84,14 +87,18 @@ def _keys(bits: Column, width: int, parts: int, ball: bool) -> Column:
     return F.array(*keys)
 
 
-def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, hot_bucket: int = HOT_BUCKET,
+          hashed: bool = False) -> DataFrame:
     """Pairs ``a < b`` of different fingerprints (column ``bits``, distinct) at ``max_distance`` or fewer bits, once each.
 
     Exact for distances up to 3: then one of two halves (and, within the other half, one of its quarters) is in the ball.
+    ``hashed``: keep the table in hash maps per partition, whatever its size, instead of leaving the join to the planner.
     """
     if not 0 <= max_distance <= 3:
         raise ValueError("two parts with balls of one bit find distances up to 3")
     table = prints.select(F.col("bits").alias("b"), F.explode(_keys(F.col("bits"), 32, 2, ball=False)).alias("key"))
+    if hashed:
+        table = table.hint("shuffle_hash")
     probes = prints.select(F.col("bits").alias("a"), F.explode(_keys(F.col("bits"), 32, 2, ball=True)).alias("key"))
     crowded = table.groupBy("key").count().filter(F.col("count") > hot_bucket).select("key")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
@@ -177,28 +184,28 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
-def candidate_pairs(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+def candidate_pairs(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int) -> DataFrame:
     """Pairs ``left < right`` of ids: each document with the first of its fingerprint, firsts of linked fingerprints."""
-    prints = kept_table(fingerprints(docs, doc_id, text, shingle).filter("doc_id IS NOT NULL"), "fingerprints")
+    prints = kept_table(fingerprints(docs, doc_id, text, shingle, seed).filter("doc_id IS NOT NULL"), "fingerprints")
     nodes = kept_table(prints.groupBy("bits").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")), "nodes")
     same = prints.join(nodes.filter("n > 1"), "bits").filter("doc_id > lowest").select(
         F.col("lowest").alias("left"), F.col("doc_id").alias("right"))
-    linked = kept_table(links(nodes.select("bits")), "links")
+    linked = kept_table(links(nodes.select("bits"), hashed=True), "links")
     ends = linked.join(nodes.select(F.col("bits").alias("a"), F.col("lowest").alias("x")), "a").join(
         nodes.select(F.col("bits").alias("b"), F.col("lowest").alias("y")), "b")
     return same.unionByName(ends.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")))
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
-                   fingerprint_shingles: tuple[int, ...] = (3, 5)) -> DataFrame:
+                   views: tuple[tuple[int, int], ...] = VIEWS) -> DataFrame:
     """``doc_id, component_id``: documents of groups with more than one member; the smallest id of the group.
 
-    Candidates are links of fingerprints over each of ``fingerprint_shingles``; a pair counts if the Jaccard similarity of
+    Candidates are links of fingerprints in each of ``views`` (words of a shingle, hash seed); a pair counts if the Jaccard similarity of
     the sets of its ``shingle``-word shingles, over whole texts, is at least ``similarity``. Null ids are never grouped; of
     rows that repeat an id any one stands for it. Two texts without a word are alike. An empty table gives none.
     """
     small_batches(docs.sparkSession)
-    pairs = [candidate_pairs(docs, doc_id, text, k) for k in fingerprint_shingles]
+    pairs = [candidate_pairs(docs, doc_id, text, *view) for view in views]
     pairs = kept_table(functools.reduce(DataFrame.unionByName, pairs).distinct(),
                        "candidates")
     involved = pairs.select(F.explode(F.array("left", "right")).alias("doc_id")).distinct()
