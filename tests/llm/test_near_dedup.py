@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import xxhash
 
@@ -165,3 +167,40 @@ def test_shingle_sets(monkeypatch):
     assert (shingle_set(text, 5) == whole).all()
     assert len(shingle_set("a b", 5)) == 1 and len(shingle_set(None, 5)) == 0
     assert jaccard(shingle_set("", 5), shingle_set(" ", 5)) == 1.0 and jaccard(whole, shingle_set("a", 5)) == 0.0
+
+
+def all_pairs(rows, similarity=0.8):
+    """Smallest id per document of groups with more than one member: all pairs compared, no fingerprint looked at."""
+    sets, root = {i: shingles(t) for i, t in rows if i is not None}, {}
+    find = lambda i: i if root.get(i, i) == i else find(root[i])
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    counts = Counter(map(find, sets))
+    return {i: find(i) for i in sets if counts[find(i)] > 1}
+
+
+def groups_of(spark, rows, **kw):
+    return dict(map(tuple, similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect()))
+
+
+def test_all_pairs_of_the_similarity_are_found(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in range(30):
+        words = [f"w{w}" for w in rng.integers(0, 400, int(rng.integers(60, 300)))]
+        for copy in range(3):
+            edited = list(words)
+            for at in rng.choice(len(words), max(1, len(words) * copy // 60), replace=False):
+                edited[at] = f"e{rng.integers(0, 400)}"
+            rows.append((3 * n + copy, " ".join(edited)))
+    want = all_pairs(rows)
+    assert groups_of(spark, rows) == want and 45 <= len(want) < 90
+    assert groups_of(spark, rows, similarity=0.6) == all_pairs(rows, 0.6)
+
+
+def test_whole_tables_against_all_pairs(docs, doc_rows, odd, odd_rows):
+    assert dict(map(tuple, similar_groups(docs).collect())) == all_pairs(list(doc_rows.items()))
+    assert dict(map(tuple, similar_groups(odd).collect())) == all_pairs([r[:2] for r in odd_rows])

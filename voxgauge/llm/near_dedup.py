@@ -13,14 +13,19 @@ the other half (again one of them differs in at most one bit), so crowded halves
 Groups. Large-star and small-star steps turn links into stars; every step is written to the shared folder, so lineage
 stays short and no links or groups pass through the driver.
 
-``near_dedup`` groups by fingerprints alone. ``similar_groups`` takes links of several fingerprints (shingle sizes and hash
-seeds) as candidates and groups documents by those whose sets of shingles are as similar as asked for: each fingerprint is
-another chance for near copies whose first one differs in more bits.
+``near_dedup`` groups by fingerprints alone. ``similar_groups`` does without them and finds all pairs of documents whose sets
+of shingles are as similar as asked for, by prefix filtering: with the shingles of all documents in one order, two sets of
+Jaccard similarity t share one of their first ``n - ceil(t n) + 1`` shingles. The order is by how often a shingle's bucket
+occurs in the whole table, rare ones first, so what many documents share hardly ever makes a candidate. Documents at one such
+shingle are a run. First each run's lowest document is compared with the others, then, of what that leaves in different
+groups, all pairs; so a large group of near copies costs about one comparison per document, and no pair is passed over
+unless its two documents are in one group already. Pairs are screened by parity bits (they differ in at most as many places
+as the sets), those that stay are compared by their complete sets.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +39,10 @@ from voxgauge.llm.shared import LOWER_BYTES, kept_table, small_batches, word_blo
 MAX_DISTANCE = 3
 HOT_BUCKET = 256
 SEED = 42
-VIEWS = ((2, 42), (2, 43))  # fingerprints that give candidates: words of a shingle, hash seed
+VIEWS = ((2, 42), (2, 43))  # words of a shingle and seed of fingerprints that the tests compare groups with; not used here
+BUCKETS, BLOCKS = 1 << 20, 64  # counts that order the shingles, and the rows in which they travel
+PART_KEYS = 1 << 20  # shingles of prefixes that one call sees, about
+SLACK = 1e-9  # rounding errors never cost a candidate
 
 
 def simhash(text: str | None, shingle: int, seed: int = SEED) -> int:
@@ -184,48 +192,193 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
-def candidate_pairs(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int) -> DataFrame:
-    """Pairs ``left < right`` of ids: each document with the first of its fingerprint, firsts of linked fingerprints."""
-    prints = kept_table(fingerprints(docs, doc_id, text, shingle, seed).filter("doc_id IS NOT NULL"), "fingerprints")
-    nodes = kept_table(prints.groupBy("bits").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")), "nodes")
-    same = prints.join(nodes.filter("n > 1"), "bits").filter("doc_id > lowest").select(
-        F.col("lowest").alias("left"), F.col("doc_id").alias("right"))
-    linked = kept_table(links(nodes.select("bits"), hashed=True), "links")
-    ends = linked.join(nodes.select(F.col("bits").alias("a"), F.col("lowest").alias("x")), "a").join(
-        nodes.select(F.col("bits").alias("b"), F.col("lowest").alias("y")), "b")
-    return same.unionByName(ends.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")))
+def parity(shingles: np.ndarray) -> bytes:
+    """One bit per place, set if an odd number of shingles falls on it; about as many places as shingles, a power of two."""
+    places = max(64, 1 << len(shingles).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1 == 1).tobytes()
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
-                   views: tuple[tuple[int, int], ...] = VIEWS) -> DataFrame:
-    """``doc_id, component_id``: documents of groups with more than one member; the smallest id of the group.
+def may_be_alike(a: bytes, b: bytes, total: int, similarity: float) -> bool:
+    """False only if two sets of ``total`` elements together differ in too many, by their parity bits."""
+    a, b = (np.frombuffer(x, np.uint8) for x in (a, b))
+    size = min(len(a), len(b))
+    differ = np.bitwise_xor.reduce(a.reshape(-1, size)) ^ np.bitwise_xor.reduce(b.reshape(-1, size))
+    return np.bitwise_count(differ).sum() <= (1 - similarity) / (1 + similarity) * total + SLACK
+
+
+def _marks(docs: DataFrame, shingle: int) -> DataFrame:
+    """Per document ``doc_id, digest, n, parity`` of its set; per task and block ``block, counts`` of all shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, names = np.zeros(BUCKETS, np.uint32), ["doc_id", "digest", "n", "parity", "block", "counts"]
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                own = shingle_set(text.as_py(), shingle)
+                np.add.at(counts, _bucket(own), 1)
+                rows.append((hashlib.sha256(own.tobytes()).digest()[:16], len(own), parity(own)))
+            digests, sizes, bits = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()),
+                 pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.nulls(BLOCKS, pa.int32()),
+                 pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()),
+                 pa.array([x.tobytes() for x in np.split(counts, BLOCKS)], pa.binary())], names)
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, n int, parity binary, block int, counts binary")
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+
+
+def _bucket_counts(marks: DataFrame) -> np.ndarray:
+    """Counts of the whole table; ``BUCKETS`` numbers whatever its size."""
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS // BLOCKS, np.uint64)
+        for counts in table.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), np.uint32)
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    found = marks.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
+        add, "block int, counts binary").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in sorted(found, key=lambda r: r["block"])]
+                          or [np.zeros(BUCKETS, np.uint64)])
 
-    Candidates are links of fingerprints in each of ``views`` (words of a shingle, hash seed); a pair counts if the Jaccard similarity of
-    the sets of its ``shingle``-word shingles, over whole texts, is at least ``similarity``. Null ids are never grouped; of
-    rows that repeat an id any one stands for it. Two texts without a word are alike. An empty table gives none.
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles by count of the bucket, then hash; similar sets share one of them."""
+    keep = len(shingles) - int(np.ceil(similarity * len(shingles) - SLACK)) + 1
+    return shingles[np.lexsort((shingles, counts[_bucket(shingles)]))[:keep]]
+
+
+def _runs(docs: DataFrame, shingle: int, similarity: float, counts: np.ndarray, parts: int) -> DataFrame:
+    """``ids, sizes``: documents that share a shingle of their prefixes, in ascending order, and the sizes of their sets.
+
+    Shingles travel packed, as 32 bits beside their part; two that agree in them only make a longer run.
     """
-    small_batches(docs.sparkSession)
-    pairs = [candidate_pairs(docs, doc_id, text, *view) for view in views]
-    pairs = kept_table(functools.reduce(DataFrame.unionByName, pairs).distinct(),
-                       "candidates")
-    involved = pairs.select(F.explode(F.array("left", "right")).alias("doc_id")).distinct()
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def packed(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        keys = np.concatenate([x for _, _, x in held])
+        lengths = [len(x) for _, _, x in held]
+        ids = np.repeat(np.array([i for i, _, _ in held], np.int64), lengths)
+        sizes = np.repeat(np.array([n for _, n, _ in held], np.int32), lengths)
+        part = (keys % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        names, starts = np.unique(part[order], return_index=True)
+        cut = lambda x: pa.array([y.tobytes() for y in np.split(x[order], starts[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int32()), cut((keys >> np.uint64(32)).astype(np.uint32)), cut(ids), cut(sizes)],
+            ["part", "key", "ids", "sizes"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = shingle_set(text.as_py(), shingle)
+                if len(own):
+                    held.append((doc_id, len(own), prefix(own, shared.value, similarity)))
+                else:  # sets without an element meet at one key
+                    held.append((doc_id, 0, np.zeros(1, np.uint64)))
+                total += len(held[-1][2])
+                if total >= PART_KEYS // 4:
+                    yield packed(held)
+                    held, total = [], 0
+        if held:
+            yield packed(held)
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys, ids, sizes = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+                            for name, kind in (("key", np.uint32), ("ids", np.int64), ("sizes", np.int32)))
+        order = np.lexsort((sizes, ids, keys))
+        keys, ids, sizes = keys[order], ids[order], sizes[order]
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1])])
+        keys, ids, sizes = keys[fresh], ids[fresh], sizes[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        found = {}
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist()):
+            if b - a > 1:
+                ordered = np.sort(sizes[a:b])
+                if (ordered[:-1] >= similarity * ordered[1:] - SLACK).any():
+                    found[ids[a:b].tobytes()] = (a, b)
+        return pa.table({"ids": pa.array([ids[a:b] for a, b in found.values()], pa.list_(pa.int64())),
+                         "sizes": pa.array([sizes[a:b] for a, b in found.values()], pa.list_(pa.int32()))})
+
+    rows = docs.mapInArrow(emit, "part int, key binary, ids binary, sizes binary")
+    return rows.groupBy("part").applyInArrow(gather, "ids array<long>, sizes array<int>").distinct()
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, marks: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of different ``pairs`` (``a < b``) whose sets are similar: screened by parity bits, then by complete sets."""
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            same = [p["digest"] == q["digest"] for p, q in zip(x, y)]
+            stays = [e or may_be_alike(p["parity"], q["parity"], p["n"] + q["n"], similarity) for e, p, q in zip(same, x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.bool_())],
+                                             ["a", "b", "same"]).filter(pa.array(stays, pa.bool_()))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
-
-    sets = rows.join(involved, "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, shingles binary")
-    sets = kept_table(sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "shingle-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("left"), F.col("shingles").alias("a")), "left").join(
-        sets.select(F.col("doc_id").alias("right"), F.col("shingles").alias("b")), "right")
+            digests = [hashlib.sha256(x).digest()[:16] for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())],
+                                             ["doc_id", "digest", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             close = [jaccard(*(np.frombuffer(x.as_py(), np.uint64) for x in two)) >= similarity
-                     for two in zip(batch.column("a"), batch.column("b"))]
-            yield pa.RecordBatch.from_arrays([batch.column("left"), batch.column("right")], ["a", "b"]).filter(pa.array(close, pa.bool_()))
+                     for two in zip(batch.column("x"), batch.column("y"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+    def both(pairs: DataFrame, table: DataFrame, value: Column) -> DataFrame:
+        side = lambda name, to: table.select(F.col("doc_id").alias(name), value.alias(to))
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+
+    screened = kept_table(both(pairs, marks, F.struct("digest", "n", "parity")).mapInArrow(
+        screen, "a long, b long, same boolean"), "screened")
+    open_pairs = screened.filter("NOT same").select("a", "b")
+    involved = open_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = docs.join(involved, "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, digest binary, shingles binary")
+    sets = kept_table(sets.groupBy("doc_id").agg(F.min(F.struct("digest", "shingles")).alias("s")).select(
+        "doc_id", "s.shingles"), "shingle-sets")
+    found = both(open_pairs, sets, F.col("shingles")).mapInArrow(verify, "a long, b long")
+    return kept_table(found.unionByName(screened.filter("same").select("a", "b")), "alike")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
+                   similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id``: documents of groups with more than one member; the smallest id of the group.
 
-    alike = both.select("left", "right", "a", "b").mapInArrow(verify, "a long, b long")
+    Groups are what all pairs connect whose sets of ``shingle``-word shingles, over whole texts, have a Jaccard similarity
+    of at least ``similarity``. Null ids are never grouped; of rows that repeat an id any one stands for it. Two texts
+    without a word are alike. An empty table gives none.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("prefixes find similarities above 0 and up to 1")
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+    marks = kept_table(_marks(rows, shingle), "marks")
+    counts = _bucket_counts(marks)
+    own = marks.filter("block IS NULL").groupBy("doc_id").agg(F.min(F.struct("digest", "n", "parity")).alias("m"))
+    own = kept_table(own.select("doc_id", "m.*"), "own-marks")
+    parts = 1 + int((1 - similarity) * int(counts.sum()) / PART_KEYS)
+    runs = kept_table(_runs(rows, shingle, similarity, counts, parts), "runs")
+    runs = kept_table(runs.withColumn("run", F.monotonically_increasing_id()), "numbered-runs")
+    members = runs.select("run", F.expr("ids[0]").alias("first"), F.inline(F.arrays_zip("ids", "sizes")))
+    members = members.withColumnRenamed("ids", "doc_id").withColumnRenamed("sizes", "n")
+    fits = f"least({{0}}, {{1}}) >= {similarity} * greatest({{0}}, {{1}}) - {SLACK}"
+    stars = runs.select(F.expr("ids[0]").alias("a"), F.expr("sizes[0]").alias("m"), F.inline(F.arrays_zip("ids", "sizes")))
+    stars = stars.filter("ids > a").filter(fits.format("sizes", "m")).select("a", F.col("ids").alias("b")).distinct()
+    alike = _alike(kept_table(stars, "stars-of-runs"), rows, own, shingle, similarity)
+    roots = kept_table(connected(alike), "roots").withColumnRenamed("node", "doc_id")
+    longer = members.join(runs.filter("size(ids) > 2").select("run"), "run", "left_semi").filter("doc_id <> first")
+    longer = kept_table(longer.join(roots, "doc_id", "left").select(
+        "run", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "members")
+    left, right = (longer.select("run", *[F.col(c).alias(c + side) for c in ("doc_id", "n", "root")]) for side in "xy")
+    rest = left.join(right, "run").filter("doc_idx < doc_idy AND rootx <> rooty").filter(fits.format("nx", "ny"))
+    rest = rest.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    alike = alike.unionByName(_alike(kept_table(rest, "rest-of-runs"), rows, own, shingle, similarity))
     return connected(alike).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
