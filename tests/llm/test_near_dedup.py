@@ -204,3 +204,27 @@ def test_all_pairs_of_the_similarity_are_found(spark):
 def test_whole_tables_against_all_pairs(docs, doc_rows, odd, odd_rows):
     assert dict(map(tuple, similar_groups(docs).collect())) == all_pairs(list(doc_rows.items()))
     assert dict(map(tuple, similar_groups(odd).collect())) == all_pairs([r[:2] for r in odd_rows])
+
+
+def test_frequent_lines_hide_no_pair(spark):
+    """A line repeated often gives all three the same fingerprint; only two of them are near copies."""
+    line = " ".join(f"stock{i}" for i in range(11))
+    unique = lambda seed: [f"u{seed}x{i}" for i in range(150)]
+    body = unique(2)
+    edited = [*body[:149], "edited"]
+    rows = [(1, f"{line} " * 150 + " ".join(unique(1))), (2, f"{line} " * 150 + " ".join(body)),
+            (3, f"{line} " * 150 + " ".join(edited))]
+    assert len({simhash(t, *VIEWS[0]) for _, t in rows}) == 1
+    assert groups_of(spark, rows) == all_pairs(rows) == {2: 2, 3: 2}
+
+
+def test_large_groups_of_near_copies(spark):
+    """Runs of many documents: a chain of copies of copies, and copies of another text that share a passage with it."""
+    rng = np.random.default_rng(9)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for group in range(2):
+        words = passage + [f"g{group}x{i}" for i in range(40)]
+        for n in range(80):
+            rows.append((2 * n + group, " ".join(words)))
+            words[int(rng.integers(len(words)))] = f"e{group}x{n}"
+    assert groups_of(spark, rows) == all_pairs(rows)
