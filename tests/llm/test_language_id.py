@@ -96,3 +96,21 @@ def test_odd_rows(odd, odd_rows, none, docs):
     assert train(none).languages == [] and identify(none, model).collect() == []
     assert {r["lang_pred"] for r in identify(odd, train(none)).collect()} == {"und"}
     assert train(odd).languages == ["en"]
+
+
+def test_copies_leave_no_language_out(spark):
+    """Each language is one text many times over; the sample takes different texts, however many rows they fill."""
+    rows = spark.range(36_000).selectExpr("id AS doc_id", "concat('l', id % 6) AS lang",
+                                          "concat('the words of ', repeat(char(97 + id % 6), 5)) AS text")
+    model = train(rows)
+    assert model.languages == [f"l{i}" for i in range(6)]
+    assert model.predict([f"the words of {c * 5}" for c in "abcdef"])[0] == model.languages
+
+
+def test_sample_is_the_smallest_hashes_of_different_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda marks, labels, *rest: seen.append(labels) or fit(marks, labels, *rest))
+    rows = spark.range(9_000).selectExpr("id AS doc_id", "'en' AS lang", "concat('text ', repeat('ab', 1 + int(id % 40))) AS text")
+    train(rows)
+    train(rows, per_language=25)
+    assert [len(labels) for labels in seen] == [40, 25]

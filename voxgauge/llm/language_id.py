@@ -11,9 +11,9 @@ Scoring. Kernel values are products of presence matrices, so features, landmarks
 places by languages per length. Texts are scored in batches by one product with it; no landmark is visited per text.
 
 Fitting takes at most ``per_language`` different labelled texts of each language as bits of ``sum(PLACES)`` places each;
-their number of languages times that many rows reach the driver. A text is a candidate if its hash falls into a share that
-the language's count gives (``CANDIDATES`` times as many as needed), so no task sees more of a large language than of a
-small one; of the different candidates the smallest hashes are taken. Scoring covers all texts.
+their number of languages times that many rows reach the driver. They are the ones with the smallest hashes of all different
+texts of the language, however often each occurs: copies are dropped first, and every task passes on no more hashes of a
+language than are wanted. Scoring covers all texts.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ PLACES = (1 << 9, 1 << 12, 1 << 15)  # places for 1-, 2- and 3-grams
 _STARTS = np.concatenate([[0], np.cumsum(PLACES)])
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)  # odd constants of multiplicative hashing
 PER_LANGUAGE = 300
-CANDIDATES = 4  # candidates per text that is wanted; copies among them count once
 LANDMARKS = 240
 RIDGE = 1e-4
 SHARPNESS = 4.0  # turns margins into a score
@@ -145,13 +144,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     known = docs.filter((id_remainder(doc_id, modulus) != held_out) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = known.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     known = known.filter(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
-    if not counts:
-        return fit(np.zeros((0, _STARTS[-1]), np.uint8), [])
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, CANDIDATES * per_language / n)])
     by_hash = W.partitionBy("lang").orderBy("hash")
-    drawn = F.shiftrightunsigned("hash", 11) / float(1 << 53) < shares[F.col("lang")]
-    chosen = known.filter(drawn).select("lang", "hash").distinct()
+    chosen = known.select("lang", "hash").distinct()
     chosen = chosen.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_language).drop("n")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
