@@ -77,3 +77,20 @@ def test_odd_rows(odd, odd_rows, none):
 
 def span_kinds(row):
     return {s["kind"] for s in row["spans"]}
+
+
+def test_battery_finds_keys_after_an_equals_sign(spark):
+    rng = random.Random(6)
+    keys = [base64.b64encode(rng.randbytes(36 - i % 2)).decode() for i in range(40)]  # every second one ends in padding
+    forms = ["aws_secret_access_key={}", "GET https://host/a?v=1&sig={}&x=2", "MODE=fast\nPRIVATE_VALUE={}\nLEVEL=3", "a=b={} there"]
+    texts = [form.format(key) for form in forms for key in keys]
+    words = ["the_name_of_option_number_1=internationalisation" * 2, "path=/usr/share/doc/package1/examples/readme", "=" * 30 + "1",
+             "camelCaseNamesAreLongSometimes=camelCaseNamesAreLongSometimes"]
+    df = spark.createDataFrame(list(enumerate(texts + words)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] for r in find_secrets(df).collect()}
+    for n, _ in enumerate(forms):
+        places = [(texts[i].index(keys[i - 40 * n]), i) for i in range(40 * n, 40 * n + 40)]
+        assert sum((start, start + len(keys[i - 40 * n])) in found[i] for start, i in places) >= 36
+    assert not any(found[i] for i in range(len(texts), len(texts + words)))
+    masked = {r["doc_id"]: r["text"] for r in mask_secrets(df).collect()}
+    assert sum(masked[40 + i] == "GET https://host/a?v=1&sig=[SECRET]&x=2" for i in range(40)) >= 36

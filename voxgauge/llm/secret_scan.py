@@ -3,8 +3,8 @@
 Patterns. Places of all matches come from cutting the text at the pattern: pieces and matches alternate, and running sums
 of their lengths (by doubling steps, so a text with very many matches stays cheap) are the places.
 
-Battery. Candidates are unbroken runs of at least ``MIN_RUN`` key characters that hold a digit or change from small to
-capital letters inside. Each gets the narrowest encoding that fits it (hex, base32, base64) and three tests against
+Battery. Candidates are unbroken runs of at least ``MIN_RUN`` key characters (padding at the end included) that hold a digit
+or change from small to capital letters inside. Each gets the narrowest encoding that fits it (hex, base32, base64) and three tests against
 random symbols of that alphabet: chi-squared on symbol counts, runs above and below the middle of the alphabet, and serial
 correlation of neighbours. A run that one of them refuses (Bonferroni over the three) is no secret. For the others the
 chi-squared value is compared with what ordinary text of that length would give; ordinary text repeats symbols, and the
@@ -29,7 +29,10 @@ ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_RUN = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+_KEY = "[A-Za-z0-9+/_-]"
+#: An equals sign belongs to a run only as padding at its end, so what follows ``name=`` is a run of its own.
+CANDIDATE = (rf"(?<!{_KEY})(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z]))"
+             rf"(?:{_KEY}{{{MIN_RUN},}}+(?:=++(?!{_KEY}))?|(?=[A-Za-z0-9+/_=-]{{{MIN_RUN}}}){_KEY}++=++(?!{_KEY}))")
 #: Pattern of each encoding, its alphabet, and how often two symbols of ordinary text in that alphabet agree.
 ENCODINGS = (
     ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.13),
