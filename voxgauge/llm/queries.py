@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from voxgauge.llm import (
-    bpe_stream, exact_dedup, language_id, lm_score, media, near_dedup, packing, secret_scan, sharding, token_files,
+    bpe_stream, exact_dedup, filter_audit, language_id, lm_score, media, near_dedup, packing, secret_scan, sharding, token_files,
 )
 from voxgauge.llm.shared import documents, id_remainder
-from voxgauge.session import scratch_folder
+from voxgauge.session import scratch_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -81,9 +81,13 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_type", "declared", "corrected", F.size("embedded").alias("n_embedded"))
 
 
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interaction(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_language_id, op3_simhash_near_dedup, op4_lm_score, op5_sharding, op6_best_fit_packing, op7_bpe_round_trip, op8_token_files,
-    op9_exact_dedup, op10_media_columns)}
+    op9_exact_dedup, op10_media_columns, op13_filter_interaction)}
 
 #: DuckDB's lower() also changes letters beyond A-Z; translate changes A-Z alone.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,5 +97,29 @@ ORACLES = {
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
 FROM (SELECT doc_id, {_LOWER} AS body FROM documents) WINDOW same AS (PARTITION BY body)
+""",
+    "op13_filter_interaction": """
+WITH rows AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+words AS (SELECT *, list_filter(regexp_split_to_array(body, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM rows),
+fails AS (SELECT part, doc_id, (len(l) < 200)::INT + 2 * (100 * len(list_distinct(l)) < 50 * len(l))::INT
+        + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body))::INT
+        + 8 * regexp_matches(body, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY body))::INT AS f FROM words),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+cells AS (SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM fails LEFT JOIN known USING (doc_id) GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, s::INT AS step, (1 << (instr('ABCDE', filter_order[s]) - 1)) AS own,
+        coalesce(list_sum([1 << (instr('ABCDE', filter_order[i]) - 1) for i in range(1, s)]), 0)::INT AS before
+    FROM orders, range(1, 6) r(s)),
+each AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER ((f & (own | before)) = 0), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER ((f & own) <> 0 AND (f & before) = 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER ((f & own) <> 0 AND (f & before) <> 0), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (f = own), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER ((f & own) <> 0 AND (f & before) = 0), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER ((f & own) <> 0 AND (f & before) = 0), 0)::BIGINT AS toxic_lost
+    FROM cells, steps GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM each
 """,
 }
