@@ -2,10 +2,11 @@ import itertools
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 
 from voxgauge.llm import filter_audit
-from voxgauge.llm.filter_audit import dictionary, failures, filter_interaction, sparse_rows
+from voxgauge.llm.filter_audit import coded_words, dictionary, document_term_matrix, failures, filter_interaction, sparse_rows
 from voxgauge.llm.shared import documents
 
 COLUMNS = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
@@ -69,6 +70,9 @@ def test_whole_table(spark):
 
 def test_odd_rows_over_many_shards(spark, odd, odd_rows, monkeypatch):
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", 40)
+    monkeypatch.setattr(filter_audit, "BATCH_BYTES", 5000)
+    monkeypatch.setattr(filter_audit, "DICTIONARY_ROWS", 5000)
+    monkeypatch.setattr(filter_audit, "PACKED_ROWS", 3000)
     rows = [(r[0], r[1], r[3]) for r in odd_rows]
     marks = [(4, 1, 0), (4, None, 1), (5, 1, None), (None, 1, 1), (14, 1, 0), (999, 1, 1)]
     want = brute(rows, {4, 5, 14}, {4})
@@ -94,22 +98,41 @@ def test_a_large_group_of_copies(spark):
     assert tuple(found) == (9999, 3) or set(found) == {9999, 3}
 
 
-def test_numbers_are_global(spark):
+def test_numbers_are_global(spark, monkeypatch):
     """Equal words of different shards share a number, different words never do."""
-    shards = spark.createDataFrame([(0, ["b", "a", "c"]), (1, ["c", "d"]), (2, []), (3, ["a"])], "shard long, words array<string>")
-    rows = dictionary(shards).collect()
-    ids = defaultdict(set)
-    for r in rows:
-        ids[r["word"]].add(r["id"])
-    assert len(rows) == 6 and all(len(x) == 1 for x in ids.values())
-    assert len({x for s in ids.values() for x in s}) == 4
+    monkeypatch.setattr(filter_audit, "PACKED_ROWS", 2)
+    rows = [(0, 0, "b"), (0, 1, "a"), (0, 2, "c"), (1, 0, "c"), (1, 1, "d"), (3, 0, "a")]
+    found = dictionary(spark.createDataFrame(rows, "shard long, place int, word string")).collect()
+    ids = {(r["shard"], p): i for r in found
+           for p, i in zip(np.frombuffer(r["places"], np.uint32).tolist(), np.frombuffer(r["ids"], np.int64).tolist())}
+    assert sorted(ids) == sorted((s, p) for s, p, _ in rows)
+    assert len({(w, ids[s, p]) for s, p, w in rows}) == len({ids[s, p] for s, p, _ in rows}) == 4
+
+
+def test_matrix(spark, odd):
+    """Columns of the matrix stand for words: every document's counts by global number, over shards of one block each."""
+    docs = odd.filter("doc_id <> 14").selectExpr("doc_id", "source AS part", "text")
+    counts, numbers = {}, defaultdict(set)
+    for r in document_term_matrix(docs).collect():
+        starts, columns, cells = (np.frombuffer(r[c], t) for c, t in (("starts", np.int64), ("columns", np.int64), ("counts", np.uint32)))
+        for d, a, b in zip(r["docs"], starts, starts[1:]):
+            counts[d["doc_id"]] = dict(zip(columns[a:b].tolist(), cells[a:b].tolist()))
+    for r in docs.collect():
+        want = Counter(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        assert sorted(counts[r["doc_id"]].values()) == sorted(want.values())
+        for word in want if len(want) < 100 else ():
+            numbers[word].add(frozenset(counts[r["doc_id"]]))
+    shared = {w: frozenset.intersection(*n) for w, n in numbers.items() if len(n) > 1}
+    assert "here" in shared and all(shared.values())
 
 
 def test_sparse_rows():
-    words, starts, columns, counts = sparse_rows(pa.array(["b a\x0bb", "", " \t", "a\x1ca a"], pa.large_string()))
-    cells = [{words[c].as_py(): n for c, n in zip(columns[a:b], counts[a:b].tolist())} for a, b in zip(starts, starts[1:])]
+    coded, rows = coded_words(pa.array(["b a\x0bb", "", " \t", "a\x1ca a"], pa.large_string()))
+    words = coded.dictionary.to_pylist()
+    starts, columns, counts = sparse_rows(coded.indices.to_numpy(), rows, 4, len(words))
+    cells = [{words[c]: n for c, n in zip(columns[a:b], counts[a:b].tolist())} for a, b in zip(starts, starts[1:])]
     assert cells == [{"a": 1, "b": 2}, {}, {}, {"a\x1ca": 1, "a": 1}]
-    assert [len(x) for x in sparse_rows(pa.array([], pa.large_string()))] == [0, 1, 0, 0]
+    assert [len(x) for x in sparse_rows(np.zeros(0, np.int32), np.zeros(0, np.int32), 0, 0)] == [1, 0, 0]
 
 
 def test_empty_tables(spark, none):

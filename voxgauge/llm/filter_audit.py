@@ -1,10 +1,10 @@
 """How five document filters interact, over all orders in which they can be applied.
 
-Words. Texts become shards of a sparse document-term matrix. A task cuts its texts into words, encodes them with a dictionary
-of its own and stores the counts of at most ``SHARD_BYTES`` of text in compressed sparse rows. Then the different words of all
-shards are put in order over the whole table and numbered, and every shard's columns are replaced by these global numbers.
-Every shard names a word once, so even the most frequent word is one row per shard and never a heavy key. Row sums of the
-matrix are words, its nonzero counts are different words.
+Words. Texts become shards of a sparse document-term matrix. A task cuts its texts into words, encodes those of about
+``SHARD_BYTES`` of text with a dictionary of the shard, and stores the counts in blocks of compressed sparse rows. Then the
+different words of all shards are dealt out by hash, put in order and numbered, and every shard's columns are replaced by these
+global numbers. Every shard names a word once, so even the most frequent word is one row per shard and never a heavy key. Row
+sums of the matrix are words, its nonzero counts are different words.
 
 Flags. Capitals, code points and special characters are counted beside the words in one pass over the bytes. Equal texts meet
 by digest; digests of more than a 512th of all rows (at most 512 of them) are looked up by broadcast, the others by a join,
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxgauge.llm.shared import kept_table, text_slices
+from voxgauge.llm.shared import byte_batches, kept_table
 
 FILTERS = "ABCDE"
 # Fixed values of the filters.
@@ -37,11 +37,14 @@ DISTINCT_PERCENT = 50    # B: a smaller share of different words fails
 CAPITALS_PERCENT = 2     # C: a larger share of capitals among code points fails
 SPECIAL = b"#$%&*|"      # D: any of these fails
 
-SHARD_BYTES = 16 << 20   # text of one shard of the matrix
+SHARD_BYTES = 48 << 20   # text that shares a dictionary, about
+BATCH_BYTES = 4 << 20    # text of a block of rows, about; a longer text is a block of its own
+DICTIONARY_ROWS = 1 << 16  # words of a shard's dictionary in one row
+PACKED_ROWS = 1 << 19    # numbers of words that a task packs by shard at a time
 HOT_DIGESTS = 512        # digests of more than one in so many rows are looked up by broadcast
 
 _DOC = pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("flags", pa.int32())])
-_SHARD = ("shard long, docs array<struct<doc_id:long,part:string,digest:binary,flags:int>>, words array<string>, "
+_BLOCK = ("shard long, docs array<struct<doc_id:long,part:string,digest:binary,flags:int>>, "
           "starts binary, columns binary, counts binary")
 
 
@@ -70,87 +73,125 @@ def _bit(name: str) -> int:
     return 1 << FILTERS.index(name)
 
 
-def sparse_rows(texts: pa.LargeStringArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Dictionary of the words, row starts, columns (places in the dictionary) and counts; texts without nulls."""
+def coded_words(texts: pa.LargeStringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of texts without nulls, dictionary-encoded, and the text of each word."""
     lists = pc.ascii_split_whitespace(texts)
     words, rows = lists.flatten(), pc.list_parent_indices(lists)
     real = pc.not_equal(words, "")  # a blank at either end leaves an empty piece
-    coded = words.filter(real).dictionary_encode()
-    width = max(1, len(coded.dictionary))
-    cells = rows.filter(real).to_numpy().astype(np.int64) * width + coded.indices.to_numpy()
-    cells, counts = np.unique(cells, return_counts=True)
-    starts = np.searchsorted(cells, np.arange(len(texts) + 1, dtype=np.int64) * width)
-    return coded.dictionary, starts, (cells % width).astype(np.uint32), counts.astype(np.uint32)
+    return words.filter(real).dictionary_encode(), rows.filter(real).to_numpy().astype(np.int32)
 
 
-def _local_shards(docs: DataFrame) -> DataFrame:
-    """One row per shard: its documents, its own dictionary and its rows of the matrix over that dictionary."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in text_slices(batch, "text", SHARD_BYTES):
-                texts = part.column("text").cast(pa.large_string()).fill_null("")
-                dictionary, starts, columns, counts = sparse_rows(texts)
-                digests = [hashlib.sha256(t.as_buffer()).digest()[:16] for t in texts]
-                rows = pa.StructArray.from_arrays(
-                    [part.column("doc_id"), part.column("part"), pa.array(digests, pa.binary()), pa.array(character_flags(texts))],
-                    fields=list(_DOC))
-                one = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard]), one(rows), one(dictionary.cast(pa.string())),
-                     *[pa.array([x.tobytes()], pa.binary()) for x in (starts, columns, counts)]],
-                    ["shard", "docs", "words", "starts", "columns", "counts"])
-                shard += 1
-
-    return docs.mapInArrow(run, _SHARD)
+def sparse_rows(columns: np.ndarray, rows: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row starts, columns and counts of the words' matrix with ``height`` rows and ``width`` columns."""
+    width = max(1, width)
+    cells, counts = np.unique(rows.astype(np.int64) * width + columns, return_counts=True)
+    starts = np.searchsorted(cells, np.arange(height + 1, dtype=np.int64) * width)
+    return starts, (cells % width).astype(np.uint32), counts.astype(np.uint32)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """``shard, local, word, id``: the number of every word over all shards, equal for equal words, for each shard's words.
+def _local_shards(docs: DataFrame) -> DataFrame:
+    """Blocks of rows of each shard over the shard's own dictionary, and the dictionary: ``words`` from place ``first`` on."""
+    names = ["shard", "docs", "starts", "columns", "counts", "first", "words"]
+    one = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
+    none = [pa.nulls(1, pa.list_(_DOC)), *[pa.nulls(1, pa.binary())] * 3]
+
+    def shard_rows(shard: int, held: list[tuple[pa.Array, pa.DictionaryArray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        coded = pa.chunked_array([c for _, c, _ in held]).unify_dictionaries()
+        words = coded.chunk(0).dictionary.cast(pa.string())
+        for (rows, _, places), part in zip(held, coded.chunks):
+            arrays = sparse_rows(part.indices.to_numpy(), places, len(rows), len(words))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard]), one(rows), *[pa.array([x.tobytes()], pa.binary()) for x in arrays],
+                 pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string()))], names)
+        for first in range(0, len(words), DICTIONARY_ROWS):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard]), *none, pa.array([first], pa.int32()), one(words.slice(first, DICTIONARY_ROWS))], names)
 
-    Words are dealt out by their hash and put in order; a task numbers its words from its own index in the upper bits.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column("text").cast(pa.large_string()).fill_null("")
+            digests = [hashlib.sha256(t.as_buffer()).digest()[:16] for t in texts]
+            rows = pa.StructArray.from_arrays(
+                [batch.column("doc_id"), batch.column("part"), pa.array(digests, pa.binary()), pa.array(character_flags(texts))],
+                fields=list(_DOC))
+            held.append((rows, *coded_words(texts)))
+            size += texts.nbytes
+            if size >= SHARD_BYTES:
+                yield from shard_rows(shard, held)
+                shard, held, size = shard + 1, [], 0
+        if held:
+            yield from shard_rows(shard, held)
+
+    return docs.mapInArrow(run, f"{_BLOCK}, first int, words array<string>")
+
+
+def dictionary(words: DataFrame) -> DataFrame:
+    """Numbers over the whole table for the words of every shard: ``shard, places, ids``.
+
+    ``words`` has ``shard, place, word``. Equal words get the same number, different words different ones. They are dealt out
+    by hash and put in order; a task numbers its own from its index in the upper bits on. The numbers come packed: 32-bit
+    places and 64-bit numbers of part of a shard's words.
     """
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        shards, places, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(shards, kind="stable")
+        names, starts = np.unique(shards[order], return_index=True)
+        cut = lambda x: pa.array([y.tobytes() for y in np.split(x[order], starts[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(names), cut(places), cut(ids)], ["shard", "places", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = (TaskContext.get().partitionId() << 40) - 1, None
+        at, last, held, size = (TaskContext.get().partitionId() << 40) - 1, None, [], 0
         for batch in batches:
-            words = batch.column("word")
-            if not len(words):
+            if not batch.num_rows:
                 continue
-            fresh = np.append(words[0].as_py() != last, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))
+            own = batch.column("word")
+            fresh = np.append(own[0].as_py() != last, pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False))
             ids = at + np.cumsum(fresh)
-            at, last = int(ids[-1]), words[-1].as_py()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "local", "word")), pa.array(ids)],
-                                             ["shard", "local", "word", "id"])
+            at, last = int(ids[-1]), own[-1].as_py()
+            held.append((batch.column("shard").to_numpy(), batch.column("place").to_numpy().astype(np.uint32), ids))
+            size += len(ids)
+            if size >= PACKED_ROWS:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
-    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    return named.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(
-        run, "shard long, local int, word string, id long")
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.select("shard", "place", "word").repartition(parts, "word").sortWithinPartitions("word").mapInArrow(
+        run, "shard long, places binary, ids binary")
 
 
 def document_term_matrix(docs: DataFrame) -> DataFrame:
-    """Shards of the matrix with globally numbered columns: ``shard, docs, starts, columns, counts``.
+    """Blocks of rows of the matrix with globally numbered columns: ``shard, docs, starts, columns, counts``.
 
     ``docs`` has ``doc_id long, part string, text string``. ``starts`` and ``columns`` are 64-bit, ``counts`` 32-bit numbers.
     """
-    shards = kept_table(_local_shards(docs), "matrix-shards")
-    numbers = dictionary(shards).groupBy("shard").agg(
-        F.sort_array(F.collect_list(F.struct("local", "id"))).alias("numbers"))  # one shard's words
-    numbers = numbers.select("shard", F.col("numbers.id").alias("numbers"))
+    with byte_batches(docs.sparkSession, BATCH_BYTES):
+        shards = kept_table(_local_shards(docs), "matrix-shards")
+    words = shards.filter("words IS NOT NULL").select("shard", "first", F.posexplode("words").alias("at", "word"))
+    numbers = dictionary(words.select("shard", (F.col("first") + F.col("at")).alias("place"), "word"))
+    numbers = numbers.groupBy("shard").agg(F.collect_list(F.struct("places", "ids")).alias("numbers"))  # one shard's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, numbers = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                numbers = batch.column("numbers")[i]
-                ids = numbers.values.to_numpy() if numbers.is_valid else np.zeros(0, np.int64)
+                if batch.column("shard")[i].as_py() != shard:
+                    shard, packs = batch.column("shard")[i].as_py(), batch.column("numbers")[i].values
+                    numbers = np.zeros(sum(len(x.as_buffer()) // 4 for x in packs.field("places")) if packs else 0, np.int64)
+                    for places, ids in zip(packs.field("places"), packs.field("ids")) if packs else ():
+                        numbers[np.frombuffer(places.as_buffer(), np.uint32)] = np.frombuffer(ids.as_buffer(), np.int64)
                 local = np.frombuffer(batch.column("columns")[i].as_buffer(), np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(i, 1) for c in ("shard", "docs", "starts")),
-                     pa.array([ids[local].tobytes()], pa.binary()), batch.column("counts").slice(i, 1)],
+                     pa.array([numbers[local].tobytes()], pa.binary()), batch.column("counts").slice(i, 1)],
                     ["shard", "docs", "starts", "columns", "counts"])
 
-    joined = shards.drop("words").join(numbers, "shard", "left")  # shards without a word have no numbers
-    return joined.mapInArrow(run, _SHARD.replace("words array<string>, ", ""))
+    blocks = shards.filter("docs IS NOT NULL").drop("first", "words")
+    return blocks.join(numbers, "shard", "left").mapInArrow(run, _BLOCK)  # shards without a word have no numbers
 
 
 def failures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -174,8 +215,9 @@ def failures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
                 yield pa.RecordBatch.from_arrays([*(own.field(c) for c in ("doc_id", "part", "digest")), pa.array(flags)],
                                                  ["doc_id", "part", "digest", "flags"])
 
-    flagged = kept_table(document_term_matrix(rows).mapInArrow(
-        run, "doc_id long, part string, digest binary, flags int"), "filter-flags")
+    with byte_batches(docs.sparkSession, BATCH_BYTES):
+        flagged = kept_table(document_term_matrix(rows).mapInArrow(
+            run, "doc_id long, part string, digest binary, flags int"), "filter-flags")
     firsts = kept_table(flagged.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "first-ids")
     total = flagged.count()
     hot = F.broadcast(firsts.filter(F.col("n") * HOT_DIGESTS > total).select("digest", F.col("first").alias("hot")))

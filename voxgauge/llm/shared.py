@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import string
 from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +31,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, BATCH_ROWS)
 
 
+@contextlib.contextmanager
+def byte_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Bound the bytes of an Arrow batch while a table is written, so that long texts never add up in a worker."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def kept_table(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result that is read more than once to the shared folder and go on from the written table."""
     folder = scratch_folder(df.sparkSession, purpose)
@@ -60,17 +71,6 @@ def word_blocks(data: bytes, block_bytes: int = 1 << 20) -> Iterator[list[bytes]
         at = end
 
 
-def text_slices(batch: pa.RecordBatch, name: str, slice_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows whose texts have about ``slice_bytes`` together; a longer text is a slice of its own."""
-    at, texts = 0, batch.column(name).cast(pa.large_string())
-    if batch.num_rows:
-        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + batch.num_rows + 1]
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, ends[at] + slice_bytes, "right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have yet."""
     while name.lower() in {c.lower() for c in df.columns}:
