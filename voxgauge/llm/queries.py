@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from voxgauge.llm import (
-    bpe_stream, exact_dedup, filter_audit, language_id, lm_score, media, near_dedup, packing, secret_scan, sharding, token_files,
+    bpe_stream, decontaminate, exact_dedup, filter_audit, language_id, lm_score, media, near_dedup, packing, secret_scan, sharding, token_files,
 )
 from voxgauge.llm.shared import documents, id_remainder
 from voxgauge.session import scratch_folder, table
@@ -81,22 +81,45 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_type", "declared", "corrected", F.size("embedded").alias("n_embedded"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_interaction(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_language_id, op3_simhash_near_dedup, op4_lm_score, op5_sharding, op6_best_fit_packing, op7_bpe_round_trip, op8_token_files,
-    op9_exact_dedup, op10_media_columns, op13_filter_interaction)}
+    op9_exact_dedup, op10_media_columns, op12_decontamination, op13_filter_interaction)}
 
 #: DuckDB's lower() also changes letters beyond A-Z; translate changes A-Z alone.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES = {
     "op9_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
 FROM (SELECT doc_id, {_LOWER} AS body FROM documents) WINDOW same AS (PARTITION BY body)
+""",
+    "op12_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS body
+    FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS body
+    FROM d, lengths, unnest(range(1, len(w) - n + 2)) u(i) WHERE len(w) >= n),
+found AS (SELECT r, i, n, item FROM places JOIN windows USING (n, body)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, i, n FROM found), unnest(range(i, i + n)) u(p) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """,
     "op13_filter_interaction": """
 WITH rows AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
