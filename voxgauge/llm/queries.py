@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from voxgauge.llm import (
-    bpe_stream, decontaminate, exact_dedup, filter_audit, language_id, lm_score, media, near_dedup, packing, secret_scan, sharding, token_files,
+    bpe_stream, decontaminate, exact_dedup, filter_audit, language_id, lm_score, media, near_dedup, packing, secret_scan, sharding, source_divergence,
+    token_files,
 )
 from voxgauge.llm.shared import documents, id_remainder
 from voxgauge.session import scratch_folder, table
@@ -81,6 +82,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_type", "declared", "corrected", F.size("embedded").alias("n_embedded"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(documents(spark, sf_dir))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -93,7 +98,7 @@ def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_language_id, op3_simhash_near_dedup, op4_lm_score, op5_sharding, op6_best_fit_packing, op7_bpe_round_trip, op8_token_files,
-    op9_exact_dedup, op10_media_columns, op12_decontamination, op13_filter_interaction)}
+    op9_exact_dedup, op10_media_columns, op11_source_divergence, op12_decontamination, op13_filter_interaction)}
 
 #: DuckDB's lower() also changes letters beyond A-Z; translate changes A-Z alone.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,6 +110,32 @@ ORACLES = {
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
 FROM (SELECT doc_id, {_LOWER} AS body FROM documents) WINDOW same AS (PARTITION BY body)
+""",
+    "op11_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+l AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL),
+ln AS (SELECT lang, sum(c) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c,
+        1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (coalesce(n.n, 0) + 5 * v.v) AS p,
+        1 + (1000000000::HUGEINT * (l.c + 5)) // (ln.n + 5 * v.v) AS q
+    FROM g JOIN kept USING (lang) JOIN v USING (lang) JOIN l ON l.lang = g.lang AND l.term = kept.term JOIN ln ON ln.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+    LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+    WHERE x.term IS NOT DISTINCT FROM y.term GROUP BY ALL
+    UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM f)
+WHERE part = 'pair' OR rank <= 50
 """,
     "op12_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
