@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from voxgauge.llm.near_dedup import VIEWS, connected, jaccard, links, near_dedup, shingle_set, similar_groups, simhash
+from voxgauge.llm.near_dedup import close_pairs, connected, jaccard, links, near_dedup, parity, shingle_set, similar_groups, simhash
 from voxgauge.llm.shared import LOWER_BYTES
 
 
@@ -103,41 +103,9 @@ def shingles(text, k=5):
     return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
 
 
-def brute_similar(rows, views=VIEWS, similarity=0.8):
-    """Smallest id per document: candidates by any of the fingerprints, then Jaccard of five-word shingles."""
-    rows = sorted((i, t) for i, t in rows if i is not None)
-    sets, links = [shingles(t) for _, t in rows], set()
-    for view in views:
-        prints = [simhash(t, *view) for _, t in rows]  # held against plain Python above
-        first = {}
-        for n, p in enumerate(prints):
-            first.setdefault(p, n)
-        links |= {(first[p], n) for n, p in enumerate(prints) if first[p] < n}
-        links |= {(min(x, y), max(x, y)) for p, x in first.items() for q, y in first.items()
-                  if p < q and (p ^ q).bit_count() <= 3}
-    root = list(range(len(rows)))
-
-    def find(n):
-        while root[n] != n:
-            n = root[n]
-        return n
-
-    for x, y in links:
-        union = sets[x] | sets[y]
-        if not union or len(sets[x] & sets[y]) / len(union) >= similarity:
-            a, b = find(x), find(y)
-            root[max(a, b)] = min(a, b)
-    return {i: rows[find(n)][0] for n, (i, _) in enumerate(rows)}
-
-
 def test_similar_groups(docs, doc_rows, odd, odd_rows, none):
     for df, rows in ((docs, list(doc_rows.items())), (odd, [r[:2] for r in odd_rows if r[0] != 14] + [odd_rows[14][:2]])):
-        want = {i: c for i, c in brute_similar(rows).items()}
-        counts = {}
-        for c in want.values():
-            counts[c] = counts.get(c, 0) + 1
-        got = dict(map(tuple, similar_groups(df).collect()))
-        assert got == {i: c for i, c in want.items() if counts[c] > 1}
+        assert dict(map(tuple, similar_groups(df).collect())) == all_pairs(rows)
     assert similar_groups(none).collect() == []
 
 
@@ -214,7 +182,7 @@ def test_frequent_lines_hide_no_pair(spark):
     edited = [*body[:149], "edited"]
     rows = [(1, f"{line} " * 150 + " ".join(unique(1))), (2, f"{line} " * 150 + " ".join(body)),
             (3, f"{line} " * 150 + " ".join(edited))]
-    assert len({simhash(t, *VIEWS[0]) for _, t in rows}) == 1
+    assert len({simhash(t, 2) for _, t in rows}) == 1
     assert groups_of(spark, rows) == all_pairs(rows) == {2: 2, 3: 2}
 
 
@@ -228,3 +196,35 @@ def test_large_groups_of_near_copies(spark):
             rows.append((2 * n + group, " ".join(words)))
             words[int(rng.integers(len(words)))] = f"e{group}x{n}"
     assert groups_of(spark, rows) == all_pairs(rows)
+
+
+def test_blocks_and_clusters_lose_no_pair(spark, monkeypatch):
+    """Copies around the limit of similarity, in runs longer than a block: some in the group, some just outside of it."""
+    from voxgauge.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "LONG_RUN", 5)
+    monkeypatch.setattr(module, "BLOCK_MEMBERS", 16)
+    monkeypatch.setattr(module, "BLOCK_BYTES", 4096)
+    rng = np.random.default_rng(21)
+    rows = []
+    for group in range(3):
+        words = [f"g{group}x{i}" for i in range(80 + 60 * group)]
+        for n in range(50):
+            edited = list(words[int(rng.integers(0, 8)):])
+            for at in rng.choice(len(edited), int(rng.integers(0, 5)), replace=False):
+                edited[at] = f"e{rng.integers(0, 10 ** 6)}"
+            rows.append((3 * n + group, " ".join(edited)))
+    want = all_pairs(rows)
+    assert groups_of(spark, rows) == want and 0 < len(want) < len(rows)
+
+
+def test_close_pairs():
+    """Every pair that is similar passes, whatever the widths of the parity bits; equal roots and the document itself do not."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:n], rng.integers(0, 1 << 63, n // 12).astype(np.uint64)])) for n in (90, 120, 250, 260, 500, 510, 600, 1, 0, 0)]
+    side = {"doc_id": list(range(len(sets))), "n": [len(x) for x in sets], "root": list(range(len(sets))), "parity": [parity(x) for x in sets]}
+    found = set(zip(*(x.tolist() for x in close_pairs(side, side, 0.8))))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8}
+    assert want <= found and len(found) <= len(want) + 6 and (8, 9) in found
+    assert not set(zip(*(x.tolist() for x in close_pairs(side | {"root": [0] * len(sets)}, side | {"root": [0] * len(sets)}, 0.8))))

@@ -2,7 +2,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from test_exact_dedup import brute as exact_brute
-from test_near_dedup import brute_similar
+from test_near_dedup import all_pairs
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -19,7 +19,8 @@ def survivors(rows):
     rows = [(i, t) for i, t in rows if has_letter(t)]
     kept = {r[0] for r in exact_brute(rows) if r[3]}
     rows = [(i, t) for i, t in rows if i in kept]
-    return [i for i, component in brute_similar(rows).items() if i == component]
+    groups = all_pairs(rows)
+    return [i for i, _ in rows if groups.get(i, i) == i]
 
 
 def test_run_against_brute_force(spark, docs, doc_rows):

@@ -17,10 +17,11 @@ stays short and no links or groups pass through the driver.
 of shingles are as similar as asked for, by prefix filtering: with the shingles of all documents in one order, two sets of
 Jaccard similarity t share one of their first ``n - ceil(t n) + 1`` shingles. The order is by how often a shingle's bucket
 occurs in the whole table, rare ones first, so what many documents share hardly ever makes a candidate. Documents at one such
-shingle are a run. First each run's lowest document is compared with the others, then, of what that leaves in different
-groups, all pairs; so a large group of near copies costs about one comparison per document, and no pair is passed over
-unless its two documents are in one group already. Pairs are screened by parity bits (they differ in at most as many places
-as the sets), those that stay are compared by their complete sets.
+shingle are a run. First each run's lowest document is compared with the others; that settles most of a large group of near
+copies by one comparison per document. What it leaves in different groups is compared inside the tasks, in blocks of
+``BLOCK_MEMBERS`` documents: long runs with common members are one set of blocks, so documents that share many shingles meet
+once. Parity bits decide (they differ in at most as many places as the sets), and only pairs that pass become rows, to be
+compared by their complete sets. No pair is passed over unless its two documents are in one group already.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ from voxgauge.llm.shared import LOWER_BYTES, kept_table, small_batches, word_blo
 MAX_DISTANCE = 3
 HOT_BUCKET = 256
 SEED = 42
-VIEWS = ((2, 42), (2, 43))  # words of a shingle and seed of fingerprints that the tests compare groups with; not used here
 BUCKETS, BLOCKS = 1 << 20, 64  # counts that order the shingles, and the rows in which they travel
 PART_KEYS = 1 << 20  # shingles of prefixes that one call sees, about
+LONG_RUN = 64  # longer runs are compared together with those that share members
+BLOCK_MEMBERS = 1024  # documents of a block of comparisons, about
+BLOCK_BYTES = 1 << 24  # parity bits compared at once
 SLACK = 1e-9  # rounding errors never cost a candidate
 
 
@@ -193,8 +196,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """One bit per place, set if an odd number of shingles falls on it; about as many places as shingles, a power of two."""
-    places = max(64, 1 << len(shingles).bit_length())
+    """One bit per place, set if an odd number of shingles falls on it; some four places per shingle, a power of two."""
+    places = max(64, 4 << len(shingles).bit_length())
     return np.packbits(np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1 == 1).tobytes()
 
 
@@ -348,6 +351,86 @@ def _alike(pairs: DataFrame, docs: DataFrame, marks: DataFrame, shingle: int, si
     return kept_table(found.unionByName(screened.filter("same").select("a", "b")), "alike")
 
 
+def close_pairs(left: dict[str, list], right: dict[str, list], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids ``a < b`` of documents of both sides with different roots whose sizes and parity bits allow the similarity.
+
+    A side has ``doc_id, n, root, parity`` of its documents.
+    """
+    found, ratio = [], (1 - similarity) / (1 + similarity)
+
+    def by_width(side: dict[str, list]) -> dict[int, tuple[np.ndarray, ...]]:
+        widths = np.array([len(p) for p in side["parity"]])
+        out = {}
+        for width in np.unique(widths):
+            own = np.flatnonzero(widths == width)
+            bits = np.frombuffer(b"".join(side["parity"][i] for i in own), np.uint64).reshape(len(own), -1)
+            out[int(width) // 8] = (bits, *(np.array(side[c], np.int64)[own] for c in ("doc_id", "n", "root")))
+        return out
+
+    def folded(bits: np.ndarray, width: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
+
+    for one, (x, ids, sizes, roots) in by_width(left).items():
+        for two, (y, other_ids, other_sizes, other_roots) in by_width(right).items():
+            if min(sizes.max(), other_sizes.max()) < similarity * max(sizes.min(), other_sizes.min()) - SLACK:
+                continue
+            width = min(one, two)
+            p, q = folded(x, width), folded(y, width)
+            step = max(1, BLOCK_BYTES // (8 * width * len(q)))
+            for at in range(0, len(p), step):
+                cut = slice(at, at + step)
+                n, m = sizes[cut, None], other_sizes[None, :]
+                fits = np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK
+                fits &= (roots[cut, None] != other_roots[None, :]) & (ids[cut, None] != other_ids[None, :])
+                differ = np.zeros(fits.shape, np.int64)
+                for word in range(width):
+                    differ += np.bitwise_count(p[cut, word, None] ^ q[None, :, word])
+                i, j = np.nonzero(fits & (differ <= ratio * (n + m) + SLACK))
+                found.append((ids[cut][i], other_ids[j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(z) for z in zip(*found))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _close_in_blocks(sets: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: ``close_pairs`` of the members of each set (``kind, set, doc_id, root``).
+
+    A set is dealt into blocks by its documents' hashes and every two of its blocks meet in one place, so a task holds two
+    blocks at most, however large the set; only pairs that pass leave the task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+
+        def compared() -> pa.RecordBatch:
+            first = place[2]
+            side = lambda own: {c: [r[c] for r in own] for c in ("doc_id", "n", "root", "parity")}
+            left, right = (side([r for r in held if (r["block"] == first) == is_first]) for is_first in (True, False))
+            pairs = close_pairs(left, right if place[3] != first else left, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                at = (r["kind"], r["set"], r["low"], r["high"])
+                if at != place and held:
+                    yield compared()
+                    held = []
+                place = at
+                held.append(r)
+        if held:
+            yield compared()
+
+    sizes = sets.groupBy("kind", "set").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    dealt = sets.join(sizes, ["kind", "set"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    dealt = dealt.join(marks.select("doc_id", "n", "parity"), "doc_id")
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "kind", "set", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "doc_id", "n", "root", "parity")
+    key, parts = ["kind", "set", "low", "high"], int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
                    similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: documents of groups with more than one member; the smallest id of the group.
@@ -374,11 +457,16 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = stars.filter("ids > a").filter(fits.format("sizes", "m")).select("a", F.col("ids").alias("b")).distinct()
     alike = _alike(kept_table(stars, "stars-of-runs"), rows, own, shingle, similarity)
     roots = kept_table(connected(alike), "roots").withColumnRenamed("node", "doc_id")
-    longer = members.join(runs.filter("size(ids) > 2").select("run"), "run", "left_semi").filter("doc_id <> first")
-    longer = kept_table(longer.join(roots, "doc_id", "left").select(
-        "run", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "members")
-    left, right = (longer.select("run", *[F.col(c).alias(c + side) for c in ("doc_id", "n", "root")]) for side in "xy")
-    rest = left.join(right, "run").filter("doc_idx < doc_idy AND rootx <> rooty").filter(fits.format("nx", "ny"))
-    rest = rest.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rooted = members.join(runs.filter("size(ids) > 2").select("run"), "run", "left_semi").filter("doc_id <> first").join(
+        roots, "doc_id", "left").select("run", "first", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rooted = kept_table(rooted, "members")
+    unsettled = rooted.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    rooted = rooted.join(unsettled.filter("low <> high").select("run", "size"), "run")
+    linked = rooted.filter(F.col("size") > LONG_RUN).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    clusters = connected(linked.distinct()).withColumnRenamed("node", "doc_id").withColumnRenamed("root", "cluster")
+    long_runs = rooted.filter(F.col("size") > LONG_RUN).select("doc_id", "root").distinct().join(clusters, "doc_id").select(
+        F.lit("cluster").alias("kind"), F.col("cluster").alias("set"), "doc_id", "root")
+    sets = rooted.filter(F.col("size") <= LONG_RUN).select(F.lit("run").alias("kind"), F.col("run").alias("set"), "doc_id", "root")
+    rest = _close_in_blocks(sets.unionByName(long_runs), own, similarity).join(stars, ["a", "b"], "left_anti")
     alike = alike.unionByName(_alike(kept_table(rest, "rest-of-runs"), rows, own, shingle, similarity))
     return connected(alike).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
