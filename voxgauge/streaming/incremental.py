@@ -18,14 +18,14 @@ from voxgauge.operators.rollup import Measure, finish_summary, partial_sums
 
 
 def run_batches(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], folder: str,
-                checkpoint: str) -> StreamingQuery:
+                checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything available now; ``folder/batch=<id>`` holds each batch's reduced rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
         reduce(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .outputMode(mode).trigger(availableNow=True).start()
     )
 
 

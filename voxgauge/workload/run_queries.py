@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from voxgauge import fixed_values as fv
@@ -15,6 +17,7 @@ from voxgauge.session import scratch_folder, table
 from voxgauge.sources import files, history
 from voxgauge.sources import samples as sm
 from voxgauge.streaming import incremental as inc
+from voxgauge.streaming import keyed
 from voxgauge.workload import duck_text as dt
 from voxgauge.workload.standins import SAMPLES, duck, spark_table
 
@@ -330,6 +333,34 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(f"{folder}/seen").select("user_id", "event_type")
 
 
+ANSWER_FILES = 6
+ANSWERS_LATE, ANSWERS_KEPT = timedelta(days=3), timedelta(hours=30)
+
+
+def _arriving_answers(spark, sf):
+    """The events in files of five days, written one after the other; each but the first also brings every third row of the
+    days before again: some still in time, some too late, and rows of a file are in no order."""
+    folder = scratch_folder(spark, "answers")
+    events = table(spark, sf, "events").withColumn(
+        "file", F.least(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 5), F.lit(ANSWER_FILES - 1)).cast("int"))
+    for n in range(ANSWER_FILES):
+        again = (F.col("file") == n - 1) & (F.col("event_id") % 3 == 0)
+        arriving = events.where((F.col("file") == n) | again).drop("file")
+        arriving.repartition(1, "event_id").sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(folder)
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def stream_newest(spark, sf):
+    """Changes of the newest event of each user and kind, batch by batch, with keys that are forgotten in between."""
+    folder = scratch_folder(spark, "stream")
+    keyed.stream_newest_answers(
+        _arriving_answers(spark, sf), ["user_id", "event_type"], ["ts", "event_id"], ["value"], ANSWERS_LATE, ANSWERS_KEPT,
+        f"{folder}/changes", f"{folder}/state").awaitTermination()
+    changes = spark.read.parquet(f"{folder}/changes")
+    return changes.select(F.col("batch").cast("int").alias("batch"), "user_id", "event_type", "event_id", "value", "fresh")
+
+
 def stream_details(spark, sf):
     """Details written batch by batch, read back, with the number of batches they came in."""
     folder = scratch_folder(spark, "stream")
@@ -374,6 +405,7 @@ QUERIES = {
     "stream_progress": stream_progress,
     "stream_last_response": stream_last_response,
     "stream_dedup": stream_dedup,
+    "stream_newest": stream_newest,
     "stream_details": stream_details,
     "cache_append": cache_append,
 }
@@ -476,6 +508,18 @@ SELECT *, 'v1.1' AS dataset_version FROM r WHERE run_id = (SELECT max(run_id) FR
     "stream_last_response": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (
     PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_newest": f"""WITH e AS (SELECT *, least(datediff('day', DATE '2024-01-01', ts::DATE) // 5, {ANSWER_FILES - 1})::INT AS file FROM events),
+f AS (SELECT * FROM e UNION ALL SELECT * REPLACE (file + 1 AS file) FROM e
+    WHERE event_id % 3 = 0 AND file + 1 < {ANSWER_FILES}),
+w AS (SELECT file, coalesce(max(max(epoch_ms(ts))) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    - {int(ANSWERS_LATE.total_seconds() * 1000)}, 0) AS mark FROM f GROUP BY file),
+b AS (SELECT user_id, event_type, file, mark, max(epoch_us(ts)) AS us, max({{'us': epoch_us(ts), 'id': event_id, 'value': value}}) AS best
+    FROM f JOIN w USING (file) WHERE epoch_us(ts) > mark * 1000 GROUP BY ALL),
+h AS (SELECT *, max(best) OVER p AS held, max(us) OVER p AS held_us FROM b
+    WINDOW p AS (PARTITION BY user_id, event_type ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT file AS batch, user_id, event_type, best.id AS event_id, best.value AS value,
+    held IS NULL OR held_us // 1000 + {int(ANSWERS_KEPT.total_seconds() * 1000)} < mark AS fresh
+FROM h WHERE held IS NULL OR (best.us, best.id) > (held.us, held.id)""",
     "stream_details": f"""SELECT event_type, value > 30 AS loud, count(*) AS details, {STREAM_FILES}::BIGINT AS batches
 FROM events GROUP BY ALL""",
     "cache_append": "SELECT event_type, count(DISTINCT user_id) AS keys FROM events GROUP BY 1",
