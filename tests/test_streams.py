@@ -1,9 +1,13 @@
-"""Keyed state: newest answers over files that bring late, repeated and out-of-order rows, a restart, silent keys."""
+"""Newest answers in keyed state, and partials in merging levels: late and repeated rows, restarts, crashes."""
 
+import os
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from voxgauge.streaming import incremental as inc
-from voxgauge.streaming import keyed
+from voxgauge.streaming import keyed, levels
 
 SCHEMA = "k string, ts timestamp, id long, v double"
 LATE, KEEP = timedelta(hours=2), timedelta(hours=4)
@@ -72,3 +76,73 @@ def test_silent_keys_leave_the_state(spark, tmp_path):
     query = run(spark, str(tmp_path / "in"), tmp_path)
     kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert spark.read.parquet(str(tmp_path / "changes")).count() == 160 and max(kept) <= 3 * 80
+
+
+def partial(spark, batch):
+    return spark.createDataFrame([("all", 1), (f"b{batch % 5}", batch)], "k string, n long").coalesce(1)
+
+
+def summed(partials):
+    return partials.groupBy("k").agg(F.sum("n").alias("n")).coalesce(1)
+
+
+def state(spark, folder):
+    return dict(map(tuple, summed(levels.live_partials(spark, folder)).collect()))
+
+
+def wanted(batches):
+    return {"all": batches} | {f"b{k}": sum(range(k, batches, 5)) for k in range(min(5, batches))}
+
+
+def test_forty_batches_leave_few_folders(spark, tmp_path):
+    folder = str(tmp_path)
+    for batch in range(40):
+        levels.add_partial(partial(spark, batch), batch, folder, summed, fan=3)
+        assert len(levels.live_entries(spark, folder)) <= 2 * 4
+    assert state(spark, folder) == wanted(40)
+    live = levels.live_entries(spark, folder)
+    assert [(e[2], e[3]) for e in live] == [(0, 26), (27, 35), (36, 38), (39, 39)]  # 40 is 1111 by threes
+    assert len(os.listdir(f"{folder}/data")) <= 12 and len(os.listdir(f"{folder}/manifest")) == 2
+
+
+def test_crashes_and_replays_count_nothing_twice(spark, tmp_path, monkeypatch):
+    """Stopped after the partial, within the merge, before the snapshot, and replayed after it."""
+    folder = str(tmp_path)
+    for batch in range(3):
+        levels.add_partial(partial(spark, batch), batch, folder, summed, fan=2)
+    before = state(spark, folder)
+
+    def broken(partials):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        levels.add_partial(partial(spark, 3), 3, folder, broken, fan=2)
+    assert state(spark, folder) == before  # the partial is written, but not named
+    merges = []
+
+    def lost_at_the_second(partials):
+        merges.append(1)
+        if len(merges) == 2:
+            raise RuntimeError("lost")
+        return summed(partials)
+
+    with pytest.raises(RuntimeError):
+        levels.add_partial(partial(spark, 3), 3, folder, lost_at_the_second, fan=2)
+    assert state(spark, folder) == before  # one merge is written, but not named
+    for _ in range(2):  # the replay, and one more after its snapshot
+        levels.add_partial(partial(spark, 3), 3, folder, summed, fan=2)
+        assert state(spark, folder) == wanted(4)
+        assert [(e[2], e[3]) for e in levels.live_entries(spark, folder)] == [(0, 3)]
+    assert len(os.listdir(f"{folder}/data")) <= 4
+
+
+def test_levels_of_a_stream_that_starts_again(spark, tmp_path):
+    for n in range(0, len(FILES), 2):
+        write(spark, str(tmp_path / "in"), FILES[n:n + 2])
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        levels.run_levels(stream, lambda b: b.groupBy("k").agg(F.count("*").alias("n")).coalesce(1), summed,
+                          str(tmp_path / "parts"), str(tmp_path / "state"), fan=2).awaitTermination()
+    found = state(spark, str(tmp_path / "parts"))
+    keys = [row[0] for rows in FILES for row in rows]
+    assert found == {k: keys.count(k) for k in keys}
+    assert len(levels.live_entries(spark, str(tmp_path / "parts"))) <= 3

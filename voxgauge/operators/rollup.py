@@ -79,6 +79,11 @@ def partial_sums(details: DataFrame, dims: Mapping[str, Column], measures: Mappi
         *[F.sum(c).alias(n) for n, c in _parts(measures).items()])
 
 
+def merge_partials(partials: DataFrame, dims: Mapping[str, Column], measures: Mapping[str, Measure]) -> DataFrame:
+    """Stacked partial sums as one: same columns, one row per combination of dimension values."""
+    return partials.groupBy(*[f"_{d}" for d in dims]).agg(*[F.sum(n).alias(n) for n in _parts(measures)])
+
+
 def finish_summary(partials: DataFrame, dims: Mapping[str, Column], measures: Mapping[str, Measure]) -> DataFrame:
     """Long summary from (stacked) partial sums: one ``overall`` row and one row per value of every dimension."""
     names, parts = list(dims), list(_parts(measures))

@@ -11,13 +11,13 @@ from voxgauge.functions import labels as lb
 from voxgauge.functions.naming import shown_with_rest
 from voxgauge.operators import digest
 from voxgauge.operators import responses as rs
-from voxgauge.operators.rollup import count_if, mean, rate, summarise
+from voxgauge.operators.rollup import count_if, finish_summary, mean, merge_partials, partial_sums, rate, summarise
 from voxgauge.plans import report
 from voxgauge.session import scratch_folder, table
 from voxgauge.sources import files, history
 from voxgauge.sources import samples as sm
 from voxgauge.streaming import incremental as inc
-from voxgauge.streaming import keyed
+from voxgauge.streaming import keyed, levels
 from voxgauge.workload import duck_text as dt
 from voxgauge.workload.standins import SAMPLES, duck, spark_table
 
@@ -285,15 +285,16 @@ def response_log(spark, sf):
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, sf):
+def _stream(spark, sf, n_files=None):
     """The events as files of a growing folder; each trigger takes one, so there are as many batches as files."""
     folder = scratch_folder(spark, "arriving")
     events = table(spark, sf, "events")
-    events.repartition(STREAM_FILES, "event_id").write.parquet(folder)
+    events.repartition(n_files or STREAM_FILES, "event_id").write.parquet(folder)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 STREAM_FILES = 3
+COMPACTED_FILES = 5
 
 
 def _stream_parts():
@@ -313,6 +314,16 @@ def _run_stream_summary(spark, sf):
     return inc.running_summary(spark, f"{folder}/parts", dims, measures)
 
 
+def stream_compacted(spark, sf):
+    """The running summary again, with partials that merge by twos while the stream runs."""
+    folder = scratch_folder(spark, "stream")
+    dims, measures = _stream_parts()
+    levels.run_levels(
+        _stream(spark, sf, COMPACTED_FILES), lambda b: partial_sums(b, dims, measures),
+        lambda p: merge_partials(p, dims, measures), f"{folder}/parts", f"{folder}/state", fan=2).awaitTermination()
+    return finish_summary(levels.live_partials(spark, f"{folder}/parts"), dims, measures)
+
+
 def stream_progress(spark, sf):
     available = table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"))
     return inc.progress(_run_stream_summary(spark, sf), available)
@@ -402,6 +413,7 @@ QUERIES = {
     "run_history": run_history,
     "response_log": response_log,
     "stream_summary": _run_stream_summary,
+    "stream_compacted": stream_compacted,
     "stream_progress": stream_progress,
     "stream_last_response": stream_last_response,
     "stream_dedup": stream_dedup,
@@ -504,6 +516,7 @@ SELECT *, 'v1.1' AS dataset_version FROM r WHERE run_id = (SELECT max(run_id) FR
     "response_log": f"""WITH {_USABLE} SELECT k AS key, obj FROM (SELECT *,
     row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS rn FROM u) WHERE rn = 1""",
     "stream_summary": "WITH e AS (SELECT *, CASE WHEN user_id % 7 <> 0 THEN value > 30 END AS t FROM events) " + _STREAM_SQL,
+    "stream_compacted": "WITH e AS (SELECT *, CASE WHEN user_id % 7 <> 0 THEN value > 30 END AS t FROM events) " + _STREAM_SQL,
     "stream_progress": """SELECT count(*) AS processed_outputs, count(*) AS available_outputs, TRUE AS done FROM events""",
     "stream_last_response": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (
     PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
