@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -95,6 +96,35 @@ def test_ranks_without_groups(spark):
     assert (r.n, r.p95) == (20001, 19000.0)
 
 
+def test_images_are_in_the_order_of_the_values(spark):
+    rng = np.random.default_rng(8)
+    bits = rng.integers(-2 ** 63, 2 ** 63 - 1, 4000)
+    values = [*bits.view(np.float64).tolist(), 0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, math.inf, -math.inf,
+              *[f(2.0 ** e) for e in range(-1074, 1024) for f in (float, lambda x: math.nextafter(x, 0), lambda x: math.nextafter(x, 9e307))]]
+    values = sorted({v for v in values if v == v})
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(len(values), math.nan)], "i long, v double")
+    images = [r[0] for r in ranks.with_image(df, "v", "image").orderBy("i").select("image").collect()]
+    assert all(a < b for a, b in zip(images, images[1:]))
+
+
+def test_ranks_of_extreme_values_and_one_large_group(spark):
+    """All of a group's rows under the same leading bits, next to infinities, NaN and subnormals."""
+    rng = np.random.default_rng(4)
+    close = (1.0 + rng.integers(0, 2 ** 20, 6000) * 2.0 ** -52).tolist()
+    odd = [math.inf, -math.inf, 5e-324, -5e-324, 0.0, -0.0, 1e308, -1e308, 1e-308]
+    df = spark.createDataFrame([("close", v) for v in close] + [("odd", v) for v in odd], "g string, v double")
+    picks = {f"p{i}": (0.0, lambda n, i=i: F.lit(i)) for i in (0, 4, 8, 3000, 5999)}
+    got = {r.g: r for r in ranks.exact_ranks(df, ["g"], "v", picks).collect()}
+    for g, values in (("close", sorted(close)), ("odd", sorted(odd))):
+        assert [got[g][f"p{i}"] for i in (0, 4, 8, 3000, 5999)] == [values[i] if i < len(values) else None for i in (0, 4, 8, 3000, 5999)]
+
+
+def test_ranks_have_no_window(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "cast(id AS double) AS v")
+    plan = ranks.exact_median(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_backward_sum_over_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=1000)
