@@ -233,3 +233,11 @@ def test_compositional_truth_table(spark, parts, transcript, check, want):
                                      "parent_id string, component_index int, component_type string, success boolean, error string")
     r = compositional_verdicts(samples, verdicts).first()
     assert (r.preservation_success, r.joint_success) == want
+
+
+def test_large_scores_do_not_end_a_summary(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1e30), ("b", 1e300), ("b", -1e300), ("c", 2.5), ("c", 1e15), ("d", None)], "g string, v double")
+    measures = {"avg": rollup.mean(F.col("v"))}
+    got = {(r.dim, r.key): r.avg for r in rollup.summarise(df, {"g": F.col("g")}, measures).collect()}
+    assert got["by_g", "a"] == pytest.approx(5e29) and got["by_g", "b"] == 0.0 and got["by_g", "c"] == (1e15 + 2.5) / 2
+    assert got["by_g", "d"] is None and ("overall", "all") in got

@@ -12,6 +12,7 @@ from voxgauge.functions.numeric import is_finite
 
 SCALE = 10_000  # results carry four decimals
 EXACT = "decimal(38,12)"  # row measures are summed as decimals: the same sum in any order
+LARGE = 1e15  # larger values are summed as doubles; below it a decimal holds the sum of 10^11 rows
 
 
 @dataclass(frozen=True)
@@ -40,13 +41,18 @@ def rate(flag: Column, among: Column | None = None) -> Measure:
 
 
 def mean(value: Column, among: Column | None = None, empty: float | None = None) -> Measure:
-    """Mean of finite values, rounded to four decimals at the end; ``empty`` (null by default) when there is none."""
+    """Mean of finite values, rounded to four decimals at the end; ``empty`` (null by default) when there is none.
+
+    Values of ``LARGE`` and beyond count too; only their part of the sum is a sum of doubles.
+    """
     keep = F.coalesce(is_finite(value), F.lit(False))
     keep = keep if among is None else keep & among
-    total = F.coalesce(F.when(keep, value.cast(EXACT)), F.lit(0).cast(EXACT))
+    small = F.abs(value) < LARGE
+    total = F.coalesce(F.when(keep & small, value.cast(EXACT)), F.lit(0).cast(EXACT))
     return Measure(
-        {"sum": total, "n": _one(keep)},
-        lambda p: F.coalesce(F.round(p["sum"].cast("double") / F.nullif(p["n"], F.lit(0)), 4), F.lit(empty)))
+        {"sum": total, "large": F.when(keep & ~small, value.cast("double")), "n": _one(keep)},
+        lambda p: F.coalesce(F.round((p["sum"].cast("double") + F.coalesce(p["large"], F.lit(0.0)))
+                                     / F.nullif(p["n"], F.lit(0)), 4), F.lit(empty)))
 
 
 def count_if(condition: Column) -> Measure:
