@@ -34,7 +34,7 @@ SHARD_BYTES = 24 << 20     # text whose terms are counted together, about
 BATCH_BYTES = 4 << 20      # text of a batch, and of a piece of a longer text
 ROW_RUNS = 1 << 16         # runs in one packed row
 FILTER_BITS = 1 << 24
-BLOCK_ROWS = 1 << 18       # counts of one block of terms, about
+BLOCK_ROWS = 1 << 14       # counts of one block of terms, about
 MATRIX_CELLS = 1 << 20     # shares held at once while a block is summed
 
 _LETTERS = np.zeros(256, bool)
