@@ -77,16 +77,16 @@ def framed_rms_short(spark, sf):
         F.round("rms", 4).alias("rms"))
 
 
-# events as frames of clips (one clip per user and event type); one third of the pitch values is unvoiced
+# events as frames of clips (a thousand successive events, by type); one third of the pitch values is unvoiced
 TRACKS = """
-SELECT concat(event_type, '-', CAST(user_id % 10 AS STRING)) AS path, event_id, value AS rms,
+SELECT concat(event_type, '-', CAST(event_id - event_id % 1000 AS STRING)) AS path, event_id, value AS rms,
   CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE value + 50 END AS f0
 FROM {events}
 """
 
 
 def track_statistics(spark, sf):
-    """Mean energy, median pitch and voiced share per clip."""
+    """Mean energy, median pitch and voiced share per clip; a clip has a thousand frames at most, however long the table."""
     return sg.clip_statistics(spark_table(spark, sf, TRACKS), ["path"]).select(
         "path", "frames", F.round("mean_rms", 6).alias("mean_rms"), F.round("median_f0", 4).alias("median_f0"),
         F.round("voiced_ratio", 4).alias("voiced_ratio"))
@@ -302,14 +302,17 @@ FROM fr LEFT JOIN {source} s USING ({key}) WHERE s.idx >= frame * {hop} - {half}
 GROUP BY {key}, frame"""
 
 
-_PLAN = f"""c AS ({duck(CLIPS)}),
-grown AS (SELECT doc_id, samples, list_min(list_filter([(samples * (2::BIGINT ** k)::BIGINT) FOR k IN range(0, 24)],
+def plan_sql(key: str) -> str:
+    """CTEs from ``c(key, samples)`` to ``plan``: the scored windows of clips."""
+    last = "least(trunc((segment::DOUBLE + 9.01::DOUBLE) * 16000)::BIGINT, n)"
+    return f"""grown AS (SELECT {key}, samples, list_min(list_filter([(samples * (2::BIGINT ** k)::BIGINT) FOR k IN range(0, 24)],
     lambda v: v >= 144160)) AS n FROM c WHERE samples > 0),
 hops AS (SELECT *, trunc(floor(n / 16000::DOUBLE) - 9.01::DOUBLE)::BIGINT + 1 AS h FROM grown),
-seg AS (SELECT doc_id, n, unnest(range(0, h)) AS segment FROM hops),
-plan AS (SELECT doc_id, segment, segment * 16000 AS start,
-    least(trunc((segment::DOUBLE + 9.01::DOUBLE) * 16000)::BIGINT, n) AS "end" FROM seg
-    WHERE least(trunc((segment::DOUBLE + 9.01::DOUBLE) * 16000)::BIGINT, n) - segment * 16000 >= 144160)"""
+seg AS (SELECT {key}, n, unnest(range(0, h)) AS segment FROM hops),
+plan AS (SELECT {key}, segment, segment * 16000 AS start, {last} AS "end" FROM seg WHERE {last} - segment * 16000 >= 144160)"""
+
+
+_PLAN = f"c AS ({duck(CLIPS)}),\n{plan_sql('doc_id')}"
 
 
 def _calibrated(name: str, raw: str) -> str:

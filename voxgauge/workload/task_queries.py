@@ -26,11 +26,18 @@ def matched_samples(spark: SparkSession, sf: str) -> DataFrame:
     return matched.withColumnRenamed("path", "output_path").join(scores, "sample_id", "left")
 
 
+#: The score that the labels of a scene group share; which label of the group is how loud depends on the text length.
+GROUP_SCORES = {"outdoor": "rain", "crowd": "crowd", "music": "music"}
+LABEL_PLACES = list(enumerate((label, group) for group, labels in fv.SCENE_LABELS.items() for label in labels))
+
+
 def _with_scenes(matched: DataFrame) -> DataFrame:
+    """Scene maps of all labels of all groups, and one label outside of them."""
     def scenes(prefix: str):
-        return F.create_map(
-            F.lit("Rain"), F.col(f"{prefix}_rain"), F.lit("Crowd"), F.col(f"{prefix}_crowd"),
-            F.lit("Pop music"), F.col(f"{prefix}_music"), F.lit("Speech"), F.lit(0.99))
+        loud = [F.col(f"{prefix}_{GROUP_SCORES[group]}") * ((F.col("n") + 3 * place) % 11) / 8
+                for place, (_, group) in LABEL_PLACES]
+        return F.map_from_arrays(F.array(*[F.lit(label) for _, (label, _) in LABEL_PLACES], F.lit("Speech")),
+                                 F.array(*loud, F.lit(0.99)))
 
     return matched.withColumns({
         "scenes": F.when(F.col("scene_rain").isNotNull(), scenes("scene")),
@@ -72,21 +79,25 @@ def scored_acoustic(spark, sf):
 
 
 def _components(matched: DataFrame) -> DataFrame:
-    """Zero to five components per sample."""
+    """Zero to eight components per sample, of every kind that has a judge and one that has none."""
     n = F.col("n")
     kinds = F.filter(F.array(
         F.when(n % 7 < 2, "content"), F.when(n % 3 == 0, "speaker"), F.when(n % 2 == 0, "prosody"),
-        F.when(n % 5 == 0, "emotion"), F.when(n % 13 == 0, "hum")), lambda k: k.isNotNull())
+        F.when(n % 5 == 0, "emotion"), F.when(n % 13 == 0, "hum"), F.when(n % 6 == 1, "acoustic"),
+        F.when(n % 11 < 2, "style"), F.when(n % 4 == 3, "paralinguistic")), lambda k: k.isNotNull())
     return matched.where("has_output").select(
         F.col("sample_id").alias("parent_id"), "*", F.posexplode(kinds).alias("component_index", "component_type"))
 
 
-def _component_verdicts(matched: DataFrame) -> DataFrame:
+def _component_verdicts(matched: DataFrame, acoustic=lambda df: tasks.acoustic_verdicts(_with_scenes(df))) -> DataFrame:
     judges = {
         "content": tasks.content_verdicts,
         "speaker": tasks.speaker_verdicts,
         "prosody": tasks.prosody_verdicts,
         "emotion": lambda df: tasks.emotion_verdicts(df.withColumnRenamed("emotion_judge", "judge_text")),
+        "style": lambda df: tasks.style_verdicts(df.withColumnRenamed("style_judge", "judge_text")),
+        "paralinguistic": lambda df: tasks.paralinguistic_verdicts(df.withColumnRenamed("event_judge", "judge_text")),
+        "acoustic": acoustic,
     }
     return comp.component_verdicts(_components(matched), judges)
 
@@ -100,10 +111,10 @@ def _measured(spark, sf):
     return stage(tx.with_preservation(matched_samples(spark, sf), "transcript", "transcript_predicted"), "measured")
 
 
-def _compositional(measured: DataFrame) -> DataFrame:
+def _compositional(measured: DataFrame, **judges) -> DataFrame:
     checked = measured.withColumn(
         "preservation_error", F.when(F.col("transcript_predicted").isNull(), tasks.NO_TRANSCRIPT))
-    return comp.compositional_verdicts(checked, _component_verdicts(measured))
+    return comp.compositional_verdicts(checked, _component_verdicts(measured, **judges))
 
 
 def scored_compositional(spark, sf):
@@ -399,6 +410,15 @@ prosody AS (SELECT * EXCLUDE (wer, cer, cp_error, cp_pass),
     CASE WHEN ok AND error IS NULL THEN verdict END AS target_success,
     CASE WHEN ok AND cp_pass IS NOT NULL THEN verdict AND cp_pass END AS joint_success FROM p2)"""
 
+def _group_score(prefix: str, group: str) -> str:
+    return "greatest(" + ", ".join(f"{prefix}_{GROUP_SCORES[group]} * ((n + {3 * place}) % 11) / 8::DOUBLE"
+                                   for place, (_, of) in LABEL_PLACES if of == group) + ")"
+
+
+def _by_scene(prefix: str) -> str:
+    return "CASE env_subtype " + " ".join(f"WHEN '{g}' THEN {prefix}_{g}" for g in fv.SCENE_LABELS) + " ELSE 0 END"
+
+
 ACOUSTIC_SQL = f"""a0 AS (SELECT * EXCLUDE (dnsmos_sig, dnsmos_bak, dnsmos_ovrl, pesq, stoi),
     has_output AND subtask = 'enhancement' AS enh,
     coalesce(has_output AND subtask = 'env_transfer' AND env_type = 'reverb', FALSE) AS rev,
@@ -406,13 +426,11 @@ ACOUSTIC_SQL = f"""a0 AS (SELECT * EXCLUDE (dnsmos_sig, dnsmos_bak, dnsmos_ovrl,
     {", ".join(f"CASE WHEN has_output AND subtask = 'enhancement' THEN {x} END AS {x}, "
                f"CASE WHEN has_output AND subtask = 'enhancement' THEN {x} - source_{x} END AS {x}_g"
                for x in ("dnsmos_sig", "dnsmos_bak", "dnsmos_ovrl", "pesq", "stoi"))} FROM scored),
-a1 AS (SELECT *, noi AND scene_rain IS NOT NULL AS sc,
-    CASE env_subtype WHEN 'outdoor' THEN scene_rain WHEN 'crowd' THEN scene_crowd WHEN 'music' THEN scene_music
-         ELSE 0 END AS ts,
-    CASE env_subtype WHEN 'outdoor' THEN source_rain WHEN 'crowd' THEN source_crowd WHEN 'music' THEN source_music
-         ELSE 0 END AS ss,
-    CASE greatest(scene_rain, scene_crowd, scene_music) WHEN scene_rain THEN 'outdoor' WHEN scene_crowd THEN 'crowd'
-         ELSE 'music' END AS best_scene FROM a0),
+ag AS (SELECT *, {", ".join(f"{_group_score('scene', g)} AS o_{g}, {_group_score('source', g)} AS s_{g}"
+                         for g in fv.SCENE_LABELS)} FROM a0),
+a1 AS (SELECT *, noi AND scene_rain IS NOT NULL AS sc, {_by_scene('o')} AS ts, {_by_scene('s')} AS ss,
+    CASE greatest(o_outdoor, o_crowd, o_music) WHEN o_outdoor THEN 'outdoor' WHEN o_crowd THEN 'crowd'
+         ELSE 'music' END AS best_scene FROM ag),
 a2 AS (SELECT *, CASE
     WHEN enh THEN CASE WHEN dnsmos_ovrl_g IS NOT NULL AND dnsmos_bak_g IS NOT NULL
                        THEN dnsmos_ovrl_g > 0 AND dnsmos_bak_g > 0 END
@@ -431,12 +449,14 @@ acoustic AS (SELECT *, CASE WHEN target_success IS NOT NULL AND cp_pass IS NOT N
     CASE WHEN sc THEN best_scene END AS predicted_env_subtype, CASE WHEN sc THEN {dt.r4('ts')} END AS target_scene_score,
     CASE WHEN sc THEN {dt.r4('ts - ss')} END AS target_scene_gain FROM a2)"""
 
-COMPOSITIONAL_SQL = f"""{CONTENT_SQL}, {SPEAKER_SQL}, {PROSODY_SQL}, {EMOTION_SQL},
-parts AS (
+POOLED_SQL = f"""parts AS (
     SELECT sample_id, 'content' AS kind, target_success AS ok, error FROM content WHERE has_output AND n % 7 < 2
     UNION ALL SELECT sample_id, 'speaker', target_success, error FROM speaker WHERE has_output AND n % 3 = 0
     UNION ALL SELECT sample_id, 'prosody', target_success, error FROM prosody WHERE has_output AND n % 2 = 0
     UNION ALL SELECT sample_id, 'emotion', target_success, error FROM emotion WHERE has_output AND n % 5 = 0
+    UNION ALL SELECT sample_id, 'style', target_success, error FROM style WHERE has_output AND n % 11 < 2
+    UNION ALL SELECT sample_id, 'paralinguistic', target_success, error FROM paralinguistic WHERE has_output AND n % 4 = 3
+    UNION ALL SELECT sample_id, 'acoustic', target_success, error FROM acoustic WHERE has_output AND n % 6 = 1
     UNION ALL SELECT sample_id, 'hum', NULL, 'unknown component_type: hum' FROM scored
         WHERE has_output AND n % 13 = 0),
 pooled AS (SELECT sample_id, count(*) AS total, count(ok) AS known, count(*) FILTER (WHERE ok) AS passed,
@@ -457,6 +477,9 @@ compositional AS (SELECT *,
         CASE WHEN c_errors > 0 THEN c_errors::VARCHAR || ' component errors' END,
         CASE WHEN chk AND np IS NULL THEN '{NO_TEXT}' END), '') END AS error FROM k0)"""
 
+COMPOSITIONAL_SQL = (f"{CONTENT_SQL}, {SPEAKER_SQL}, {PROSODY_SQL}, {EMOTION_SQL}, {STYLE_SQL}, {EVENT_SQL}, {ACOUSTIC_SQL}, "
+                     f"{POOLED_SQL}")
+
 _TEXT_SQL = ("wer, cer, cp_error AS content_preservation_error, cp_pass AS content_preservation_pass")
 _RATES = {
     "target_success_rate": dt.rate("target_success"),
@@ -489,6 +512,19 @@ def _detail_sql(ctes: str, source: str, columns: str, target: str = "transcript"
 
 _COMMON_SQL = "sample_id, target_success, joint_success, error"
 
+COMPOSITIONAL_COLUMNS = (
+    "sample_id, joint_success, preservation_success, components_total, components_known, components_passed, "
+    "component_success_rate, component_error_count, preservation_error_count, error")
+COMPOSITIONAL_SUMMARY = dt.summary("compositional", {
+    **_dims(["difficulty", "combo_type", "language"]),
+    "combo_language": "CASE WHEN has_output THEN combo_type || '::' || language END"}, {
+    **dt.COVERAGE, "joint_success_rate": dt.rate("joint_success"),
+    "component_success_rate":
+        dt.four_places("(sum(components_passed) * 10000)", "sum(components_known)"),
+    "preservation_success_rate": dt.rate("preservation_success"),
+    "avg_sample_component_success_rate": dt.mean("component_success_rate"), "avg_utmos": dt.mean("utmos"),
+    "avg_source_output_speaker_similarity": dt.mean("source_output_speaker_similarity")})
+
 QUERIES = {
     "preservation_by_language": preservation_by_language,
     "preservation_verdict_only": preservation_verdict_only,
@@ -579,21 +615,10 @@ ORACLES = {
         # rows of this task carry four decimals
         **{f"avg_{n}": dt.mean(dt.r4({"content_preservation_error": "cp_error"}.get(n, n))) for n in stats.ACOUSTIC_MEANS},
         "avg_rt60": dt.mean("rt60_measured"), "avg_target_scene_score": dt.mean("target_scene_score")})),
-    "compositional_details": _detail_sql(
-        COMPOSITIONAL_SQL, "compositional",
-        "sample_id, joint_success, preservation_success, components_total, components_known, components_passed, "
-        "component_success_rate, component_error_count, preservation_error_count, error"),
-    "compositional_summary": _with(COMPOSITIONAL_SQL, dt.summary("compositional", {
-        **_dims(["difficulty", "combo_type", "language"]),
-        "combo_language": "CASE WHEN has_output THEN combo_type || '::' || language END"}, {
-        **dt.COVERAGE, "joint_success_rate": dt.rate("joint_success"),
-        "component_success_rate":
-            dt.four_places("(sum(components_passed) * 10000)", "sum(components_known)"),
-        "preservation_success_rate": dt.rate("preservation_success"),
-        "avg_sample_component_success_rate": dt.mean("component_success_rate"), "avg_utmos": dt.mean("utmos"),
-        "avg_source_output_speaker_similarity": dt.mean("source_output_speaker_similarity")})),
+    "compositional_details": _detail_sql(COMPOSITIONAL_SQL, "compositional", COMPOSITIONAL_COLUMNS),
+    "compositional_summary": _with(COMPOSITIONAL_SQL, COMPOSITIONAL_SUMMARY),
     "all_tasks_summary": _with(
-        f"""{COMPOSITIONAL_SQL}, {STYLE_SQL}, {EVENT_SQL}, {ACOUSTIC_SQL},
+        f"""{COMPOSITIONAL_SQL},
 every_task AS ({" UNION ALL ".join(
     f"SELECT '{name}_editing' AS task, language, source_dataset, has_output, {target} AS target_success, {kept} AS cp_pass,"
     f" joint_success, utmos, error FROM {name}"
