@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from voxgauge.workload.standins import CANDIDATES, SAMPLES, SCORES, duck
+from voxgauge.workload.standins import CANDIDATES, IDEOGRAPHS, SAMPLES, SCORES, duck
 
 
 def r4(value: str) -> str:
@@ -24,6 +24,15 @@ def norm(text: str, language: str = "language") -> str:
     return f"CASE WHEN {language} = 'en' THEN {norm_en(text)} ELSE {norm_zh(text)} END"
 
 
+#: As many signs as there are ideographs in the samples; none of them is in a normalised text.
+_SIGNS = "!#$%&()*+,-./:;<=>?@[]^_|~"
+
+
+def one_byte(text: str) -> str:
+    """A normalised text with a byte for every character: DuckDB's ``levenshtein`` counts bytes."""
+    return f"translate({text}, '{IDEOGRAPHS}', '{_SIGNS}')"
+
+
 def word_errors(source: str) -> str:
     """CTEs ``we_*`` ending in ``word_errors(sample_id, d, nr, nh)`` for ``source(sample_id, nt, np)``.
 
@@ -74,7 +83,7 @@ rated AS (SELECT m.*,
     CASE WHEN m.np IS NULL THEN NULL WHEN w.nr > 0 THEN {r4('w.d::DOUBLE / w.nr')}
          WHEN w.nh > 0 THEN 1.0 ELSE 0.0 END AS wer,
     CASE WHEN m.np IS NULL THEN NULL WHEN length(m.nt) > 0
-         THEN {r4('levenshtein(m.nt, m.np)::DOUBLE / length(m.nt)')}
+         THEN {r4(f"levenshtein({one_byte('m.nt')}, {one_byte('m.np')})::DOUBLE / length(m.nt)")}
          WHEN length(m.np) > 0 THEN 1.0 ELSE 0.0 END AS cer
     FROM normed m LEFT JOIN word_errors w ON w.sample_id = m.sample_id),
 scored AS (SELECT *, CASE WHEN language = 'zh' THEN cer ELSE wer END AS cp_error,

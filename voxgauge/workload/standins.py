@@ -21,6 +21,14 @@ SELECT conv_id, turn, role, text, length(text) AS n,
 FROM {conversations}
 """
 
+#: Turns as evaluation texts: what assistants say in conversations of even number is written in ideographs, one per letter.
+LATIN, IDEOGRAPHS = "abcdefghijklmnopqrstuvwxyz", "一二三四五六七八九十百千万人口日月山水火木金土天地上"
+SAID = f"""
+SELECT conv_id, turn, role, n, sample_id, CASE WHEN role = 'assistant' AND conv_id % 2 = 0
+  THEN translate(text, '{LATIN}', '{IDEOGRAPHS}') ELSE text END AS text
+FROM ({TURNS}) t
+"""
+
 SAMPLES = f"""
 SELECT sample_id, conv_id, turn, n,
   CASE WHEN role = 'assistant' THEN 'zh' ELSE 'en' END AS language,
@@ -63,7 +71,7 @@ SELECT sample_id, conv_id, turn, n,
        ELSE 'music' END AS env_subtype,
   CASE WHEN n % 31 = 0 THEN NULL ELSE CAST(n % 7 AS DOUBLE) / 10 END AS decay_low,
   CAST(n % 7 AS DOUBLE) / 10 + 3e-1 AS decay_high
-FROM ({TURNS}) t
+FROM ({SAID}) t
 """
 
 # every turn after the first is the output of the sample before it, listed under one to three file names
@@ -121,7 +129,7 @@ SELECT s.sample_id,
   CAST(o.n % 50 AS DOUBLE) / 64 AS scene_crowd, CAST(o.n % 70 AS DOUBLE) / 128 AS scene_music,
   CAST(s.n % 30 AS DOUBLE) / 64 AS source_rain, CAST(s.n % 20 AS DOUBLE) / 64 AS source_crowd,
   CAST(s.n % 25 AS DOUBLE) / 64 AS source_music
-FROM ({TURNS}) s JOIN ({TURNS}) o ON o.conv_id = s.conv_id AND o.turn = s.turn + 1
+FROM ({SAID}) s JOIN ({SAID}) o ON o.conv_id = s.conv_id AND o.turn = s.turn + 1
 """
 
 
