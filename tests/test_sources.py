@@ -1,10 +1,12 @@
 import hashlib
 import json
+from urllib.parse import quote
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxgauge.operators import match as mt
-from voxgauge.sources import files, history, samples
+from voxgauge.sources import files, history, listing, samples
 
 
 def write(path, text):
@@ -59,6 +61,31 @@ def test_outputs_are_matched_by_folder_then_extension(spark, tmp_path):
     assert got == {"s1": "s1.wav", "s2": "s2.flac", "s3": "audio/s3.mp3", "a.b": "a.b.wav"}
 
 
+def test_listing_by_tasks(spark, tmp_path, monkeypatch):
+    root = tmp_path / "my outputs+1"
+    names = ["a.wav", "b c.wav", "audio/a%20b.flac", "d1/d2/d3/x.wav", "d1/d2/y.wav", "ü/z.mp3", ".hidden.wav", "_tmp/q.wav"]
+    for i, name in enumerate(names):
+        write(root / name, "x" * i)
+    want = {(f"{root}/{name}", i) for i, name in enumerate(names[:6])}
+    source = listing.register(spark)
+    for path in (str(root), f"{root}/", f"file://{quote(str(root))}"):
+        rows = spark.read.format(source).load(path)
+        assert {(r.path, r.length) for r in rows.collect()} == want
+    assert rows.where("modified > current_timestamp() - INTERVAL 1 HOUR").count() == len(want)
+    assert rows.schema.simpleString() == "struct<path:string,length:bigint,modified:timestamp>"
+    # every number of opened folders gives the same files, each of them once
+    for wanted in (0, 1, 3, 100):
+        monkeypatch.setattr(listing, "FOLDERS_WANTED", wanted)
+        reader = listing.FolderReader(str(root))
+        found = [p for part in reader.partitions() for batch in reader.read(part) for p in batch["path"].to_pylist()]
+        assert sorted(found) == sorted(path for path, _ in want)
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format(source).load(str(tmp_path / "empty")).count() == 0
+    assert not listing.is_mounted("s3a://bucket/x") and listing.is_mounted("out/a:b")
+    with pytest.raises(FileNotFoundError):
+        listing.FolderReader(str(tmp_path / "none")).partitions()
+
+
 def test_manifest_of_a_release(spark, tmp_path):
     text = sample_line(1) + "\n\n" + sample_line(2) + "\n"
     write(tmp_path / "data/t1/samples.jsonl", text)

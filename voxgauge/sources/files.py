@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 from voxgauge import fixed_values as fv
 from voxgauge import schemas
 from voxgauge.functions.naming import extension_rank, file_extension, file_stem
+from voxgauge.sources.listing import is_mounted, register
 
 
 def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """``path, length, modified`` of all files with one of the suffixes; file contents are not read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return listing.select("path", "length", F.col("modificationTime").alias("modified")).where(
+    """``path, length, modified`` of all files with one of the suffixes; file contents are not read.
+
+    Folders that are mounted on all machines are listed by tasks (``FolderListing``). For other stores Spark lists, and
+    the driver holds what it found.
+    """
+    if is_mounted(root):
+        listing = spark.read.format(register(spark)).load(root)
+    else:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
+            "path", "length", F.col("modificationTime").alias("modified"))
+    return listing.where(
         F.lower("path").rlike(r"\.(" + "|".join(suffixes) + ")$"))
 
 

@@ -8,8 +8,8 @@ from voxgauge import fixed_values as fv
 from voxgauge.functions import text as tx
 from voxgauge.operators.ranks import MEDIAN_PICKS, distribution, exact_ranks, nearest_rank_pick
 from voxgauge.plans import audit, readiness
-from voxgauge.session import table
-from voxgauge.sources.files import manifest_rows
+from voxgauge.session import scratch_folder, table
+from voxgauge.sources.files import manifest_rows, write_document
 from voxgauge.sources.samples import allow_patterns, declared_assets
 from voxgauge.workload import duck_text as dt
 from voxgauge.workload.standins import duck, spark_table
@@ -62,6 +62,13 @@ def audit_totals(spark, sf):
     return found.withColumn("task", F.when(F.col("total"), "(all)").otherwise(F.coalesce("task", F.lit("(none)")))).drop("total")
 
 
+def audit_document(spark, sf):
+    """The totals written as a document and read back."""
+    found, folder = audit_totals(spark, sf), scratch_folder(spark, "audit")
+    write_document(found, folder)
+    return spark.read.schema(found.schema).json(folder)
+
+
 def audit_duplicates(spark, sf):
     rows = _rows(spark, sf)
     found = audit.duplicate_values(rows, "task", "sample_id", "duplicate_sample_id_count")
@@ -298,6 +305,7 @@ _SPREAD = f"""n, {dt.r4('lo')} AS min, {dt.r4('p05')} AS p05, {dt.r4('med')} AS
 QUERIES = {
     "audit_counters": lambda s, d: audit.task_counters(_rows(s, d)),
     "audit_totals": audit_totals,
+    "audit_document": audit_document,
     "audit_duplicates": audit_duplicates,
     "audit_histograms": audit_histograms,
     "audit_key_sets": lambda s, d: audit.anchor_key_sets(_rows(s, d), "task", "anchor"),
@@ -413,3 +421,4 @@ ORACLES["audit_templates"] = f"""WITH t AS (SELECT task, {_templates_sql('instru
 SELECT task, rank, template, count FROM (SELECT *,
     row_number() OVER (PARTITION BY task ORDER BY count DESC, f)::INT AS rank FROM t) WHERE rank <= 8"""
 ORACLES["audit_templates_text"] = f"""{_WITH} SELECT doc_id, md5({_templates_sql('instruction')}) AS template_md5 FROM a"""
+ORACLES["audit_document"] = ORACLES["audit_totals"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from voxgauge.functions import naming as nm
@@ -10,10 +12,11 @@ from voxgauge.operators import match as mt
 from voxgauge.operators.lookup import spread_lookup
 from voxgauge.operators.rollup import coverage_measures, mean, or_unknown, rate, summarise
 from voxgauge.operators.similarity import needed_paths, pair_similarity, speaker_preserved, speaker_target
-from voxgauge.session import table
-from voxgauge.sources.files import usable_outputs, with_output_ranks
+from voxgauge.session import scratch_folder, table
+from voxgauge.sources.files import below, list_outputs, usable_outputs, with_output_ranks
+from voxgauge.sources.listing import local_folder
 from voxgauge.workload import duck_text as dt
-from voxgauge.workload.standins import duck, spark_table
+from voxgauge.workload.standins import CANDIDATES, TURNS, duck, spark_table
 
 # orders are samples, line items are files in several formats and folders; small ones lie in a folder that does not count,
 # some have a format that does not count
@@ -193,6 +196,42 @@ def output_listing(spark, sf):
         F.sum("length").alias("bytes"))
 
 
+# the candidate outputs, files of another kind, hidden ones, and some in a folder that does not count
+TREE = f"""
+SELECT substr(path, 5) AS place, length(sample_id) AS size FROM ({CANDIDATES}) t
+UNION ALL SELECT concat('deeper/still/', sample_id, '.wav'), 1 FROM ({TURNS}) t
+UNION ALL SELECT concat('audio/', sample_id, '.txt'), 2 FROM ({TURNS}) t
+UNION ALL SELECT concat('audio/_', sample_id, '.wav'), 3 FROM ({TURNS}) t
+"""
+
+
+def _write_files(root: str):
+    """Tasks write the files of a tree; a file that a lost task wrote is written again."""
+    def run(batches):
+        for batch in batches:
+            for place, size in zip(batch["place"], batch["size"]):
+                path = f"{root}/{place}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as out:
+                    out.write(bytes(size))
+            yield batch
+    return run
+
+
+def written_outputs(spark, sf):
+    """Files of a written tree, listed by tasks: the candidates with their ranks, and which of them is the output."""
+    root = local_folder(scratch_folder(spark, "outputs +1"))
+    tree = spark_table(spark, sf, TREE).select("place", F.col("size").cast("bigint").alias("size"))
+    tree.mapInPandas(_write_files(root), tree.schema).write.format("noop").mode("overwrite").save()
+    listed = list_outputs(spark, root)
+    best = mt.best_outputs(listed, "sample_id", [F.col("dir_rank"), F.col("ext_rank")], ["path"]).select(
+        "path", F.lit(True).alias("chosen"))
+    return listed.join(best, "path", "left").select(
+        "sample_id", below(F.col("path"), root).alias("place"), F.col("dir_rank").cast("bigint").alias("dir_rank"),
+        F.col("ext_rank").cast("bigint").alias("ext_rank"), F.col("length").cast("bigint").alias("length"),
+        F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
 def score_alignment(spark, sf):
     """Scores keyed by sample, with the one-row-per-key check that replaces positional pairing."""
     scores = mt.require_one_row_per(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
@@ -237,6 +276,7 @@ QUERIES = {
     "resolve_paths": resolve_paths,
     "audit_paths": audit_paths,
     "output_listing": output_listing,
+    "written_outputs": written_outputs,
 }
 
 ORACLES = {
@@ -294,4 +334,6 @@ r AS (SELECT *, CASE WHEN rel NOT LIKE '%/%' THEN 0 WHEN regexp_full_match(rel,
     regexp_replace(regexp_extract(rel, '([^/]*)$', 1), '\\.[^.]*$', '') AS sample_id FROM l)
 SELECT dir_rank, ext_rank, count(*) AS files, count(DISTINCT sample_id) AS samples, sum(length)::BIGINT AS bytes
 FROM r WHERE dir_rank IS NOT NULL AND ext_rank IS NOT NULL GROUP BY ALL""",
+    "written_outputs": f"""SELECT sample_id, substr(path, 5) AS place, dir_rank, ext_rank, length(sample_id) AS length,
+    row_number() OVER (PARTITION BY sample_id ORDER BY dir_rank, ext_rank) = 1 AS chosen FROM ({duck(CANDIDATES)})""",
 }
