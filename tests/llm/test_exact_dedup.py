@@ -4,6 +4,7 @@ from collections import defaultdict
 from hypothesis import given
 from hypothesis import strategies as st
 
+from voxgauge.llm import exact_dedup as module
 from voxgauge.llm.exact_dedup import PatriciaTrie, exact_dedup
 from voxgauge.llm.shared import LOWER_BYTES
 
@@ -54,3 +55,31 @@ def test_trie_is_a_map(pairs):
         want[key] = (max(best, owner), members + 1)
     assert {k: (o, m) for k, o, m in trie.drain()} == want
     assert trie.held <= 0 or not trie.root.children
+
+
+def test_spill_leaves_whole_subtrees_behind():
+    """Subtrees leave until half is held; the rest of the trie goes on owning its texts."""
+    trie, keys = PatriciaTrie(), {}
+    for i in range(5000):
+        body = f"text {i}".encode() * (1 + i % 5)
+        digest = int.from_bytes(hashlib.sha256(body).digest()[:8], "big", signed=True)
+        keys[module._key(len(body), digest, body)] = i
+    for key, i in keys.items():
+        trie.insert(key, i, 1)
+    before = trie.held
+    gone = {key: owner for key, owner, _ in trie.drain(before // 2)}
+    assert 2000 < len(gone) < 3000 and before // 3 < trie.held <= before // 2
+    assert {key[0] for key in gone}.isdisjoint(trie.root.children)
+    for key, i in keys.items():
+        trie.insert(key, i + 1, 1)
+    rest = {key: (owner, members) for key, owner, members in trie.drain()}
+    assert rest == {key: (i + 1, 1 if key in gone else 2) for key, i in keys.items()} and trie.held == 0
+
+
+def test_rows_leave_in_small_batches(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(module, "BATCH_BYTES", 64)
+    rows = [(bytes(16) + bytes([i]) * 30, i, 1) for i in range(10)]
+    assert [b.num_rows for b in module._batches(iter(rows), True)] == [1] * 10
+    monkeypatch.setattr(module, "BATCH_BYTES", 100)
+    assert [b.num_rows for b in module._batches(iter(rows), False)] == [2] * 5
+    assert list(module._batches(iter([]), True)) == []

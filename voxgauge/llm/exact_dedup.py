@@ -1,13 +1,14 @@
 """Exact duplicates: Patricia tries over length-and-hash partitions own the identifiers of equal texts.
 
-A key is the text's length, its 64-bit hash and all its bytes. Rows are dealt by length and hash, which spreads different
+A key is the text's 64-bit hash, its length and all its bytes, so the root has a subtree for each first byte of the hash. Rows are dealt by length and hash, which spreads different
 texts evenly and brings equal ones together. Before they are dealt, a trie in each map task merges the copies it meets, so
 a text that makes up a third of all rows travels once per task. After that a trie per partition compares whole byte
 strings; its terminal nodes hold the identifier that stays and the number of rows.
 
-Memory: a trie holds at most ``trie_bytes`` of edges. Beyond that, subtrees leave it as rows: any subtree before the
-shuffle (the partial owners meet again after it), and after it every subtree but that of the current key, since rows come
-sorted by length and hash and all earlier keys are complete. Nothing is written to a local folder.
+Memory: a trie holds at most ``trie_bytes`` of edges. Beyond that, subtrees leave it as rows: before the shuffle subtree
+after subtree until half is left (the partial owners meet again after it), and after it every subtree but that of the current
+key, since rows come sorted by length and hash and all earlier keys are complete. Rows leave in batches of a few megabytes.
+Nothing is written to a local folder.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from voxgauge.llm.shared import lower_ascii, small_batches
 
 TRIE_BYTES = 32 << 20
+#: Bytes of texts in one batch of rows that leave a trie; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 _PARTIAL = "size long, digest long, body binary, owner long, members long"
 _OWNERS = "size long, digest long, text_sha256 string, owner long, members long"
 
@@ -66,7 +69,10 @@ class PatriciaTrie:
             node.owner = owner if node.owner is None else self.better(node.owner, owner)
 
     def drain(self, until: int = 0, current: bytes | None = None) -> Iterator[tuple[bytes, int | None, int]]:
-        """Remove subtrees of the root until at most ``until`` bytes are held; ``current`` stays in the trie."""
+        """Remove subtrees of the root, one by one, until at most ``until`` bytes are held; ``current`` stays in the trie.
+
+        A subtree is taken apart while its rows are read, so read all of them before the next insertion.
+        """
         stays = None
         for first in sorted(self.root.children):
             if self.held <= until:
@@ -99,16 +105,16 @@ def shared_length(label: bytes, key: bytes, at: int) -> int:
 
 
 def _key(size: int, digest: int, body: bytes) -> bytes:
-    return size.to_bytes(8, "big") + (digest & (1 << 64) - 1).to_bytes(8, "big") + body
+    return (digest & (1 << 64) - 1).to_bytes(8, "big") + size.to_bytes(8, "big") + body
 
 
 def _columns(found: list[tuple[bytes, int | None, int]], partial: bool) -> pa.RecordBatch:
     bodies = [key[16:] for key, _, _ in found]
-    digests = [int.from_bytes(key[8:16], "big") for key, _, _ in found]
+    digests = [int.from_bytes(key[:8], "big") for key, _, _ in found]
     third = (pa.array(bodies, pa.binary()) if partial
              else pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string()))
     return pa.RecordBatch.from_arrays([
-        pa.array([int.from_bytes(key[:8], "big") for key, _, _ in found], pa.int64()),
+        pa.array([int.from_bytes(key[8:16], "big") for key, _, _ in found], pa.int64()),
         pa.array([d - (1 << 64) if d >> 63 else d for d in digests], pa.int64()),
         third,
         pa.array([owner for _, owner, _ in found], pa.int64()),
@@ -116,6 +122,18 @@ def _columns(found: list[tuple[bytes, int | None, int]], partial: bool) -> pa.Re
     ], ["size", "digest", "body" if partial else "text_sha256", "owner", "members"])
 
 
+def _batches(found: Iterator[tuple[bytes, int | None, int]], partial: bool) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for row in found:
+        if rows and held + len(row[0]) > BATCH_BYTES:
+            yield _columns(rows, partial)
+            rows, held = [], 0
+        rows.append(row)
+        held += len(row[0])
+    if rows:
+        yield _columns(rows, partial)
+
+
 def _merge(keep: str, trie_bytes: int, partial: bool):
     """An Arrow function that merges rows of equal bodies; ``partial`` rows need not come sorted."""
 
@@ -127,10 +145,8 @@ def _merge(keep: str, trie_bytes: int, partial: bool):
                 trie.insert(key, owner, members)
                 if trie.held > trie_bytes:
                     until = trie_bytes // 2 if partial else 0
-                    if found := list(trie.drain(until, None if partial else key)):
-                        yield _columns(found, partial)
-        if found := list(trie.drain()):
-            yield _columns(found, partial)
+                    yield from _batches(trie.drain(until, None if partial else key), partial)
+        yield from _batches(trie.drain(), partial)
 
     return run
 
