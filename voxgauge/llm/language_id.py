@@ -34,6 +34,8 @@ PLACES = (1 << 9, 1 << 12, 1 << 15)  # places for 1-, 2- and 3-grams
 _STARTS = np.concatenate([[0], np.cumsum(PLACES)])
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)  # odd constants of multiplicative hashing
 PER_LANGUAGE = 300
+#: Classes of hashes per language in the first step to the smallest ones.
+HASH_CLASSES = 64
 LANDMARKS = 240
 RIDGE = 1e-4
 SHARPNESS = 4.0  # turns margins into a score
@@ -139,14 +141,20 @@ def fit(marks: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 4,
           held_out: int = 2, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> LanguageModel:
-    """Learn from labelled texts with a letter whose id has a crc32 remainder other than ``held_out``."""
+    """Learn from labelled texts with a letter whose id has a crc32 remainder other than ``held_out``.
+
+    A null id counts as the empty text in the remainder, so such rows are learned from unless that remainder is held out.
+    Without a text to learn from, the model knows no language and ``identify`` answers ``und``.
+    """
     small_batches(docs.sparkSession)
     known = docs.filter((id_remainder(doc_id, modulus) != held_out) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = known.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     known = known.filter(F.col("text").rlike(r"\p{L}"))
-    by_hash = W.partitionBy("lang").orderBy("hash")
+    # the smallest hashes of a language are among the smallest of its hash classes: no task sees a whole language
     chosen = known.select("lang", "hash").distinct()
-    chosen = chosen.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_language).drop("n")
+    for keys in (("lang", F.pmod("hash", F.lit(HASH_CLASSES))), ("lang",)):
+        by_hash = W.partitionBy(*keys).orderBy("hash")
+        chosen = chosen.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_language).drop("n")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
