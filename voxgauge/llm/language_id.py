@@ -34,8 +34,8 @@ PLACES = (1 << 9, 1 << 12, 1 << 15)  # places for 1-, 2- and 3-grams
 _STARTS = np.concatenate([[0], np.cumsum(PLACES)])
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)  # odd constants of multiplicative hashing
 PER_LANGUAGE = 300
-#: Classes of hashes per language in the first step to the smallest ones.
-HASH_CLASSES = 64
+#: Classes of hashes per language in the steps to the smallest ones; after the first, a task reads eight times the sample.
+HASH_CLASSES = (64, 8, 1)
 LANDMARKS = 240
 RIDGE = 1e-4
 SHARPNESS = 4.0  # turns margins into a score
@@ -152,8 +152,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     known = known.filter(F.col("text").rlike(r"\p{L}"))
     # the smallest hashes of a language are among the smallest of its hash classes: no task sees a whole language
     chosen = known.select("lang", "hash").distinct()
-    for keys in (("lang", F.pmod("hash", F.lit(HASH_CLASSES))), ("lang",)):
-        by_hash = W.partitionBy(*keys).orderBy("hash")
+    for classes in HASH_CLASSES:
+        by_hash = W.partitionBy("lang", F.pmod("hash", F.lit(classes))).orderBy("hash")
         chosen = chosen.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_language).drop("n")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
