@@ -86,6 +86,14 @@ def test_listing_by_tasks(spark, tmp_path, monkeypatch):
         listing.FolderReader(str(tmp_path / "none")).partitions()
 
 
+def test_digest_of_a_file_larger_than_a_block(tmp_path, monkeypatch):
+    body = bytes(range(256)) * 41
+    (tmp_path / "x").write_bytes(body)
+    for block in (1, 255, 256, len(body), 1 << 20):
+        monkeypatch.setattr(listing, "BLOCK_BYTES", block)
+        assert listing.file_digest(str(tmp_path / "x")) == hashlib.sha256(body).hexdigest()
+
+
 def test_manifest_of_a_release(spark, tmp_path):
     text = sample_line(1) + "\n\n" + sample_line(2) + "\n"
     write(tmp_path / "data/t1/samples.jsonl", text)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxgauge import fixed_values as fv
 from voxgauge import schemas
 from voxgauge.functions.naming import extension_rank, file_extension, file_stem
-from voxgauge.sources.listing import is_mounted, register
+from voxgauge.sources.listing import file_digests, is_mounted, register
 
 
 def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
@@ -85,11 +85,11 @@ def task_of(path: Column, root: str | None = None) -> Column:
 def manifest_rows(sample_files: DataFrame, lines: DataFrame, files: DataFrame, root: str | None = None) -> DataFrame:
     """Per task: sample count, hash of the sample file, number and total size of the audio files.
 
-    ``sample_files``: ``path, content``; ``lines``: ``path, line`` (blank lines do not count); ``files``:
+    ``sample_files``: ``path, sha256``; ``lines``: ``path, line`` (blank lines do not count); ``files``:
     ``path, length`` of everything in the release. The task is the folder that holds the sample file or ``audio/``.
     """
     hashed = sample_files.select(
-        task_of(F.col("path"), root).alias("task_id"), F.sha2("content", 256).alias("samples_sha256"))
+        task_of(F.col("path"), root).alias("task_id"), F.col("sha256").alias("samples_sha256"))
     counted = lines.where(F.col("line").rlike(r"(?U)\S")).groupBy(task_of(F.col("path"), root).alias("task_id")).agg(
         F.count(F.lit(1)).alias("samples"))
     audio = files.where(
@@ -105,9 +105,16 @@ def manifest_rows(sample_files: DataFrame, lines: DataFrame, files: DataFrame, r
 
 
 def asset_manifest(spark: SparkSession, data_root: str) -> DataFrame:
-    """Manifest rows of a release folder. Audio contents are not read, only listed."""
+    """Manifest rows of a release folder. Audio contents are not read, only listed.
+
+    Sample files of any size are hashed where the folder is mounted; in other stores they have to fit into a row.
+    """
     options = {"recursiveFileLookup": "true", "pathGlobFilter": "samples.jsonl"}
-    sample_files = spark.read.format("binaryFile").options(**options).load(data_root).select("path", "content")
+    if is_mounted(data_root):
+        sample_files = file_digests(list_files(spark, data_root, ("jsonl",)).where(F.endswith("path", F.lit("/samples.jsonl"))))
+    else:
+        sample_files = spark.read.format("binaryFile").options(**options).load(data_root).select(
+            "path", F.sha2("content", 256).alias("sha256"))
     lines = spark.read.options(**options).text(data_root).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
     return manifest_rows(sample_files, lines, list_files(spark, data_root, fv.ASSET_SUFFIXES), data_root)

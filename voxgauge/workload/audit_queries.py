@@ -168,7 +168,7 @@ SELECT concat('/root/data/t', CAST(l_suppkey AS STRING), CASE l_returnflag WHEN
 def asset_sha(spark, sf):
     files = spark_table(spark, sf, SAMPLE_FILES)
     lines = files.select("path", F.explode(F.split("text", "\n")).alias("line"))
-    return manifest_rows(files.select("path", F.col("text").cast("binary").alias("content")), lines,
+    return manifest_rows(files.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256")), lines,
                          spark_table(spark, sf, ASSET_FILES))
 
 
