@@ -228,3 +228,34 @@ def test_close_pairs():
     want = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8}
     assert want <= found and len(found) <= len(want) + 6 and (8, 9) in found
     assert not set(zip(*(x.tolist() for x in close_pairs(side | {"root": [0] * len(sets)}, side | {"root": [0] * len(sets)}, 0.8))))
+
+
+def test_pairs_grow_with_the_documents_and_not_with_the_square_of_a_group(spark, monkeypatch):
+    """Copies with edits of their own: hardly two runs have the same lowest document, and most pairs are alike."""
+    from voxgauge.llm import near_dedup as module
+
+    compared, plain = [], module._alike
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(module, "_alike", counted)
+    rng = np.random.default_rng(4)
+    words, rows = [f"w{i}" for i in range(150)], []
+    for n in range(240):
+        edited = list(words)
+        for at in rng.choice(len(words), 1 + n % 3, replace=False):
+            edited[at] = f"e{rng.integers(0, 20)}"
+        rows.append((n, " ".join(edited)))
+    assert groups_of(spark, rows) == all_pairs(rows)
+    assert sum(compared) <= 8 * len(rows)
+
+
+def test_every_document_gives_its_lowest_partners():
+    from voxgauge.llm.near_dedup import lowest_partners
+
+    a, b = np.array([(i, j) for i in range(6) for j in range(i + 1, 6)]).T
+    given = {(a[i], b[i]) for i in lowest_partners(a, b, 1).tolist()}
+    assert given == {(0, 1), (0, 2), (0, 3), (0, 4), (0, 5)}
+    assert len(lowest_partners(a, b, 5)) == len(a) and not len(lowest_partners(a[:0], b[:0], 2))

@@ -17,11 +17,14 @@ stays short and no links or groups pass through the driver.
 of shingles are as similar as asked for, by prefix filtering: with the shingles of all documents in one order, two sets of
 Jaccard similarity t share one of their first ``n - ceil(t n) + 1`` shingles. The order is by how often a shingle's bucket
 occurs in the whole table, rare ones first, so what many documents share hardly ever makes a candidate. Documents at one such
-shingle are a run. First each run's lowest document is compared with the others; that settles most of a large group of near
-copies by one comparison per document. What it leaves in different groups is compared inside the tasks, in blocks of
-``BLOCK_MEMBERS`` documents: long runs with common members are one set of blocks, so documents that share many shingles meet
-once. Parity bits decide (they differ in at most as many places as the sets), and only pairs that pass become rows, to be
-compared by their complete sets. No pair is passed over unless its two documents are in one group already.
+shingle are a run. First every document is compared with the lowest documents of its runs, ``STARS`` of them at most; that
+settles most of a large group of near copies by a few comparisons per document. What it leaves in different groups is compared
+inside the tasks, in blocks of ``BLOCK_MEMBERS`` documents: long runs with common members are one set of blocks, so documents
+that share many shingles meet once. Parity bits decide (they differ in at most as many places as the sets), and only pairs that
+pass become rows, to be compared by their complete sets. That goes in rounds: a document gives its ``PARTNERS`` lowest partners
+in other groups, the pairs that are alike join groups, and as long as a pair was held back the next round compares what is
+then still apart, with four times the partners. So pairs grow with the documents and not with the square of a group, and no
+pair is passed over unless its two documents are in one group already.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxgauge.llm.shared import LOWER_BYTES, kept_table, small_batches, word_blocks
@@ -42,6 +45,8 @@ HOT_BUCKET = 256
 SEED = 42
 BUCKETS, BLOCKS = 1 << 20, 64  # counts that order the shingles, and the rows in which they travel
 PART_KEYS = 1 << 20  # shingles of prefixes that one call sees, about
+STARS = 4  # lowest documents of its runs with which a document is compared first
+PARTNERS = 2  # pairs that a document gives in the first round of blocks
 LONG_RUN = 64  # longer runs are compared together with those that share members
 BLOCK_MEMBERS = 1024  # documents of a block of comparisons, about
 BLOCK_BYTES = 1 << 24  # parity bits compared at once
@@ -132,7 +137,7 @@ def connected(pairs: DataFrame) -> DataFrame:
     edges, before = kept_table(pairs.filter("a <> b"), "links"), None
     while True:
         count, total = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if (count, total) == before:
+        if not count or (count, total) == before:
             break
         before = (count, total)
         for larger in (True, False):
@@ -394,11 +399,20 @@ def close_pairs(left: dict[str, list], right: dict[str, list], similarity: float
     return pairs[:, 0], pairs[:, 1]
 
 
-def _close_in_blocks(sets: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: ``close_pairs`` of the members of each set (``kind, set, doc_id, root``).
+def lowest_partners(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Places of those of different pairs that are among the ``most`` lowest partners of one of their documents."""
+    ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((others, ends))
+    ends = ends[order]
+    place = np.arange(len(ends)) - np.searchsorted(ends, ends)
+    return np.unique(order[place < most] % max(1, len(a)))
+
+
+def _close_in_blocks(sets: DataFrame, marks: DataFrame, similarity: float, most: int) -> DataFrame:
+    """``a, b, more``: ``close_pairs`` of the members of each set (``kind, set, doc_id, root``), ``most`` of a document.
 
     A set is dealt into blocks by its documents' hashes and every two of its blocks meet in one place, so a task holds two
-    blocks at most, however large the set; only pairs that pass leave the task.
+    blocks at most, however large the set; only pairs that pass leave the task. ``more`` says that others were held back.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
@@ -407,8 +421,10 @@ def _close_in_blocks(sets: DataFrame, marks: DataFrame, similarity: float) -> Da
             first = place[2]
             side = lambda own: {c: [r[c] for r in own] for c in ("doc_id", "n", "root", "parity")}
             left, right = (side([r for r in held if (r["block"] == first) == is_first]) for is_first in (True, False))
-            pairs = close_pairs(left, right if place[3] != first else left, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+            a, b = close_pairs(left, right if place[3] != first else left, similarity)
+            given = lowest_partners(a, b, most)
+            more = np.full(len(given), len(given) < len(a))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[given], b[given], more)], ["a", "b", "more"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -422,13 +438,27 @@ def _close_in_blocks(sets: DataFrame, marks: DataFrame, similarity: float) -> Da
             yield compared()
 
     sizes = sets.groupBy("kind", "set").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    dealt = sets.join(sizes, ["kind", "set"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    large = F.broadcast(sizes.filter("blocks > 1"))  # one row per BLOCK_MEMBERS documents at most
+    dealt = sets.join(large, ["kind", "set"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = dealt.join(marks.select("doc_id", "n", "parity"), "doc_id")
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "kind", "set", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "block", "doc_id", "n", "root", "parity")
     key, parts = ["kind", "set", "low", "high"], int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+    return met.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, more boolean")
+
+
+def _sets(rooted: DataFrame) -> DataFrame:
+    """``kind, set, doc_id, root``: documents to be compared, of runs (``run, first, doc_id, root``) with several roots."""
+    unsettled = rooted.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    rooted = rooted.join(unsettled.filter("low <> high").select("run", "size"), "run")
+    linked = rooted.filter(F.col("size") > LONG_RUN).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    clusters = connected(linked.distinct()).withColumnRenamed("node", "doc_id").withColumnRenamed("root", "cluster")
+    long_runs = rooted.filter(F.col("size") > LONG_RUN).select("doc_id", "root").distinct().join(clusters, "doc_id").select(
+        F.lit("cluster").alias("kind"), F.col("cluster").alias("set"), "doc_id", "root")
+    sets = rooted.filter(F.col("size") <= LONG_RUN).select(F.lit("run").alias("kind"), F.col("run").alias("set"), "doc_id", "root")
+    return sets.unionByName(long_runs)
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
@@ -450,23 +480,31 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = 1 + int((1 - similarity) * int(counts.sum()) / PART_KEYS)
     runs = kept_table(_runs(rows, shingle, similarity, counts, parts), "runs")
     runs = kept_table(runs.withColumn("run", F.monotonically_increasing_id()), "numbered-runs")
-    members = runs.select("run", F.expr("ids[0]").alias("first"), F.inline(F.arrays_zip("ids", "sizes")))
-    members = members.withColumnRenamed("ids", "doc_id").withColumnRenamed("sizes", "n")
     fits = f"least({{0}}, {{1}}) >= {similarity} * greatest({{0}}, {{1}}) - {SLACK}"
     stars = runs.select(F.expr("ids[0]").alias("a"), F.expr("sizes[0]").alias("m"), F.inline(F.arrays_zip("ids", "sizes")))
     stars = stars.filter("ids > a").filter(fits.format("sizes", "m")).select("a", F.col("ids").alias("b")).distinct()
-    alike = _alike(kept_table(stars, "stars-of-runs"), rows, own, shingle, similarity)
-    roots = kept_table(connected(alike), "roots").withColumnRenamed("node", "doc_id")
-    rooted = members.join(runs.filter("size(ids) > 2").select("run"), "run", "left_semi").filter("doc_id <> first").join(
-        roots, "doc_id", "left").select("run", "first", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    rooted = kept_table(rooted, "members")
-    unsettled = rooted.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-    rooted = rooted.join(unsettled.filter("low <> high").select("run", "size"), "run")
-    linked = rooted.filter(F.col("size") > LONG_RUN).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    clusters = connected(linked.distinct()).withColumnRenamed("node", "doc_id").withColumnRenamed("root", "cluster")
-    long_runs = rooted.filter(F.col("size") > LONG_RUN).select("doc_id", "root").distinct().join(clusters, "doc_id").select(
-        F.lit("cluster").alias("kind"), F.col("cluster").alias("set"), "doc_id", "root")
-    sets = rooted.filter(F.col("size") <= LONG_RUN).select(F.lit("run").alias("kind"), F.col("run").alias("set"), "doc_id", "root")
-    rest = _close_in_blocks(sets.unionByName(long_runs), own, similarity).join(stars, ["a", "b"], "left_anti")
-    alike = alike.unionByName(_alike(kept_table(rest, "rest-of-runs"), rows, own, shingle, similarity))
-    return connected(alike).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    lowest = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    stars = stars.withColumn("place", lowest).filter(F.col("place") <= STARS).select("a", "b")
+    tested = kept_table(stars, "stars-of-runs")
+    alike, roots, most = _alike(tested, rows, own, shingle, similarity), None, PARTNERS
+    settled = runs.filter("size(ids) = 2").select("run", F.expr("ids[0]").alias("a"), F.expr("ids[1]").alias("b")).join(
+        tested, ["a", "b"], "left_semi")
+    members = runs.join(settled, "run", "left_anti").select(
+        "run", F.expr("ids[0]").alias("first"), F.explode("ids").alias("doc_id"))
+    members = kept_table(members.distinct(), "members-of-runs")
+    while True:
+        if roots is None:
+            roots = kept_table(connected(alike), "roots").withColumnRenamed("node", "doc_id")
+        rooted = kept_table(members.join(roots, "doc_id", "left").select(
+            "run", "first", "doc_id", F.coalesce("root", "doc_id").alias("root")), "members")
+        sets = kept_table(_sets(rooted), "sets")
+        rest = kept_table(_close_in_blocks(sets, own, similarity, most), "rest-of-runs")
+        fresh = kept_table(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh-pairs")
+        if not fresh.isEmpty():
+            alike = alike.unionByName(_alike(fresh, rows, own, shingle, similarity))
+            roots = None
+        if rest.filter("more").isEmpty():
+            break
+        tested, most = tested.unionByName(fresh), 4 * most
+    roots = connected(alike).withColumnRenamed("node", "doc_id") if roots is None else roots
+    return roots.select("doc_id", F.col("root").alias("component_id"))
