@@ -42,9 +42,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest id of each group of near copies.
 
-    Near copies share at least 0.8 of their five-word shingles; all such pairs are found.
+    Near copies are what SimHash fingerprints link (``near_dedup``), and what fingerprints miss: texts that share at least 0.8
+    of their five-word shingles; all such pairs are found. Rows without an id stay.
     """
-    groups = near_dedup.similar_groups(docs, shingle=SHINGLE, similarity=SIMILARITY)
+    prints = near_dedup.near_dedup(docs).filter("doc_id <> component_id")
+    linked = kept_table(prints.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "linked")
+    groups = near_dedup.similar_groups(docs, shingle=SHINGLE, similarity=SIMILARITY, known=linked)
     copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(free_name(docs, "copy_id")))
     return docs.join(copies, docs["doc_id"] == copies[copies.columns[0]], "left_anti")
 

@@ -83,3 +83,20 @@ def test_oracles(spark):
         assert sorted(columns) == sorted(df.columns)
         want = sorted(result.fetchall(), key=repr)
         assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == want
+
+
+def test_near_copies_are_linked_by_fingerprints_too(spark):
+    """Three scattered edits leave less than 0.8 of the different five-word shingles, but nearly the whole fingerprint, as the
+    texts have a line that comes again and again."""
+    from test_near_dedup import brute
+
+    rows = []
+    for n in range(12):
+        line, words = [f"l{n}x{i}" for i in range(11)] * 12, [f"w{n}x{i}" for i in range(60)]
+        rows.append((2 * n, " ".join(line + words)))
+        words[10], words[30], words[50] = "some", "other", "words"
+        rows.append((2 * n + 1, " ".join(line + words)))
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table, SF).collect()}
+    copies = {i for i, _, c in brute(rows) if i != c}
+    assert not all_pairs(rows) and copies and left == {i for i, _ in rows} - copies

@@ -462,11 +462,11 @@ def _sets(rooted: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
-                   similarity: float = 0.8) -> DataFrame:
+                   similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
     """``doc_id, component_id``: documents of groups with more than one member; the smallest id of the group.
 
     Groups are what all pairs connect whose sets of ``shingle``-word shingles, over whole texts, have a Jaccard similarity
-    of at least ``similarity``. Null ids are never grouped; of rows that repeat an id any one stands for it. Two texts
+    of at least ``similarity``, and ``known`` pairs (``a, b``) that are linked anyway. Null ids are never grouped; of rows that repeat an id any one stands for it. Two texts
     without a word are alike. An empty table gives none.
     """
     if not 0 < similarity <= 1:
@@ -487,6 +487,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = stars.withColumn("place", lowest).filter(F.col("place") <= STARS).select("a", "b")
     tested = kept_table(stars, "stars-of-runs")
     alike, roots, most = _alike(tested, rows, own, shingle, similarity), None, PARTNERS
+    if known is not None:
+        alike = alike.unionByName(known.select("a", "b"))
     settled = runs.filter("size(ids) = 2").select("run", F.expr("ids[0]").alias("a"), F.expr("ids[1]").alias("b")).join(
         tested, ["a", "b"], "left_semi")
     members = runs.join(settled, "run", "left_anti").select(
