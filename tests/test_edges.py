@@ -184,3 +184,11 @@ def test_repeated_keys_are_named(spark):
     with pytest.raises(ValueError, match="k is not unique: 1"):
         require_one_row_per(df, "k")
     assert require_one_row_per(df.where("v <> 'b'"), "k").count() == 2
+
+
+def test_stress_inputs_are_derived_once(spark):
+    """Tokens and windows feed several branches: all read what was written, only the windows' own derivation reads turns."""
+    from voxgauge.workload import signal_queries
+
+    read = signal_queries._verdicts(spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not [f for f in read if "conversations" in f]

@@ -10,6 +10,7 @@ from voxgauge.functions.prosody import clip_window, prominence
 from voxgauge.functions.timing import target_window
 from voxgauge.operators.lookup import binned_range_join
 from voxgauge.operators.signal import clip_statistics
+from voxgauge.session import stage
 
 BIN_SECONDS = 4.0
 
@@ -71,8 +72,12 @@ def word_verdicts(windows: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def stress_verdicts(tokens: DataFrame, targets: DataFrame, frames: DataFrame) -> DataFrame:
-    """Word verdicts from tokens, target words and frames; every target has its row, spoken or not."""
-    windows = word_windows(tokens, targets)
+    """Word verdicts from tokens, target words and frames; every target has its row, spoken or not.
+
+    The windows are written once: frames are looked up in them and verdicts go over all of them, so they would be searched for
+    again by each.
+    """
+    windows = stage(word_windows(tokens, targets), "windows")
     return word_verdicts(windows, window_prominence(windows, frames))
 
 

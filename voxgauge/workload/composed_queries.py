@@ -47,8 +47,7 @@ def _with_speaker(spark, sf, matched: DataFrame) -> DataFrame:
 
 def _with_stress(spark, sf, matched: DataFrame) -> DataFrame:
     """Tokens and frames to word windows, prominence and stress verdicts."""
-    tokens = sq._tokens(spark, sf)
-    stressed = st.stress_rollup(st.stress_verdicts(tokens, sq._targets(spark, sf), sq._frames(tokens))).select(
+    stressed = st.stress_rollup(sq._verdicts(spark, sf)).select(
         "sample_id", F.col("passed").alias("stress_passed"), "rpg")
     return matched.drop("stress_passed", "rpg").join(stressed, "sample_id", "left")
 

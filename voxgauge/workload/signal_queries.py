@@ -11,7 +11,7 @@ from voxgauge.functions import timing as tm
 from voxgauge.functions.text import words
 from voxgauge.operators import signal as sg
 from voxgauge.operators import stress as st
-from voxgauge.session import table
+from voxgauge.session import spread, stage, table
 from voxgauge.workload import duck_text as dt
 from voxgauge.workload.standins import TURNS, duck, spark_table
 
@@ -218,7 +218,7 @@ FROM ({STRESS_TURNS}) s JOIN ({STRESS_TURNS}) o ON o.conv_id = s.conv_id AND o.t
 
 def _tokens(spark, sf):
     """One token per word: 0.4 s each on the source side; on the output side longer words take longer."""
-    spoken = spark_table(spark, sf, SPOKEN).withColumn("w", words(F.col("text")))
+    spoken = spread(spark_table(spark, sf, SPOKEN), "sample_id").withColumn("w", words(F.col("text")))
     step = F.when(F.col("side") == "source", F.lit(0.4)).otherwise(F.lit(0.5))
     tokens = F.transform("w", lambda w, i: F.struct(
         w.alias("text"), F.regexp_replace(F.lower(w), "[^a-z0-9']+", "").alias("normalized"),
@@ -230,7 +230,7 @@ def _tokens(spark, sf):
 
 def _targets(spark, sf):
     """Stress words of a sample, as far as it has them: its second word, its third with the fourth, a word nobody says."""
-    listed = spark_table(spark, sf, STRESS_TURNS).withColumn("w", words(F.col("text"))).withColumn("targets", F.array_compact(F.array(
+    listed = spread(spark_table(spark, sf, STRESS_TURNS), "sample_id").withColumn("w", words(F.col("text"))).withColumn("targets", F.array_compact(F.array(
         F.get("w", 1), F.when(F.size("w") >= 3, F.concat_ws(" ", F.get("w", 2), F.get("w", 3))),
         F.when(F.col("n") % 4 == 0, "xylophone"))))
     return listed.select(
@@ -259,7 +259,7 @@ def stress_windows(spark, sf):
 
 
 def _verdicts(spark, sf):
-    tokens = _tokens(spark, sf)
+    tokens = stage(_tokens(spark, sf), "tokens")
     return st.stress_verdicts(tokens, _targets(spark, sf), _frames(tokens))
 
 
