@@ -146,3 +146,31 @@ def test_levels_of_a_stream_that_starts_again(spark, tmp_path):
     keys = [row[0] for rows in FILES for row in rows]
     assert found == {k: keys.count(k) for k in keys}
     assert len(levels.live_entries(spark, str(tmp_path / "parts"))) <= 3
+
+
+def test_keys_of_one_bucket_keep_their_own_rows_of_any_type(spark, tmp_path, monkeypatch):
+    """All keys in one bucket: held rows go through the state again and again, whatever their types, and expire one by one."""
+    import math
+    from datetime import date
+    from decimal import Decimal
+
+    monkeypatch.setattr(keyed, "BUCKETS", 1)
+    schema = "k double, day date, ts timestamp, id long, v struct<at:timestamp,xs:array<decimal(12,3)>,b:binary>"
+    value = lambda n: (at(n), [Decimal(n), None], bytes([n]))
+    files = [[(0.0, date(2024, 1, 1), at(10), 1, value(1)), (math.nan, None, at(9), 2, value(2)), (2.0, date(2024, 1, 2), at(4), 3, None)],
+             [(-0.0, date(2024, 1, 1), at(9), 4, value(4)), (math.nan, None, at(11), 5, value(5))],
+             [(-0.0, date(2024, 1, 1), at(10, 30), 6, value(6)), (2.0, date(2024, 1, 2), at(13), 7, value(7))]]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = keyed.stream_newest_answers(stream, ["k", "day"], ["ts", "id"], ["v"], LATE, KEEP, str(tmp_path / "changes"), str(tmp_path / "state"))
+    query.awaitTermination()
+    found = {(r["batch"], r["id"]): (r["k"], r["day"], r["ts"], r["v"], r["fresh"]) for r in spark.read.parquet(str(tmp_path / "changes")).collect()}
+    assert set(found) == {(0, 1), (0, 2), (0, 3), (1, 5), (2, 6), (2, 7)}
+    assert {i for (_, i), r in found.items() if r[-1]} == {1, 2, 3, 7}  # 2.0 was forgotten, its newest row was of hour 4
+    rows = {r[3]: r for file in files for r in file}
+    for (_, i), (k, day, ts, v, _) in found.items():
+        assert (day, ts) == rows[i][1:3] and (v and (v["at"], v["xs"], bytes(v["b"]))) == rows[i][4]
+        assert k == rows[i][0] or math.isnan(k) and math.isnan(rows[i][0])
+    calls = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(calls) <= 3  # one value and one timer, not one per key
