@@ -100,3 +100,21 @@ def test_near_copies_are_linked_by_fingerprints_too(spark):
     left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table, SF).collect()}
     copies = {i for i, _, c in brute(rows) if i != c}
     assert not all_pairs(rows) and copies and left == {i for i, _ in rows} - copies
+
+
+def test_written_tables_leave_no_shuffle_files(spark, docs):
+    """Small tables in many partitions: their shuffle files would fill a disk before the driver collects its garbage."""
+    import time
+
+    from voxgauge.llm.shared import kept_table
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    ids = lambda: {str(f) for f in str(disk.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in f}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, files = spark.conf.get(setting), ids()
+    table = kept_table(docs.repartition(7, "doc_id").groupBy("lang").agg(F.count("*").alias("n")), "counts")
+    until = time.time() + 20
+    while ids() - files and time.time() < until:
+        time.sleep(0.2)
+    assert not ids() - files and spark.conf.get(setting) == before
+    assert sum(r["n"] for r in table.collect()) == docs.count()

@@ -43,10 +43,23 @@ def byte_batches(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go as soon as it is written, not when the driver collects its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def kept_table(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result that is read more than once to the shared folder and go on from the written table."""
     folder = scratch_folder(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(folder)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
