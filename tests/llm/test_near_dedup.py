@@ -94,6 +94,24 @@ def test_long_chains_are_one_group(spark):
     assert {roots[n] for n in names[200:]} == {min(names[200:])}
 
 
+def test_few_links_take_few_tables(spark, monkeypatch):
+    """Every table is as many small files and tasks as there are partitions; long chains took two per star step before."""
+    from voxgauge.llm import near_dedup as module
+    from voxgauge.llm.shared import kept_table
+
+    written = []
+    monkeypatch.setattr(module, "kept_table", lambda df, purpose: written.append(purpose) or kept_table(df, purpose))
+    rng = np.random.default_rng(5)
+    names = (rng.permutation(400) - 200).tolist()  # fingerprints may be negative
+    pairs = [(names[i], names[i + 1]) for i in range(199)] + [(names[300], names[i]) for i in range(301, 400)]
+    df = spark.createDataFrame([(*p,) for p in [*pairs, *pairs, (7, 7), (None, 3)]], "a long, b long").repartition(6)
+    want = {n: min(names[:200]) for n in names[:200]} | {n: min(names[300:]) for n in names[300:]}
+    for task_links, most in ((100_000, 2), (1, 40), (50, 40)):
+        written.clear()
+        rows = [tuple(r) for r in connected(df, task_links).collect()]
+        assert len(rows) == len(set(rows)) and dict(rows) == want and len(written) <= most
+
+
 def words_of(text):
     return (text or "").encode().translate(LOWER_BYTES).split()
 

@@ -10,8 +10,9 @@ and its 32 one-bit neighbours) in it; the complete distance of each match is ver
 ``hot_bucket`` fingerprints share is looked up by the half and, in addition, by the balls of the two 16-bit quarters of
 the other half (again one of them differs in at most one bit), so crowded halves stay exact without all pairs of them.
 
-Groups. Large-star and small-star steps turn links into stars; every step is written to the shared folder, so lineage
-stays short and no links or groups pass through the driver.
+Groups. Tasks contract the links they hold, and large-star and small-star steps turn what is left into stars as long as it is
+more than a task may hold; every step is written to the shared folder, so lineage stays short and no links or groups pass
+through the driver.
 
 ``near_dedup`` groups by fingerprints alone. ``similar_groups`` does without them and finds all pairs of documents whose sets
 of shingles are as similar as asked for, by prefix filtering: with the shingles of all documents in one order, two sets of
@@ -45,6 +46,7 @@ HOT_BUCKET = 256
 SEED = 42
 BUCKETS, BLOCKS = 1 << 20, 64  # counts that order the shingles, and the rows in which they travel
 PART_KEYS = 1 << 20  # shingles of prefixes that one call sees, about
+TASK_LINKS = 100_000  # links that a task contracts at a time
 STARS = 4  # lowest documents of its runs with which a document is compared first
 PARTNERS = 2  # pairs that a document gives in the first round of blocks
 LONG_RUN = 64  # longer runs are compared together with those that share members
@@ -132,13 +134,52 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, hot_bucket: int =
     return found.unionByName(deep).distinct()
 
 
-def connected(pairs: DataFrame) -> DataFrame:
-    """``node, root`` for every node that occurs in ``pairs`` (``a, b``); the root is the smallest node reachable."""
-    edges, before = kept_table(pairs.filter("a <> b"), "links"), None
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every node but the smallest of each group to that smallest node; groups are what the links connect."""
+    parent: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        while (above := parent.setdefault(node, node)) != node:
+            parent[node] = node = parent[above]
+        return node
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        low, high = sorted((root(x), root(y)))
+        parent[high] = low
+    found = [(node, root(node)) for node in list(parent) if parent[node] != node]
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def _contracted(edges: DataFrame, task_links: int) -> DataFrame:
+    """The same groups by fewer links: tasks contract what they hold, ``task_links`` links at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(2)])
+            rows += batch.num_rows
+            if rows >= task_links:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in contracted(*map(np.concatenate, zip(*held)))], ["a", "b"])
+                held, rows = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in contracted(*map(np.concatenate, zip(*held)))], ["a", "b"])
+
+    return edges.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
+
+
+def connected(pairs: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """``node, root`` for every node that occurs in ``pairs`` (``a, b``); the root is the smallest node reachable.
+
+    Tasks contract the links they hold. Fewer than ``task_links`` that are left are contracted by one task, which ends it; as
+    long as there are more, steps turn them into stars.
+    """
+    edges, before = kept_table(_contracted(pairs, task_links), "links"), None
     while True:
         count, total = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if not count or (count, total) == before:
             break
+        if count < task_links:
+            edges = kept_table(_contracted(edges.coalesce(1), task_links), "stars")
+            break
         before = (count, total)
         for larger in (True, False):
             both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
