@@ -3,10 +3,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
+from voxgauge.llm import lm_score
 from voxgauge.llm.lm_score import score_texts
 from voxgauge.llm.pitman_yor import END, SYMBOLS, Spelling, State, Strength, seat, spelling, symbols_of
-from voxgauge.llm.shared import LOWER_BYTES
+from voxgauge.llm.shared import LOWER_BYTES, kept_table
 
 
 def words_of(text):
@@ -55,6 +58,58 @@ def test_odd_rows(odd, odd_rows, none, spark):
     assert all(r["train_tokens"] == 0 and r["score"] == 0 and abs(r["base_score"]) < 1e-12 for r in untrained)
 
 
+def scores(spark, rows, **options):
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: r for r in score_texts(table, **options).collect()}
+
+
+def test_words_follow_words(spark):
+    """A unigram model gives the same score to any order of the same words."""
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [(i, "red green blue") for i in range(500) if zlib.crc32(str(i).encode()) % 10]
+    got_rows = scores(spark, [*rows, (held[0], "red green blue"), (held[1], "green red blue")])
+    assert got_rows[held[0]]["score"] > got_rows[held[1]]["score"] + 2
+    assert got_rows[held[0]]["perplexity"] < 1.1
+
+
+def test_every_context_adds_up_to_one(docs):
+    """Customers less discounts of a context's pairs, and what it leaves to the word restaurant."""
+    rows = docs.coalesce(1).select("doc_id", "text", (F.col("doc_id") % 10 == 0).alias("held"))
+    written = kept_table(lm_score.chunks(rows, "held", "doc_id", "text", 10**9), "chunks")
+    words = written.filter("train > 0").select("word", F.col("train").alias("count"))
+    texts = written.filter("word IS NULL").select(F.col("chunk").alias("of_chunk"), "tokens", "ends", "hashes", "held")
+    pairs = kept_table(lm_score.pair_parts(texts, 3), "pairs")
+    dictionary = kept_table(lm_score.word_parts(words, pairs, 3), "words")
+    found, contexts = lm_score.snapshots(dictionary, pairs, 3, 1, 2)
+    own, sent = lm_score.pair_scores(texts, pairs, [t for _, t, _ in found], contexts, 3), lm_score._sent_pairs(texts, 3, True)
+    given, left = Counter(), {r["part"]: np.frombuffer(r["own"], np.float32) for r in own.collect()}
+    for r in sent.collect():
+        for u, value in zip(np.frombuffer(r["u"], np.uint64).tolist(), left[r["part"]].tolist()):
+            given[u] += value
+    scored = lm_score.word_scores(dictionary, [a for a, _, _ in found], contexts).collect()
+    assert len(found) == 2 and len(scored) == words.count()
+    for r in scored:
+        total = given[xxhash.xxh64_intdigest(bytes(r["word"]), 42)] + r["share"] * (r["count"] + 1)
+        assert math.isclose(total, r["count"] + 1, rel_tol=1e-4)
+    unseen = np.mean([s.share * s.unseen / (s.customers + 1) for _, _, s in found])
+    assert abs(sum(r["p"] for r in scored) + unseen - 1) < 0.01
+
+
+def test_scores_do_not_depend_on_chunks_or_partitions(docs):
+    one, two = ({r["doc_id"]: r["score"] for r in score_texts(d, burn_in=1, keep=1, chunk_tokens=n).collect()}
+                for d, n in ((docs.coalesce(1), 10**9), (docs.repartition(5), 700)))
+    assert one.keys() == two.keys() and all(math.isclose(one[i], two[i], rel_tol=1e-6) for i in one)
+
+
+def test_parts_change_little(docs, monkeypatch):
+    """Parts draw from seeds of their own; counts and messages between parts are whole."""
+    one = {r["doc_id"]: r["score"] for r in score_texts(docs).collect()}
+    monkeypatch.setattr(lm_score, "_PART", 20)
+    rows = score_texts(docs).collect()
+    many = {r["doc_id"]: r["score"] for r in rows}
+    assert max(abs(many[i] / one[i] - 1) for i in one) < 0.02
+
+
 def example():
     words = [b"", b"the", b"then", b"cat", b"cats", b"at", b"\xc3\xa9t\xc3\xa9"]
     counts = np.array([50, 40, 3, 7, 1, 1, 2])

@@ -3,10 +3,16 @@
 1. Tasks cut texts into tokens and write, per chunk of documents, the chunk's different words with their training counts
    and the documents as numbers of those words. Nothing larger than a chunk is held.
 2. Counts are summed per word over all chunks (words are merged within chunks before they travel).
-3. Gibbs sweeps: tasks seat the customers of their words and send back how often each symbol follows two bytes, weighted
-   by tables; spelling restaurants (at most 257^3 pairs whatever the corpus, in practice some ten thousand) are seated on
-   the driver. After the burn-in each sweep leaves a snapshot of the model.
-4. The words' probabilities, averaged over a fresh seating under each snapshot, go back to the chunks that have the word,
+3. Pairs of neighbouring words are counted per chunk first, then per part: a part holds the pairs of many contexts (the word
+   before; the end before a text's first word), and one context's pairs lie in several parts. Words are named by 64-bit hashes
+   there; words with equal ones would share their contexts. A pair that training has once always has one table; only its
+   numbers travel, not the pair.
+4. Gibbs sweeps: word parts answer each pair part what the word restaurant gives to its words and how many tables their
+   contexts have; pair parts seat the customers of their pairs and send back the tables. Tables of a context are customers
+   of the word restaurant. Word parts seat those and send back how often each symbol follows two bytes, weighted by tables;
+   spelling restaurants (at most 257^3 pairs whatever the corpus, in practice some ten thousand) are seated on the driver.
+   After the burn-in each sweep is a snapshot of the model.
+5. What the model gives to words, contexts and pairs, averaged over the snapshots, goes back to the chunks that have them,
    where whole texts are summed up. As in the base score, words that training has not seen are one event: its probability
    is what the restaurant and its spelling parent leave to all unseen words together.
 """
@@ -19,22 +25,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxgauge.llm.pitman_yor import State, Strength, discount_from, spelling, symbols_of
+from voxgauge.llm.pitman_yor import State, Strength, discount_from, seat, spelling, symbols_of
 from voxgauge.llm.shared import LOWER_BYTES, id_remainder, kept_table, small_batches, word_blocks
 
 CHUNK_TOKENS = 4_000_000  # a chunk closes with the document that reaches this many tokens
 BURN_IN, SNAPSHOTS = 2, 3
 SEED = 20
-_WORDS = 200_000  # words that a task seats at a time
-_FRESH = 1 << 16  # numbers of the seatings that probabilities are read from, apart from those of sweeps
-_TABLES = -1  # key under which tasks send back their number of tables
+HASH_SEED = 42  # as in Spark's xxhash64
+_WORDS = 200_000  # words of a chunk in one batch
+_PAIRS = 1 << 16  # numbers of the seatings of pairs, apart from those of words
+_PART = 180  # parts are the root of the training tokens over this: messages between any two of them grow with the tokens
+_SPREAD = 16  # parts over which the pairs of one context are dealt
+_TABLES, _ONCE, _TWICE = -1, -2, -3  # keys of the numbers of tables, and of words with one customer and with two
 
 _CHUNKS = ("chunk long, word binary, number long, train long, docs binary, nulls binary, held binary, ends binary,"
-           " tokens binary")
+           " tokens binary, hashes binary")
 
 
 def tokens(text: str | None, numbers: dict[bytes, int]) -> np.ndarray:
@@ -50,16 +61,16 @@ def _chunk_rows(chunk: int, numbers: dict[bytes, int], docs: list[tuple], ids: l
     held = np.array([h for _, h in docs])
     train = np.bincount(all_ids[np.repeat(~held, [len(x) for x in ids])], minlength=len(numbers))
     names = [c.split()[0] for c in _CHUNKS.split(", ")]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
     words = list(numbers)
     for at in range(0, len(words), _WORDS):
         part = words[at:at + _WORDS]
         columns = [[chunk] * len(part), part, np.arange(at, at + len(part)), train[at:at + len(part)]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.nulls(len(part), pa.binary())] * 5, names)
+            [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.nulls(len(part), pa.binary())] * 6, names)
     values = [[chunk], [None], [None], [None], [np.array([d or 0 for d, _ in docs], np.int64).tobytes()],
               [np.array([d is None for d, _ in docs]).tobytes()], [held.tobytes()], [ends.astype(np.int64).tobytes()],
-              [all_ids.tobytes()]]
+              [all_ids.tobytes()], [np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) for w in words), np.uint64).tobytes()]]
     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
 
@@ -90,82 +101,283 @@ def chunks(docs: DataFrame, held: str, doc_id: str, text: str, chunk_tokens: int
     return rows.mapInArrow(run, _CHUNKS)
 
 
-def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-    """Many words at a time: the table, the bytes of its words in a row, their lengths, their counts."""
-    held, rows = [], 0
-
-    def joined() -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        words = table.column("word").to_pylist()
-        return (table, np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)),
-                table.column("count").to_numpy())
-
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= _WORDS:
-            yield joined()
-            held, rows = [], 0
-    if rows:
-        yield joined()
-
-
 def _random(data: np.ndarray, sweep: int) -> np.random.Generator:
     """The same numbers when a task is run again."""
     return np.random.default_rng([SEED, sweep, zlib.crc32(data.tobytes())])
 
 
-def _sweep(words: DataFrame, state: State | None, sweep: int) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """Seat all words: symbol keys with their counts, the number of tables, the parent's probability of all words."""
-    shared = words.sparkSession.sparkContext.broadcast(state)
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Like Spark's pmod of its signed hash."""
+    return (hashes.view(np.int64) % parts).astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, lengths, counts in _word_batches(batches):
-            tables, mass = np.minimum(counts, 1), 0.0
-            if shared.value:
-                parent = shared.value.parent(data, lengths)
-                tables, mass = shared.value.seat(parent, counts, _random(data, sweep)), float(parent.sum())
-            keys, _ = symbols_of(data, lengths)
-            different, place = np.unique(keys, return_inverse=True)
-            sums = np.bincount(place, np.repeat(tables, lengths + 1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(different, _TABLES)), pa.array(np.append(sums, tables.sum())),
-                 pa.array(np.append(np.zeros(len(different)), mass))], ["key", "n", "mass"])
-
-    rows = words.filter("count > 0").mapInArrow(run, "key long, n long, mass double")
-    rows = rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
-    found = rows.filter("n > 0").toArrow().sort_by("key")  # at most 257^3 + 1 rows
-    keys, n, mass = (found.column(c).to_numpy() for c in ("key", "n", "mass"))
-    return keys[keys >= 0], n[keys >= 0], int(n[keys == _TABLES].sum()), float(mass.sum())
 
+def _array(value: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
 
-def snapshots(words: DataFrame, burn_in: int = BURN_IN, keep: int = SNAPSHOTS) -> list[State]:
-    """Models after the burn-in; ``words`` has ``word`` and ``count``, one row per word."""
-    total, once, twice = words.agg(F.sum("count"), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
-    strength, state, states = Strength(discount_from(once, twice)), None, []
-    for sweep in range(burn_in + keep + 1):  # the last sweep only measures the last snapshot
-        keys, counts, tables, mass = _sweep(words, state, sweep)
-        if state:
-            state.unseen = max(1 - mass, 1e-12)
-        if sweep < burn_in + keep:
-            state = State(spelling(keys, counts, np.random.default_rng([SEED, sweep])), tables, strength, total or 0)
-            if sweep >= burn_in:
-                states.append(state)
-    return states
 
+def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_array(x, kind) for x in table.column(column))])
 
-def word_scores(words: DataFrame, states: list[State]) -> DataFrame:
-    """``word, count, log_p``: log10 of the probability averaged over the snapshots."""
-    shared = words.sparkSession.sparkContext.broadcast(states)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, data, lengths, counts in _word_batches(batches):
-            mean = np.mean([s.predict(s.parent(data, lengths), counts, _random(data, _FRESH + i))
-                            for i, s in enumerate(shared.value)], axis=0)
-            scored = table.select(["word", "count"]).append_column("log_p", pa.array(np.log10(mean)))
-            yield from scored.to_batches()
+def chunk_pairs(ids: np.ndarray, hashes: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    """Different pairs of a chunk in the order of their parts: place of each token's pair, the words' hashes, the parts.
 
-    return words.mapInArrow(run, "word binary, count long, log_p double")
+    The end is the word before a text; it is also the last token of the text before.
+    """
+    keys = np.concatenate([ids[-1:], ids[:-1]]).astype(np.uint64) << np.uint64(32) | ids
+    keys, place = np.unique(keys, return_inverse=True)
+    u, w = hashes[(keys >> np.uint64(32)).astype(np.int64)], hashes[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    part = _part_of(u + w % np.uint64(_SPREAD), parts)
+    order = np.argsort(part, kind="stable")
+    moved = np.empty(len(order), np.int64)
+    moved[order] = np.arange(len(order))
+    return moved[place], u[order], w[order], part[order]
+
+
+def _sent_pairs(texts: DataFrame, parts: int, held: bool) -> DataFrame:
+    """``chunk, part, u, w, n``: a row per chunk and part with its pairs and their training counts; all or those in training."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, ends = np.frombuffer(row["tokens"], np.uint32), np.frombuffer(row["ends"], np.int64)
+                place, u, w, part = chunk_pairs(ids, np.frombuffer(row["hashes"], np.uint64), parts)
+                train = np.repeat(~np.frombuffer(row["held"], bool), np.diff(ends, prepend=0))
+                n = np.bincount(place[train], minlength=len(u)).astype(np.int32)
+                if not held:
+                    u, w, part, n = (x[n > 0] for x in (u, w, part, n))
+                names, starts = np.unique(part, return_index=True)
+                cut = lambda x: pa.array([y.tobytes() for y in np.split(x, starts[1:])][:len(names)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), row["of_chunk"])), pa.array(names), *map(cut, (u, w, n))],
+                                                 ["chunk", "part", "u", "w", "n"])
+
+    return texts.select("of_chunk", "tokens", "ends", "hashes", "held").mapInArrow(
+        run, "chunk long, part int, u binary, w binary, n binary")
+
+
+def _asked(u: np.ndarray, w: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different words of pairs, in the order of their parts, and where each part with a word begins."""
+    words = np.unique(np.concatenate([u, w]))
+    part = _part_of(words, parts)
+    words = words[np.argsort(part, kind="stable")]
+    return words, np.unique(np.sort(part), return_index=True)[1]
+
+
+_MESSAGE = "kind int, part int, to_part int, u binary, w binary, n binary, total long"
+
+
+def _messages(part: int, kind: int, hashes: np.ndarray, starts: np.ndarray, parts: int, **columns: np.ndarray) -> pa.Table:
+    """A row for each part of the words, with what a pair part says of them."""
+    cut = lambda x: pa.array([y.tobytes() for y in np.split(x, starts[1:])][:len(starts)], pa.binary())
+    own = {c: cut(x) for c, x in columns.items()}
+    empty = pa.nulls(len(starts), pa.binary())
+    total = np.add.reduceat(columns["w"], starts) if kind != 2 and len(starts) else np.zeros(len(starts))
+    return pa.table([pa.array(np.full(len(starts), kind, np.int32)), pa.array(np.full(len(starts), part, np.int32)),
+                     pa.array(_part_of(hashes[starts], parts)), *(own.get(c, empty) for c in "uwn"),
+                     pa.array(total.astype(np.int64))], [c.split()[0] for c in _MESSAGE.split(", ")])
+
+
+def _tables_of(words: np.ndarray, u: np.ndarray, w: np.ndarray, tables: np.ndarray) -> dict[str, np.ndarray]:
+    """Tables of pairs summed by their second word (``w``) and by their context (``n``)."""
+    order = np.argsort(words)
+    at = lambda x: order[np.searchsorted(words, x, sorter=order)]
+    return {c: np.bincount(at(x), tables, len(words)).astype(np.int32) for c, x in (("w", w), ("n", u))}
+
+
+def pair_parts(texts: DataFrame, parts: int) -> DataFrame:
+    """Kinds of rows: 0 pairs seen more than once, 1 numbers of the others, 2 words of the former, 3 their first tables."""
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        u, w, n = (_joined(table, c, kind) for c, kind in (("u", np.uint64), ("w", np.uint64), ("n", np.int32)))
+        order = np.lexsort((w, u))
+        u, w, n = u[order], w[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
+        u, w, n = u[starts], w[starts], np.add.reduceat(n, starts, dtype=np.int64)
+        out, many = [], n > 1
+        if not many.all():
+            words, starts = _asked(u[~many], w[~many], parts)
+            out.append(_messages(part, 1, words, starts, parts, u=words, **_tables_of(words, u[~many], w[~many], n[~many])))
+        if many.any():
+            u, w, n = u[many], w[many], n[many]
+            words, starts = _asked(u, w, parts)
+            out.append(pa.table([pa.array([x], k) for x, k in zip(
+                (0, part, None, u.tobytes(), w.tobytes(), n.tobytes(), int((n == 2).sum())),
+                (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))],
+                [c.split()[0] for c in _MESSAGE.split(", ")]))
+            out.append(_messages(part, 2, words, starts, parts, u=words))
+            out.append(_messages(part, 3, words, starts, parts, **_tables_of(words, u, w, np.ones(len(u)))))
+        return pa.concat_tables(out)
+
+    return _sent_pairs(texts, parts, held=False).groupBy("part").applyInArrow(run, _MESSAGE)
+
+
+def word_parts(words: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """A row per part (no ``asker``) with its words of the training texts in the order of their hashes, and who asks for which.
+
+    ``alone`` and ``after`` are a word's pairs seen once, as the second word and as the context.
+    """
+    def run(words: pa.Table, known: pa.Table) -> pa.Table:
+        texts = words.column("word").to_pylist()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(x, HASH_SEED) for x in texts), np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        hashes, texts, seen = hashes[order], [texts[i] for i in order], words.column("count").to_numpy()[order]
+        place = np.searchsorted(hashes, _joined(known, "u", np.uint64))
+        alone, after = (np.bincount(place, _joined(known, c, np.int32), len(hashes)).astype(np.int32) for c in "wn")
+        values = [words.column("to_part")[0].as_py(), None, hashes, b"".join(texts), np.fromiter(map(len, texts), np.int64), alone,
+                  after, seen]
+        values = [x.tobytes() if isinstance(x, np.ndarray) else x for x in values]
+        return pa.table({c.split()[0]: pa.array([x], pa.binary() if "binary" in c else pa.int32())
+                         for c, x in zip(_WORD_PARTS.split(", "), values)})
+
+    named = words.filter("count > 0").select(F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("to_part"), "word", "count")
+    own = named.groupBy("to_part").cogroup(pairs.filter("kind = 1").groupBy("to_part")).applyInArrow(run, _WORD_PARTS)
+    empty = F.lit(None).cast("binary")
+    return own.unionByName(pairs.filter("kind = 2").select(
+        "to_part", F.col("part").alias("asker"), F.col("u").alias("hashes"), empty.alias("data"), empty.alias("lengths"),
+        empty.alias("alone"), empty.alias("after"), empty.alias("seen")))
+
+
+_WORD_PARTS = "to_part int, asker int, hashes binary, data binary, lengths binary, alone binary, after binary, seen binary"
+_ANSWERS = "kind int, part int, to_part int, p binary, after binary, key long, n long, mass double"
+
+
+def _seat_words(dictionary: DataFrame, tables: DataFrame, state: State | None, sweep: int, customers: int) -> DataFrame:
+    """Word restaurant of a sweep. Kinds of rows: 0 answers to pair parts, 1 what all words of a part get, 2 symbols."""
+    shared = dictionary.sparkSession.sparkContext.broadcast(state)
+    names = [c.split()[0] for c in _ANSWERS.split(", ")]
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 2 + [pa.float64()]
+
+    def run(known: pa.Table, tables: pa.Table) -> pa.Table:
+        rows = known.to_pylist()
+        own = next(r for r in rows if r["asker"] is None)
+        number = lambda x, kind: np.frombuffer(x, kind)
+        hashes, data, lengths = number(own["hashes"], np.uint64), number(own["data"], np.uint8), number(own["lengths"], np.int64)
+        count, after = (number(own[c], np.int32).astype(np.int64) for c in ("alone", "after"))
+        asked = {r["asker"]: np.searchsorted(hashes, number(r["hashes"], np.uint64)) for r in rows if r["asker"] is not None}
+        for r in tables.to_pylist():
+            np.add.at(count, asked[r["part"]], number(r["w"], np.int32))
+            np.add.at(after, asked[r["part"]], number(r["n"], np.int32))
+        count = np.maximum(count, 1)
+        if shared.value:
+            parent = shared.value.parent(data, lengths)
+            seated = shared.value.seat(parent, count, _random(data, sweep))
+            mass, p = float(parent.sum()), shared.value.predict(parent, count, None, seated)
+        else:
+            seated, mass, p = np.minimum(count, 1), 0.0, count / customers
+        keys, _ = symbols_of(data, lengths)
+        different, place = np.unique(keys, return_inverse=True)
+        sums = np.bincount(place, np.repeat(seated, lengths + 1)).astype(np.int64)
+        part = own["to_part"]
+        out = [[0, a, part, p[x].astype(np.float32).tobytes(), after[x].astype(np.int32).tobytes(), None, None, None]
+               for a, x in asked.items()]
+        out.append([1, None, part, p.tobytes(), after.astype(np.int32).tobytes(), None, None, None])
+        out += [[2, None, part, None, None, key, int(x.sum()), m] for key, x, m in (
+            (_TABLES, seated, mass), (_ONCE, count == 1, 0.0), (_TWICE, count == 2, 0.0))]
+        answers = pa.table([pa.array(list(x), k) for x, k in zip(zip(*out), kinds)], names)
+        n = len(different)
+        symbols = pa.table([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                            pa.nulls(n, pa.binary()), pa.array(different), pa.array(sums), pa.array(np.zeros(n))], names)
+        return pa.concat_tables([answers, symbols])
+
+    return dictionary.groupBy("to_part").cogroup(tables.groupBy("to_part")).applyInArrow(run, _ANSWERS)
+
+
+def _seat_pairs(pairs: DataFrame, answers: DataFrame, strength: Strength, sweep: int, parts: int) -> DataFrame:
+    """Contexts of a sweep: rows of kind 3 with the tables by word, and of kind 4 with the tables of the part's pairs."""
+    def run(pairs: pa.Table, answers: pa.Table) -> pa.Table:
+        row = pairs.to_pylist()[0]
+        u, w, n = (np.frombuffer(row[c], kind) for c, kind in (("u", np.uint64), ("w", np.uint64), ("n", np.int64)))
+        words, starts = _asked(u, w, parts)
+        answers = answers.sort_by("to_part")
+        p, after = _joined(answers, "p", np.float32).astype(float), _joined(answers, "after", np.int32)
+        order = np.argsort(words)
+        at = lambda x: order[np.searchsorted(words, x, sorter=order)]
+        pull = (strength.concentration + strength.discount * after[at(u)]) * p[at(w)]
+        tables = seat(n, pull, strength.discount, _random(w, _PAIRS + sweep))
+        own = pa.table([pa.array([x], k) for x, k in zip(
+            (4, row["part"], sweep, None, None, tables.astype(np.int32).tobytes(), 0),
+            (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))],
+            [c.split()[0] for c in _MESSAGE.split(", ")])
+        return pa.concat_tables([own, _messages(row["part"], 3, words, starts, parts, **_tables_of(words, u, w, tables))])
+
+    return pairs.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, _MESSAGE)
+
+
+def _symbols(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int], float]:
+    """Symbol keys with their counts, the numbers under other keys, the parent's probability of all words."""
+    rows = answers.filter("kind = 2").groupBy("key").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
+    found = rows.filter("n > 0").toArrow().sort_by("key")  # at most 257^3 + 3 rows
+    keys, n, mass = (found.column(c).to_numpy() for c in ("key", "n", "mass"))
+    return keys[keys >= 0], n[keys >= 0], {k: int(n[keys == k].sum()) for k in (_TABLES, _ONCE, _TWICE)}, float(mass.sum())
+
+
+def snapshots(dictionary: DataFrame, pairs: DataFrame, parts: int, burn_in: int = BURN_IN,
+              keep: int = SNAPSHOTS) -> tuple[list[tuple[DataFrame, DataFrame, State]], Strength]:
+    """After the burn-in what words get, tables of pairs, and the model; and the strength of the contexts."""
+    once, twice = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("total"))), F.lit(0)) for k in (1, 0)]).first()
+    contexts, state, found, seated = Strength(discount_from(once, twice)), None, [], pairs
+    own = pairs.filter("kind = 0").select("part", "u", "w", "n")
+    for sweep in range(burn_in + keep + 1):  # the last sweep only tells the last snapshot
+        tables = seated.filter("kind = 3")
+        customers = once + (tables.agg(F.sum("total")).first()[0] or 0)
+        if state:
+            state.customers = customers
+        answers = kept_table(_seat_words(dictionary, tables.select("to_part", "part", "w", "n"), state, sweep, customers),
+                             "lm-answers")
+        keys, counts, numbers, mass = _symbols(answers)
+        if state:
+            state.unseen = max(1 - mass, 1e-12)
+        if sweep > burn_in:
+            found.append((answers.filter("kind = 1"), seated.filter("kind = 4"), state))
+        if sweep < burn_in + keep:
+            strength = state.strength if state else Strength(discount_from(numbers[_ONCE], numbers[_TWICE]))
+            state = State(spelling(keys, counts, np.random.default_rng([SEED, sweep])), numbers[_TABLES], strength, customers)
+            seated = kept_table(_seat_pairs(own, answers.filter("kind = 0").select("part", "to_part", "p", "after"), contexts,
+                                            sweep, parts), "lm-tables")
+    return found, contexts
+
+
+def word_scores(dictionary: DataFrame, answers: list[DataFrame], contexts: Strength) -> DataFrame:
+    """``word, count, p, share`` of training words: probability, and what their contexts leave to it; means of the snapshots."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["seen"] is not None)
+        seen = np.frombuffer(own["seen"], np.int64)
+        told = [(np.frombuffer(r["p"], float), np.frombuffer(r["after"], np.int32)) for r in rows if r["seen"] is None]
+        p, after = (np.mean(x, axis=0) for x in zip(*told))
+        ends = np.cumsum(np.frombuffer(own["lengths"], np.int64))
+        words = [own["data"][a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        share = (contexts.concentration + contexts.discount * after) / (seen + contexts.concentration)
+        return pa.table({"word": pa.array(words, pa.binary()), "count": seen, "p": p, "share": share})
+
+    rows = dictionary.filter("asker IS NULL").select("to_part", "data", "lengths", "seen", F.lit(None).cast("binary").alias("p"),
+                                                     F.lit(None).cast("binary").alias("after"))
+    for x in answers:
+        rows = rows.unionByName(x.select("to_part", "p", "after"), allowMissingColumns=True)
+    return rows.groupBy("to_part").applyInArrow(run, "word binary, count long, p double, share double")
+
+
+def pair_scores(texts: DataFrame, pairs: DataFrame, tables: list[DataFrame], contexts: Strength, parts: int) -> DataFrame:
+    """``chunk, part, own``: of each pair of a chunk its customers less discounts, by the mean tables of the snapshots."""
+    def run(sent: pa.Table, told: pa.Table) -> pa.Table:
+        u, w, n = (_joined(sent, c, kind) for c, kind in (("u", np.uint64), ("w", np.uint64), ("n", np.int32)))
+        lengths = [len(x.as_buffer()) // 4 for x in sent.column("n")]
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        fresh = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+        count = np.add.reduceat(n[order], np.flatnonzero(fresh), dtype=np.int64)
+        mean = np.minimum(count, 1).astype(float)
+        if len(told):  # pairs seen more than once, in the same order
+            mean[count > 1] = np.mean([_array(x, np.int32) for x in told.column("n")], axis=0)
+        own = np.empty(len(u), np.float32)
+        own[order] = (count - contexts.discount * mean)[np.cumsum(fresh) - 1]
+        cut = [x.tobytes() for x in np.split(own, np.cumsum(lengths)[:-1])]
+        return pa.table({"chunk": sent.column("chunk"), "part": sent.column("part"), "own": pa.array(cut, pa.binary())})
+
+    rows = pairs.select("part", "n").limit(0)
+    for x in tables:
+        rows = rows.unionByName(x.select("part", "n"))
+    return _sent_pairs(texts, parts, held=True).groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(
+        run, "chunk long, part int, own binary")
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 10, remainder: int = 0,
@@ -181,22 +393,38 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
                        (id_remainder(doc_id, modulus) == remainder).alias("held"))
     written = kept_table(chunks(rows, "held", "doc_id", "text", chunk_tokens), "lm-chunks")
     entries = written.filter("word IS NOT NULL").select("chunk", "word", "number", "train")
-    words = kept_table(entries.groupBy("word").agg(F.sum("train").alias("count")), "lm-words")
-    total, vocabulary = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
-    scored = word_scores(words, snapshots(words, burn_in, keep))
-    dictionary = entries.drop("train").join(scored, "word").select("chunk", "number", "count", "log_p")
-    texts = written.filter("word IS NULL").select(F.col("chunk").alias("of_chunk"), "docs", "nulls", "held", "ends", "tokens")
+    words = kept_table(entries.groupBy("word").agg(F.sum("train").alias("count")).filter("count > 0"), "lm-words")
+    total, vocabulary = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    parts = 1 + int(total**0.5 / _PART)
+    texts = written.filter("word IS NULL").select(
+        F.col("chunk").alias("of_chunk"), "docs", "nulls", "held", "ends", "tokens", "hashes")
+    pairs = kept_table(pair_parts(texts, parts), "lm-pairs")
+    dictionary = kept_table(word_parts(words, pairs, parts), "lm-dictionary")
+    found, contexts = snapshots(dictionary, pairs, parts, burn_in, keep)
+    own = kept_table(pair_scores(texts, pairs, [t for _, t, _ in found], contexts, parts), "lm-own")
+    unseen = float(np.mean([s.share * s.unseen / (s.customers + s.strength.concentration) for _, _, s in found]))
+    scored = word_scores(dictionary, [a for a, _, _ in found], contexts)
+    known = entries.drop("train").join(scored, "word", "left").select(
+        "chunk", "number", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("p", F.lit(unseen)).alias("p"),
+        F.coalesce("share", F.lit(1.0)).alias("share"))
+    known = known.unionByName(own, allowMissingColumns=True)
     floor = np.log10(total + 0.1 * (vocabulary + 1))
 
-    def run(words: pa.Table, texts: pa.Table) -> pa.Table:
+    def run(known: pa.Table, texts: pa.Table) -> pa.Table:
+        words, pairs = known.filter(pa.compute.is_valid(known["number"])), known.filter(pa.compute.is_valid(known["part"]))
         numbers = words.column("number").to_numpy()
-        counts, log_p = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
-        counts[numbers] = words.column("count").to_numpy()
-        log_p[numbers] = words.column("log_p").to_numpy()
+        counts, p, share = np.zeros(len(numbers), np.int64), np.zeros(len(numbers)), np.zeros(len(numbers))
+        for to, name in ((counts, "count"), (p, "p"), (share, "share")):
+            to[numbers] = words.column(name).to_numpy()
         row = texts.to_pylist()[0]
         ids, ends = np.frombuffer(row["tokens"], np.uint32), np.frombuffer(row["ends"], np.int64)
         starts, n = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
-        base, score = (np.add.reduceat(v[ids], starts) for v in (np.log10(counts + 0.1) - floor, log_p))
+        before = np.concatenate([ids[-1:], ids[:-1]])
+        place = chunk_pairs(ids, np.frombuffer(row["hashes"], np.uint64), parts)[0]
+        own = _joined(pairs.sort_by("part"), "own", np.float32).astype(float)[place]
+        log_p = np.log10(own / (counts[before] + contexts.concentration) + share[before] * p[ids])
+        base = np.add.reduceat(np.log10(counts + 0.1)[ids] - floor, starts)
+        score = np.add.reduceat(log_p, starts)
         return pa.table({
             "doc_id": pa.array(np.frombuffer(row["docs"], np.int64), mask=np.frombuffer(row["nulls"], bool)),
             "held_out": pa.array(np.frombuffer(row["held"], bool)), "n_tokens": pa.array(n),
@@ -204,6 +432,6 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
             "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(base),
             "score": pa.array(score), "perplexity": pa.array(10 ** (-score / n))})
 
-    return dictionary.groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInArrow(
+    return known.groupBy("chunk").cogroup(texts.groupBy("of_chunk")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double,"
         " score double, perplexity double")

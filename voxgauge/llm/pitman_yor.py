@@ -1,7 +1,7 @@
 """Hierarchical Pitman-Yor restaurants: seating by Gibbs, and predictive probabilities.
 
-The word restaurant serves words (and the end of a text, the empty word); its parent spells words byte by byte. Spelling is
-itself a hierarchy: the restaurant of the two bytes before, whose parent is that of the one byte before, whose parent is
+A restaurant per word serves the words that follow it (the end of a text, the empty word, also stands before its first word).
+The parent of all of them is the word restaurant, whose parent spells words byte by byte. Spelling is itself a hierarchy: the restaurant of the two bytes before, whose parent is that of the one byte before, whose parent is
 that of no context, whose parent is uniform over 257 symbols. Contexts with the same last byte share a parent, and every
 table of a restaurant is one customer of its parent.
 
@@ -160,7 +160,9 @@ class State:
     def seat(self, parent: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         return seat(counts, self.share * parent, self.strength.discount, rng)
 
-    def predict(self, parent: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def predict(self, parent: np.ndarray, counts: np.ndarray, rng: np.random.Generator | None,
+                seated: np.ndarray | None = None) -> np.ndarray:
         """Probability of each word given a seating of its customers; words without any get that of all such words."""
-        weight = counts - self.strength.discount * self.seat(parent, counts, rng) + self.share * parent
+        seated = self.seat(parent, counts, rng) if seated is None else seated
+        weight = counts - self.strength.discount * seated + self.share * parent
         return np.where(counts > 0, weight, self.share * self.unseen) / (self.customers + self.strength.concentration)
