@@ -80,19 +80,24 @@ def test_every_context_adds_up_to_one(docs):
     texts = written.filter("word IS NULL").select(F.col("chunk").alias("of_chunk"), "tokens", "ends", "hashes", "held")
     pairs = kept_table(lm_score.pair_parts(texts, 3), "pairs")
     dictionary = kept_table(lm_score.word_parts(words, pairs, 3), "words")
-    found, contexts = lm_score.snapshots(dictionary, pairs, 3, 1, 2)
+    found, contexts = lm_score.snapshots(dictionary, pairs, 1, 2)
     own, sent = lm_score.pair_scores(texts, pairs, [t for _, t, _ in found], contexts, 3), lm_score._sent_pairs(texts, 3, True)
-    given, left = Counter(), {r["part"]: np.frombuffer(r["own"], np.float32) for r in own.collect()}
+    given, left = Counter(), {r["part"]: lm_score.unpacked(r["own"], np.float32) for r in own.collect()}
     for r in sent.collect():
-        for u, value in zip(np.frombuffer(r["u"], np.uint64).tolist(), left[r["part"]].tolist()):
+        for u, value in zip(lm_score.unpacked(r["u"], np.uint64).tolist(), left[r["part"]].tolist()):
             given[u] += value
-    scored = lm_score.word_scores(dictionary, [a for a, _, _ in found], contexts).collect()
-    assert len(found) == 2 and len(scored) == words.count()
-    for r in scored:
-        total = given[xxhash.xxh64_intdigest(bytes(r["word"]), 42)] + r["share"] * (r["count"] + 1)
-        assert math.isclose(total, r["count"] + 1, rel_tol=1e-4)
-    unseen = np.mean([s.share * s.unseen / (s.customers + 1) for _, _, s in found])
-    assert abs(sum(r["p"] for r in scored) + unseen - 1) < 0.01
+    entries = written.filter("word IS NOT NULL").select("chunk", "word", "number", "train")
+    scored = {n: values for r in lm_score.word_scores(entries, dictionary, [(a, s.total) for a, _, s in found], contexts, 0.5, 3).collect()
+              for n, *values in zip(*(lm_score.unpacked(r[c], k).tolist() for c, k in (
+                  ("numbers", np.uint32), ("counts", np.int64), ("p", np.float32), ("share", np.float32))))}
+    rows = entries.collect()
+    assert len(found) == 2 and len(scored) == len(rows)
+    for r in rows:
+        count, p, share = scored[r["number"]]
+        total = given[xxhash.xxh64_intdigest(bytes(r["word"]), 42)] + share * (count + 1)
+        assert count == r["train"] and math.isclose(total, count + 1, rel_tol=1e-4) and (count or p == 0.5)
+    unseen = np.mean([s.share * s.unseen / (s.customers + 1) / s.total for _, _, s in found])
+    assert abs(sum(p for count, p, _ in scored.values() if count) + unseen - 1) < 0.001
 
 
 def test_scores_do_not_depend_on_chunks_or_partitions(docs):

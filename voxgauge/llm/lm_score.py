@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -70,7 +70,7 @@ def _chunk_rows(chunk: int, numbers: dict[bytes, int], docs: list[tuple], ids: l
             [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.nulls(len(part), pa.binary())] * 6, names)
     values = [[chunk], [None], [None], [None], [np.array([d or 0 for d, _ in docs], np.int64).tobytes()],
               [np.array([d is None for d, _ in docs]).tobytes()], [held.tobytes()], [ends.astype(np.int64).tobytes()],
-              [all_ids.tobytes()], [np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) for w in words), np.uint64).tobytes()]]
+              [packed(all_ids)], [packed(np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) for w in words), np.uint64))]]
     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
 
@@ -111,12 +111,18 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes.view(np.int64) % parts).astype(np.int32)
 
 
-def _array(value: pa.Scalar, kind: type) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), kind)
+def packed(values: np.ndarray) -> bytes:
+    """What travels between tasks, with its size in front; shuffles keep bytes as they are but for repeats."""
+    data = values.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd"), kind)
 
 
 def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(_array(x, kind) for x in table.column(column))])
+    return np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in table.column(column).to_pylist())])
 
 
 def chunk_pairs(ids: np.ndarray, hashes: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
@@ -139,14 +145,14 @@ def _sent_pairs(texts: DataFrame, parts: int, held: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, ends = np.frombuffer(row["tokens"], np.uint32), np.frombuffer(row["ends"], np.int64)
-                place, u, w, part = chunk_pairs(ids, np.frombuffer(row["hashes"], np.uint64), parts)
+                ids, ends = unpacked(row["tokens"], np.uint32), np.frombuffer(row["ends"], np.int64)
+                place, u, w, part = chunk_pairs(ids, unpacked(row["hashes"], np.uint64), parts)
                 train = np.repeat(~np.frombuffer(row["held"], bool), np.diff(ends, prepend=0))
                 n = np.bincount(place[train], minlength=len(u)).astype(np.int32)
                 if not held:
                     u, w, part, n = (x[n > 0] for x in (u, w, part, n))
                 names, starts = np.unique(part, return_index=True)
-                cut = lambda x: pa.array([y.tobytes() for y in np.split(x, starts[1:])][:len(names)], pa.binary())
+                cut = lambda x: pa.array([packed(y) for y in np.split(x, starts[1:])][:len(names)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), row["of_chunk"])), pa.array(names), *map(cut, (u, w, n))],
                                                  ["chunk", "part", "u", "w", "n"])
 
@@ -154,37 +160,41 @@ def _sent_pairs(texts: DataFrame, parts: int, held: bool) -> DataFrame:
         run, "chunk long, part int, u binary, w binary, n binary")
 
 
-def _asked(u: np.ndarray, w: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different words of pairs, in the order of their parts, and where each part with a word begins."""
-    words = np.unique(np.concatenate([u, w]))
+def _asked(u: np.ndarray, w: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    """Different words of pairs in the order of their parts, where a part begins, the parts, places of contexts and words."""
+    words, place = np.unique(np.concatenate([u, w]), return_inverse=True)
     part = _part_of(words, parts)
-    words = words[np.argsort(part, kind="stable")]
-    return words, np.unique(np.sort(part), return_index=True)[1]
+    order = np.argsort(part, kind="stable")
+    moved = np.empty(len(order), np.int32)
+    moved[order] = np.arange(len(order))
+    to_parts, starts = np.unique(part[order], return_index=True)
+    return words[order], starts, to_parts, moved[place[:len(u)]], moved[place[len(u):]]
 
 
 _MESSAGE = "kind int, part int, to_part int, u binary, w binary, n binary, total long"
 
 
-def _messages(part: int, kind: int, hashes: np.ndarray, starts: np.ndarray, parts: int, **columns: np.ndarray) -> pa.Table:
+def _messages(part: int, kind: int, starts: np.ndarray, to_parts: np.ndarray, **columns: np.ndarray) -> pa.Table:
     """A row for each part of the words, with what a pair part says of them."""
-    cut = lambda x: pa.array([y.tobytes() for y in np.split(x, starts[1:])][:len(starts)], pa.binary())
+    cut = lambda x: pa.array([packed(y) for y in np.split(x, starts[1:])][:len(starts)], pa.binary())
     own = {c: cut(x) for c, x in columns.items()}
     empty = pa.nulls(len(starts), pa.binary())
-    total = np.add.reduceat(columns["w"], starts) if kind != 2 and len(starts) else np.zeros(len(starts))
+    total = np.add.reduceat(columns["w"], starts) if "w" in columns and len(starts) else np.zeros(len(starts))
     return pa.table([pa.array(np.full(len(starts), kind, np.int32)), pa.array(np.full(len(starts), part, np.int32)),
-                     pa.array(_part_of(hashes[starts], parts)), *(own.get(c, empty) for c in "uwn"),
+                     pa.array(to_parts, pa.int32()), *(own.get(c, empty) for c in "uwn"),
                      pa.array(total.astype(np.int64))], [c.split()[0] for c in _MESSAGE.split(", ")])
 
 
-def _tables_of(words: np.ndarray, u: np.ndarray, w: np.ndarray, tables: np.ndarray) -> dict[str, np.ndarray]:
-    """Tables of pairs summed by their second word (``w``) and by their context (``n``)."""
-    order = np.argsort(words)
-    at = lambda x: order[np.searchsorted(words, x, sorter=order)]
-    return {c: np.bincount(at(x), tables, len(words)).astype(np.int32) for c, x in (("w", w), ("n", u))}
+def _tables_of(n: int, u: np.ndarray, w: np.ndarray, tables: np.ndarray) -> dict[str, np.ndarray]:
+    """Tables of pairs summed by their second word (``w``) and by their context (``n``), of ``n`` words."""
+    return {c: np.bincount(x, tables, n).astype(np.int32) for c, x in (("w", w), ("n", u))}
 
 
 def pair_parts(texts: DataFrame, parts: int) -> DataFrame:
-    """Kinds of rows: 0 pairs seen more than once, 1 numbers of the others, 2 words of the former, 3 their first tables."""
+    """Kinds of rows: 0 pairs seen more than once, 1 numbers of the others, 2 words of the former, 3 their first tables.
+
+    Pairs of kind 0 name their words by their places among those of kind 2.
+    """
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         u, w, n = (_joined(table, c, kind) for c, kind in (("u", np.uint64), ("w", np.uint64), ("n", np.int32)))
@@ -194,54 +204,60 @@ def pair_parts(texts: DataFrame, parts: int) -> DataFrame:
         u, w, n = u[starts], w[starts], np.add.reduceat(n, starts, dtype=np.int64)
         out, many = [], n > 1
         if not many.all():
-            words, starts = _asked(u[~many], w[~many], parts)
-            out.append(_messages(part, 1, words, starts, parts, u=words, **_tables_of(words, u[~many], w[~many], n[~many])))
+            words, starts, to_parts, before, after = _asked(u[~many], w[~many], parts)
+            out.append(_messages(part, 1, starts, to_parts, u=words, **_tables_of(len(words), before, after, n[~many])))
         if many.any():
-            u, w, n = u[many], w[many], n[many]
-            words, starts = _asked(u, w, parts)
+            words, starts, to_parts, before, after = _asked(u[many], w[many], parts)
+            n = n[many].astype(np.int32)
             out.append(pa.table([pa.array([x], k) for x, k in zip(
-                (0, part, None, u.tobytes(), w.tobytes(), n.tobytes(), int((n == 2).sum())),
+                (0, part, None, packed(before), packed(after), packed(n), int((n == 2).sum())),
                 (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))],
                 [c.split()[0] for c in _MESSAGE.split(", ")]))
-            out.append(_messages(part, 2, words, starts, parts, u=words))
-            out.append(_messages(part, 3, words, starts, parts, **_tables_of(words, u, w, np.ones(len(u)))))
+            out.append(_messages(part, 2, starts, to_parts, u=words))
+            out.append(_messages(part, 3, starts, to_parts, **_tables_of(len(words), before, after, np.ones(len(n)))))
         return pa.concat_tables(out)
 
     return _sent_pairs(texts, parts, held=False).groupBy("part").applyInArrow(run, _MESSAGE)
 
 
 def word_parts(words: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """A row per part (no ``asker``) with its words of the training texts in the order of their hashes, and who asks for which.
+    """A row per part (no ``asker``) with its words of the training texts in the order of their hashes; and a row per part of
+    pairs that asks, with the steps between the places of the words it asks for.
 
     ``alone`` and ``after`` are a word's pairs seen once, as the second word and as the context.
     """
+    names = [c.split()[0] for c in _WORD_PARTS.split(", ")]
+    kinds = [pa.binary() if "binary" in c else pa.int32() for c in _WORD_PARTS.split(", ")]
+
     def run(words: pa.Table, known: pa.Table) -> pa.Table:
-        texts = words.column("word").to_pylist()
+        texts, part = words.column("word").to_pylist(), words.column("to_part")[0].as_py()
         hashes = np.fromiter((xxhash.xxh64_intdigest(x, HASH_SEED) for x in texts), np.uint64)
         order = np.argsort(hashes, kind="stable")
         hashes, texts, seen = hashes[order], [texts[i] for i in order], words.column("count").to_numpy()[order]
-        place = np.searchsorted(hashes, _joined(known, "u", np.uint64))
-        alone, after = (np.bincount(place, _joined(known, c, np.int32), len(hashes)).astype(np.int32) for c in "wn")
-        values = [words.column("to_part")[0].as_py(), None, hashes, b"".join(texts), np.fromiter(map(len, texts), np.int64), alone,
-                  after, seen]
-        values = [x.tobytes() if isinstance(x, np.ndarray) else x for x in values]
-        return pa.table({c.split()[0]: pa.array([x], pa.binary() if "binary" in c else pa.int32())
-                         for c, x in zip(_WORD_PARTS.split(", "), values)})
+        alone, after = np.zeros((2, len(hashes)), np.int64)
+        rows = []
+        for r in known.to_pylist():
+            place = np.searchsorted(hashes, unpacked(r["u"], np.uint64))
+            if r["kind"] == 1:
+                np.add.at(alone, place, unpacked(r["w"], np.int32))
+                np.add.at(after, place, unpacked(r["n"], np.int32))
+            else:
+                rows.append([part, r["part"], packed(np.diff(place, prepend=0).astype(np.int32)), *[None] * 5])
+        rows.append([part, None, None, b"".join(texts), packed(np.fromiter(map(len, texts), np.int64)),
+                     packed(alone.astype(np.int32)), packed(after.astype(np.int32)), packed(seen)])
+        return pa.table([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)], names)
 
     named = words.filter("count > 0").select(F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("to_part"), "word", "count")
-    own = named.groupBy("to_part").cogroup(pairs.filter("kind = 1").groupBy("to_part")).applyInArrow(run, _WORD_PARTS)
-    empty = F.lit(None).cast("binary")
-    return own.unionByName(pairs.filter("kind = 2").select(
-        "to_part", F.col("part").alias("asker"), F.col("u").alias("hashes"), empty.alias("data"), empty.alias("lengths"),
-        empty.alias("alone"), empty.alias("after"), empty.alias("seen")))
+    return named.groupBy("to_part").cogroup(pairs.filter("kind IN (1, 2)").groupBy("to_part")).applyInArrow(run, _WORD_PARTS)
 
 
-_WORD_PARTS = "to_part int, asker int, hashes binary, data binary, lengths binary, alone binary, after binary, seen binary"
+_WORD_PARTS = "to_part int, asker int, places binary, data binary, lengths binary, alone binary, after binary, seen binary"
 _ANSWERS = "kind int, part int, to_part int, p binary, after binary, key long, n long, mass double"
 
 
-def _seat_words(dictionary: DataFrame, tables: DataFrame, state: State | None, sweep: int, customers: int) -> DataFrame:
-    """Word restaurant of a sweep. Kinds of rows: 0 answers to pair parts, 1 what all words of a part get, 2 symbols."""
+def _seat_words(dictionary: DataFrame, tables: DataFrame, state: State | None, sweep: int, customers: int,
+                told: bool) -> DataFrame:
+    """Word restaurant of a sweep. Kinds of rows: 0 answers to pair parts, 1 (if ``told``) what all words get, 2 symbols."""
     shared = dictionary.sparkSession.sparkContext.broadcast(state)
     names = [c.split()[0] for c in _ANSWERS.split(", ")]
     kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 2 + [pa.float64()]
@@ -249,13 +265,12 @@ def _seat_words(dictionary: DataFrame, tables: DataFrame, state: State | None, s
     def run(known: pa.Table, tables: pa.Table) -> pa.Table:
         rows = known.to_pylist()
         own = next(r for r in rows if r["asker"] is None)
-        number = lambda x, kind: np.frombuffer(x, kind)
-        hashes, data, lengths = number(own["hashes"], np.uint64), number(own["data"], np.uint8), number(own["lengths"], np.int64)
-        count, after = (number(own[c], np.int32).astype(np.int64) for c in ("alone", "after"))
-        asked = {r["asker"]: np.searchsorted(hashes, number(r["hashes"], np.uint64)) for r in rows if r["asker"] is not None}
+        data, lengths = np.frombuffer(own["data"], np.uint8), unpacked(own["lengths"], np.int64)
+        count, after = (unpacked(own[c], np.int32).astype(np.int64) for c in ("alone", "after"))
+        asked = {r["asker"]: np.cumsum(unpacked(r["places"], np.int32)) for r in rows if r["asker"] is not None}
         for r in tables.to_pylist():
-            np.add.at(count, asked[r["part"]], number(r["w"], np.int32))
-            np.add.at(after, asked[r["part"]], number(r["n"], np.int32))
+            np.add.at(count, asked[r["part"]], unpacked(r["w"], np.int32))
+            np.add.at(after, asked[r["part"]], unpacked(r["n"], np.int32))
         count = np.maximum(count, 1)
         if shared.value:
             parent = shared.value.parent(data, lengths)
@@ -267,9 +282,10 @@ def _seat_words(dictionary: DataFrame, tables: DataFrame, state: State | None, s
         different, place = np.unique(keys, return_inverse=True)
         sums = np.bincount(place, np.repeat(seated, lengths + 1)).astype(np.int64)
         part = own["to_part"]
-        out = [[0, a, part, p[x].astype(np.float32).tobytes(), after[x].astype(np.int32).tobytes(), None, None, None]
+        out = [[0, a, part, packed(p[x].astype(np.float32)), packed(after[x].astype(np.int32)), None, None, None]
                for a, x in asked.items()]
-        out.append([1, None, part, p.tobytes(), after.astype(np.int32).tobytes(), None, None, None])
+        if told:
+            out.append([1, None, part, packed(p.astype(np.float32)), packed(after.astype(np.int32)), None, None, None])
         out += [[2, None, part, None, None, key, int(x.sum()), m] for key, x, m in (
             (_TABLES, seated, mass), (_ONCE, count == 1, 0.0), (_TWICE, count == 2, 0.0))]
         answers = pa.table([pa.array(list(x), k) for x, k in zip(zip(*out), kinds)], names)
@@ -281,23 +297,22 @@ def _seat_words(dictionary: DataFrame, tables: DataFrame, state: State | None, s
     return dictionary.groupBy("to_part").cogroup(tables.groupBy("to_part")).applyInArrow(run, _ANSWERS)
 
 
-def _seat_pairs(pairs: DataFrame, answers: DataFrame, strength: Strength, sweep: int, parts: int) -> DataFrame:
+def _seat_pairs(pairs: DataFrame, answers: DataFrame, strength: Strength, sweep: int) -> DataFrame:
     """Contexts of a sweep: rows of kind 3 with the tables by word, and of kind 4 with the tables of the part's pairs."""
     def run(pairs: pa.Table, answers: pa.Table) -> pa.Table:
         row = pairs.to_pylist()[0]
-        u, w, n = (np.frombuffer(row[c], kind) for c, kind in (("u", np.uint64), ("w", np.uint64), ("n", np.int64)))
-        words, starts = _asked(u, w, parts)
+        u, w, n = (unpacked(row[c], np.int32) for c in "uwn")
         answers = answers.sort_by("to_part")
         p, after = _joined(answers, "p", np.float32).astype(float), _joined(answers, "after", np.int32)
-        order = np.argsort(words)
-        at = lambda x: order[np.searchsorted(words, x, sorter=order)]
-        pull = (strength.concentration + strength.discount * after[at(u)]) * p[at(w)]
-        tables = seat(n, pull, strength.discount, _random(w, _PAIRS + sweep))
+        starts = np.cumsum([0, *(len(unpacked(x, np.int32)) for x in answers.column("after").to_pylist())])[:-1]
+        pull = (strength.concentration + strength.discount * after[u]) * p[w]
+        tables = seat(n.astype(np.int64), pull, strength.discount, _random(w, _PAIRS + sweep))
         own = pa.table([pa.array([x], k) for x, k in zip(
-            (4, row["part"], sweep, None, None, tables.astype(np.int32).tobytes(), 0),
+            (4, row["part"], sweep, None, None, packed(tables.astype(np.int32)), 0),
             (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))],
             [c.split()[0] for c in _MESSAGE.split(", ")])
-        return pa.concat_tables([own, _messages(row["part"], 3, words, starts, parts, **_tables_of(words, u, w, tables))])
+        to_parts = answers.column("to_part").to_numpy()
+        return pa.concat_tables([own, _messages(row["part"], 3, starts, to_parts, **_tables_of(len(p), u, w, tables))])
 
     return pairs.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, _MESSAGE)
 
@@ -310,7 +325,7 @@ def _symbols(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]
     return keys[keys >= 0], n[keys >= 0], {k: int(n[keys == k].sum()) for k in (_TABLES, _ONCE, _TWICE)}, float(mass.sum())
 
 
-def snapshots(dictionary: DataFrame, pairs: DataFrame, parts: int, burn_in: int = BURN_IN,
+def snapshots(dictionary: DataFrame, pairs: DataFrame, burn_in: int = BURN_IN,
               keep: int = SNAPSHOTS) -> tuple[list[tuple[DataFrame, DataFrame, State]], Strength]:
     """After the burn-in what words get, tables of pairs, and the model; and the strength of the contexts."""
     once, twice = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("total"))), F.lit(0)) for k in (1, 0)]).first()
@@ -321,56 +336,73 @@ def snapshots(dictionary: DataFrame, pairs: DataFrame, parts: int, burn_in: int
         customers = once + (tables.agg(F.sum("total")).first()[0] or 0)
         if state:
             state.customers = customers
-        answers = kept_table(_seat_words(dictionary, tables.select("to_part", "part", "w", "n"), state, sweep, customers),
-                             "lm-answers")
+        answers = kept_table(_seat_words(dictionary, tables.select("to_part", "part", "w", "n"), state, sweep, customers,
+                                          sweep > burn_in), "lm-answers")
         keys, counts, numbers, mass = _symbols(answers)
         if state:
             state.unseen = max(1 - mass, 1e-12)
+            state.total = (customers - state.strength.discount * numbers[_TABLES] + state.share) / (
+                customers + state.strength.concentration)
         if sweep > burn_in:
             found.append((answers.filter("kind = 1"), seated.filter("kind = 4"), state))
         if sweep < burn_in + keep:
             strength = state.strength if state else Strength(discount_from(numbers[_ONCE], numbers[_TWICE]))
             state = State(spelling(keys, counts, np.random.default_rng([SEED, sweep])), numbers[_TABLES], strength, customers)
             seated = kept_table(_seat_pairs(own, answers.filter("kind = 0").select("part", "to_part", "p", "after"), contexts,
-                                            sweep, parts), "lm-tables")
+                                            sweep), "lm-tables")
     return found, contexts
 
 
-def word_scores(dictionary: DataFrame, answers: list[DataFrame], contexts: Strength) -> DataFrame:
-    """``word, count, p, share`` of training words: probability, and what their contexts leave to it; means of the snapshots."""
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        own = next(r for r in rows if r["seen"] is not None)
-        seen = np.frombuffer(own["seen"], np.int64)
-        told = [(np.frombuffer(r["p"], float), np.frombuffer(r["after"], np.int32)) for r in rows if r["seen"] is None]
-        p, after = (np.mean(x, axis=0) for x in zip(*told))
-        ends = np.cumsum(np.frombuffer(own["lengths"], np.int64))
-        words = [own["data"][a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-        share = (contexts.concentration + contexts.discount * after) / (seen + contexts.concentration)
-        return pa.table({"word": pa.array(words, pa.binary()), "count": seen, "p": p, "share": share})
+def word_scores(entries: DataFrame, dictionary: DataFrame, answers: list[tuple[DataFrame, float]], contexts: Strength,
+                unseen: float, parts: int) -> DataFrame:
+    """``chunk, numbers, counts, p, share``: per chunk and part its words, found by their bytes.
+
+    ``p`` is a word's probability, ``share`` what its context leaves to the word restaurant; means of the snapshots.
+    """
+    def run(entries: pa.Table, known: pa.Table) -> pa.Table:
+        rows = known.to_pylist()
+        own = [r for r in rows if r["seen"] is not None]
+        words, counts, p, share = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        if own:
+            counts = unpacked(own[0]["seen"], np.int64)
+            told = [(unpacked(r["p"], np.float32) / r["total"], unpacked(r["after"], np.int32)) for r in rows if r["seen"] is None]
+            p, after = (np.mean(x, axis=0, dtype=float) for x in zip(*told))
+            ends = np.cumsum(unpacked(own[0]["lengths"], np.int64))
+            words = pa.array([own[0]["data"][a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], pa.binary())
+            share = (contexts.concentration + contexts.discount * after) / (counts + contexts.concentration)
+        place = pa.compute.index_in(entries.column("word").combine_chunks(), value_set=words).fill_null(len(words)).to_numpy()
+        chunk, numbers = entries.column("chunk").to_numpy(), entries.column("number").to_numpy()
+        order = np.lexsort((numbers, chunk))
+        names, starts = np.unique(chunk[order], return_index=True)
+        cut = lambda x: pa.array([packed(y) for y in np.split(x[order], starts[1:])][:len(names)], pa.binary())
+        return pa.table({
+            "chunk": names, "numbers": cut(numbers.astype(np.uint32)), "counts": cut(np.append(counts, 0)[place]),
+            "p": cut(np.append(p, unseen)[place].astype(np.float32)), "share": cut(np.append(share, 1.0)[place].astype(np.float32))})
 
     rows = dictionary.filter("asker IS NULL").select("to_part", "data", "lengths", "seen", F.lit(None).cast("binary").alias("p"),
                                                      F.lit(None).cast("binary").alias("after"))
-    for x in answers:
-        rows = rows.unionByName(x.select("to_part", "p", "after"), allowMissingColumns=True)
-    return rows.groupBy("to_part").applyInArrow(run, "word binary, count long, p double, share double")
+    for x, total in answers:
+        rows = rows.unionByName(x.select("to_part", "p", "after", F.lit(total).alias("total")), allowMissingColumns=True)
+    named = entries.select("chunk", "word", "number", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("of_part"))
+    return named.groupBy("of_part").cogroup(rows.groupBy("to_part")).applyInArrow(
+        run, "chunk long, numbers binary, counts binary, p binary, share binary")
 
 
 def pair_scores(texts: DataFrame, pairs: DataFrame, tables: list[DataFrame], contexts: Strength, parts: int) -> DataFrame:
     """``chunk, part, own``: of each pair of a chunk its customers less discounts, by the mean tables of the snapshots."""
     def run(sent: pa.Table, told: pa.Table) -> pa.Table:
         u, w, n = (_joined(sent, c, kind) for c, kind in (("u", np.uint64), ("w", np.uint64), ("n", np.int32)))
-        lengths = [len(x.as_buffer()) // 4 for x in sent.column("n")]
+        lengths = [len(unpacked(x, np.int32)) for x in sent.column("n").to_pylist()]
         order = np.lexsort((w, u))
         u, w = u[order], w[order]
         fresh = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
         count = np.add.reduceat(n[order], np.flatnonzero(fresh), dtype=np.int64)
         mean = np.minimum(count, 1).astype(float)
         if len(told):  # pairs seen more than once, in the same order
-            mean[count > 1] = np.mean([_array(x, np.int32) for x in told.column("n")], axis=0)
+            mean[count > 1] = np.mean([unpacked(x, np.int32) for x in told.column("n").to_pylist()], axis=0)
         own = np.empty(len(u), np.float32)
         own[order] = (count - contexts.discount * mean)[np.cumsum(fresh) - 1]
-        cut = [x.tobytes() for x in np.split(own, np.cumsum(lengths)[:-1])]
+        cut = [packed(x) for x in np.split(own, np.cumsum(lengths)[:-1])]
         return pa.table({"chunk": sent.column("chunk"), "part": sent.column("part"), "own": pa.array(cut, pa.binary())})
 
     rows = pairs.select("part", "n").limit(0)
@@ -400,27 +432,24 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
         F.col("chunk").alias("of_chunk"), "docs", "nulls", "held", "ends", "tokens", "hashes")
     pairs = kept_table(pair_parts(texts, parts), "lm-pairs")
     dictionary = kept_table(word_parts(words, pairs, parts), "lm-dictionary")
-    found, contexts = snapshots(dictionary, pairs, parts, burn_in, keep)
+    found, contexts = snapshots(dictionary, pairs, burn_in, keep)
     own = kept_table(pair_scores(texts, pairs, [t for _, t, _ in found], contexts, parts), "lm-own")
-    unseen = float(np.mean([s.share * s.unseen / (s.customers + s.strength.concentration) for _, _, s in found]))
-    scored = word_scores(dictionary, [a for a, _, _ in found], contexts)
-    known = entries.drop("train").join(scored, "word", "left").select(
-        "chunk", "number", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("p", F.lit(unseen)).alias("p"),
-        F.coalesce("share", F.lit(1.0)).alias("share"))
+    unseen = float(np.mean([s.share * s.unseen / (s.customers + s.strength.concentration) / s.total for _, _, s in found]))
+    known = kept_table(word_scores(entries, dictionary, [(a, s.total) for a, _, s in found], contexts, unseen, parts), "lm-known")
     known = known.unionByName(own, allowMissingColumns=True)
     floor = np.log10(total + 0.1 * (vocabulary + 1))
 
     def run(known: pa.Table, texts: pa.Table) -> pa.Table:
-        words, pairs = known.filter(pa.compute.is_valid(known["number"])), known.filter(pa.compute.is_valid(known["part"]))
-        numbers = words.column("number").to_numpy()
+        words, pairs = (known.filter(pa.compute.is_valid(known[c])) for c in ("numbers", "part"))
+        numbers = _joined(words, "numbers", np.uint32)
         counts, p, share = np.zeros(len(numbers), np.int64), np.zeros(len(numbers)), np.zeros(len(numbers))
-        for to, name in ((counts, "count"), (p, "p"), (share, "share")):
-            to[numbers] = words.column(name).to_numpy()
+        for to, name, kind in ((counts, "counts", np.int64), (p, "p", np.float32), (share, "share", np.float32)):
+            to[numbers] = _joined(words, name, kind)
         row = texts.to_pylist()[0]
-        ids, ends = np.frombuffer(row["tokens"], np.uint32), np.frombuffer(row["ends"], np.int64)
+        ids, ends = unpacked(row["tokens"], np.uint32), np.frombuffer(row["ends"], np.int64)
         starts, n = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
         before = np.concatenate([ids[-1:], ids[:-1]])
-        place = chunk_pairs(ids, np.frombuffer(row["hashes"], np.uint64), parts)[0]
+        place = chunk_pairs(ids, unpacked(row["hashes"], np.uint64), parts)[0]
         own = _joined(pairs.sort_by("part"), "own", np.float32).astype(float)[place]
         log_p = np.log10(own / (counts[before] + contexts.concentration) + share[before] * p[ids])
         base = np.add.reduceat(np.log10(counts + 0.1)[ids] - floor, starts)

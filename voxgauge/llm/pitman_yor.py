@@ -139,7 +139,8 @@ def spelling(keys: np.ndarray, counts: np.ndarray, rng: np.random.Generator, swe
 class State:
     """What a sweep over words needs: spelling, tables of the word restaurant, its strength, customers in all.
 
-    ``unseen`` is what the spelling parent gives to all words together that have no customer.
+    ``unseen`` is what the spelling parent gives to all words together that have no customer, ``total`` what all words get
+    when their customers have been seated anew since ``tables`` were counted.
     """
 
     spelling: Spelling
@@ -147,6 +148,7 @@ class State:
     strength: Strength
     customers: int
     unseen: float = 1.0
+    total: float = 1.0
 
     def parent(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The spelling parent's probability of each word."""
