@@ -3,10 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from voxgauge.llm import lm_score
+from voxgauge.llm import lm_score, shared
 from voxgauge.llm.lm_score import score_texts
 from voxgauge.llm.pitman_yor import END, SYMBOLS, Spelling, State, Strength, seat, spelling, symbols_of
 from voxgauge.llm.shared import LOWER_BYTES, kept_table
@@ -180,3 +181,46 @@ def test_seating_has_the_right_mean():
 def test_empty_spelling():
     s = spelling(np.zeros(0, np.int64), np.zeros(0, np.int64), np.random.default_rng(0))
     assert isinstance(s, Spelling) and np.allclose(s.log(np.zeros(0, np.uint8), np.array([0])), -math.log(SYMBOLS))
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**64, 5000, np.uint64)
+    for values in (hashes, np.sort(hashes), hashes[:0], hashes[:1], np.array([2**64 - 1, 0, 2**64 - 1], np.uint64),
+                   rng.integers(-2**31, 2**31, 999, np.int64).astype(np.int32), np.sort(rng.integers(-9, 9, 99)),
+                   np.array([-2**63, 2**63 - 1]), rng.random(77).astype(np.float32), np.zeros(0, np.int32)):
+        for pack in (lm_score.packed, lm_score.packed_names):
+            back = lm_score.unpacked(pack(values), values.dtype.type)
+            assert back.dtype == values.dtype and back.tolist() == values.tolist()
+
+
+def test_packed_arrays_are_small():
+    rng = np.random.default_rng(4)
+    hashes = np.sort(rng.integers(0, 2**64, 20_000, np.uint64))
+    assert len(lm_score.packed(hashes)) < 7 * 20_000  # 8 bytes each
+    drawn = hashes[(20_000 * rng.random(60_000) ** 3).astype(int)]
+    assert len(lm_score.packed_names(drawn)) < 4 * 60_000
+    small = rng.geometric(0.01, 50_000).astype(np.uint32)
+    assert len(lm_score.packed(small)) < 1.3 * 50_000
+
+
+def test_tables_that_nothing_reads_are_removed(docs, monkeypatch, tmp_path):
+    """What the result reads is left; when a table is begun, no more than one of each kind lies there."""
+    most, before = Counter(), shared.scratch_folder
+    kind = lambda path: path.name[:-33]
+
+    def folder(spark, purpose):
+        for name, n in Counter(map(kind, tmp_path.iterdir())).items():
+            most[name] = max(most[name], n)
+        return str(tmp_path / before(spark, purpose).rsplit("/", 1)[1])
+
+    monkeypatch.setattr(shared, "scratch_folder", folder)
+    scored = score_texts(docs, burn_in=3, keep=1)
+    assert sorted(map(kind, tmp_path.iterdir())) == ["lm-chunks", "lm-known", "lm-own"]
+    assert most["lm-answers"] == most["lm-tables"] == most["lm-pairs"] == 1
+    assert scored.count() == docs.count()
+
+
+def test_only_kept_tables_are_removed(docs):
+    with pytest.raises(KeyError):
+        shared.remove_tables(docs)

@@ -15,6 +15,8 @@
 5. What the model gives to words, contexts and pairs, averaged over the snapshots, goes back to the chunks that have them,
    where whole texts are summed up. As in the base score, words that training has not seen are one event: its probability
    is what the restaurant and its spelling parent leave to all unseen words together.
+
+Tables kept between these steps are removed as soon as no later step reads them.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxgauge.llm.pitman_yor import State, Strength, discount_from, seat, spelling, symbols_of
-from voxgauge.llm.shared import LOWER_BYTES, id_remainder, kept_table, small_batches, word_blocks
+from voxgauge.llm.shared import LOWER_BYTES, id_remainder, kept_table, remove_tables, small_batches, word_blocks
 
 CHUNK_TOKENS = 4_000_000  # a chunk closes with the document that reaches this many tokens
 BURN_IN, SNAPSHOTS = 2, 3
@@ -43,6 +45,8 @@ _PAIRS = 1 << 16  # numbers of the seatings of pairs, apart from those of words
 _PART = 180  # parts are the root of the training tokens over this: messages between any two of them grow with the tokens
 _SPREAD = 16  # parts over which the pairs of one context are dealt
 _TABLES, _ONCE, _TWICE = -1, -2, -3  # keys of the numbers of tables, and of words with one customer and with two
+_VALUES, _STEPS, _NAMES = 0, 1, 2  # forms of packed arrays
+_BLOCK = 1 << 18  # tokens of a chunk for which intermediate numbers are held
 
 _CHUNKS = ("chunk long, word binary, number long, train long, docs binary, nulls binary, held binary, ends binary,"
            " tokens binary, hashes binary")
@@ -112,49 +116,73 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """What travels between tasks, with its size in front; shuffles keep bytes as they are but for repeats."""
-    data = values.tobytes()
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    """What travels between tasks, in few bytes: ascending numbers as their steps, the first bytes of all values, then the
+    second ones and so on, compressed; with the form and the size in front."""
+    ascending = values.dtype.kind in "iu" and bool((values[1:] >= values[:-1]).all())
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    data = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return bytes([_STEPS if ascending else _VALUES]) + len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def packed_names(values: np.ndarray) -> bytes:
+    """The different values and their places: for values that come again and again, like hashes of words in pairs."""
+    different, place = np.unique(values, return_inverse=True)
+    first = packed(different)
+    return bytes([_NAMES]) + len(first).to_bytes(8, "little") + first + packed(place.astype(np.int32))
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd"), kind)
+    form, size, data = data[0], int.from_bytes(data[1:9], "little"), memoryview(data)[9:]
+    if form == _NAMES:
+        return unpacked(data[:size], kind)[unpacked(data[size:], np.int32)]
+    planes = np.frombuffer(pa.decompress(data, size, "zstd"), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=kind) if form == _STEPS else values
 
 
 def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in table.column(column).to_pylist())])
 
 
-def chunk_pairs(ids: np.ndarray, hashes: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
-    """Different pairs of a chunk in the order of their parts: place of each token's pair, the words' hashes, the parts.
+def chunk_pairs(ids: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Per part in turn: the part, its tokens, the place of each token's pair, and the words' hashes of the different pairs.
 
-    The end is the word before a text; it is also the last token of the text before.
+    The end is the word before a text; it is also the last token of the text before. One part's pairs are sorted at a time.
     """
-    keys = np.concatenate([ids[-1:], ids[:-1]]).astype(np.uint64) << np.uint64(32) | ids
-    keys, place = np.unique(keys, return_inverse=True)
-    u, w = hashes[(keys >> np.uint64(32)).astype(np.int64)], hashes[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    part = _part_of(u + w % np.uint64(_SPREAD), parts)
-    order = np.argsort(part, kind="stable")
-    moved = np.empty(len(order), np.int64)
-    moved[order] = np.arange(len(order))
-    return moved[place], u[order], w[order], part[order]
+    by_hash = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(hashes), np.uint32)
+    rank[by_hash] = np.arange(len(hashes), dtype=np.uint32)
+    ids, hashes, spread = rank[ids], hashes[by_hash], hashes[by_hash] % np.uint64(_SPREAD)
+    part = np.empty(len(ids), np.min_scalar_type(parts))
+    for at in range(0, len(ids), _BLOCK):
+        w = ids[at:at + _BLOCK]
+        part[at:at + _BLOCK] = _part_of(hashes[np.append(ids[at - 1], w[:-1])] + spread[w], parts)
+    order = np.argsort(part, kind="stable").astype(np.int32)
+    names, sizes = np.unique(part, return_counts=True)
+    ends = np.cumsum(sizes)
+    for name, start, end in zip(names.tolist(), ends - sizes, ends):
+        tokens = order[start:end]
+        keys, place = np.unique(ids[tokens - 1].astype(np.uint64) << np.uint64(32) | ids[tokens], return_inverse=True)
+        yield name, tokens, place, hashes[(keys >> np.uint64(32)).astype(np.uint32)], hashes[keys.astype(np.uint32)]
 
 
 def _sent_pairs(texts: DataFrame, parts: int, held: bool) -> DataFrame:
     """``chunk, part, u, w, n``: a row per chunk and part with its pairs and their training counts; all or those in training."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, ends = unpacked(row["tokens"], np.uint32), np.frombuffer(row["ends"], np.int64)
-                place, u, w, part = chunk_pairs(ids, unpacked(row["hashes"], np.uint64), parts)
-                train = np.repeat(~np.frombuffer(row["held"], bool), np.diff(ends, prepend=0))
-                n = np.bincount(place[train], minlength=len(u)).astype(np.int32)
-                if not held:
-                    u, w, part, n = (x[n > 0] for x in (u, w, part, n))
-                names, starts = np.unique(part, return_index=True)
-                cut = lambda x: pa.array([packed(y) for y in np.split(x, starts[1:])][:len(names)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), row["of_chunk"])), pa.array(names), *map(cut, (u, w, n))],
-                                                 ["chunk", "part", "u", "w", "n"])
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                train = np.repeat(~np.frombuffer(row["held"], bool), np.diff(np.frombuffer(row["ends"], np.int64), prepend=0))
+                for part, own, place, u, w in chunk_pairs(unpacked(row["tokens"], np.uint32), unpacked(row["hashes"], np.uint64), parts):
+                    n = np.bincount(place[train[own]], minlength=len(u)).astype(np.int32)
+                    if not held:
+                        u, w, n = (x[n > 0] for x in (u, w, n))
+                    if len(n):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([row["of_chunk"]]), pa.array([part], pa.int32()),
+                             *(pa.array([x], pa.binary()) for x in (packed_names(u), packed_names(w), packed(n)))],
+                            ["chunk", "part", "u", "w", "n"])
 
     return texts.select("of_chunk", "tokens", "ends", "hashes", "held").mapInArrow(
         run, "chunk long, part int, u binary, w binary, n binary")
@@ -327,7 +355,8 @@ def _symbols(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]
 
 def snapshots(dictionary: DataFrame, pairs: DataFrame, burn_in: int = BURN_IN,
               keep: int = SNAPSHOTS) -> tuple[list[tuple[DataFrame, DataFrame, State]], Strength]:
-    """After the burn-in what words get, tables of pairs, and the model; and the strength of the contexts."""
+    """After the burn-in the tables with what words get (kind 1) and with the tables of pairs (kind 4), and the model; and the
+    strength of the contexts. Tables of the sweeps before are removed."""
     once, twice = pairs.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("total"))), F.lit(0)) for k in (1, 0)]).first()
     contexts, state, found, seated = Strength(discount_from(once, twice)), None, [], pairs
     own = pairs.filter("kind = 0").select("part", "u", "w", "n")
@@ -344,12 +373,14 @@ def snapshots(dictionary: DataFrame, pairs: DataFrame, burn_in: int = BURN_IN,
             state.total = (customers - state.strength.discount * numbers[_TABLES] + state.share) / (
                 customers + state.strength.concentration)
         if sweep > burn_in:
-            found.append((answers.filter("kind = 1"), seated.filter("kind = 4"), state))
+            found.append((answers, seated, state))
         if sweep < burn_in + keep:
             strength = state.strength if state else Strength(discount_from(numbers[_ONCE], numbers[_TWICE]))
             state = State(spelling(keys, counts, np.random.default_rng([SEED, sweep])), numbers[_TABLES], strength, customers)
+            earlier = [] if sweep > burn_in else [answers, seated][:2 if sweep else 1]  # the first tables lie in ``pairs``
             seated = kept_table(_seat_pairs(own, answers.filter("kind = 0").select("part", "to_part", "p", "after"), contexts,
                                             sweep), "lm-tables")
+            remove_tables(*earlier)
     return found, contexts
 
 
@@ -382,7 +413,8 @@ def word_scores(entries: DataFrame, dictionary: DataFrame, answers: list[tuple[D
     rows = dictionary.filter("asker IS NULL").select("to_part", "data", "lengths", "seen", F.lit(None).cast("binary").alias("p"),
                                                      F.lit(None).cast("binary").alias("after"))
     for x, total in answers:
-        rows = rows.unionByName(x.select("to_part", "p", "after", F.lit(total).alias("total")), allowMissingColumns=True)
+        told = x.filter("kind = 1").select("to_part", "p", "after", F.lit(total).alias("total"))
+        rows = rows.unionByName(told, allowMissingColumns=True)
     named = entries.select("chunk", "word", "number", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("of_part"))
     return named.groupBy("of_part").cogroup(rows.groupBy("to_part")).applyInArrow(
         run, "chunk long, numbers binary, counts binary, p binary, share binary")
@@ -402,12 +434,12 @@ def pair_scores(texts: DataFrame, pairs: DataFrame, tables: list[DataFrame], con
             mean[count > 1] = np.mean([unpacked(x, np.int32) for x in told.column("n").to_pylist()], axis=0)
         own = np.empty(len(u), np.float32)
         own[order] = (count - contexts.discount * mean)[np.cumsum(fresh) - 1]
-        cut = [packed(x) for x in np.split(own, np.cumsum(lengths)[:-1])]
+        cut = [packed_names(x) for x in np.split(own, np.cumsum(lengths)[:-1])]
         return pa.table({"chunk": sent.column("chunk"), "part": sent.column("part"), "own": pa.array(cut, pa.binary())})
 
     rows = pairs.select("part", "n").limit(0)
     for x in tables:
-        rows = rows.unionByName(x.select("part", "n"))
+        rows = rows.unionByName(x.filter("kind = 4").select("part", "n"))
     return _sent_pairs(texts, parts, held=True).groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(
         run, "chunk long, part int, own binary")
 
@@ -432,10 +464,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
         F.col("chunk").alias("of_chunk"), "docs", "nulls", "held", "ends", "tokens", "hashes")
     pairs = kept_table(pair_parts(texts, parts), "lm-pairs")
     dictionary = kept_table(word_parts(words, pairs, parts), "lm-dictionary")
+    remove_tables(words)
     found, contexts = snapshots(dictionary, pairs, burn_in, keep)
+    remove_tables(pairs)
     own = kept_table(pair_scores(texts, pairs, [t for _, t, _ in found], contexts, parts), "lm-own")
+    remove_tables(*[t for _, t, _ in found])
     unseen = float(np.mean([s.share * s.unseen / (s.customers + s.strength.concentration) / s.total for _, _, s in found]))
     known = kept_table(word_scores(entries, dictionary, [(a, s.total) for a, _, s in found], contexts, unseen, parts), "lm-known")
+    remove_tables(dictionary, *[a for a, _, _ in found])
     known = known.unionByName(own, allowMissingColumns=True)
     floor = np.log10(total + 0.1 * (vocabulary + 1))
 
@@ -448,16 +484,21 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
         row = texts.to_pylist()[0]
         ids, ends = unpacked(row["tokens"], np.uint32), np.frombuffer(row["ends"], np.int64)
         starts, n = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
-        before = np.concatenate([ids[-1:], ids[:-1]])
-        place = chunk_pairs(ids, unpacked(row["hashes"], np.uint64), parts)[0]
-        own = _joined(pairs.sort_by("part"), "own", np.float32).astype(float)[place]
-        log_p = np.log10(own / (counts[before] + contexts.concentration) + share[before] * p[ids])
-        base = np.add.reduceat(np.log10(counts + 0.1)[ids] - floor, starts)
+        base = np.add.reduceat((np.log10(counts + 0.1) - floor)[ids], starts)
+        n_known = np.add.reduceat((counts > 0)[ids], starts, dtype=np.int64)
+        own, of_part = np.empty(len(ids), np.float32), dict(zip(pairs["part"].to_pylist(), pairs["own"].to_pylist()))
+        for part, tokens, place, _, _ in chunk_pairs(ids, unpacked(row["hashes"], np.uint64), parts):
+            own[tokens] = unpacked(of_part.pop(part), np.float32)[place]
+        log_p = np.empty(len(ids))
+        for at in range(0, len(ids), _BLOCK):
+            w, here = ids[at:at + _BLOCK], own[at:at + _BLOCK].astype(float)
+            before = np.append(ids[at - 1], w[:-1])
+            log_p[at:at + _BLOCK] = np.log10(here / (counts[before] + contexts.concentration) + share[before] * p[w])
         score = np.add.reduceat(log_p, starts)
         return pa.table({
             "doc_id": pa.array(np.frombuffer(row["docs"], np.int64), mask=np.frombuffer(row["nulls"], bool)),
             "held_out": pa.array(np.frombuffer(row["held"], bool)), "n_tokens": pa.array(n),
-            "n_known": pa.array(np.add.reduceat((counts > 0)[ids].astype(np.int64), starts)),
+            "n_known": pa.array(n_known),
             "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(base),
             "score": pa.array(score), "perplexity": pa.array(10 ** (-score / n))})
 

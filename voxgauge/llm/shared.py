@@ -6,6 +6,7 @@ import contextlib
 import re
 import string
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ LOWER_BYTES = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowe
 BATCH_ROWS = 1000
 
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # where the kept tables lie
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,17 @@ def kept_table(df: DataFrame, purpose: str) -> DataFrame:
     folder = scratch_folder(df.sparkSession, purpose)
     with shuffles_removed(df.sparkSession):
         df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    kept = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _FOLDERS[kept] = folder
+    return kept
+
+
+def remove_tables(*tables: DataFrame) -> None:
+    """Delete results of ``kept_table`` that no later step reads; any other table is an error."""
+    for kept in tables:
+        context = kept.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(kept))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:
