@@ -98,8 +98,11 @@ def chunks(docs: DataFrame, held: str, doc_id: str, text: str, chunk_tokens: int
                 if size >= chunk_tokens:
                     yield from _chunk_rows(chunk, numbers, known, ids)
                     (numbers, known, ids), size, chunk = empty(), 0, chunk + 1
+                    _release()
         if known:
             yield from _chunk_rows(chunk, numbers, known, ids)
+        del numbers, known, ids
+        _release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(held).alias("held"), F.col(text).alias("text"))
     return rows.mapInArrow(run, _CHUNKS)
@@ -116,18 +119,23 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """What travels between tasks, in few bytes: ascending numbers as their steps, the first bytes of all values, then the
-    second ones and so on, compressed; with the form and the size in front."""
-    ascending = values.dtype.kind in "iu" and bool((values[1:] >= values[:-1]).all())
+    """What travels between tasks, in few bytes: ascending numbers as their steps; of whole numbers the first bytes of all
+    values, then the second ones and so on; compressed, with the form and the size in front."""
+    whole = values.dtype.kind in "iu"
+    ascending = whole and bool((values[1:] >= values[:-1]).all())
     if ascending:
         values = np.diff(values, prepend=values.dtype.type(0))
-    data = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    data = (values.view(np.uint8).reshape(-1, values.itemsize).T if whole else values).tobytes()
     return bytes([_STEPS if ascending else _VALUES]) + len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def packed_names(values: np.ndarray) -> bytes:
     """The different values and their places: for values that come again and again, like hashes of words in pairs."""
-    different, place = np.unique(values, return_inverse=True)
+    if (values[1:] >= values[:-1]).all():
+        fresh = np.append(True, values[1:] != values[:-1])[:len(values)]
+        different, place = values[fresh], np.cumsum(fresh) - 1
+    else:
+        different, place = np.unique(values, return_inverse=True)
     first = packed(different)
     return bytes([_NAMES]) + len(first).to_bytes(8, "little") + first + packed(place.astype(np.int32))
 
@@ -136,9 +144,20 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     form, size, data = data[0], int.from_bytes(data[1:9], "little"), memoryview(data)[9:]
     if form == _NAMES:
         return unpacked(data[:size], kind)[unpacked(data[size:], np.int32)]
-    planes = np.frombuffer(pa.decompress(data, size, "zstd"), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-    return np.cumsum(values, dtype=kind) if form == _STEPS else values
+    values, kind = np.frombuffer(pa.decompress(data, size, "zstd"), np.uint8), np.dtype(kind)
+    if kind.kind in "iu":
+        values = np.ascontiguousarray(values.reshape(kind.itemsize, -1).T).reshape(-1)
+    return np.cumsum(values.view(kind), dtype=kind) if form == _STEPS else values.view(kind)
+
+
+def _length(data: bytes, kind: type) -> int:
+    """Number of values of ``packed`` ones."""
+    return int.from_bytes(data[1:9], "little") // np.dtype(kind).itemsize
+
+
+def _release() -> None:
+    """Give back what Arrow keeps for later: two workers and their executor share its memory."""
+    pa.default_memory_pool().release_unused()
 
 
 def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
@@ -159,7 +178,8 @@ def chunk_pairs(ids: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[tup
         w = ids[at:at + _BLOCK]
         part[at:at + _BLOCK] = _part_of(hashes[np.append(ids[at - 1], w[:-1])] + spread[w], parts)
     order = np.argsort(part, kind="stable").astype(np.int32)
-    names, sizes = np.unique(part, return_counts=True)
+    sizes = np.bincount(part)
+    names, sizes = np.flatnonzero(sizes), sizes[sizes > 0]
     ends = np.cumsum(sizes)
     for name, start, end in zip(names.tolist(), ends - sizes, ends):
         tokens = order[start:end]
@@ -169,20 +189,23 @@ def chunk_pairs(ids: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[tup
 
 def _sent_pairs(texts: DataFrame, parts: int, held: bool) -> DataFrame:
     """``chunk, part, u, w, n``: a row per chunk and part with its pairs and their training counts; all or those in training."""
+    names, kinds = ["chunk", "part", "u", "w", "n"], [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+
+    def rows_of(text: dict) -> Iterator[tuple]:
+        train = np.repeat(~np.frombuffer(text["held"], bool), np.diff(np.frombuffer(text["ends"], np.int64), prepend=0))
+        for part, own, place, u, w in chunk_pairs(unpacked(text["tokens"], np.uint32), unpacked(text["hashes"], np.uint64), parts):
+            n = np.bincount(place[train[own]], minlength=len(u)).astype(np.int32)
+            if not held:
+                u, w, n = (x[n > 0] for x in (u, w, n))
+            if len(n):
+                yield text["of_chunk"], part, packed_names(u), packed_names(w), packed(n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                train = np.repeat(~np.frombuffer(row["held"], bool), np.diff(np.frombuffer(row["ends"], np.int64), prepend=0))
-                for part, own, place, u, w in chunk_pairs(unpacked(row["tokens"], np.uint32), unpacked(row["hashes"], np.uint64), parts):
-                    n = np.bincount(place[train[own]], minlength=len(u)).astype(np.int32)
-                    if not held:
-                        u, w, n = (x[n > 0] for x in (u, w, n))
-                    if len(n):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([row["of_chunk"]]), pa.array([part], pa.int32()),
-                             *(pa.array([x], pa.binary()) for x in (packed_names(u), packed_names(w), packed(n)))],
-                            ["chunk", "part", "u", "w", "n"])
+                for row in rows_of(batch.slice(at, 1).to_pylist()[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+                _release()
 
     return texts.select("of_chunk", "tokens", "ends", "hashes", "held").mapInArrow(
         run, "chunk long, part int, u binary, w binary, n binary")
@@ -332,7 +355,7 @@ def _seat_pairs(pairs: DataFrame, answers: DataFrame, strength: Strength, sweep:
         u, w, n = (unpacked(row[c], np.int32) for c in "uwn")
         answers = answers.sort_by("to_part")
         p, after = _joined(answers, "p", np.float32).astype(float), _joined(answers, "after", np.int32)
-        starts = np.cumsum([0, *(len(unpacked(x, np.int32)) for x in answers.column("after").to_pylist())])[:-1]
+        starts = np.cumsum([0, *(_length(x, np.int32) for x in answers.column("after").to_pylist())])[:-1]
         pull = (strength.concentration + strength.discount * after[u]) * p[w]
         tables = seat(n.astype(np.int64), pull, strength.discount, _random(w, _PAIRS + sweep))
         own = pa.table([pa.array([x], k) for x, k in zip(
@@ -424,7 +447,7 @@ def pair_scores(texts: DataFrame, pairs: DataFrame, tables: list[DataFrame], con
     """``chunk, part, own``: of each pair of a chunk its customers less discounts, by the mean tables of the snapshots."""
     def run(sent: pa.Table, told: pa.Table) -> pa.Table:
         u, w, n = (_joined(sent, c, kind) for c, kind in (("u", np.uint64), ("w", np.uint64), ("n", np.int32)))
-        lengths = [len(unpacked(x, np.int32)) for x in sent.column("n").to_pylist()]
+        lengths = [_length(x, np.int32) for x in sent.column("n").to_pylist()]
         order = np.lexsort((w, u))
         u, w = u[order], w[order]
         fresh = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
@@ -476,6 +499,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     floor = np.log10(total + 0.1 * (vocabulary + 1))
 
     def run(known: pa.Table, texts: pa.Table) -> pa.Table:
+        _release()
         words, pairs = (known.filter(pa.compute.is_valid(known[c])) for c in ("numbers", "part"))
         numbers = _joined(words, "numbers", np.uint32)
         counts, p, share = np.zeros(len(numbers), np.int64), np.zeros(len(numbers)), np.zeros(len(numbers))
