@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import string
 from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,18 @@ def byte_batches(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
+@contextlib.contextmanager
+def read_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bound the rows that a reader decodes at once: 4,096 rows of packed values can be a whole file."""
+    setting = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what is written inside go as soon as it is written, not when the driver collects its garbage."""
@@ -57,11 +71,11 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
-def kept_table(df: DataFrame, purpose: str) -> DataFrame:
+def kept_table(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """Write a result that is read more than once to the shared folder and go on from the written table."""
     folder = scratch_folder(df.sparkSession, purpose)
     with shuffles_removed(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(folder)
+        df.write.options(compression="zstd", **options).parquet(folder)
     kept = df.sparkSession.read.schema(df.schema).parquet(folder)
     _FOLDERS[kept] = folder
     return kept
@@ -96,6 +110,13 @@ def word_blocks(data: bytes, block_bytes: int = 1 << 20) -> Iterator[list[bytes]
         at = end
 
 
+def release_memory() -> None:
+    """Give back what Arrow and the C library keep for later: the workers of an executor share its memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have yet."""
     while name.lower() in {c.lower() for c in df.columns}:

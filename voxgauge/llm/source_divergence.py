@@ -1,9 +1,11 @@
 """How the words of each source differ from those of its language and of the language's other sources.
 
-Counting. A task takes the terms of about ``SHARD_BYTES`` of text. Terms of up to 8 bytes are one 64-bit word, up to 16 bytes two;
-they are sorted by radix passes over 16 bits each (numpy's stable sort of 16-bit numbers) and counted in runs. Longer terms have
-a bucket of their own, whose different terms are sorted as bytes. The passes are stable, so within a run documents come one
-after the other and the run also tells in how many documents the term is. Runs are written packed, per language.
+Counting. A task takes the terms of about ``SHARD_BYTES`` of text, batch by batch. Terms of up to 8 bytes are one 64-bit word, up
+to 16 bytes two; they are sorted by radix passes over 16 bits each (numpy's stable sort of 16-bit numbers) and counted in runs.
+Longer terms have a bucket of their own, whose different terms are counted and sorted as bytes. The passes are stable, so within
+a run documents come one after the other and the run also tells in how many documents the term is. A batch has whole documents,
+so runs of batches add up. The runs of a shard are written packed, per language, in rows and pages of a fraction of a MB, and
+read few rows at a time: two Python workers and the executor share one memory.
 
 Vocabulary. Per shard and language each term is one row for the count of documents. The terms in enough documents are marked in
 a filter of ``FILTER_BITS`` bits, whatever their number; only runs that pass it are shuffled by term, and an exact join with the
@@ -25,17 +27,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxgauge.llm.shared import LOWER_BYTES, byte_batches, kept_table
+from voxgauge.llm.shared import LOWER_BYTES, byte_batches, kept_table, read_batches, release_memory
 
 LEAST_DOCUMENTS = 30       # documents of its language that a kept term is in
 SCALE, SMOOTHING = 1_000_000_000, 5
 TERM_RANKS = 50
 SHARD_BYTES = 24 << 20     # text whose terms are counted together, about
 BATCH_BYTES = 4 << 20      # text of a batch, and of a piece of a longer text
-ROW_RUNS = 1 << 16         # runs in one packed row
+ROW_RUNS = 1 << 13         # runs in one packed row
+READ_ROWS = 16             # packed rows that a reader decodes at once
 FILTER_BITS = 1 << 24
 BLOCK_ROWS = 1 << 14       # counts of one block of terms, about
 MATRIX_CELLS = 1 << 20     # shares held at once while a block is summed
+#: Sizes of pages of packed rows are looked at from the first row on: else a hundred rows make one page.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(97, 123), *range(128, 256)]] = True  # capitals are small by then
@@ -68,23 +73,30 @@ def packed_terms(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 class Shard:
-    """Terms of one language, as they come in, and their runs."""
+    """Terms of one language, as they come in, and their runs.
+
+    Terms are counted as soon as their documents are complete, so a shard holds the runs of its batches of text, not all terms.
+    """
 
     def __init__(self) -> None:
         self.sources: dict[str, int] = {}
-        self._held: list[tuple[np.ndarray, ...]] = []  # length, first and second word, source, document, count
-        self._long: list[bytes] = []
-        self._long_of: list[tuple[int, int, int]] = []
+        self._held: list[tuple[np.ndarray, ...]] = []  # first and second word, source, document, count
+        self._long: list[pa.Table] = []  # term, source, document, count
+        self._counted: tuple[list, list] = [], []  # of terms of one word and of two: words, source, occurrences, documents
+        self._long_counted: list[pa.Table] = []
 
     def add(self, data: bytes, sources: np.ndarray, documents: np.ndarray, offsets: np.ndarray) -> None:
         """Terms of texts that lie one after the other, each ended by a byte outside terms."""
         starts, lengths, one, two, padded = packed_terms(data)
         of = np.searchsorted(offsets, starts, "right") - 1
         short = lengths <= 16
-        self._held.append((one[short], two[short], sources[of[short]], documents[of[short]], np.ones(short.sum(), np.int64)))
-        for at, length, row in zip(starts[~short].tolist(), lengths[~short].tolist(), of[~short].tolist()):
-            self._long.append(padded[at:at + length].tobytes())
-            self._long_of.append((int(sources[row]), int(documents[row]), 1))
+        rows = of[short]
+        self._held.append((one[short], two[short], sources[rows].astype(np.uint32), documents[rows].astype(np.uint32),
+                           np.ones(len(rows), np.uint32)))
+        if len(rows) < len(of):
+            rows = of[~short]
+            self._long.append(pa.table({"term": _cut(padded, starts[~short], lengths[~short]), "source": sources[rows].astype(np.uint32),
+                                        "document": documents[rows].astype(np.uint32), "n": np.ones(len(rows), np.int64)}))
 
     def reduce(self) -> None:
         """Replace what is held by its runs per term, source and document; used between the pieces of one long text."""
@@ -92,47 +104,77 @@ class Shard:
         order = radix_order([document, source, two, one], np.arange(len(one)))
         one, two, source, document, count = (x[order] for x in (one, two, source, document, count))
         begin = np.flatnonzero(_changes(one, two, source, document))
-        sums = np.add.reduceat(count, begin) if len(begin) else count
-        self._held = [(one[begin], two[begin], source[begin], document[begin], sums)]
-        merged: dict[tuple[bytes, int, int], int] = {}
-        for term, (source, document, n) in zip(self._long, self._long_of):
-            merged[term, source, document] = merged.get((term, source, document), 0) + n
-        self._long, self._long_of = [k[0] for k in merged], [(*k[1:], n) for k, n in merged.items()]
+        self._held = [(one[begin], two[begin], source[begin], document[begin], _sums(count, begin).astype(np.uint32))]
+        if self._long:
+            self._long = [_summed(self._long, ["term", "source", "document"], ["n"])]
+
+    def settle(self) -> None:
+        """Replace what is held by its runs per term and source; no more terms of its documents come."""
+        one, two, source, document, count = self._columns()
+        self._held = []
+        for bucket, words in zip(self._counted, ([one], [one, two])):
+            own = np.flatnonzero((two == 0) == (len(words) == 1))
+            order = radix_order([document, source, *words[::-1]], own)
+            words, (source_of, document_of) = [w[order] for w in words], (x[order] for x in (source, document))
+            run = _changes(*words, source_of)
+            begin = np.flatnonzero(run)
+            if len(begin):
+                bucket.append((*[w[begin] for w in words], source_of[begin], _sums(count[order], begin).astype(np.uint32),
+                               _sums(run | _changes(document_of), begin).astype(np.uint32)))
+        if self._long:
+            own = _summed(self._long, ["term", "source", "document"], ["n"])
+            own = own.append_column("documents", pa.array(np.ones(len(own), np.int64)))
+            self._long, self._long_counted = [], [*self._long_counted, _summed([own], ["term", "source"], ["n", "documents"])]
 
     def _columns(self) -> tuple[np.ndarray, ...]:
-        kinds = (np.uint64, np.uint64, np.uint32, np.uint32, np.int64)
-        return tuple(np.concatenate([np.zeros(0, kind), *x]).astype(kind, copy=False)
-                     for kind, x in zip(kinds, zip(*self._held) if self._held else ([],) * 5))
+        return _joined(self._held, (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32))
 
     def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
         """First and second word, further bytes, source, occurrences and documents of each run, by term, then source.
 
-        One bucket for terms of one word, one for two words, one for longer terms.
+        One bucket for terms of one word, one for two words, one for longer terms. The shard is empty afterwards.
         """
-        one, two, source, document, count = self._columns()
-        single = two == 0
-        for bucket, keys in ((single, [one]), (~single, [two, one])):
-            own = np.flatnonzero(bucket)
-            order = radix_order([source, *keys], own)
-            yield self._counted(one[order], two[order], None, source[order], document[order], count[order])
-        different = sorted(set(self._long))
-        rank = {term: i for i, term in enumerate(different)}
-        place = np.array([rank[t] for t in self._long], np.uint32)
-        source, document, count = (np.array(x, kind) for x, kind in zip(
-            zip(*self._long_of) if self._long_of else ((),) * 3, (np.uint32, np.uint32, np.int64)))
-        order = radix_order([source, place], np.arange(len(place)))
-        one, two = (np.array([int.from_bytes(t[at:at + 8].ljust(8, b"\0"), "big") for t in different], np.uint64) for at in (0, 8))
-        yield self._counted(one[place[order]], two[place[order]], [different[i][16:] for i in place[order]],
-                            source[order], document[order], count[order])
-
-    @staticmethod
-    def _counted(one, two, rest, source, document, count):
-        term = _changes(one, two) if rest is None else np.array([True, *[a != b for a, b in zip(rest, rest[1:])]][:len(rest)], bool) | _changes(one, two)
-        run = term | _changes(source)
-        begin = np.flatnonzero(run)
-        fresh = (run | _changes(document)).astype(np.int64)
-        sums = [np.add.reduceat(x, begin) if len(begin) else x for x in (count, fresh)]
-        return one[begin], two[begin], [b""] * len(begin) if rest is None else [rest[i] for i in begin], source[begin], *sums
+        self.settle()
+        for bucket, width in zip(self._counted, (1, 2)):
+            *words, source, count, documents = _joined(bucket, (*[np.uint64] * width, np.uint32, np.uint32, np.uint32))
+            bucket.clear()
+            order = radix_order([source, *words[::-1]], np.arange(len(source)))
+            words, source = [w[order] for w in words], source[order]
+            begin = np.flatnonzero(_changes(*words, source))
+            count, documents = (_sums(x[order], begin) for x in (count, documents))
+            words, source = [w[begin] for w in words], source[begin]
+            yield words[0], words[1] if width == 2 else np.zeros(len(begin), np.uint64), [b""] * len(begin), source, count, documents
+        if self._long_counted:
+            found = _summed(self._long_counted, ["term", "source"], ["n", "documents"]).sort_by([("term", "ascending"), ("source", "ascending")])
+            self._long_counted = []
+            terms = found.column("term").to_pylist()
+            words = np.frombuffer(b"".join(t[:16] for t in terms), ">u8").astype(np.uint64)
+            yield words[::2], words[1::2], [t[16:] for t in terms], *(
+                found.column(name).to_numpy() for name in ("source", "n", "documents"))
+
+
+def _cut(padded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The bytes at these places."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    place = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(padded[place])])
+
+
+def _summed(tables: list[pa.Table], keys: list[str], values: list[str]) -> pa.Table:
+    """Sums of ``values`` per different ``keys``, under their names."""
+    table = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([(v, "sum") for v in values])
+    return table.rename_columns([c.removesuffix("_sum") for c in table.column_names])
+
+
+def _joined(rows: list[tuple[np.ndarray, ...]], kinds: tuple[type, ...]) -> tuple[np.ndarray, ...]:
+    """Columns of ``rows`` one after the other."""
+    return tuple(np.concatenate([np.zeros(0, kind), *x]).astype(kind, copy=False)
+                 for kind, x in zip(kinds, zip(*rows) if rows else ([],) * len(kinds)))
+
+
+def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sum of each run of ``values``; the runs begin at ``begin``."""
+    return np.add.reduceat(values, begin, dtype=np.int64) if len(begin) else np.zeros(0, np.int64)
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -148,7 +190,8 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 def _packed_runs(docs: DataFrame) -> DataFrame:
     """Runs of all shards, packed per language; ``sources`` names all sources of the language in the shard."""
     def rows(shards: dict[str, Shard]) -> Iterator[pa.RecordBatch]:
-        for lang, shard in shards.items():
+        for lang in list(shards):
+            shard = shards.pop(lang)  # its memory goes when its runs are written
             for one, two, rest, source, counts, documents in shard.runs():
                 for at in range(0, max(1, len(one)), ROW_RUNS):
                     cut = slice(at, at + ROW_RUNS)
@@ -159,6 +202,8 @@ def _packed_runs(docs: DataFrame) -> DataFrame:
                         [pa.array([lang]), pa.array([list(shard.sources)], pa.list_(pa.string())), *binary,
                          pa.array([long_terms], pa.list_(pa.binary()))],
                         ["lang", "sources", "one", "two", "source", "counts", "documents", "rest"])
+            del shard, one, two, rest, source, counts, documents
+        release_memory()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, size, seen = {}, 0, 0
@@ -174,6 +219,7 @@ def _packed_runs(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum([len(b) + 1 for b, w in zip(bodies, whole) if w], dtype=np.int64)
                 shard.add(b"\n".join([*(b for b, w in zip(bodies, whole) if w), b""]), codes[whole],
                           (seen + own[whole]).astype(np.uint32), np.concatenate([[0], ends]))
+                shard.settle()
                 for i, body, code in ((i, b, c) for i, b, c, w in zip(own, bodies, codes, whole) if not w):
                     at = 0
                     while at < len(body):  # a long text in pieces that end outside terms
@@ -183,6 +229,7 @@ def _packed_runs(docs: DataFrame) -> DataFrame:
                         shard.add(body[at:end], np.array([code]), np.array([seen + i], np.uint32), np.array([0, len(body)]))
                         shard.reduce()
                         at = end
+                    shard.settle()
             seen += batch.num_rows
             size += texts.nbytes
             if size >= SHARD_BYTES:
@@ -275,8 +322,8 @@ def term_counts(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> tupl
 
     ``docs`` has ``lang, source, text``, no nulls.
     """
-    with byte_batches(docs.sparkSession, BATCH_BYTES):
-        runs = kept_table(_packed_runs(docs), "term-runs")
+    with byte_batches(docs.sparkSession, BATCH_BYTES), read_batches(docs.sparkSession, READ_ROWS):
+        runs = kept_table(_packed_runs(docs), "term-runs", **PAGES)
         key = ["lang", "one", "two", "rest"]
         kept = _document_counts(runs.select("lang", "one", "two", "source", "counts", "documents", "rest")).groupBy(*key).agg(
             F.sum("n").alias("documents")).filter(F.col("documents") >= least_documents)
